@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from inkwell.llm.embdedup import op9_embedding_dedup
 from inkwell.llm.linededup import OP6_SQL, op6_line_dedup
 from inkwell.llm.mixing import OP1_SQL, op1_mixing
+from inkwell.llm.simhash import op4_simhash
 
 QUERIES = {
     "op1_mixing": op1_mixing,
+    "op4_simhash": op4_simhash,
     "op6_line_dedup": op6_line_dedup,
+    "op9_embedding_dedup": op9_embedding_dedup,
 }
 ORACLE_SQL = {
     "op1_mixing": OP1_SQL,
