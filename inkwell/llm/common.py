@@ -112,3 +112,21 @@ def roots(n: int, left, right):
                 break
             root = up
     return root
+
+
+def training_ids(rows: DataFrame, label: str, most: int) -> DataFrame:
+    """A bounded sample to learn from: at most `most` rows (doc_id, label) of each label, by smallest hash of doc_id.
+
+    Only rows with id and label outside the held-out fifth are taken. Labels are few by nature (classes, languages).
+    """
+    from pyspark.sql import Window as W
+
+    pool = rows.where(F.col("doc_id").isNotNull() & F.col(label).isNotNull() & ~held_out(F.col("doc_id"))).select("doc_id", F.col(label).alias("label"))
+    nth = F.row_number().over(W.partitionBy("label").orderBy(F.xxhash64("doc_id"), "doc_id"))
+    return saved(pool.withColumn("nth", nth).where(F.col("nth") <= most).drop("nth").coalesce(1), "sample")
+
+
+def sampled(docs: DataFrame, ids: DataFrame, chars: int) -> DataFrame:
+    """The texts (doc_id, text, label) of sampled ids; texts of more than `chars` characters are not learned from."""
+    texts = docs.select("doc_id", "text").where(F.col("text").isNotNull() & (F.length("text") <= chars))
+    return join_small(texts, ids, ["doc_id"])

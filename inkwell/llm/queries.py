@@ -4,16 +4,20 @@ from __future__ import annotations
 
 from inkwell.llm.bpe import op5_bpe
 from inkwell.llm.embdedup import op9_embedding_dedup
+from inkwell.llm.langid import op3_language_id
 from inkwell.llm.linededup import OP6_SQL, op6_line_dedup
 from inkwell.llm.mixing import OP1_SQL, op1_mixing
+from inkwell.llm.quality import op8_quality
 from inkwell.llm.simhash import op4_simhash
 from inkwell.llm.tokencount import op10_token_counts
 
 QUERIES = {
     "op1_mixing": op1_mixing,
+    "op3_language_id": op3_language_id,
     "op4_simhash": op4_simhash,
     "op5_bpe": op5_bpe,
     "op6_line_dedup": op6_line_dedup,
+    "op8_quality": op8_quality,
     "op9_embedding_dedup": op9_embedding_dedup,
     "op10_token_counts": op10_token_counts,
 }
