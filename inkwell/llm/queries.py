@@ -10,9 +10,11 @@ from inkwell.llm.mixing import OP1_SQL, op1_mixing
 from inkwell.llm.quality import op8_quality
 from inkwell.llm.simhash import op4_simhash
 from inkwell.llm.tokencount import op10_token_counts
+from inkwell.llm.toxicity import op2_toxicity
 
 QUERIES = {
     "op1_mixing": op1_mixing,
+    "op2_toxicity": op2_toxicity,
     "op3_language_id": op3_language_id,
     "op4_simhash": op4_simhash,
     "op5_bpe": op5_bpe,
