@@ -251,7 +251,7 @@ class Encoder:
         return n, ids.hexdigest(), decoded.hexdigest()
 
     def encode(self, text: bytes) -> np.ndarray:
-        return np.array(b"".join([b"".join(map(self.ids.__getitem__, p.split())) for p in pieces(text)]).split(), np.int32)
+        return np.fromstring(b"".join([b"".join(map(self.ids.__getitem__, p.split())) for p in pieces(text)]), np.int32, sep=" ")
 
 
 _encoders: dict[str, Encoder] = {}
@@ -275,7 +275,9 @@ def encode_documents(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame
         for batch in batches:
             texts = _texts(batch.column(1))
             encoder.learn(texts)
-            lists = pa.array([encoder.encode(t) for t in texts], pa.list_(pa.int32()))
+            ids = list(map(encoder.encode, texts))
+            ends = np.cumsum([0, *map(len, ids)]).astype(np.int32)
+            lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.empty(0, np.int32), *ids])))
             yield pa.RecordBatch.from_arrays([batch.column(0), lists], names=["doc_id", "ids"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()

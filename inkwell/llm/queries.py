@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from inkwell.llm.ann import op7_nearest
 from inkwell.llm.bpe import op5_bpe
 from inkwell.llm.embdedup import op9_embedding_dedup
 from inkwell.llm.langid import op3_language_id
@@ -19,6 +20,7 @@ QUERIES = {
     "op4_simhash": op4_simhash,
     "op5_bpe": op5_bpe,
     "op6_line_dedup": op6_line_dedup,
+    "op7_nearest": op7_nearest,
     "op8_quality": op8_quality,
     "op9_embedding_dedup": op9_embedding_dedup,
     "op10_token_counts": op10_token_counts,
