@@ -13,6 +13,10 @@ class Ref(int):
     """A reference to an object."""
 
 
+class Word(bytes):
+    """An operator or keyword, as opposed to a string."""
+
+
 class Name(str):
     """A name, without its slash."""
 
@@ -43,7 +47,7 @@ def _string(data: bytes, at: int) -> tuple[bytes, int]:
 
 
 def tokens(data: bytes, at: int = 0):
-    """(value, end) of objects and operators; operators are bytes."""
+    """(value, end) of objects and operators."""
     stack: list[list] = []
     kinds: list[bytes] = []
     while at < len(data):
@@ -71,9 +75,9 @@ def tokens(data: bytes, at: int = 0):
         elif kind == "str":
             value, at = _string(data, at)
         else:
-            value = {b"true": True, b"false": False, b"null": None}.get(text, text)
+            value = {b"true": True, b"false": False, b"null": None}.get(text, Word(text))
         if stack:
-            if value == b"R" and isinstance(value, bytes) and len(stack[-1]) >= 2:
+            if isinstance(value, Word) and value == b"R" and len(stack[-1]) >= 2:
                 stack[-1].pop()
                 value = Ref(stack[-1].pop())
             stack[-1].append(value)
@@ -274,7 +278,7 @@ def _run(file: File, raw: bytes, resources: dict, matrix, letters: list, depth:
             place = after
 
     for value, _ in tokens(raw):
-        if not isinstance(value, bytes) or not re.fullmatch(rb"[A-Za-z0-9*'\"]{1,3}", value) or (stack and isinstance(value, bytes) and value not in OPERATORS):
+        if not isinstance(value, Word):
             stack.append(value)
             continue
         op, args, stack = value, stack, []
@@ -332,5 +336,3 @@ def _run(file: File, raw: bytes, resources: dict, matrix, letters: list, depth:
         except (IndexError, TypeError):
             continue  # operands are missing: the operator does nothing
 
-
-OPERATORS = {b"q", b"Q", b"cm", b"BT", b"ET", b"Tf", b"Td", b"TD", b"Tm", b"T*", b"TL", b"Tc", b"Tw", b"Tz", b"Ts", b"Tj", b"'", b'"', b"TJ", b"Do", b"Tr", b"gs", b"re", b"f", b"F", b"f*", b"S", b"s", b"W", b"W*", b"n", b"m", b"l", b"c", b"v", b"y", b"h", b"B", b"B*", b"b", b"b*", b"g", b"G", b"rg", b"RG", b"k", b"K", b"w", b"J", b"j", b"M", b"d", b"i", b"ri", b"cs", b"CS", b"sc", b"SC", b"scn", b"SCN", b"sh", b"BMC", b"BDC", b"EMC", b"MP", b"DP", b"BX", b"EX"}

@@ -88,10 +88,8 @@ def xlsx(data: bytes) -> list[tuple[str, Cells]]:
     book = parse_xml(read(package, "xl/workbook.xml") or b"<none/>")
     relations = parse_xml(read(package, "xl/_rels/workbook.xml.rels") or b"<none/>")
     target = {n.attrs.get("Id"): n.attrs.get("Target", "") for n in relations.named("Relationship")}
-    strings = [
-        "".join(t.content() for t in s.named("t") if not t.inside("rPh"))
-        for s in (parse_xml(raw).named("si") if (raw := read(package, "xl/sharedStrings.xml")) else [])
-    ]
+    texts = parse_xml(read(package, "xl/sharedStrings.xml") or b"<none/>").named("si")
+    strings = ["".join(t.content() for t in s.named("t") if not t.inside("rPh")) for s in texts]
     dates: list[bool] = []
     if raw := read(package, "xl/styles.xml"):
         styles = parse_xml(raw)

@@ -6,8 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from inkwell import writers
 from inkwell.functions import text as T
 from inkwell.operators import layout
+from inkwell.plans.convert import convert, pdf_words, routed, words_to_markdown
+from inkwell.sources import files
 
 QUERIES, ORACLE_SQL = {}, {}
 
@@ -188,3 +191,190 @@ def win_partial_merge(spark, sf_dir):
     d = read(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.array(F.concat(F.lit("."), F.col("doc_id").cast("string")), F.lit(""), F.lit("next"), F.lit("after"))).alias("n", "line"))
     out = layout.partial_numbers_joined(d)
     return out.groupBy("doc_id").agg(F.expr("listagg(line, '\n') WITHIN GROUP (ORDER BY n)").alias("text"))
+
+
+# Conversions. The files are written from rows of the tables, converted, and compared with what SQL says of those rows.
+
+
+def _files(rows: DataFrame, doc_id: str, build, extension: str, columns: list[str], **hints) -> DataFrame:
+    """Files (doc_id, content, info) that a writer builds from columns of each row."""
+
+    @F.udf("binary")
+    def write(row):
+        return build(*row)
+
+    made = rows.select(F.col(doc_id).alias("doc_id"), write(F.struct(*columns)).alias("content"))
+    fields = {"extension": F.lit(extension)} | hints
+    return made.withColumn("info", files.info(**fields))
+
+
+def _converted(f: DataFrame, options=None) -> DataFrame:
+    return convert(f, options).select("doc_id", "markdown", "title", "converter", "status")
+
+
+@query("""SELECT doc_id, text AS markdown, 'text' AS converter, 'ok' AS status FROM (
+SELECT doc_id, regexp_replace(regexp_replace(text, '(?m)[ \\t]+$', '', 'g'), '\\n{3,}', chr(10) || chr(10), 'g') AS text FROM documents)""")
+def src_text(spark, sf_dir):
+    f = files.from_table(read(spark, sf_dir, "documents"), "doc_id", "text", files.info(mimetype=F.lit("text/plain")))
+    return _converted(f).select("doc_id", "markdown", "converter", "status")
+
+
+@query("""SELECT c_custkey AS doc_id, '| id | name | segment |' || chr(10) || '| --- | --- | --- |' || chr(10) || '| ' || c_custkey || ' | ' || c_name || ', "x" | ' || c_mktsegment || ' |' AS markdown, 'csv' AS converter FROM customer""")
+def src_csv(spark, sf_dir):
+    build = lambda k, n, m: f'id,name,segment\r\n{k},"{n}, ""x""",{m},extra\r\n'.encode()
+    return _converted(_files(read(spark, sf_dir, "customer"), "c_custkey", build, ".csv", ["c_custkey", "c_name", "c_mktsegment"])).select("doc_id", "markdown", "converter")
+
+
+@query("""SELECT conv_id AS doc_id, '# Talk ' || conv_id || chr(10) || chr(10) || string_agg(CASE WHEN role = 'user' THEN text ELSE '```python' || chr(10) || text || chr(10) || '```' END, chr(10) || chr(10) ORDER BY turn) AS markdown,
+'Talk ' || conv_id AS title, 'ipynb' AS converter FROM (SELECT conv_id, turn, role, 'turn ' || turn || ' of ' || conv_id AS text FROM conversations) GROUP BY conv_id""")
+def src_ipynb(spark, sf_dir):
+    cell = F.struct(F.when(F.col("role") == "user", "markdown").otherwise("code").alias("cell_type"), F.array(F.concat(F.lit("turn "), F.col("turn").cast("string"), F.lit(" of "), F.col("conv_id").cast("string"))).alias("source"))
+    first = F.struct(F.lit("markdown").alias("cell_type"), F.array(F.concat(F.lit("# Talk "), F.col("conv_id").cast("string"))).alias("source"))
+    c = read(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", cell.alias("c")))).alias("cs"))
+    book = F.struct(F.lit(4).alias("nbformat"), F.lit(5).alias("nbformat_minor"), F.concat(F.array(first), F.transform("cs", lambda x: x["c"])).alias("cells"))
+    f = files.from_table(c.withColumn("j", F.to_json(book)), "conv_id", "j", files.info(mimetype=F.lit("application/json")))
+    return _converted(f).select("doc_id", "markdown", "title", "converter")
+
+
+@query("""SELECT n_regionkey AS doc_id, '# Region ' || n_regionkey || chr(10) || 'All' || chr(10) || string_agg(chr(10) || '## ' || n_name || chr(10) || 'Published on: day ' || n_nationkey || chr(10) || 'key **' || n_nationkey || '**', '' ORDER BY n_nationkey) AS markdown, 'rss' AS converter FROM nation GROUP BY n_regionkey""")
+def src_rss(spark, sf_dir):
+    item = F.concat(F.lit("<item><title>"), "n_name", F.lit("</title><pubDate>day "), F.col("n_nationkey").cast("string"), F.lit("</pubDate><description>&lt;p&gt;key &lt;b&gt;"), F.col("n_nationkey").cast("string"), F.lit("&lt;/b&gt;&lt;/p&gt;</description></item>"))
+    n = read(spark, sf_dir, "nation").groupBy("n_regionkey").agg(F.array_sort(F.collect_list(F.struct("n_nationkey", item.alias("i")))).alias("items"))
+    feed = F.concat(F.lit("<rss><channel><title>Region "), F.col("n_regionkey").cast("string"), F.lit("</title><description>All</description>"), F.array_join(F.transform("items", lambda x: x["i"]), ""), F.lit("</channel></rss>"))
+    return _converted(files.from_table(n.withColumn("x", feed), "n_regionkey", "x", files.info(extension=F.lit(".xml")))).select("doc_id", "markdown", "converter")
+
+
+@query("""SELECT s_suppkey AS doc_id, 'Content from the zip file `archive.zip`:' || chr(10) || chr(10) || '## File: a.csv' || chr(10) || chr(10) || '| ' || s_suppkey || ' | x |' || chr(10) || '| --- | --- |' || chr(10) || chr(10) || '## File: b.txt' || chr(10) || chr(10) || s_name AS markdown, 'zip' AS converter FROM supplier""")
+def src_zip(spark, sf_dir):
+    build = lambda k, n: writers.zip_bytes({"b.txt": n, "skip.bin": b"\0", "a.csv": f"{k},x"})
+    return _converted(_files(read(spark, sf_dir, "supplier"), "s_suppkey", build, ".zip", ["s_suppkey", "s_name"])).select("doc_id", "markdown", "converter")
+
+
+@query("""SELECT s_suppkey AS doc_id, '**Title:** ' || s_name || chr(10) || '**Authors:** A' || chr(10) || '**Identifier:** ' || s_suppkey || chr(10) || chr(10) || '# ' || s_name || chr(10) || chr(10) || 'one' || chr(10) || chr(10) || 'two ' || s_suppkey AS markdown, s_name AS title FROM supplier""")
+def src_epub(spark, sf_dir):
+    build = lambda k, n: writers.epub_bytes({"title": n, "creator": "A", "identifier": str(k)}, [f"<h1>{n}</h1><p>one</p>", f"<p>two {k}</p>"])
+    return _converted(_files(read(spark, sf_dir, "supplier"), "s_suppkey", build, ".epub", ["s_suppkey", "s_name"])).select("doc_id", "markdown", "title")
+
+
+_SHEET = """SELECT s_suppkey AS doc_id, '## S' || chr(10) || '| key | name | key.1 | Unnamed: 3 |' || chr(10) || '| --- | --- | --- | --- |' || chr(10) || '| ' || s_suppkey || ' | ' || s_name || ' | ' || s_suppkey || '.0 | 0.5 |' || chr(10) || '| 7 | NaN | NaN | 2.0 |' AS markdown, '{0}' AS converter FROM (SELECT s_suppkey, replace(s_name, '_', '\\_') AS s_name FROM supplier)"""
+
+
+def _sheet(write):
+    return lambda k, n: write({"S": [["key", "name", "key", None], [k, n, k, 0.5], [7, "NA", None, 2]]})
+
+
+@query(_SHEET.format("xlsx"))
+def src_xlsx(spark, sf_dir):
+    return _converted(_files(read(spark, sf_dir, "supplier"), "s_suppkey", _sheet(writers.xlsx_bytes), ".xlsx", ["s_suppkey", "s_name"])).select("doc_id", "markdown", "converter")
+
+
+@query(_SHEET.format("xls"))
+def src_xls(spark, sf_dir):
+    return _converted(_files(read(spark, sf_dir, "supplier"), "s_suppkey", _sheet(writers.xls_bytes), ".xls", ["s_suppkey", "s_name"])).select("doc_id", "markdown", "converter")
+
+
+@query("""SELECT s_suppkey AS doc_id, '<!-- Slide number: 1 -->' || chr(10) || '# ' || s_name || chr(10) || 'body ' || s_suppkey || chr(10) || '| a | b |' || chr(10) || '| --- | --- |' || chr(10) || '| ' || s_suppkey || ' | 2 |' || chr(10) || chr(10) || '### Notes:' || chr(10) || 'note ' || s_suppkey || chr(10) || chr(10) || '<!-- Slide number: 2 -->' || chr(10) || chr(10) || '### Chart: Sales' || chr(10) || chr(10) || '| Category | Q |' || chr(10) || '| --- | --- |' || chr(10) || '| Jan | ' || s_suppkey || ' |' AS markdown FROM supplier""")
+def src_pptx(spark, sf_dir):
+    def build(k, n):
+        tree = writers.shape(f"body {k}", None, 20) + writers.shape(n, "title", 10) + writers.slide_table([["a", "b"], [str(k), "2"]], 30)
+        return writers.pptx_bytes([tree, writers.slide_chart("rId9")], {1: f"note {k}"}, {2: writers.chart_xml("Sales", ["Jan"], {"Q": [k]})})
+
+    return _converted(_files(read(spark, sf_dir, "supplier"), "s_suppkey", build, ".pptx", ["s_suppkey", "s_name"])).select("doc_id", "markdown")
+
+
+@query("""SELECT s_suppkey AS doc_id, '# Key ' || s_suppkey || chr(10) || chr(10) || 'is $\\frac{' || s_suppkey || '}{2}$' || chr(10) || chr(10) || 'note ' || s_suppkey AS markdown FROM supplier""")
+def src_docx(spark, sf_dir):
+    def build(k):
+        math = f"<m:oMath><m:f><m:num><m:r><m:t>{k}</m:t></m:r></m:num><m:den><m:r><m:t>2</m:t></m:r></m:den></m:f></m:oMath>"
+        body = writers.paragraph(f"Key {k}", "h") + f"<w:p><w:r><w:t>is </w:t></w:r>{math}</w:p>"
+        notes = f'<w:footnotes xmlns:w="w"><w:footnote w:id="1"><w:p><w:r><w:t>note {k}</w:t></w:r></w:p></w:footnote></w:footnotes>'
+        return writers.docx_bytes(body, styles='<w:styles xmlns:w="w"><w:style w:styleId="h"><w:name w:val="heading 1"/></w:style></w:styles>', footnotes=notes)
+
+    return _converted(_files(read(spark, sf_dir, "supplier"), "s_suppkey", build, ".docx", ["s_suppkey"])).select("doc_id", "markdown")
+
+
+@query("""SELECT s_suppkey AS doc_id, '# Email Message' || chr(10) || chr(10) || '**From:** from@x' || chr(10) || '**To:** to' || s_suppkey || '@y' || chr(10) || '**Subject:** ' || s_name || chr(10) || chr(10) || '## Content' || chr(10) || chr(10) || 'body ' || s_suppkey AS markdown, 'msg' AS converter FROM supplier""")
+def src_msg(spark, sf_dir):
+    build = lambda k, n: writers.message_bytes(n, "from@x", [f"to{k}@y"], f"body {k}")
+    return _converted(_files(read(spark, sf_dir, "supplier"), "s_suppkey", build, None, ["s_suppkey", "s_name"])).select("doc_id", "markdown", "converter")
+
+
+_PDF = [(50.0, 100.0, "Item"), (200.0, 100.0, "Qty"), (350.0, 100.0, "Price")]
+
+
+@query("""SELECT s_suppkey AS doc_id, '| Item | Qty    | Price |' || chr(10) || '| ---- | ------ | ----- |' || chr(10) || '| Bolt | K' || lpad(CAST(s_suppkey AS VARCHAR), 5, '0') || ' | 10.5  |' || chr(10) || '| Nut  | 8      | 2.25  |' || chr(10) || chr(10) || 'plain page ' || s_suppkey AS markdown FROM supplier""")
+def src_pdf(spark, sf_dir):
+    def build(k):
+        table = [*_PDF, (50, 120, "Bolt"), (200, 120, f"K{k:05d}"), (350, 120, "10.5"), (50, 140, "Nut"), (200, 140, "8"), (350, 140, "2.25")]
+        return writers.pdf_bytes([table, [(50, 100, f"plain page {k}")]])
+
+    return words_to_markdown(pdf_words(_files(read(spark, sf_dir, "supplier"), "s_suppkey", build, ".pdf", ["s_suppkey"])))
+
+
+@query("""SELECT page_id AS doc_id, trim(regexp_extract(html, '(?s)<title[^>]*>(.*?)</title>', 1)) AS title, 'html' AS converter, 'ok' AS status FROM pages""")
+def src_html(spark, sf_dir):
+    p = read(spark, sf_dir, "pages")
+    plain = p.withColumn("html", F.regexp_replace("html", "&(amp|quot|lt|gt|middot|copy|nbsp);", "&amp;$1;"))
+    return _converted(files.from_table(plain, "page_id", "html", files.info(mimetype=F.lit("text/html"), url=F.col("url")))).select("doc_id", "title", "converter", "status")
+
+
+@query()
+def html_markdown(spark, sf_dir):
+    p = read(spark, sf_dir, "pages")
+    return _converted(files.from_table(p, "page_id", "html", files.info(mimetype=F.lit("text/html"), url=F.col("url"))))
+
+
+@query("""SELECT page_id AS doc_id, '# Page ' || page_id || chr(10) || chr(10) || '* one' || chr(10) || '  + **two**' || chr(10) || chr(10) || '[here](https://a.b/c%20d) <https://e.f> bad' || chr(10) || chr(10) || '| k | v |' || chr(10) || '| --- | --- |' || chr(10) || '| ' || page_id || ' | x |' AS markdown FROM pages""")
+def md_rules(spark, sf_dir):
+    parts = ["<title>t</title><h1>Page {0}</h1><ul><li>one<ul><li><b>two</b></ul></ul><p><a href='https://a.b/c%20d'>here</a> <a href='https://e.f'>https://e.f</a> <a href='javascript:x'>bad</a></p>", "<table><tr><th>k<th>v<tr><td>{0}<td>x</table>"]
+    p = read(spark, sf_dir, "pages").withColumn("h", F.replace(F.lit("".join(parts)), F.lit("{0}"), F.col("page_id").cast("string")))
+    return _converted(files.from_table(p, "page_id", "h", files.info(extension=F.lit(".html")))).select("doc_id", "markdown")
+
+
+_SITES = ["https://en.wikipedia.org/wiki/X", "https://www.bing.com/search?q=a+b", "https://www.youtube.com/watch?v=1", "https://example.org/x"]
+
+
+@query("""SELECT page_id AS doc_id, CASE page_id % 4 WHEN 0 THEN 'wikipedia' WHEN 1 THEN 'bing' WHEN 2 THEN 'youtube' ELSE 'html' END AS converter,
+CASE page_id % 4 WHEN 0 THEN '# Main' || chr(10) || chr(10) || 'text ' || page_id WHEN 1 THEN '## A Bing search for ''a b'' found the following results:' || chr(10) || chr(10) || '[hit](https://t.u/' || page_id || ')'
+WHEN 2 THEN '# YouTube' || chr(10) || chr(10) || '## T' || chr(10) || chr(10) || '### Description' || chr(10) || 'said ' || page_id ELSE 'Main' || chr(10) || chr(10) || 'text ' || page_id || chr(10) || chr(10) || '[hit](https://x.y/ck?u=' || 'a1' || ')' END AS markdown FROM pages""")
+def src_sites(spark, sf_dir):
+    p = read(spark, sf_dir, "pages").withColumn("k", F.col("page_id").cast("string"))
+    link = F.when(F.col("page_id") % 4 == 1, F.concat(F.lit("https://x.y/ck?u=a1"), F.translate(F.base64(F.concat(F.lit("https://t.u/"), "k").cast("binary")), "+/=", "-_"))).otherwise("https://x.y/ck?u=a1")
+    page = F.concat(F.lit("<title>T</title><meta name=description content='said "), "k", F.lit("'><div><span class=mw-page-title-main>Main</span></div><div id=mw-content-text><p>text "), "k", F.lit("</p></div><div class=b_algo><a href='"), link, F.lit("'>hit</a></div>"))
+    url = F.element_at(F.array(*map(F.lit, _SITES)), (F.col("page_id") % 4 + 1).cast("int"))
+    return _converted(files.from_table(p.withColumn("h", page).withColumn("u", url), "page_id", "h", files.info(mimetype=F.lit("text/html"), url=F.col("u")))).select("doc_id", "converter", "markdown")
+
+
+_HINTS = [(".csv", None, None), (None, "text/html", None), (".xml", "text/xml", None), (None, None, "utf-8"), (".rtf", None, None), (None, "application/json", None), (".PPTX", None, None), (".html", None, None)]
+_ROUTED = ["csv,text", "html,text", "rss,text", "text", "", "ipynb,text", "pptx", "html,text"]
+
+
+@query("SELECT doc_id, CASE doc_id % 8 " + " ".join(f"WHEN {i} THEN '{r}'" for i, r in enumerate(_ROUTED)) + " END AS candidates FROM documents")
+def route_order(spark, sf_dir):
+    at = lambda k: F.element_at(F.array(*(F.lit(h[k]).cast("string") for h in _HINTS)), (F.col("doc_id") % 8 + 1).cast("int"))
+    f = files.from_table(read(spark, sf_dir, "documents"), "doc_id", "text", files.info(extension=at(0), mimetype=at(1), charset=at(2)))
+    return routed(f).select("doc_id", F.array_join("candidates", ",").alias("candidates"))
+
+
+@query("""SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN 'text' WHEN 1 THEN 'text' END AS converter, CASE doc_id % 3 WHEN 0 THEN 'ok' WHEN 1 THEN 'ok' ELSE 'failed' END AS status, CASE doc_id % 3 WHEN 0 THEN 'ipynb' WHEN 1 THEN '' ELSE 'docx' END AS failed FROM documents""")
+def route_fallback(spark, sf_dir):
+    k = F.col("doc_id") % 3
+    ext, mime = F.when(k == 0, ".ipynb").when(k == 1, ".txt").otherwise(".docx"), F.when(k == 0, "application/json")
+    f = files.from_table(read(spark, sf_dir, "documents"), "doc_id", "text", files.info(extension=ext, mimetype=mime))
+    return convert(f).select("doc_id", "converter", "status", F.array_join(F.transform("attempts", lambda a: a["converter"]), ",").alias("failed"))
+
+
+@query("""SELECT page_id AS doc_id, 'text/html' AS mimetype, CASE WHEN page_id % 2 = 0 THEN 'latin1' END AS charset, CASE WHEN page_id % 2 = 0 THEN 'a b.HTM' ELSE 'page.html' END AS filename, CASE WHEN page_id % 2 = 0 THEN '.htm' ELSE '.html' END AS extension FROM pages""")
+def src_response(spark, sf_dir):
+    even = F.col("page_id") % 2 == 0
+    heads = F.when(even, F.create_map(F.lit("content-type"), F.lit("text/html; charset=latin1"), F.lit("content-disposition"), F.lit('attachment; filename="a b.HTM"'))).otherwise(F.create_map(F.lit("content-type"), F.lit("text/html")))
+    p = read(spark, sf_dir, "pages").withColumn("heads", heads).withColumn("u", F.concat(F.lit("https://x.y/"), F.col("page_id").cast("string"), F.lit("/page.html?a=b.c")))
+    return files.from_responses(p, "page_id", "u", "heads", "html").select("doc_id", "info.mimetype", "info.charset", "info.filename", "info.extension")
+
+
+@query("""SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN 'naïve ' WHEN 1 THEN 'あいう ' WHEN 2 THEN '你好世界 ' ELSE '한국어 ' END || doc_id AS markdown FROM documents""")
+def det_charset(spark, sf_dir):
+    said = [("naïve ", "utf-8"), ("あいう ", "cp932"), ("你好世界 ", "gb18030"), ("한국어 ", "utf-8")]
+    head = F.element_at(F.array(*(F.lit(t.encode(c)) for t, c in said)), (F.col("doc_id") % 4 + 1).cast("int"))
+    d = read(spark, sf_dir, "documents").withColumn("b", F.concat(head, F.col("doc_id").cast("string").cast("binary")))
+    return _converted(files.from_table(d, "doc_id", "b", files.info(extension=F.lit(".txt")))).select("doc_id", "markdown")
