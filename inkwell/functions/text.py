@@ -32,11 +32,14 @@ def replace_all(text: Column, pairs: list[tuple[str, str]]) -> Column:
 
 
 def lookup(key: Column, table: dict[str, str]) -> Column:
-    """The table's value, null for other keys."""
-    out = F.when(F.lit(False), F.lit(None).cast("string"))
-    for k, v in table.items():
-        out = out.when(key == k, v)
-    return out
+    """The table's value, null for other keys. The table is one map constant, however long it is."""
+    return F.try_element_at(F.create_map(*(F.lit(x) for pair in table.items() for x in pair)), key)
+
+
+def first_prefix(text: Column, pairs: list[tuple[str, str]]) -> Column:
+    """The value of the first prefix that the text starts with, null without one."""
+    rows = F.array(*(F.struct(F.lit(p).alias("p"), F.lit(v).alias("v")) for p, v in pairs))
+    return F.get(F.filter(rows, lambda r: F.startswith(text, r["p"])), F.lit(0))["v"]
 
 
 def basename(path: Column) -> Column:

@@ -67,7 +67,7 @@ def sheet_markdown(cells: Cells) -> str:
     rows = table(cells)
     if not rows:
         return "|\n|  |"
-    paired = lambda t: t.replace("  ", "  ")
+    paired = lambda t: t.replace("  ", "\xa0\xa0")
     return H.table_text([[(H._escape(paired(t)).replace("\\\\", "\\"), 1) for t in r] for r in rows])
 
 

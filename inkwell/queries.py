@@ -6,10 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from inkwell import writers
+from inkwell import cloud, writers
 from inkwell.functions import text as T
-from inkwell.operators import layout
-from inkwell.plans.convert import convert, pdf_words, routed, words_to_markdown
+from inkwell.operators import layout, package
+from inkwell.plans.convert import Options, convert, pdf_words, routed, words_to_markdown
+from inkwell.providers import Providers
 from inkwell.sources import files
 
 QUERIES, ORACLE_SQL = {}, {}
@@ -378,3 +379,119 @@ def det_charset(spark, sf_dir):
     head = F.element_at(F.array(*(F.lit(t.encode(c)) for t, c in said)), (F.col("doc_id") % 4 + 1).cast("int"))
     d = read(spark, sf_dir, "documents").withColumn("b", F.concat(head, F.col("doc_id").cast("string").cast("binary")))
     return _converted(files.from_table(d, "doc_id", "b", files.info(extension=F.lit(".txt")))).select("doc_id", "markdown")
+
+
+# Layout, joins and cloud routing.
+
+
+@query("""SELECT user_id, CASE WHEN n < 3 THEN 35.0 ELSE least(50.0, greatest(25.0, g[CAST(floor(n * 0.7) AS INTEGER) + 1])) END AS tolerance FROM (
+SELECT user_id, count(gap) AS n, list(gap ORDER BY gap) FILTER (WHERE gap IS NOT NULL) AS g FROM (
+SELECT user_id, CASE WHEN x - lag(x) OVER (PARTITION BY user_id ORDER BY x) > 5 THEN x - lag(x) OVER (PARTITION BY user_id ORDER BY x) END AS gap FROM (SELECT DISTINCT user_id, floor(value) * 10.0 AS x FROM events)) GROUP BY user_id)""")
+def agg_gap_p70(spark, sf_dir):
+    e = read(spark, sf_dir, "events").groupBy("user_id").agg(F.array_sort(F.collect_set(F.floor("value") * F.lit(10.0).cast("double"))).alias("xs"))
+    return e.select("user_id", layout.gap_tolerance(F.col("xs")).alias("tolerance"))
+
+
+@query("""WITH RECURSIVE x AS (SELECT user_id, v, row_number() OVER (PARTITION BY user_id ORDER BY v) AS n FROM (SELECT DISTINCT user_id, floor(value) AS v FROM events)),
+k AS (SELECT user_id, n, v AS last, 1 AS c FROM x WHERE n = 1 UNION ALL SELECT x.user_id, x.n, CASE WHEN x.v > k.last + 35.0 THEN x.v ELSE k.last END, k.c + CASE WHEN x.v > k.last + 35.0 THEN 1 ELSE 0 END FROM k JOIN x ON x.user_id = k.user_id AND x.n = k.n + 1)
+SELECT user_id, CAST(max(c) AS INTEGER) AS n_columns, max(last) AS last_column FROM k GROUP BY user_id""")
+def win_global_cols(spark, sf_dir):
+    e = read(spark, sf_dir, "events").groupBy("user_id").agg(F.array_sort(F.collect_set(F.floor("value").cast("double"))).alias("xs"))
+    e = e.withColumn("c", layout.kept_columns(F.col("xs"), F.lit(35.0)))
+    return e.select("user_id", F.size("c").alias("n_columns"), F.element_at("c", -1).alias("last_column"))
+
+
+@query("""SELECT event_id, CAST(CASE WHEN value < 80 THEN 0 WHEN value < 180 THEN 1 ELSE 2 END AS INTEGER) AS col, value >= 60 AND value < 140 AND abs(value - 100) < 40 AS aligned FROM events""")
+def join_word_col(spark, sf_dir):
+    columns = F.array(F.lit(0.0), F.lit(100.0), F.lit(200.0)).cast("array<double>")
+    e = read(spark, sf_dir, "events")
+    return e.select("event_id", layout.column_of(F.col("value"), columns).alias("col"), (F.abs(F.col("value") - 100) < layout.ALIGNED).alias("aligned"))
+
+
+_CELLS = "SELECT c_custkey, [c_name, c_mktsegment, CASE WHEN c_custkey % 3 = 0 THEN repeat('x', 90) ELSE 'a' END, CASE WHEN c_custkey % 2 = 0 THEN 'b' ELSE c_mktsegment END] AS c FROM customer"
+
+
+@query(f"""SELECT c_custkey, NOT list_bool_or([length(x) > 80 FOR x IN c]) AND list_avg([length(x) FOR x IN c]) <= 40 AND len([x FOR x IN c IF length(x) <= 2]) / len(c) < 0.4 AS structured,
+len([x FOR x IN c IF length(x) <= 2]) / len(c) >= 0.4 AS spaced, length(list_aggregate(c, 'string_agg', ' ')) > 60 OR list_bool_and([length(x) > 25 FOR x IN c]) AS prose FROM ({_CELLS})""")
+def prd_rows(spark, sf_dir):
+    k = F.col("c_custkey")
+    cells = F.array("c_name", "c_mktsegment", F.when(k % 3 == 0, F.repeat(F.lit("x"), 90)).otherwise("a"), F.when(k % 2 == 0, "b").otherwise(F.col("c_mktsegment")))
+    c = read(spark, sf_dir, "customer").select("c_custkey", cells.alias("c"))
+    return c.select("c_custkey", layout.structured(F.col("c")).alias("structured"), layout.spaced_letters(F.col("c")).alias("spaced"), layout.prose_row(F.col("c"), F.lit(0.0), F.lit(400.0), F.lit(612.0)).alias("prose"))
+
+
+@query("""SELECT s.s_suppkey AS doc_id, string_agg(n.n_name, ' > ' ORDER BY n.n_nationkey DESC) AS spine FROM supplier s JOIN nation n ON n.n_regionkey = s.s_suppkey % 5 GROUP BY s.s_suppkey""")
+def join_spine(spark, sf_dir):
+    """Spine references meet manifest items of their book by id; order is the spine's; missing items drop out."""
+    books, n = read(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("doc_id"), (F.col("s_suppkey") % 5).alias("region")), read(spark, sf_dir, "nation")
+    manifest = books.join(n, F.col("region") == F.col("n_regionkey")).select("doc_id", F.concat(F.lit("id"), F.col("n_nationkey").cast("string")).alias("idref"), F.col("n_name").alias("href"))
+    spine = books.select("doc_id", F.posexplode(F.transform(F.sequence(F.lit(30), F.lit(0)), lambda i: F.concat(F.lit("id"), i.cast("string")))).alias("nth", "idref"))
+    return package.spine_parts(spine, manifest).groupBy("doc_id").agg(F.expr("listagg(href, ' > ') WITHIN GROUP (ORDER BY nth)").alias("spine"))
+
+
+@query("""SELECT o_orderkey AS doc_id, CASE WHEN o_orderkey % 4 = 0 THEN NULL ELSE 'chart' || o_orderkey END AS part, coalesce(CASE WHEN o_orderkey % 4 = 0 THEN NULL ELSE 'chart' || o_orderkey END, '[unsupported chart]') AS shown FROM orders""")
+def join_chart(spark, sf_dir):
+    """Frames meet the relationships of their own slide; frames without one stay."""
+    o = read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("doc_id"), F.lit(1).alias("part_no"), F.lit("rId9").alias("rel_id"))
+    links = o.where("doc_id % 4 <> 0").withColumn("target", F.concat(F.lit("chart"), F.col("doc_id").cast("string")))
+    return package.related(o, links).select("doc_id", F.col("target").alias("part"), F.coalesce("target", F.lit("[unsupported chart]")).alias("shown"))
+
+
+@query("""SELECT c_custkey AS doc_id, string_agg('note ' || i, ',' ORDER BY i) AS missing FROM customer, range(1, 6) r(i) WHERE i <> c_custkey % 5 + 1 GROUP BY c_custkey""")
+def join_footnote_anti(spark, sf_dir):
+    """Footnotes whose text or reference the body holds drop out."""
+    c = read(spark, sf_dir, "customer")
+    bodies = c.select(F.col("c_custkey").alias("doc_id"), F.concat(F.lit("text (#footnote-ref-"), (F.col("c_custkey") % 5 + 1).cast("string"), F.lit(")")).alias("markdown"))
+    notes = c.select(F.col("c_custkey").alias("doc_id"), F.explode(F.sequence(F.lit(-1), F.lit(5))).alias("n")).select("doc_id", F.col("n").cast("string").alias("note_id"), F.concat(F.lit("note "), F.col("n").cast("string")).alias("text"))
+    left = package.missing_notes(notes, bodies)
+    return left.groupBy("doc_id").agg(F.expr("listagg(text, ',') WITHIN GROUP (ORDER BY note_id)").alias("missing"))
+
+
+@query("""SELECT o_orderkey AS doc_id, CAST(o_orderkey % 7 AS BIGINT) AS n, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey % 7, o_orderkey % 3, o_orderkey) AS place FROM orders""")
+def sort_shapes(spark, sf_dir):
+    """Shapes in reading order: from the top, then from the left, then as stored."""
+    o = read(spark, sf_dir, "orders").select(F.col("o_custkey").alias("slide"), F.col("o_orderkey").alias("doc_id"), (F.col("o_orderkey") % 7).alias("top"), (F.col("o_orderkey") % 3).alias("left"))
+    return o.select("doc_id", F.col("top").alias("n"), F.row_number().over(W.partitionBy("slide").orderBy("top", "left", "doc_id")).alias("place"))
+
+
+@query("""SELECT customer.c_custkey AS doc_id, 'Category | A' || chr(10) || string_agg(i || ' | ' || CASE WHEN i <= c_custkey % 4 THEN CAST(i * 10 AS VARCHAR) ELSE '' END, chr(10) ORDER BY i) AS rows FROM customer, range(1, 4) r(i) GROUP BY c_custkey""")
+def join_chart_points(spark, sf_dir):
+    """Categories and values meet by ordinal; a missing category is its number, a missing value empty."""
+    c = read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("doc_id"), (F.col("c_custkey") % 4).cast("int").alias("n"))
+    values = F.transform(F.slice(F.array(*map(F.lit, (1, 2, 3))), F.lit(1), F.col("n")), lambda i: (i * 10).cast("string"))
+    rows = F.zip_with(F.array(*map(F.lit, ("1", "2", "3"))), values, lambda k, v: F.concat_ws(" | ", k, F.coalesce(v, F.lit(""))))
+    return c.select("doc_id", F.concat(F.lit("Category | A\n"), F.array_join(rows, "\n")).alias("rows"))
+
+
+@query("""SELECT page_id, CASE page_id % 5 WHEN 0 THEN 'pdf' WHEN 1 THEN 'wav' WHEN 2 THEN 'jpeg' WHEN 3 THEN 'mp4' END AS kind, CASE page_id % 5 WHEN 0 THEN 'own' WHEN 1 THEN 'prebuilt-audioSearch' WHEN 2 THEN 'own' WHEN 3 THEN 'prebuilt-videoSearch' ELSE 'prebuilt-documentSearch' END AS analyzer,
+CASE page_id % 5 WHEN 0 THEN 'application/pdf' WHEN 1 THEN 'audio/wav' WHEN 2 THEN 'image/jpeg' WHEN 3 THEN 'video/mp4' ELSE 'application/x-odd' END AS content_type FROM pages""")
+def cu_routing(spark, sf_dir):
+    at = lambda *v: F.element_at(F.array(*(F.lit(x).cast("string") for x in v)), (F.col("page_id") % 5 + 1).cast("int"))
+    p = read(spark, sf_dir, "pages").select("page_id", at(".PDF", None, ".jpe", None, ".odd").alias("e"), at(None, "audio/x-wav; a=b", None, "video/x-m4v", "application/x-odd").alias("m"))
+    p = p.withColumn("kind", cloud.file_type(F.col("e"), F.col("m")))
+    return p.select("page_id", "kind", cloud.analyzer(F.col("kind"), "own", "document").alias("analyzer"), cloud.content_type(F.col("kind"), F.col("m")).alias("content_type"))
+
+
+@query("""SELECT c_custkey AS doc_id, '---' || chr(10) || 'Name: "' || c_name || '"' || chr(10) || 'Key: ' || c_custkey || chr(10) || '---' || chr(10) || chr(10) || 'body' || chr(10) || chr(10) || '<!-- Page 2 -->' || chr(10) || chr(10) || 'page of ' || c_custkey AS markdown FROM customer""")
+def cu_format(spark, sf_dir):
+    build = lambda k, n: {"fields": {"Name": {"value": "old"}}, "markdown": " body ", "contents": [{"fields": {"Name": {"content": n}, "Key": k}, "text": f"page of {k}", "pageNumber": 2}]}
+
+    @F.udf("string")
+    def shown(k, n):
+        return cloud.result_markdown(build(k, n))
+
+    return read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("doc_id"), shown("c_custkey", "c_name").alias("markdown"))
+
+
+@query("""SELECT c_custkey AS doc_id, 'ImageSize: ' || c_custkey || 'x1' || chr(10) || 'Title: ' || c_name || chr(10) || chr(10) || '# Description:' || chr(10) || 'seen ' || c_custkey AS markdown FROM customer""")
+def src_image(spark, sf_dir):
+    given = Providers(metadata=lambda d, i: {"Title": d.decode().split("|")[1], "Odd": "x", "ImageSize": d.decode().split("|")[0] + "x1"}, caption=lambda d, i: f"seen {d.decode().split('|')[0]} ")
+    c = read(spark, sf_dir, "customer").withColumn("b", F.concat_ws("|", F.col("c_custkey").cast("string"), "c_name"))
+    return _converted(files.from_table(c, "c_custkey", "b", files.info(extension=F.lit(".PNG"))), Options(providers=given)).select("doc_id", "markdown")
+
+
+@query("""SELECT c_custkey AS doc_id, 'Title: ' || c_name || chr(10) || 'SampleRate: 8000' || chr(10) || chr(10) || '### Audio Transcript:' || chr(10) || 'said ' || c_custkey AS markdown FROM customer""")
+def src_audio(spark, sf_dir):
+    given = Providers(metadata=lambda d, i: {"SampleRate": "8000", "Title": d.decode().split("|")[1]}, transcribe=lambda d, i: f"said {d.decode().split('|')[0]}")
+    c = read(spark, sf_dir, "customer").withColumn("b", F.concat_ws("|", F.col("c_custkey").cast("string"), "c_name"))
+    return _converted(files.from_table(c, "c_custkey", "b", files.info(mimetype=F.lit("audio/mpeg"))), Options(providers=given)).select("doc_id", "markdown")
