@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from inkwell import cloud, writers
+from inkwell.functions import arrow
 from inkwell.functions import text as T
 from inkwell.operators import layout, package
 from inkwell.plans.convert import Options, convert, pdf_words, routed, words_to_markdown
@@ -495,3 +496,71 @@ def src_audio(spark, sf_dir):
     given = Providers(metadata=lambda d, i: {"SampleRate": "8000", "Title": d.decode().split("|")[1]}, transcribe=lambda d, i: f"said {d.decode().split('|')[0]}")
     c = read(spark, sf_dir, "customer").withColumn("b", F.concat_ws("|", F.col("c_custkey").cast("string"), "c_name"))
     return _converted(files.from_table(c, "c_custkey", "b", files.info(mimetype=F.lit("audio/mpeg"))), Options(providers=given)).select("doc_id", "markdown")
+
+
+# Arrow functions and orders.
+
+
+@query("""SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN 'gb18030' ELSE 'utf-8' END AS charset, CASE WHEN doc_id % 2 = 0 THEN '你好世界' ELSE 'é' END || doc_id AS text FROM documents""")
+def dec_text(spark, sf_dir):
+    head = F.when(F.col("doc_id") % 2 == 0, F.lit("你好世界".encode("gbk"))).otherwise(F.lit("é".encode()))
+    d = read(spark, sf_dir, "documents").select("doc_id", F.concat(head, F.col("doc_id").cast("string").cast("binary")).alias("b"))
+    d = d.withColumn("charset", arrow.detect_charset("b"))
+    return d.select("doc_id", "charset", arrow.decode_text("b", "charset").alias("text"))
+
+
+@query("""SELECT c_custkey, 3 AS n_rows, c_name || ', "q"' AS first, '' AS blank, CAST(c_custkey AS VARCHAR) AS last FROM customer""")
+def csv_rows(spark, sf_dir):
+    text = F.concat(F.lit('"'), "c_name", F.lit(', ""q""",x\n\n'), F.col("c_custkey").cast("string"))
+    c = read(spark, sf_dir, "customer").select("c_custkey", arrow.csv_rows(text).alias("r"))
+    cell = lambda i, j: F.get(F.get("r", F.lit(i)), F.lit(j))
+    return c.select("c_custkey", F.size("r").alias("n_rows"), cell(0, 0).alias("first"), cell(1, 0).alias("blank"), cell(2, 0).alias("last"))
+
+
+@query("""SELECT c_custkey, '| id | name |' || chr(10) || '| --- | --- |' || chr(10) || '| ' || c_custkey || ' |  |' || chr(10) || '| a | b |' AS markdown FROM customer""")
+def csv_fit(spark, sf_dir):
+    """Short rows padded, long ones cut to the header's width."""
+    rows = F.array(F.array(F.lit("id"), F.lit("name")), F.array(F.col("c_custkey").cast("string")), F.array(F.lit("a"), F.lit("b"), F.lit("c")))
+    return read(spark, sf_dir, "customer").select("c_custkey", T.markdown_table(F.transform(rows, lambda r: T.fit_row(r, F.lit(2)))).alias("markdown"))
+
+
+@query("""SELECT s_suppkey AS doc_id, 'B.txt,_x.txt,a.txt' AS stored, '_x.txt,a.txt,B.txt' AS shown FROM supplier""")
+def sort_zip(spark, sf_dir):
+    """Entries in alphabetical order without regard to case."""
+    s = read(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("doc_id"), F.explode(F.array(F.lit("a.txt"), F.lit("_x.txt"), F.lit("B.txt"))).alias("path"))
+    ordered = lambda key: F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(key, "path"))), lambda e: e["path"]), ",")
+    return s.groupBy("doc_id").agg(ordered(F.col("path").alias("k")).alias("stored"), ordered(F.collate("path", "UNICODE").alias("k")).alias("shown"))
+
+
+@query("""SELECT doc_id, CAST(least(octet_length(encode(text)), 4096) AS INTEGER) AS sampled FROM documents""")
+def limit_sample(spark, sf_dir):
+    return read(spark, sf_dir, "documents").select("doc_id", F.octet_length(F.substring(F.col("text").cast("binary"), 1, 4096)).alias("sampled"))
+
+
+@query("""SELECT doc_id, first_line, supplier FROM (SELECT o_orderkey AS doc_id, l_linenumber AS first_line, l_suppkey AS supplier, row_number() OVER (PARTITION BY o_orderkey ORDER BY l_linenumber, l_suppkey) AS n FROM orders JOIN lineitem ON o_orderkey = l_orderkey) WHERE n = 1""")
+def limit_first(spark, sf_dir):
+    """The first element of each document, by its ordinal."""
+    lines = read(spark, sf_dir, "lineitem")
+    joined = read(spark, sf_dir, "orders").join(lines, F.col("o_orderkey") == F.col("l_orderkey"))
+    first = joined.groupBy(F.col("o_orderkey").alias("doc_id")).agg(F.min(F.struct("l_linenumber", "l_suppkey")).alias("f"))
+    return first.select("doc_id", F.col("f.l_linenumber").alias("first_line"), F.col("f.l_suppkey").alias("supplier"))
+
+
+@query("""SELECT page_id AS doc_id, len(regexp_extract_all(html, '<a href="([^"]*)"')) AS n_links FROM pages""")
+def html_links(spark, sf_dir):
+    found = F.regexp_extract_all("html", F.lit('<a href="([^"]*)"'), F.lit(1))
+    p = read(spark, sf_dir, "pages").select(F.col("page_id").alias("doc_id"), F.posexplode_outer(found).alias("elem_no", "href"))
+    return p.groupBy("doc_id").agg(F.count("href").alias("n_links"))
+
+
+@query("""SELECT user_id, event_type AS col, bool_or(frac) OR bool_or(missing) AS is_float, count(*) AS n FROM (SELECT user_id, event_type, value <> floor(value) AS frac, value IS NULL AS missing FROM events) GROUP BY 1, 2""")
+def agg_col_type(spark, sf_dir):
+    """Column typing: a column shows decimals if any cell is fractional or missing."""
+    e = read(spark, sf_dir, "events")
+    return e.groupBy("user_id", F.col("event_type").alias("col")).agg((F.bool_or(F.col("value") != F.floor("value")) | F.bool_or(F.col("value").isNull())).alias("is_float"), F.count("*").alias("n"))
+
+
+@query("""SELECT event_id, json_extract_string(props, '$.' || json_keys(props)[1]) AS first_value FROM events""")
+def json_first(spark, sf_dir):
+    e = read(spark, sf_dir, "events").withColumn("m", F.from_json("props", "map<string,string>"))
+    return e.select("event_id", F.get(F.map_values("m"), F.lit(0)).alias("first_value"))

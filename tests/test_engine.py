@@ -172,3 +172,27 @@ def test_entry_lists_are_complete(spark):
 
     assert set(entry.oracle_sql()) <= set(entry.queries())
     assert entry.entry(spark).columns == ["doc_id", "markdown", "title", "converter", "status"]
+
+
+def test_single_files(tmp_path):
+    from inkwell.api import Converter, Failed, Unsupported
+
+    source = tmp_path / "a.CSV"
+    source.write_text("x,y")
+    table = "| x | y |\n| --- | --- |"
+    answer = (200, {"Content-Type": "text/csv; charset=utf-8", "Content-Disposition": 'attachment; filename="q.csv"'}, b"x,y", "https://h/p")
+    c = Converter(fetch=lambda url, headers: answer if "markdown" in headers["Accept"] else None)
+    assert str(c.convert(str(source))) == c.convert(source).text_content == c.convert(f"file://{source}").markdown == table
+    assert c.convert("https://h/p").markdown == c.convert_url(" https://h/p ").markdown == table
+    assert c.convert("data:text/csv,x%2Cy").markdown == c.convert("data:text/csv;charset=utf-8;base64,eCx5").markdown == table
+    with source.open("rb") as f:
+        assert c.convert(f, extension=".txt").markdown == "x,y"
+    for wrong, kind in ((b"\0", Unsupported), ("ftp:x", OSError), ("file://far/x", ValueError), (3, TypeError)):
+        with pytest.raises(kind):
+            c.convert(wrong)
+    with pytest.raises(Failed, match="docx"):
+        c.convert(b"x", extension=".docx")
+    with pytest.raises(ValueError, match="HTTP 404"):
+        c.convert_response(404, {}, b"", "u")
+    with pytest.raises(ValueError, match="no fetcher"):
+        Converter().convert("http://x")
