@@ -78,7 +78,7 @@ def checked(args: argparse.Namespace) -> argparse.Namespace:
 
 def main(argv: list[str] | None = None, client=None) -> int:
     """client: how to reach the cloud services; without one they can't be used."""
-    from inkwell.cloud import ANALYZERS, content_service, document_service
+    from inkwell.cloud import FILE_TYPES, content_service, document_service
     from inkwell.plans.convert import Options, convert_one, normalize_here
     from inkwell.providers import Providers
 
@@ -96,8 +96,8 @@ def main(argv: list[str] | None = None, client=None) -> int:
         if args.endpoint or args.cu_endpoint:
             if client is None:
                 raise Usage("No client for the cloud services is configured.")
-            key = lambda: os.environ.get("AZURE_API_KEY", "")
-            analyze = document_service(args.endpoint, client, key) if args.endpoint else content_service(args.cu_endpoint, client, key, args.cu_analyzer_id or ANALYZERS["document"])
+            types = tuple(args.cu_file_types or FILE_TYPES)
+            analyze = document_service(args.endpoint, client) if args.endpoint else content_service(args.cu_endpoint, client, own=args.cu_analyzer_id, types=types)
         data = Path(args.input).read_bytes() if args.input else sys.stdin.buffer.read()
         name = Path(args.input).name if args.input else None
         suffix = Path(args.input).suffix.lower() if args.input else None

@@ -92,6 +92,30 @@ def analyzer(kind: Column, own: str | None = None, own_modality: str | None = No
     return F.when(fits, F.lit(own)).otherwise(prebuilt)
 
 
+#: The file types that the document service reads.
+DOCUMENT_TYPES = ("docx", "pptx", "xlsx", "html", "pdf", "jpeg", "png", "bmp", "tiff")
+
+
+def file_type_here(info: dict, allowed: tuple[str, ...] | None = None) -> str | None:
+    """`file_type` for one file in Python."""
+    allowed = tuple(FILE_TYPES) if allowed is None else allowed
+    ext, mime = (info.get("extension") or "").lower(), (info.get("mimetype") or "").partition(";")[0].strip().lower()
+    mime = MIME_ALIASES.get(mime, mime)
+    by_ext = next((t for t in allowed if ext in FILE_TYPES[t][1]), None)
+    return by_ext or next((t for t in FILE_TYPES if t in allowed and mime and any(mime.startswith(m) for m in FILE_TYPES[t][2])), None)
+
+
+def auth_headers(key: str | None = None, provider: Callable[[], dict[str, str]] | None = None, default: Callable[[], dict[str, str]] | None = None) -> dict[str, str]:
+    """Headers of the first credential there is: a key, a provider, AZURE_API_KEY, a default identity. None is an error."""
+    import os
+
+    key = key or (None if provider else os.environ.get("AZURE_API_KEY"))
+    found = {"Ocp-Apim-Subscription-Key": key} if key else provider() if provider else default() if default else {}
+    if not found:
+        raise PermissionError("no credential: give a key or a provider, or set AZURE_API_KEY")
+    return found
+
+
 def _flat(fields) -> dict:
     """Field values: `value` if there is one, else `content`, else the field itself."""
     if not isinstance(fields, dict):
@@ -125,18 +149,28 @@ Client = Callable[[str, str, dict[str, str], bytes | None], tuple[int, dict[str,
 
 @dataclass(frozen=True)
 class Service:
-    """An analysis service: submit, then poll the address it names. The key is read on the executor, never put in a plan."""
+    """An analysis service: submit, then poll the address it names; files of other types are left to other converters.
+
+    `submit` gives the address for a file type. `auth` gives headers and is called on the executor, so that no secret gets
+    into a plan.
+    """
 
-    submit: str
+    submit: Callable[[str], str]
     client: Client
-    key: Callable[[], str]
+    auth: Callable[[], dict[str, str]] = auth_headers
     polls: int = 60
     wait: float = 1.0
     markdown: Callable[[dict], str] = result_markdown
+    types: tuple[str, ...] = tuple(FILE_TYPES)
 
     def __call__(self, data: bytes, info: dict) -> str | None:
-        auth = {"Ocp-Apim-Subscription-Key": self.key()}
-        status, heads, _ = self.client("POST", self.submit, auth | {"Content-Type": info.get("mimetype") or "application/octet-stream"}, data)
+        kind = file_type_here(info, self.types)
+        if kind is None:
+            return None
+        auth, mime = self.auth(), (info.get("mimetype") or "").partition(";")[0].strip().lower()
+        mime = MIME_ALIASES.get(mime, mime)
+        fits = any(mime.startswith(m) for m in FILE_TYPES[kind][2])
+        status, heads, _ = self.client("POST", self.submit(kind), auth | {"Content-Type": mime if fits else FILE_TYPES[kind][2][0]}, data)
         where = {k.lower(): v for k, v in heads.items()}.get("operation-location")
         if status not in (200, 201, 202) or not where:
             raise RuntimeError(f"the service answered {status}")
@@ -157,10 +191,17 @@ def without_comments(result: dict) -> str:
     return re.sub(r"<!--.*?-->", "", result.get("content") or "", flags=re.S)
 
 
-def document_service(endpoint: str, client: Client, key: Callable[[], str], model: str = "prebuilt-layout", version: str = "2024-11-30") -> Service:
+def document_service(endpoint: str, client: Client, auth: Callable[[], dict[str, str]] = auth_headers, model: str = "prebuilt-layout", version: str = "2024-11-30", types: tuple[str, ...] = DOCUMENT_TYPES) -> Service:
     url = f"{endpoint.rstrip('/')}/documentintelligence/documentModels/{model}:analyze?api-version={version}&outputContentFormat=markdown"
-    return Service(url, client, key, 60, 1.0, without_comments)
+    return Service(lambda kind: url, client, auth, 60, 1.0, without_comments, types)
+
+
+def content_service(endpoint: str, client: Client, auth: Callable[[], dict[str, str]] = auth_headers, own: str | None = None, version: str = "2025-05-01-preview", types: tuple[str, ...] = tuple(FILE_TYPES)) -> Service:
+    """One's own analyzer serves the modality that its name stands for, documents including pictures."""
 
+    def address(kind: str) -> str:
+        what, serves = FILE_TYPES[kind][0], ANALYZER_MODALITY.get(own or "", "document")
+        fits = own is not None and (what == serves or (serves == "document" and what == "image"))
+        return f"{endpoint.rstrip('/')}/contentunderstanding/analyzers/{own if fits else ANALYZERS[what]}:analyze?api-version={version}"
 
-def content_service(endpoint: str, client: Client, key: Callable[[], str], name: str = ANALYZERS["document"], version: str = "2025-05-01-preview") -> Service:
-    return Service(f"{endpoint.rstrip('/')}/contentunderstanding/analyzers/{name}:analyze?api-version={version}", client, key, 120, 2.0)
+    return Service(address, client, auth, 120, 2.0, types=types)

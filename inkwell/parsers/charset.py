@@ -56,7 +56,22 @@ def prefers_shift_jis(data: bytes) -> bool:
     return _pairs(data, lambda b: False, lambda b: 0x81 <= b < 0xA1, lambda t: 0x40 <= t <= 0xFC and t != 0x7F)
 
 
-def detect(data: bytes) -> str:
+#: Detectors' guesses below this confidence don't count.
+CONFIDENT = 0.7
+# What detectors call charsets, where it isn't what we call them.
+LABELS = {"ascii": "utf-8", "utf8": "utf-8", "iso8859-1": "iso-8859-1", "gb2312": "gb18030", "gbk": "gb18030", "shift-jis": "shift_jis", "shiftjis": "shift_jis", "euckr": "euc-kr", "utf-16": "utf-16le"}
+
+
+def label(name: str | None, confidence: float = 1.0) -> str | None:
+    """A detector's guess as one of our labels, null if it isn't sure."""
+    if not name or confidence < CONFIDENT:
+        return None
+    name = name.strip().lower().replace("_", "-")
+    return LABELS.get(name, name)
+
+
+def detect(data: bytes, detector=None) -> str:
+    """A detector (bytes -> (name, confidence)) is asked about what is neither marked nor UTF-8."""
     if data.startswith(codecs.BOM_UTF8):
         return "utf-8"
     if data.startswith(codecs.BOM_UTF16_LE):
@@ -65,6 +80,8 @@ def detect(data: bytes) -> str:
         return "utf-16be"
     if utf8(data):
         return "utf-8"
+    if detector is not None and (found := label(*detector(data[:SAMPLE]))):
+        return found
     sjis = shift_jis(data)
     if sjis and prefers_shift_jis(data):
         return "shift_jis"

@@ -242,8 +242,8 @@ def chart(data: bytes) -> str | None:
 class _Slides:
     SHAPES = ("sp", "pic", "graphicFrame", "grpSp")
 
-    def __init__(self, data: bytes, keep: bool):
-        self.package, self.keep = open_zip(data), keep
+    def __init__(self, data: bytes, keep: bool, caption=None):
+        self.package, self.keep, self.caption = open_zip(data), keep, caption
 
     def paths(self) -> list[str]:
         links = relations(self.package, "ppt/presentation.xml")
@@ -281,9 +281,11 @@ class _Slides:
         alt = (about.attrs.get("descr") if about is not None else None) or name
         alt = re.sub(r"\s+", " ", re.sub(r"[\r\n\[\]]", " ", alt)).strip()
         blip = shape.one("blip")
-        target = links.get(blip.attr("embed") or "") if blip is not None and self.keep else None
+        target = links.get(blip.attr("embed") or "") if blip is not None and (self.keep or self.caption) else None
         data = read(self.package, target) if target else None
-        if data is not None:
+        said = self.caption(data, {"extension": "." + target.rpartition(".")[2].lower()}) if self.caption and data is not None else None
+        alt = re.sub(r"\s+", " ", re.sub(r"[\r\n\[\]]", " ", f"{said} {alt}")).strip() if said else alt
+        if data is not None and self.keep:
             kind = {"jpg": "jpeg", "svg": "svg+xml"}.get(target.rpartition(".")[2].lower(), target.rpartition(".")[2].lower())
             return f"\n![{alt}](data:image/{kind};base64,{base64.b64encode(data).decode()})\n"
         return f"\n![{alt}]({re.sub(r'[^A-Za-z0-9_]', '', name)}.jpg)\n"
@@ -359,5 +361,6 @@ class _Slides:
         return out.strip()
 
 
-def pptx(data: bytes, keep: bool = False) -> tuple[str, str | None]:
-    return _Slides(data, keep).markdown(), None
+def pptx(data: bytes, keep: bool = False, caption=None) -> tuple[str, str | None]:
+    """caption: describes pictures (bytes, hints) -> text."""
+    return _Slides(data, keep, caption).markdown(), None

@@ -58,7 +58,7 @@ def _parse(name: str, data: bytes, info: dict, options: Options, registry: Regis
     if name == "docx":
         return office.docx(data, keep, options.style_map)
     if name == "pptx":
-        return office.pptx(data, keep)
+        return office.pptx(data, keep, given.caption)
     if name == "xlsx":
         return sheets.workbook_markdown(sheets.xlsx(data)), None
     if name == "xls":
@@ -105,7 +105,7 @@ def convert_one(data: bytes, info: dict, names: list[str] | None, options: Optio
     """(markdown, title, converter, status, attempts) of one file: routes are tried in order until one succeeds."""
     info = routing.enhanced_here(info)
     if info.get("charset") is None and (info.get("mimetype") or "").startswith("text/"):
-        info = info | {"charset": C.detect(data)}
+        info = info | {"charset": C.detect(data, options.providers.detect_charset)}
     if names is None:
         names = [r.name for r in registry.ordered() if routing.accepts_here(r, info, data)]
     if options.providers.analyze is not None:

@@ -5,6 +5,7 @@ Each function must be picklable; it runs on the executors, once for each file th
 
 from __future__ import annotations
 
+import base64
 import json
 import struct
 from collections.abc import Callable
@@ -23,9 +24,19 @@ class Providers:
     transcript: Callable[[str, list[str]], str | None] | None = None
     fetch: Callable[[str], tuple[bytes, dict[str, str]]] | None = None
     analyze: Callable[[bytes, dict], str | None] | None = None
+    detect_charset: Callable[[bytes], tuple[str | None, float]] | None = None
     languages: tuple[str, ...] = ("en",)
 
 
+def caption_request(data: bytes, info: dict, model: str, prompt: str | None = None) -> dict:
+    """The body of a chat request that asks for a picture's caption."""
+    kinds = {".jpg": "image/jpeg", ".jpeg": "image/jpeg", ".png": "image/png", ".gif": "image/gif", ".webp": "image/webp"}
+    kind = info.get("mimetype") or kinds.get((info.get("extension") or "").lower(), "application/octet-stream")
+    picture = {"url": f"data:{kind};base64,{base64.b64encode(data).decode()}"}
+    content = [{"type": "text", "text": (prompt or "").strip() or "Write a detailed caption for this image."}, {"type": "image_url", "image_url": picture}]
+    return {"model": model, "messages": [{"role": "user", "content": content}]}
+
+
 def shown_fields(found: dict[str, str], fields: tuple[str, ...]) -> str:
     return "".join(f"{f}: {found[f]}\n" for f in fields if found.get(f))
 

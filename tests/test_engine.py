@@ -148,6 +148,9 @@ def test_command_line(tmp_path, capsys, monkeypatch):
         assert cli.main([*wrong, *([str(source)] if wrong != ["-e", "u"] else [])]) == 1 and "Error" in capsys.readouterr().err
     assert cli.main([str(tmp_path / "missing")]) == 1
     calls = []
+    source = tmp_path / "a.pdf"
+    source.write_bytes(b"x")
+    monkeypatch.setenv("AZURE_API_KEY", "k")
 
     def client(method, url, headers, body):
         calls.append((method, url))
@@ -159,12 +162,16 @@ def test_command_line(tmp_path, capsys, monkeypatch):
 def test_cloud_results():
     assert cloud.result_markdown({"analyzeResult": {"fields": {"a": {"value": None}, "b": [1]}, "content": "x"}}) == "---\na: null\nb: [1]\n---\n\nx"
     assert cloud.result_markdown({"odd": 1}).startswith("```yaml")
-    failing = cloud.Service("u", lambda *a: (500, {}, b""), lambda: "k")
+    failing = cloud.Service(lambda kind: "u", lambda *a: (500, {}, b""), lambda: {"k": "v"})
     given = Options(providers=Providers(analyze=failing))
     from inkwell.plans.convert import convert_one
 
     out = convert_one(b"t", {"extension": ".txt"}, None, given, Registry())
     assert out[2:4] == ("text", "ok") and out[4][0]["converter"] == "analyze"
+    assert failing(b"", {"extension": ".odd"}) is None
+    assert cloud.content_service("e/", None, own="mine").submit("png") == "e/contentunderstanding/analyzers/mine:analyze?api-version=2025-05-01-preview"
+    assert "prebuilt-videoSearch" in cloud.content_service("e", None, own="mine").submit("mp4")
+    assert cloud.auth_headers("k") == {"Ocp-Apim-Subscription-Key": "k"} and cloud.auth_headers(provider=lambda: {"a": "b"}) == {"a": "b"}
 
 
 def test_entry_lists_are_complete(spark):

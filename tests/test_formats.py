@@ -58,6 +58,7 @@ def test_charsets():
     assert (C.detect(bytes.fromhex("C4E3BAC3")), C.decode(bytes.fromhex("C4E3BAC3CAC0BDE7"))) == ("gb18030", "你好世界")
     assert (C.detect(bytes.fromhex("82A082A282A4")), C.decode(bytes.fromhex("82A082A282A4"))) == ("shift_jis", "あいう")
     assert C.decode(b"caf\xe9 \x81", "latin1") == "café \x81"
+    assert C.detect(b"\x80\x81", lambda sample: ("Windows-1252", 0.95)) == "windows-1252" and C.label("GBK", 0.5) is None and C.label("gb2312") == "gb18030"
     assert C.detect(("a" * 4095 + "é" * 10).encode()) == "utf-8"  # the sample cuts a character
 
 
@@ -178,6 +179,7 @@ def test_media_and_providers():
     given = Options(providers=P.Providers(metadata=lambda d, i: {"Title": "t", "Odd": "o", "ImageSize": "1x1"}, caption=lambda d, i: " seen ", transcribe=lambda d, i: "said"))
     assert run(b"x", given, extension=".png")[0] == "ImageSize: 1x1\nTitle: t\n\n# Description:\nseen"
     assert run(b"x", given, extension=".wav")[0] == "Title: t\n\n### Audio Transcript:\nsaid"
+    assert P.caption_request(b"hi", {"extension": ".PNG"}, "m")["messages"][0]["content"][1]["image_url"]["url"] == "data:image/png;base64,aGk="
     assert P.parse_wav(W.wav_bytes(b"\1\0\2\0" * 10, 8000, 2)) == (b"\1\0\2\0" * 10, 8000, 2)
     with pytest.raises(ValueError, match="Invalid WAV"):
         P.parse_wav(b"RIFF")
