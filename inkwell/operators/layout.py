@@ -124,6 +124,17 @@ def form_pages(words: DataFrame) -> DataFrame:
     return words.select(*PAGE).distinct().join(text, PAGE, "left").select(*PAGE, F.col("text").isNotNull().alias("is_form"), "text")
 
 
+def low_quality(markdown: Column) -> Column:
+    """Whether laid-out tables look like broken text: no lines at all, or cells of 2.5 characters on average, or more than
+    35 % of them single characters. Fewer than 2 table lines say nothing against it."""
+    lines = F.filter(F.transform(F.split(markdown, "\n"), lambda x: F.trim(x)), lambda x: x != "")
+    table = F.filter(lines, lambda x: x.startswith("|") & ~x.rlike(r"^\|[\s:|-]+\|?$"))
+    cells = F.filter(F.transform(F.flatten(F.transform(table, lambda x: F.split(x, r"\|"))), lambda c: F.trim(c)), lambda c: c != "")
+    mean = F.aggregate(cells, F.lit(0), lambda a, c: a + F.length(c)) / F.size(cells)
+    single = F.size(F.filter(cells, lambda c: F.length(c) == 1)) / F.size(cells)
+    return F.when(F.size(lines) == 0, True).when((F.size(table) < 2) | (F.size(cells) == 0), False).otherwise((mean <= 2.5) | (single > 0.35))
+
+
 def partial_numbers_joined(lines: DataFrame) -> DataFrame:
     """Of (doc_id, n, line): a line that is only `.N` joins the next line that isn't blank; blanks between them go."""
     w = W.partitionBy("doc_id").orderBy("n")

@@ -119,3 +119,30 @@ def accepts_here(route: Route, info: dict, content: bytes) -> bool:
 def enhanced_here(info: dict) -> dict:
     mime, ext = info.get("mimetype"), info.get("extension")
     return info | {"mimetype": mime or T.MIME_BY_EXTENSION.get((ext or "").lower()), "extension": ext or T.EXTENSION_BY_MIME.get(mime)}
+
+
+CLASSIFIED = "struct<mimetype:string,extensions:array<string>,charset:string>"
+
+
+def guesses(info: Column, found: Column) -> Column:
+    """Hint records to try, of a file's hints and a content classifier's answer (null if it has none).
+
+    An answer that agrees with the hints fills their gaps; one that contradicts them comes after them.
+    """
+    dotted = F.concat(F.lit("."), F.get(found["extensions"], F.lit(0)))
+    said = F.struct(found["mimetype"].alias("mimetype"), dotted.alias("extension"), found["charset"].alias("charset"), *(info[f].alias(f) for f in ("filename", "local_path", "url")))
+    other_mime = F.coalesce(info["mimetype"] != found["mimetype"], F.lit(False))
+    bare = F.regexp_replace(info["extension"], r"^\.", "")
+    other_ext = F.coalesce((F.size(found["extensions"]) > 0) & ~F.array_contains(found["extensions"], bare), F.lit(False))
+    return F.when(found.isNull(), F.array(enhanced(info))).when(other_mime | other_ext, F.array(enhanced(info), said)).otherwise(F.array(merge(info, said)))
+
+
+def guesses_here(info: dict, found: dict | None) -> list[dict]:
+    """`guesses` for one file in Python."""
+    if not found:
+        return [enhanced_here(info)]
+    exts = found.get("extensions") or []
+    said = info | {"mimetype": found.get("mimetype"), "extension": f".{exts[0]}" if exts else None, "charset": found.get("charset")}
+    differs = bool(info.get("mimetype") and found.get("mimetype") and info["mimetype"] != found["mimetype"])
+    differs = differs or bool(info.get("extension") and exts and info["extension"].removeprefix(".") not in exts)
+    return [enhanced_here(info), said] if differs else [{k: info.get(k) or said.get(k) for k in {*info, *said}}]

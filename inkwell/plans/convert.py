@@ -108,10 +108,13 @@ def convert_one(data: bytes, info: dict, names: list[str] | None, options: Optio
         info = info | {"charset": C.detect(data, options.providers.detect_charset)}
     if names is None:
         names = [r.name for r in registry.ordered() if routing.accepts_here(r, info, data)]
+    tries = [(n, info) for n in names]
+    if options.providers.classify is not None and depth == 0:
+        tries = [(r.name, i) for i in routing.guesses_here(info, options.providers.classify(data)) for r in registry.ordered() if routing.accepts_here(r, i, data)]
     if options.providers.analyze is not None:
-        names = ["analyze", *names]
+        tries = [("analyze", info), *tries]
     attempts = []
-    for name in names:
+    for name, info in tries:
         try:
             if name == "analyze":
                 said = options.providers.analyze(data, info)
@@ -186,8 +189,11 @@ def pdf_words(files: DataFrame) -> DataFrame:
 
 
 def words_to_markdown(words: DataFrame) -> DataFrame:
-    """(doc_id, markdown): form pages as tables, the others as lines; pages in order, a blank line between them."""
+    """(doc_id, markdown): form pages as tables, the others as lines; pages in order, a blank line between them. Documents
+    whose tables look broken are lines throughout."""
     forms = layout.form_pages(words).select("doc_id", "page", F.col("text").alias("form"))
-    pages = layout.prose_pages(words).join(forms, ["doc_id", "page"], "left").select("doc_id", F.struct("page", F.coalesce("form", "text").alias("text")).alias("p"))
-    joined = pages.groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list("p")), lambda p: p["text"]), "\n\n").alias("markdown"))
-    return joined.select("doc_id", T.normalize_markdown(F.col("markdown")).alias("markdown"))
+    pages = layout.prose_pages(words).join(forms, ["doc_id", "page"], "left").select("doc_id", F.struct("page", F.coalesce("form", "text").alias("laid"), "text", "form").alias("p"))
+    together = lambda ps, f: F.array_join(F.transform(F.array_sort(ps), lambda p: p[f]), "\n\n")
+    whole = pages.groupBy("doc_id").agg(F.collect_list("p").alias("ps"))
+    broken = F.exists("ps", lambda p: p["form"].isNotNull()) & layout.low_quality(together("ps", "laid"))
+    return whole.select("doc_id", T.normalize_markdown(F.when(broken, together("ps", "text")).otherwise(together("ps", "laid"))).alias("markdown"))

@@ -25,6 +25,7 @@ class Providers:
     fetch: Callable[[str], tuple[bytes, dict[str, str]]] | None = None
     analyze: Callable[[bytes, dict], str | None] | None = None
     detect_charset: Callable[[bytes], tuple[str | None, float]] | None = None
+    classify: Callable[[bytes], dict | None] | None = None
     languages: tuple[str, ...] = ("en",)
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from inkwell import cloud, writers
 from inkwell.functions import arrow
 from inkwell.functions import text as T
-from inkwell.operators import layout, package
+from inkwell.operators import layout, package, routing
 from inkwell.plans.convert import Options, convert, pdf_words, routed, words_to_markdown
 from inkwell.providers import Providers
 from inkwell.sources import files
@@ -564,3 +564,27 @@ def agg_col_type(spark, sf_dir):
 def json_first(spark, sf_dir):
     e = read(spark, sf_dir, "events").withColumn("m", F.from_json("props", "map<string,string>"))
     return e.select("event_id", F.get(F.map_values("m"), F.lit(0)).alias("first_value"))
+
+
+@query("""SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN 'text/csv .csv' WHEN 1 THEN 'text/html .html|application/pdf .pdf' WHEN 2 THEN 'text/plain .txt' ELSE 'application/pdf .pdf' END AS guesses FROM documents""")
+def det_guesses(spark, sf_dir):
+    k = F.col("doc_id") % 4
+    hints = files.info(mimetype=F.when(k == 1, "text/html"), extension=F.when(k == 0, ".csv").when(k == 2, ".txt")).cast(routing.INFO)
+    pdf = F.struct(F.lit("application/pdf").alias("mimetype"), F.array(F.lit("pdf"), F.lit("fdf")).alias("extensions"), F.lit(None).cast("string").alias("charset"))
+    csv = F.struct(F.lit("text/csv").alias("mimetype"), F.array(F.lit("csv")).alias("extensions"), F.lit("utf-8").alias("charset"))
+    found = F.when(k == 0, csv).when(k.isin(1, 3), pdf).cast(routing.CLASSIFIED)
+    shown = F.transform(routing.guesses(hints, found), lambda g: F.concat_ws(" ", g["mimetype"], g["extension"]))
+    return read(spark, sf_dir, "documents").select("doc_id", F.array_join(shown, "|").alias("guesses"))
+
+
+@query("""SELECT c_custkey, c_custkey % 3 = 0 OR c_custkey % 3 = 2 AS low FROM customer""")
+def prd_low_quality(spark, sf_dir):
+    k = F.col("c_custkey") % 3
+    text = F.when(k == 0, "").when(k == 1, F.concat(F.lit("| key | name |\n| --- | --- |\n| x | "), "c_name", F.lit(" |"))).otherwise("| a | b |\n| - | - |\n| c | dd |")
+    return read(spark, sf_dir, "customer").select("c_custkey", layout.low_quality(text).alias("low"))
+
+
+@query("""SELECT event_id, value >= 50 AS partial FROM events""")
+def prd_partial_num(spark, sf_dir):
+    word = F.when(F.col("value") >= 50, F.concat(F.lit("."), F.col("event_id").cast("string"))).otherwise(F.concat(F.lit("1."), F.col("event_id").cast("string")))
+    return read(spark, sf_dir, "events").select("event_id", word.rlike(r"^\.\d+$").alias("partial"))

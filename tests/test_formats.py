@@ -194,3 +194,11 @@ def test_registry_order():
     assert run(b"{\\rtf1 test}", registry=own, extension=".rtf")[:3] == ("later", None, "later")
     assert [r.name for r in Registry().ordered()][-3:] == ["html", "zip", "text"]
     assert office.docx(W.docx_bytes(W.paragraph("x")))[0] == "x"
+
+
+def test_classifier_guesses():
+    given = Options(providers=P.Providers(classify=lambda data: {"mimetype": "text/csv", "extensions": ["csv"], "charset": "utf-8"}))
+    assert run(b"a,b", given)[2] == "csv"
+    out = run(b"a,b", given, extension=".docx")
+    assert out[2] == "csv" and out[4][0]["converter"] == "docx"
+    assert run(b"a,b", Options(providers=P.Providers(classify=lambda data: None)), extension=".txt")[2] == "text"
