@@ -22,8 +22,9 @@ from pyspark.sql import DataFrame
 from inkwell.llm.common import table
 
 VOCABULARY = "word_bpe_49k.json"
-#: Words whose encoding a worker keeps between batches, and the bytes of a text that are split into words at a time.
-KEPT_WORDS, PIECE = 400_000, 1 << 20
+#: Words whose encoding a worker keeps between batches, bytes of texts that share one index, and bytes of a text that are
+#: split into words at a time. They bound a worker's memory whatever the batches are.
+KEPT_WORDS, INDEX_BYTES, PIECE = 200_000, 6 << 20, 1 << 20
 SPACE = re.compile(rb"[\x20\x09-\x0D]")
 #: White space beyond ASCII, and characters on whose classes the two regular expression libraries may differ.
 INNER_SPACE = re.compile("[\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
@@ -143,7 +144,7 @@ class Vocabulary:
                 yield [fixed[i] if i in fixed else self.normalizer.normalize_str(t)]
 
     def _rank(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
-        key = left << 20 | right
+        key = left.astype(np.int64) << 20 | right
         at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
         return np.where(self.keys[at] == key, self.ranks[at], -1)
 
@@ -156,11 +157,11 @@ class Vocabulary:
         symbol = self.inner[raw]
         symbol[end - 1] = self.last[raw[end - 1]]
         n = len(symbol)
-        following, before = np.arange(1, n + 1), np.arange(-1, n - 1)
+        following, before = np.arange(1, n + 1, dtype=np.int32), np.arange(-1, n - 1, dtype=np.int32)
         following[end - 1] = n  # a wall behind and before each part
         before[np.r_[0, end[:-1]]] = n
-        symbol = np.append(symbol, -1)
-        following, before = np.append(following, n), np.append(before, n)
+        symbol = np.append(symbol, -1).astype(np.int32)
+        following, before = np.append(following, np.int32(n)), np.append(before, np.int32(n))
 
         index: dict[int, list[np.ndarray]] = {}
         active: list[int] = []
@@ -183,7 +184,7 @@ class Vocabulary:
                     heapq.heappush(active, r)
                 index[r].append(where[a:b])
 
-        enter(np.arange(n))
+        enter(np.arange(n, dtype=np.int32))
         while active:
             r = heapq.heappop(active)
             lists = index.pop(r)
@@ -200,7 +201,7 @@ class Vocabulary:
                         taken.append(p)
                         free = q
                     # the pair that starts at a used symbol is gone
-                at = np.array(taken)
+                at = np.array(taken, np.int32)
                 then = following[at]
             if not len(at):
                 continue
@@ -263,8 +264,14 @@ def _encoder(name: str) -> Encoder:
     return _encoders[name]
 
 
-def _texts(column: pa.Array) -> list[bytes]:
-    return [t or b"" for t in column.cast(pa.binary()).to_pylist()]
+def _groups(column: pa.Array) -> Iterator[list[bytes]]:
+    """The texts of a batch, as many at a time as share an index."""
+    column = column.cast(pa.binary())
+    size = np.maximum(np.diff(np.frombuffer(column.buffers()[1], np.int32)[column.offset :][: len(column) + 1]), 0) if len(column) else np.empty(0, np.int64)
+    group = (np.cumsum(size) - size) // INDEX_BYTES
+    cuts = [*np.flatnonzero(np.r_[True, group[1:] != group[:-1]]).tolist(), len(column)] if len(column) else [0]
+    for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+        yield [t or b"" for t in column.slice(a, b - a).to_pylist()]
 
 
 def encode_documents(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
@@ -273,9 +280,10 @@ def encode_documents(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoder(vocabulary)
         for batch in batches:
-            texts = _texts(batch.column(1))
-            encoder.learn(texts)
-            ids = list(map(encoder.encode, texts))
+            ids: list[np.ndarray] = []
+            for texts in _groups(batch.column(1)):
+                encoder.learn(texts)
+                ids += map(encoder.encode, texts)
             ends = np.cumsum([0, *map(len, ids)]).astype(np.int32)
             lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.empty(0, np.int32), *ids])))
             yield pa.RecordBatch.from_arrays([batch.column(0), lists], names=["doc_id", "ids"])
@@ -307,9 +315,11 @@ def encoding_digests(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoder(vocabulary)
         for batch in batches:
-            texts = _texts(batch.column(1))
-            encoder.learn(texts)
-            n, ids, decoded = zip(*map(encoder.digests, texts), strict=True) if texts else ((), (), ())
+            rows: list[tuple[int, str, str]] = []
+            for texts in _groups(batch.column(1)):
+                encoder.learn(texts)
+                rows += map(encoder.digests, texts)
+            n, ids, decoded = zip(*rows, strict=True) if rows else ((), (), ())
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(decoded, pa.string())],
                 names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
