@@ -47,6 +47,12 @@ def _characters() -> tuple[np.ndarray, np.ndarray]:
     return lower, np.array([names.index(s) for _, s in SCRIPTS], np.uint8)[at]
 
 
+@cache
+def _marks() -> np.ndarray:
+    """Whether a code point is a combining mark."""
+    return np.array([c < 0x32000 and unicodedata.category(chr(c))[0] == "M" for c in range(0x110000)])
+
+
 def _words(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(trigram bucket of each letter, first letter of each word, first and end position of each word)."""
     lower, _ = _characters()
@@ -89,7 +95,16 @@ class Model:
         bucket, first, start, end = _words(codes)
         if not len(first):
             return np.empty((0, len(self.langs)), np.float32), start, end
-        score = np.add.reduceat(self.score[bucket], first, axis=0)
+        if (marks := _marks()[codes[start]]).any():  # runs of marks without a letter are no words
+            lone = [k for k in np.flatnonzero(marks) if _marks()[codes[start[k] : end[k]]].all()]
+            keep = np.ones(len(first), bool)
+            keep[lone] = False
+            if not keep.any():
+                return np.empty((0, len(self.langs)), np.float32), start[:0], end[:0]
+            score = np.add.reduceat(self.score[bucket], first, axis=0)[keep]
+            start, end = start[keep], end[keep]
+        else:
+            score = np.add.reduceat(self.score[bucket], first, axis=0)
         score = np.clip(score, -WORD_MOST, WORD_MOST) + self.script[script[codes[start]]]
         return score, start, end
 

@@ -42,16 +42,16 @@ def dedup_lines(docs: DataFrame, size: int = WINDOW) -> DataFrame:
     at = F.struct("doc_id", "whole", "pos")
     repeated = seen.groupBy("h1", "h2").agg(F.count("*").alias("n"), F.min(at).alias("first")).where("n > 1")
     later = seen.join(repeated, ["h1", "h2"]).where(~at.eqNullSafe(F.col("first")))
-    gone = later.groupBy(F.col("doc_id").alias("_d"), F.col("whole").alias("_w")).agg(F.array_distinct(F.flatten(F.collect_set("lines"))).alias("_gone"))
+    gone = later.groupBy(F.col("doc_id").alias("__ink_doc"), F.col("whole").alias("__ink_whole")).agg(F.array_distinct(F.flatten(F.collect_set("lines"))).alias("__ink_gone"))
 
     names = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
-    both = docs.join(gone.hint("shuffle_hash"), docs["doc_id"].eqNullSafe(gone["_d"]) & (F.xxhash64(docs["text"]) == gone["_w"]), "left")
+    both = docs.join(gone.hint("shuffle_hash"), docs["doc_id"].eqNullSafe(gone["__ink_doc"]) & (F.xxhash64(docs["text"]) == gone["__ink_whole"]), "left")
     lines = F.split("text", "\n", -1)
-    stay = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("_gone"))
-    text = F.when(F.col("_gone").isNull(), F.col("text")).otherwise(F.array_join(F.transform(stay, lambda i: F.get(lines, i)), "\n"))
+    stay = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("__ink_gone"))
+    text = F.when(F.col("__ink_gone").isNull(), F.col("text")).otherwise(F.array_join(F.transform(stay, lambda i: F.get(lines, i)), "\n"))
     n_lines = F.when(F.col("text").isNull(), 0).otherwise(F.size(lines)).cast("long")
     out = {c: F.col(c) for c in names} | {"text": text}
-    return both.select(*(out[c].alias(c) for c in names), n_lines.alias("n_lines"), F.coalesce(F.size("_gone"), F.lit(0)).cast("long").alias("n_removed"))
+    return both.select(*(out[c].alias(c) for c in names), n_lines.alias("n_lines"), F.coalesce(F.size("__ink_gone"), F.lit(0)).cast("long").alias("n_removed"))
 
 
 def op6_line_dedup(spark, sf_dir: str) -> DataFrame:

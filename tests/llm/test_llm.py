@@ -302,11 +302,11 @@ def test_language_id(spark, empty):
     train = spark.createDataFrame(rows, "doc_id long, text string, lang string")
     model = langid.learn(train)
     mixed = speech("en", 30, "m") + ". " + speech("fr", 12, "m") + "\n" + speech("ru", 9, "m")
-    docs = make_docs(spark, [*EDGES, (700, mixed, "a"), (701, "12345 !!", "a"), (702, speech("ru", 40, "x"), "a")])
+    docs = make_docs(spark, [*EDGES, (700, mixed, "a"), (701, "12345 !!", "a"), (703, "1\u0301 \u0302", "a"), (702, speech("ru", 40, "x"), "a")])
     got = {r.doc_id: r for r in langid.label_spans(docs, model).collect()}
     assert [s.lang for s in got[700].spans] == ["en", "fr", "ru"] and got[700].lang_pred == "en" and 0 < got[700].score < 1
     assert got[702].lang_pred == "ru"
-    assert all(got[i].lang_pred == "und" and got[i].score == 0 for i in (1, 2, 3, 701))
+    assert all(got[i].lang_pred == "und" and got[i].score == 0 for i in (1, 2, 3, 701, 703))
     held = langid.label_spans(train, model).join(train.select("doc_id", "lang"), "doc_id").where(common.held_out(F.col("doc_id"))).collect()
     assert np.mean([r.lang_pred == r.lang for r in held]) > 0.95
     nothing = langid.learn(train.limit(0))
