@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inkwell.llm import bpe, linededup, mixing, simhash, toxicity
+from inkwell.llm import bpe, linededup, mixing, nearcopies, toxicity
 from inkwell.llm.common import saved, table
 
 
@@ -28,8 +28,8 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates the document with the smallest doc_id stays."""
-    return simhash.one_of_each(docs)
+    """Of each group of near copies (five-word shingles, similarity 0.8) the document with the smallest doc_id stays."""
+    return nearcopies.one_of_each(docs)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -32,25 +32,25 @@ _BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).astype(np
 _LANES = (np.arange(8) * 256).astype(np.uint16)
 
 
-def _bit_counts(words: list[bytes]) -> np.ndarray:
+def _bit_counts(words: list[bytes], shingle: int) -> np.ndarray:
     """How many shingle hashes of consecutive words have each of the 64 bits set, highest bit first."""
     digest = xxhash.xxh64_digest
-    shingles = zip(*(words[i:] for i in range(SHINGLE)), strict=False)
+    shingles = zip(*(words[i:] for i in range(shingle)), strict=False)
     raw = b"".join([digest(b" ".join(s), SEED) for s in shingles])
     lanes = np.frombuffer(raw, np.uint8).reshape(-1, 8) + _LANES
     return (np.bincount(lanes.ravel(), minlength=2048).reshape(8, 256)[:, :, None] * _BITS).sum(1).ravel()
 
 
-def fingerprint(text: str | None) -> int:
+def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
     """The fingerprint as an unsigned integer. Long texts are hashed piece by piece, cut at white space."""
     data = (text or "").encode("utf-8", "surrogatepass").lower()
     if len(data) <= PIECE:
         words = data.split()
         if not words:
             return 0
-        if len(words) < SHINGLE:
+        if len(words) < shingle:
             return xxhash.xxh64_intdigest(b" ".join(words), SEED)
-        counts, n = _bit_counts(words), len(words) - SHINGLE + 1
+        counts, n = _bit_counts(words, shingle), len(words) - shingle + 1
     else:
         counts, n, tail, rest = np.zeros(64, np.int64), 0, [], b""
         for at in range(0, len(data), PIECE):
@@ -58,10 +58,10 @@ def fingerprint(text: str | None) -> int:
             words = piece.split()
             rest = words.pop() if words and at + PIECE < len(data) and not piece[-1:].isspace() else b""
             words = tail + words
-            if len(words) >= SHINGLE:
-                counts += _bit_counts(words)
-                n += len(words) - SHINGLE + 1
-                tail = words[-(SHINGLE - 1) :]
+            if len(words) >= shingle:
+                counts += _bit_counts(words, shingle)
+                n += len(words) - shingle + 1
+                tail = words[-(shingle - 1) :]
             else:
                 tail = words
         if n == 0:
@@ -233,11 +233,16 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     return prints.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
+def kept(docs: DataFrame, found: DataFrame) -> DataFrame:
+    """The documents with one row of each component of found (doc_id, component_id); rows without id stay."""
+    ids = found.where("doc_id = component_id").select("doc_id").distinct()
+    named = docs.where("doc_id is not null").join(ids.hint("shuffle_hash"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    return named.unionByName(docs.where("doc_id is null")).select(*docs.columns)
+
+
 def one_of_each(docs: DataFrame) -> DataFrame:
     """The documents with one row of each near-duplicate group, that of the smallest doc_id; rows without id stay."""
-    kept = near_duplicates(docs).where("doc_id = component_id").select("doc_id").distinct()
-    named = docs.where("doc_id is not null").join(kept.hint("shuffle_hash"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return named.unionByName(docs.where("doc_id is null")).select(*docs.columns)
+    return kept(docs, near_duplicates(docs))
 
 
 def op4_simhash(spark, sf_dir: str) -> DataFrame:
