@@ -9,6 +9,8 @@ a word adds to the gates is computed once for each distinct word of a batch.
 
 from __future__ import annotations
 
+import re
+import unicodedata
 from collections import Counter
 from collections.abc import Iterator
 
@@ -29,13 +31,12 @@ EPOCHS, STEPS = 8, 120
 REPEATED = 0.15
 #: Windows scored at once; words of texts handled at once.
 SCORED, CHUNK_WORDS = 4096, 400_000
-LONGEST = 40  # characters of a word that are looked at as trigrams: its first and last half of these
+#: A run of more characters is no word: it is read as all its pieces of PIECE characters, so that no trigram is lost.
+LONGEST, PIECE = 40, 3
 
 
 def _grams(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """(trigram buckets of all words in order, how many each word has)."""
-    half = LONGEST // 2
-    words = [w if len(w) <= LONGEST else w[:half] + w[-half:] for w in words]
     codes = np.frombuffer("".join(["\x02" + w + "\x03" for w in words]).encode("utf-32-le", "surrogatepass"), np.uint32)
     size = np.fromiter(map(len, words), np.int64, len(words))
     first = np.cumsum(size + 2) - size - 2
@@ -47,12 +48,27 @@ def _grams(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return ((h * np.uint32(0x2C1B3C6D)) >> np.uint32(32 - GRAM_BITS)).astype(np.int64), size
 
 
-#: ASCII punctuation and control characters separate words as white space does.
+#: ASCII punctuation and control characters separate words as white space does; beyond ASCII, what Unicode calls
+#: punctuation, separators and control characters, and the zero-width space.
 _APART = bytes(32 if b < 128 and not chr(b).isalnum() else b for b in range(256))
+_FAR_APART = re.compile("[\u200b" + "".join(re.escape(chr(c)) for c in range(128, 0x20000) if unicodedata.category(chr(c)) in ("Cc", "Zs", "Zl", "Zp", "Pc", "Pd", "Ps", "Pe", "Pi", "Pf", "Po")) + "]")
+
+
+def _pieces(word: bytes) -> list[bytes]:
+    run = word.decode("utf-8", "surrogatepass")
+    if len(run) <= LONGEST:
+        return [word]
+    return [run[at : at + PIECE].encode("utf-8", "surrogatepass") for at in range(len(run) - PIECE + 1)]
 
 
 def words_of(text: str | None) -> list[bytes]:
-    return (text or "").lower().encode("utf-8", "surrogatepass").translate(_APART).split()
+    text = (text or "").lower()
+    if not text.isascii():
+        text = _FAR_APART.sub(" ", text)
+    words = text.encode("utf-8", "surrogatepass").translate(_APART).split()
+    if max(map(len, words), default=0) > LONGEST:
+        words = [p for w in words for p in (_pieces(w) if len(w) > LONGEST else (w,))]
+    return words
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
@@ -274,7 +290,8 @@ def _scores(net: Network, texts: list[list[bytes]]) -> np.ndarray:
 def toxicity(docs: DataFrame, net: Network, limit: float = 0.5) -> DataFrame:
     """(doc_id, score, predicted) of documents (doc_id, text), a row for each row.
 
-    Words are runs without white space and ASCII punctuation, in lower case. Null and empty texts score 0. Every text is scored whole, in
+    Words are runs without white space and punctuation, in lower case; runs over LONGEST characters, as in scripts without
+    spaces, are read in pieces that are words of their own. Null and empty texts score 0. Every text is scored whole, in
     overlapping windows; very long ones part by part, parts overlapping as windows do. Repeated rows give repeated
     results, an empty table an empty one; other columns are not looked at.
     """
