@@ -51,14 +51,25 @@ def det_mime(spark, sf_dir):
     return p.withColumn("back", T.extension_of(F.col("mime")))
 
 
-@query("""SELECT doc_id, 'text/plain' AS mimetype, CASE WHEN doc_id % 2 = 0 THEN 'utf-8' END AS charset, left(text, 200) AS payload FROM documents""")
-def src_data_uri(spark, sf_dir):
-    d = read(spark, sf_dir, "documents").select("doc_id", F.substring("text", 1, 200).alias("t"))
+def _data_uris(docs: DataFrame) -> DataFrame:
+    """(doc_id, mimetype, charset, payload) of data URIs built from whole texts and parsed again."""
+    d = docs.select("doc_id", F.col("text").alias("t"))
     head = F.when(F.col("doc_id") % 2 == 0, "data:text/plain;charset=utf-8").otherwise("data:")
     body = F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit(";base64,"), F.base64(F.col("t").cast("binary")))).otherwise(F.concat(F.lit(","), F.replace(F.url_encode("t"), F.lit("+"), F.lit("%20"))))
     return d.select("doc_id", T.data_uri(F.concat(head, body)).alias("u")).select("doc_id", "u.mimetype", "u.charset", F.col("u.data").cast("string").alias("payload"))
 
 
+@query("""SELECT doc_id, 'text/plain' AS mimetype, CASE WHEN doc_id % 2 = 0 THEN 'utf-8' END AS charset, left(text, 200) AS payload FROM documents""")
+def src_data_uri(spark, sf_dir):
+    """Whole texts go through; the SQL compares the first 200 characters, `src_data_uri_whole` all of them."""
+    return _data_uris(read(spark, sf_dir, "documents")).withColumn("payload", F.substring("payload", 1, 200))
+
+
+@query("""SELECT doc_id, 'text/plain' AS mimetype, CASE WHEN doc_id % 2 = 0 THEN 'utf-8' END AS charset, text AS payload FROM documents""")
+def src_data_uri_whole(spark, sf_dir):
+    return _data_uris(read(spark, sf_dir, "documents"))
+
+
 @query("""SELECT page_id, CASE WHEN page_id % 3 < 2 THEN '/a b/' || page_id || '.txt' END AS path FROM pages""")
 def src_file_uri(spark, sf_dir):
     p = read(spark, sf_dir, "pages")
