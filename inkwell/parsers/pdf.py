@@ -133,6 +133,8 @@ class File:
             if f in ("FlateDecode", "Fl"):
                 unpack = zlib.decompressobj()
                 raw = unpack.decompress(raw, LIMIT)
+                if unpack.unconsumed_tail:
+                    raise ValueError(f"a stream unpacks to more than {LIMIT} bytes")
                 raw = self._predicted(raw, self.get(head.get("DecodeParms")) or {})
             elif f in ("ASCIIHexDecode", "AHx"):
                 raw = bytes.fromhex(re.sub(rb"[^0-9A-Fa-f]", b"", raw.split(b">")[0]).decode())

@@ -2,7 +2,11 @@
 
 import random
 
+import pytest
+
 from inkwell import queries
+from inkwell.parsers import pdf
+from inkwell.plans.convert import Options, Registry, convert_one
 
 
 def test_data_uris_carry_whole_texts(spark, tmp_path):
@@ -13,3 +17,20 @@ def test_data_uris_carry_whole_texts(spark, tmp_path):
     found = {x.doc_id: x for x in queries.QUERIES["src_data_uri_whole"](spark, str(tmp_path)).collect()}
     assert {i: (x.mimetype, x.charset, x.payload) for i, x in found.items()} == {i: ("text/plain", None if i % 2 else "utf-8", t) for i, t in rows}
     assert {x.doc_id: x.payload for x in queries.QUERIES["src_data_uri"](spark, str(tmp_path)).collect()} == {i: t[:200] for i, t in rows}
+
+
+def test_pdf_stream_over_the_limit_fails(monkeypatch):
+    import zlib
+
+    page = b"BT /F1 12 Tf 50 700 Td (first) Tj ET " + b" " * 5000 + b"BT /F1 12 Tf 50 600 Td (last) Tj ET"
+    packed = zlib.compress(page)
+    head = b"%PDF-1.4\n1 0 obj\n<< /Type /Catalog /Pages 2 0 R >>\nendobj\n2 0 obj\n<< /Type /Pages /Kids [3 0 R] >>\nendobj\n3 0 obj\n<< /Type /Page /Contents 4 0 R /Resources << /Font << /F1 << /Type /Font /Subtype /Type1 >> >> >> >>\nendobj\n"
+    data = head + b"4 0 obj\n<< /Length %d /Filter /FlateDecode >>\nstream\n" % len(packed) + packed + b"\nendstream\nendobj\n"
+    assert [w[1] for w in pdf.words(data)] == ["first", "last"]
+    monkeypatch.setattr(pdf, "LIMIT", len(page))
+    assert [w[1] for w in pdf.words(data)] == ["first", "last"]
+    monkeypatch.setattr(pdf, "LIMIT", 2000)
+    with pytest.raises(ValueError, match="more than 2000 bytes"):
+        pdf.words(data)
+    out = convert_one(data, {"extension": ".pdf"}, None, Options(), Registry())
+    assert out[3] == "failed" and out[4][0]["converter"] == "pdf"
