@@ -5,14 +5,16 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
+from weakref import WeakKeyDictionary
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Most rows that `join_small` broadcasts; larger tables are joined by a shuffle.
-BROADCAST_ROWS = 50_000
+#: Most rows and bytes that `join_small` broadcasts; larger tables are joined by a shuffle.
+BROADCAST_ROWS, BROADCAST_BYTES = 50_000, 16 << 20
 _own_dir: list[str] = []
+_written: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,10 +22,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder; a temporary one only where none is configured (tests, local mode)."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
+    """The cluster's shared folder. A temporary one only in local mode (tests) where none is configured: on a cluster
+    each executor would write to its own disk."""
+    context = spark.sparkContext
+    base = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if base:
         return base.rstrip("/")
+    if context.master.split("[")[0] != "local":
+        raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     if not _own_dir:
         _own_dir.append(tempfile.mkdtemp(prefix="inkwell-"))
     return f"file://{_own_dir[0]}"
@@ -34,14 +40,43 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/inkwell/{uuid.uuid4().hex}-{name}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    _written[out] = path
+    return out
+
+
+def forget(*tables: DataFrame) -> None:
+    """Deletes tables of `saved` that nothing reads any more, so that rounds do not fill the shared folder."""
+    for df in tables:
+        path = _written.pop(df, None)
+        if path is not None:
+            jvm, conf = df.sparkSession._jvm, df.sparkSession._jsc.hadoopConfiguration()
+            at = jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(conf).delete(at, True)
+
+
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """Column names like these that the table does not have, whatever its own columns are called."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+def is_small(df: DataFrame) -> bool:
+    """Whether a saved table may be broadcast: by its rows, and then by the bytes of their values."""
+    if df.count() > BROADCAST_ROWS:
+        return False
+    size = sum((F.coalesce(F.octet_length(F.col(f"`{c}`").cast("string")), F.lit(0)) + 16 for c in df.columns), F.lit(0))
+    return (df.agg(F.sum(size.cast("long"))).first()[0] or 0) <= BROADCAST_BYTES
 
 
 def join_small(left: DataFrame, right: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
-    """Joins a saved table, broadcast only if it has at most BROADCAST_ROWS rows; else by a shuffle that AQE may split."""
-    if right.count() <= BROADCAST_ROWS:
-        right = F.broadcast(right)
-    return left.join(right, on, how)
+    """Joins a saved table, broadcast only if `is_small` says so; else by a shuffle that AQE may split."""
+    return left.join(F.broadcast(right) if is_small(right) else right, on, how)
 
 
 def held_out(doc_id: Column) -> Column:
@@ -117,16 +152,28 @@ def roots(n: int, left, right):
 def training_ids(rows: DataFrame, label: str, most: int) -> DataFrame:
     """A bounded sample to learn from: at most `most` rows (doc_id, label) of each label, by smallest hash of doc_id.
 
-    Only rows with id and label outside the held-out fifth are taken. Labels are few by nature (classes, languages).
+    Only rows with id and label outside the held-out fifth are taken; rows that repeat both count once. Labels are few
+    by nature (classes, languages). Counts by label give a hash below which a few more than `most` rows lie; only those
+    are ranked, so no task sorts all rows of a label.
     """
     from pyspark.sql import Window as W
 
     pool = rows.where(F.col("doc_id").isNotNull() & F.col(label).isNotNull() & ~held_out(F.col("doc_id"))).select("doc_id", F.col(label).alias("label"))
-    nth = F.row_number().over(W.partitionBy("label").orderBy(F.xxhash64("doc_id"), "doc_id"))
-    return saved(pool.withColumn("nth", nth).where(F.col("nth") <= most).drop("nth").coalesce(1), "sample")
+    pool = saved(pool.distinct().withColumn("place", F.xxhash64("doc_id")), "labelled")
+    share = F.least(F.lit(1.0), (most + 8 * most**0.5 + 64) / F.count("*"))
+    bounds = saved(pool.groupBy("label").agg(((share - 0.5) * float(1 << 64)).alias("below")), "bounds")
+    few = join_small(pool, bounds, ["label"]).where(F.col("place") <= F.col("below"))
+    nth = F.row_number().over(W.partitionBy("label").orderBy("place", "doc_id"))
+    return saved(few.withColumn("nth", nth).where(F.col("nth") <= most).select("doc_id", "label"), "sample")
 
 
 def sampled(docs: DataFrame, ids: DataFrame, chars: int) -> DataFrame:
-    """The texts (doc_id, text, label) of sampled ids; texts of more than `chars` characters are not learned from."""
-    texts = docs.select("doc_id", "text").where(F.col("text").isNotNull() & (F.length("text") <= chars))
-    return join_small(texts, ids, ["doc_id"])
+    """(doc_id, text, label) of sampled ids, one row for each. A text of more than `chars` characters is learned from by
+    windows spread evenly from its start to its end, `chars` characters in all; of ids with several texts the least counts."""
+    windows = 16
+    width = chars // windows
+    step = (F.length("text") - width) / (windows - 1)
+    spread = F.array_join(F.transform(F.sequence(F.lit(0), F.lit(windows - 1)), lambda i: F.substring(F.col("text"), (F.floor(i * step) + 1).cast("int"), F.lit(width))), "\n")
+    texts = docs.select("doc_id", "text").where(F.col("text").isNotNull())
+    found = join_small(texts, ids, ["doc_id"]).select("doc_id", "label", F.when(F.length("text") > chars, spread).otherwise(F.col("text")).alias("text"))
+    return found.groupBy("doc_id", "label").agg(F.min("text").alias("text"))

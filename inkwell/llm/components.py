@@ -5,20 +5,32 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from inkwell.llm.common import saved
+from inkwell.llm.common import forget, saved
 
+#: A node is a hub if it has more than HUB edges and more than one in HUB_SHARE of all edges, so there are at most
+#: 2 * HUB_SHARE hubs whatever the table is: their rows are met by a broadcast of that bounded size.
+HUB, HUB_SHARE = 200, 20_000
 
-def _large_star(edges: DataFrame) -> DataFrame:
+
+def _met(rows: DataFrame, least: DataFrame, n: int) -> DataFrame:
+    """Rows (u, ...) with the m of their u in least (u, m, n). The rows of a hub stay where they are and get its m by
+    broadcast, so that no task gathers a hub's rows."""
+    many = F.col("n") > max(HUB, n // HUB_SHARE)
+    hubs, others = F.broadcast(least.where(many).select("u", "m")), least.where(~many).select("u", "m")
+    return rows.join(hubs, "u").unionByName(rows.join(hubs, "u", "left_anti").join(others, "u"))
+
+
+def _large_star(edges: DataFrame, n: int) -> DataFrame:
     """Each node's larger neighbours are linked to the smallest node that it sees."""
     both = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-    return both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"), F.count("*").alias("n"))
+    return _met(both.where("v > u"), least, n).select(F.col("v").alias("u"), F.col("m").alias("v"))
 
 
-def _small_star(edges: DataFrame) -> DataFrame:
+def _small_star(edges: DataFrame, n: int) -> DataFrame:
     """Each node and its smaller neighbours are linked to the smallest of these. Edges run from larger u to smaller v."""
-    least = edges.groupBy("u").agg(F.min("v").alias("m"))
-    moved = edges.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    least = edges.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+    moved = _met(edges, least, n).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
     return moved.union(least.select("u", F.col("m").alias("v")))
 
 
@@ -29,14 +41,16 @@ def components(edges: DataFrame) -> DataFrame:
     the edge set no longer changes: every component is then a star. Each round is a written table, so a lost executor
     costs one round at most; nothing but two sums reaches the driver.
     """
-    edges = edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
-    edges, before = saved(edges, "edges"), None
+    edges = saved(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
+    before = None
     while True:
         now = edges.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("s")).first()
         if before == now or now.n == 0:
             break
         before = now
-        edges = saved(_small_star(_large_star(edges)).where("u <> v").distinct(), "edges")
+        then = saved(_small_star(_large_star(edges, now.n).distinct(), now.n).where("u <> v").distinct(), "edges")
+        forget(edges)
+        edges = then
     leaves = edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
     tops = edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()
     return leaves.union(tops)

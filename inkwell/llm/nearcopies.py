@@ -17,12 +17,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from inkwell.llm import simhash
-from inkwell.llm.common import BROADCAST_ROWS, saved
-from inkwell.llm.components import components
+from inkwell.llm.common import forget, is_small, saved
+from inkwell.llm.components import HUB, HUB_SHARE, components
 
 SHINGLE, SIMILARITY, BANDS, ROWS = 5, 0.8, 20, 5
-#: Shingles whose min-hashes are computed at once.
-CHUNK = 2048
+#: Shingles whose min-hashes are computed at once; parts into which the pairs of a node with very many are dealt.
+CHUNK, PARTS = 2048, 64
 _draw = np.random.default_rng(17)
 _TIMES = _draw.integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _PLUS = _draw.integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64)
@@ -64,23 +64,32 @@ def _copy(grams: np.ndarray) -> bytes:
 
 
 def _marks(docs: DataFrame) -> DataFrame:
-    """(doc_id, copy, fp, bands): copy names the shingle set."""
+    """(doc_id, h1, h2, copy, fp, bands): copy names the shingle set, h1 and h2 the row's id and text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [shingles(t) for t in batch.column(1).to_pylist()]
-            prints = np.array([simhash.fingerprint(t, SHINGLE) for t in batch.column(1).to_pylist()], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([_copy(g) for g in texts], pa.binary()), pa.array(prints), pa.array([bands(g) for g in texts], pa.list_(pa.int64()))], names=["doc_id", "copy", "fp", "bands"])
+            copies, prints, keys = [], [], []
+            for text in batch.column(3).to_pylist():
+                grams = shingles(text)
+                copies.append(_copy(grams))
+                prints.append(simhash.fingerprint(text, SHINGLE))
+                keys.append(bands(grams))
+            yield pa.RecordBatch.from_arrays(
+                [*batch.columns[:3], pa.array(copies, pa.binary()), pa.array(np.array(prints, np.uint64).view(np.int64)), pa.array(keys, pa.list_(pa.int64()))],
+                names=["doc_id", "h1", "h2", "copy", "fp", "bands"],
+            )
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, copy binary, fp long, bands array<long>")
+    h1, h2 = simhash.identity(F.col("doc_id"), F.col("text"))
+    rows = docs.select("doc_id", h1.alias("h1"), h2.alias("h2"), "text")
+    return rows.mapInArrow(run, f"doc_id {kind}, h1 long, h2 long, copy binary, fp long, bands array<long>")
 
 
 def _sets(docs: DataFrame, each: DataFrame, pairs: DataFrame) -> DataFrame:
     """(node, grams) of the nodes in pairs, each from a document that has it."""
     named = saved(pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct().join(each.select("node", "copy", "least"), "node"), "named")
     ids = saved(named.select("least").distinct(), "ids")
-    if ids.count() <= BROADCAST_ROWS:
+    if is_small(ids):
         ids = F.broadcast(ids)
     rows = docs.select("doc_id", "text").join(ids, F.col("doc_id").eqNullSafe(F.col("least")), "left_semi").select("text")
 
@@ -97,22 +106,26 @@ def _sets(docs: DataFrame, each: DataFrame, pairs: DataFrame) -> DataFrame:
 def _alike(docs: DataFrame, each: DataFrame, pairs: DataFrame) -> DataFrame:
     """The pairs (u, v) of nodes whose shingle sets are similar enough, by exact counts."""
     pairs = saved(pairs, "pairs")
-    sets = _sets(docs, each, pairs)
+    sets, n = _sets(docs, each, pairs), pairs.count()
+    hubs = F.broadcast(pairs.groupBy("u").count().where(F.col("count") > max(HUB, n // HUB_SHARE)).select("u", F.lit(True).alias("hub")))  # HUB_SHARE rows at most
     left, right = sets.select(F.col("node").alias("u"), F.col("grams").alias("a")), sets.select(F.col("node").alias("v"), F.col("grams").alias("b"))
+    part = F.when(F.col("hub"), F.pmod(F.xxhash64("v"), F.lit(PARTS))).otherwise(0).cast("int")
+    every = F.when(F.col("hub"), F.sequence(F.lit(0), F.lit(PARTS - 1))).otherwise(F.array(F.lit(0)))
+    dealt = pairs.join(hubs, "u", "left").select("u", "v", part.alias("part"))
+    left = left.join(hubs, "u", "left").select("u", "a", F.explode(every).alias("part"))
     both = F.size(F.array_intersect("a", "b"))
-    found = pairs.join(left, "u").join(right, "v").select("u", "v", both.alias("both"), (F.size("a") + F.size("b")).alias("total"))
+    found = dealt.join(left, ["u", "part"]).join(right, "v").select("u", "v", both.alias("both"), (F.size("a") + F.size("b")).alias("total"))
     return saved(found.where(F.col("both") >= SIMILARITY * (F.col("total") - F.col("both"))).select("u", "v"), "alike")
 
 
-def near_copies(docs: DataFrame) -> DataFrame:
-    """(doc_id, component_id) of documents (doc_id, text), a row for each row.
+def _grouped(docs: DataFrame) -> DataFrame:
+    """(doc_id, h1, h2, root) of documents, a row for each row: root names the group of near copies.
 
-    component_id is the smallest doc_id reachable over pairs of near copies, null only where no reachable row has one.
-    Texts of the same shingle set, those without words among them, are one node however many they are. First each
-    bucket's nodes are checked against its smallest one; then, inside bands, whatever nodes are still unconnected.
+    First each bucket's nodes are checked against its smallest one; then, inside bands, whatever nodes are still
+    unconnected.
     """
     marks = saved(_marks(docs), "marks")
-    each = marks.groupBy("copy").agg(F.min("doc_id").alias("least"), F.min("fp").alias("fp"), F.min("bands").alias("bands"))
+    each = marks.groupBy("copy").agg(F.min_by("doc_id", F.struct(F.isnull("doc_id"), "doc_id")).alias("least"), F.min("fp").alias("fp"), F.min("bands").alias("bands"))
     each = saved(each.withColumn("node", F.conv(F.substring(F.hex("copy"), 1, 15), 16, 10).cast("long")), "distinct")
     stars = components(simhash.linked(each.select("fp").distinct()))
     by_print = each.join(stars.withColumnRenamed("node", "fp"), "fp", "left").select(F.coalesce("root", "fp").alias("key"), "node", F.lit(False).alias("band"))
@@ -127,11 +140,25 @@ def near_copies(docs: DataFrame) -> DataFrame:
     other = rest.select("key", F.col("node").alias("v"), F.col("root").alias("other"))
     pairs = rest.join(other, "key").where("node < v and root <> other").select(F.col("node").alias("u"), "v").distinct()
     root = components(links.union(_alike(docs, each, pairs)))
-    placed = each.select("copy", "node", "least").join(root, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    named = placed.join(placed.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("copy", "component_id")
-    return marks.select("doc_id", "copy").join(named, "copy").select("doc_id", "component_id")
+    placed = each.select("copy", "node").join(root, "node", "left").select("copy", F.coalesce("root", "node").alias("root"))
+    out = saved(marks.select("doc_id", "h1", "h2", "copy").join(placed, "copy").select("doc_id", "h1", "h2", "root"), "grouped")
+    forget(members, rest)
+    return out
+
+
+def near_copies(docs: DataFrame) -> DataFrame:
+    """(doc_id, component_id) of documents (doc_id, text), a row for each row.
+
+    component_id is the smallest doc_id reachable over pairs of near copies, null only where no reachable row has one.
+    Texts of the same shingle set, those without words among them, are one node however many they are. Rows of one
+    doc_id are handled each by its own text. An empty table gives an empty one; other columns are not looked at.
+    """
+    rows = _grouped(docs)
+    return rows.join(rows.groupBy("root").agg(F.min("doc_id").alias("component_id")), "root").select("doc_id", "component_id")
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """The documents with one row of each group of near copies, that of the smallest doc_id; rows without id stay."""
-    return simhash.kept(docs, near_copies(docs))
+    """The documents with one row of each group of near copies: the one with the smallest doc_id, null last, and of that
+    id's rows in the group the one whose text has the smallest hash. Rows of one id in different groups stay each."""
+    first = F.min(F.struct(F.isnull("doc_id"), "doc_id", "h1", "h2")).alias("first")
+    return simhash.kept(docs, _grouped(docs).groupBy("root").agg(first).select("first.h1", "first.h2"))

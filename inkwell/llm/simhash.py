@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from inkwell.llm.common import key_runs, roots, saved, table
+from inkwell.llm.common import fresh, key_runs, roots, saved, table
 from inkwell.llm.components import components
 
 SHINGLE, SEED, DISTANCE = 3, 42, 3
@@ -69,16 +69,22 @@ def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
     return int.from_bytes(np.packbits(counts * 2 > n).tobytes(), "big")
 
 
+def identity(doc_id: Column, text: Column) -> list[Column]:
+    """128 hash bits of a row's id and text, never null."""
+    return [F.xxhash64(F.lit(k), doc_id, F.isnull(doc_id), text, F.isnull(text)) for k in (1, 2)]
+
+
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """(doc_id, fp) of (doc_id, text); fp holds the 64 bits as a long."""
+    """(doc_id, h1, h2, fp) of (doc_id, text); fp holds the 64 bits as a long, h1 and h2 are the row's `identity`."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            prints = np.array([fingerprint(t) for t in batch.column(1).to_pylist()], dtype=np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(prints)], names=["doc_id", "fp"])
+            prints = np.array([fingerprint(t) for t in batch.column(3).to_pylist()], dtype=np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(prints)], names=["doc_id", "h1", "h2", "fp"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, fp long")
+    h1, h2 = identity(F.col("doc_id"), F.col("text"))
+    return docs.select("doc_id", h1.alias("h1"), h2.alias("h2"), "text").mapInArrow(run, f"doc_id {kind}, h1 long, h2 long, fp long")
 
 
 class GrayTree:
@@ -217,32 +223,45 @@ def linked(prints: DataFrame) -> DataFrame:
     return out
 
 
+def _grouped(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, h1, h2, fp) of documents, and (fp, root, least) of fingerprints: the group's name and the fingerprint's
+    smallest doc_id. A group of copies of any size is one fingerprint, met first by a partial aggregate."""
+    prints = saved(fingerprints(docs), "prints")
+    each = saved(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct")
+    stars = components(linked(each.select("fp")))
+    return prints, each.join(stars.withColumnRenamed("node", "fp"), "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), "least")
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """(doc_id, fp, component_id) of documents (doc_id, text), a row for each row.
 
     Texts without words, null or empty, have fingerprint zero and link like any other. Rows of one doc_id are handled
     each by its own text. component_id is the smallest doc_id reachable, null only where no reachable row has one.
-    An empty table gives an empty one; other columns are not looked at. A group of copies of any size is one
-    fingerprint, met first by a partial aggregate.
+    An empty table gives an empty one; other columns are not looked at.
     """
-    prints = saved(fingerprints(docs), "prints")
-    each = saved(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct")
-    stars = components(linked(each.select("fp")))
-    placed = each.join(stars.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    prints, placed = _grouped(docs)
     named = placed.join(placed.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("fp", "component_id")
     return prints.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
-def kept(docs: DataFrame, found: DataFrame) -> DataFrame:
-    """The documents with one row of each component of found (doc_id, component_id); rows without id stay."""
-    ids = found.where("doc_id = component_id").select("doc_id").distinct()
-    named = docs.where("doc_id is not null").join(ids.hint("shuffle_hash"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return named.unionByName(docs.where("doc_id is null")).select(*docs.columns)
+def kept(docs: DataFrame, winners: DataFrame) -> DataFrame:
+    """The documents whose `identity` is in winners (h1, h2), one row of each: of rows that repeat id and text the one
+    whose other columns have the smallest hash. Both steps share one shuffle of the documents."""
+    h1, h2 = fresh(docs, "h1", "h2")
+    a, b = identity(F.col("doc_id"), F.col("text"))
+    rows = docs.select("*", a.alias(h1), b.alias(h2)).join(winners.toDF(h1, h2), [h1, h2], "left_semi")
+    others = [F.col(f"`{c}`") for c in docs.columns if c not in ("doc_id", "text")]
+    row = F.struct(*(F.col(f"`{c}`") for c in docs.columns))
+    best = rows.groupBy(h1, h2).agg(F.min_by(row, F.xxhash64(F.lit(0), *others)).alias("row"))
+    return best.select("row.*")
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """The documents with one row of each near-duplicate group, that of the smallest doc_id; rows without id stay."""
-    return kept(docs, near_duplicates(docs))
+    """The documents with one row of each group: the one with the smallest doc_id, null last, and of that id's rows in
+    the group the one whose text has the smallest hash. Rows of one id in different groups stay each."""
+    prints, placed = _grouped(docs)
+    first = F.min(F.struct(F.isnull("doc_id"), "doc_id", "h1", "h2")).alias("first")
+    return kept(docs, prints.join(placed, "fp").groupBy("root").agg(first).select("first.h1", "first.h2"))
 
 
 def op4_simhash(spark, sf_dir: str) -> DataFrame:

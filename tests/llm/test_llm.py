@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 pytest.importorskip("inkwell.llm")
-from inkwell.llm import ann, bpe, common, embdedup, langid, linededup, mixing, quality, simhash, tokencount, toxicity  # noqa: E402
+from inkwell.llm import ann, bpe, common, embdedup, langid, linededup, mixing, nearcopies, quality, simhash, tokencount, toxicity  # noqa: E402
 from inkwell.llm.components import components  # noqa: E402
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, score string, key string, size string"
@@ -167,10 +167,20 @@ def test_simhash(spark, edges, empty):
         least[k] = min(least.get(k, 1 << 60), i if i is not None else 1 << 60)
     assert all((r.component_id if r.component_id is not None else 1 << 60) == least[root[distinct.index(r.fp % (1 << 64))]] for r in got)
     kept = simhash.one_of_each(make_docs(spark, rows)).collect()
-    assert sorted(r.doc_id for r in kept if r.doc_id is not None) == sorted(v for v in least.values() if v < 1 << 60)
+    assert sorted(r.doc_id if r.doc_id is not None else 1 << 60 for r in kept) == sorted(least.values())
     assert simhash.near_duplicates(empty).count() == 0 and simhash.one_of_each(empty).count() == 0
 
 
+def test_one_of_each_keeps_every_text_of_a_repeated_id(spark):
+    b, q = prose(80, 71), prose(80, 72)
+    docs = make_docs(spark, [(1, b, "a"), (1, q, "a"), (2, b, "a"), (3, q, "a"), (None, b, "c"), (None, None, "c"), (1, b, "b")]).toDF("doc_id", "text", "h1", "H2", "fp", "root", "first", "row")
+    for keep in (simhash.one_of_each, nearcopies.one_of_each):
+        got = keep(docs)
+        assert got.columns == docs.columns
+        assert Counter((r.doc_id, r.text) for r in got.collect()) == {(1, b): 1, (1, q): 1, (None, None): 1}
+        assert sorted(map(str, got.collect())) == sorted(map(str, keep(docs.repartition(3)).collect()))
+
+
 @pytest.mark.parametrize("cap", [50_000, 40])
 def test_gray_index_finds_every_link(spark, monkeypatch, cap):
     monkeypatch.setattr(simhash, "GROUP_ROWS", cap)
