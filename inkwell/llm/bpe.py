@@ -80,7 +80,7 @@ class Vocabulary:
         self.made = np.array([ids[a + b] for a, b in merges], np.int64)
         self.tokens = {i: t for t, i in ids.items()} | {i: t for t, i in self.special.items()}
         self.spelled = {i: b"%d " % i for i in self.tokens}
-        self.shown = {i: f"{t} ".encode() for i, t in self.tokens.items()}
+        self.shown = {b"%d" % i: t.encode() for i, t in self.tokens.items()}
         self.pairs = {r: (k >> 20, k & 0xFFFFF) for r, k in zip(self.ranks.tolist(), self.keys.tolist(), strict=True)}
 
     @staticmethod
@@ -91,13 +91,18 @@ class Vocabulary:
             _loaded[name] = Vocabulary(public_tokenizers.path(name))
         return _loaded[name]
 
+    def decode_spelled(self, ids: bytes) -> bytes:
+        """The text of decimal ids with spaces between, special tokens included. Without a decoder in the file tokens are
+        joined by spaces, so the text of ids in a row is that of their parts, joined by spaces too."""
+        return b" ".join([self.shown[i] for i in ids.split() if i in self.shown])
+
     def decode(self, ids: list[int]) -> str:
-        """The text of ids, special tokens included; without a decoder in the file, tokens are joined by spaces."""
-        return " ".join([self.tokens[i] for i in ids if i in self.tokens])
+        """The text of ids."""
+        return self.decode_spelled(b" ".join([b"%d" % i for i in ids])).decode()
 
-    def encode_words(self, words: list[bytes]) -> Iterator[tuple[bytes, bytes]]:
-        """Of words without ASCII white space, the ids and the tokens, each followed by a space. One pair occurrence
-        index covers the distinct parts of all words."""
+    def encode_words(self, words: list[bytes]) -> Iterator[bytes]:
+        """Of words without ASCII white space, the decimal ids, each followed by a space. One pair occurrence index covers
+        the distinct parts of all words."""
         parts: dict[str, int] = {}  # each part is merged once
         plans: list[list[int] | int] = []  # of each word, its parts; special ids as -1 - id
         for sections in self._sections(words):
@@ -110,19 +115,15 @@ class Vocabulary:
                     plan += [parts.setdefault(part, len(parts)) for part in found]
             plans.append(plan)
         ids, ends = self.merge([p.encode() for p in parts])
-        spelled, shown = list(map(self.spelled.__getitem__, ids.tolist())), list(map(self.shown.__getitem__, ids.tolist()))
+        spelled = list(map(self.spelled.__getitem__, ids.tolist()))
         ends = ends.tolist()
         cuts = list(zip([0, *ends[:-1]], ends, strict=True)) if ends else []
         spelled = [b"".join(spelled[a:b]) for a, b in cuts]
-        shown = [b"".join(shown[a:b]) for a, b in cuts]
         for plan in plans:
             if len(plan) == 1 and plan[0] >= 0:
-                yield spelled[plan[0]], shown[plan[0]]
+                yield spelled[plan[0]]
             else:
-                yield (
-                    b"".join([spelled[p] if p >= 0 else self.spelled[-1 - p] for p in plan]),
-                    b"".join([shown[p] if p >= 0 else self.shown[-1 - p] for p in plan]),
-                )
+                yield b"".join([spelled[p] if p >= 0 else self.spelled[-1 - p] for p in plan])
 
     def _sections(self, words: list[bytes]) -> Iterator[list[str]]:
         """Each word as ordinary and special sections in turn, the ordinary ones normalized."""
@@ -234,11 +235,12 @@ class Encoder:
             for piece in pieces(text):
                 new |= set(piece.split()).difference(self.ids)
         words = list(new)
-        for w, (ids, text) in zip(words, self.vocabulary.encode_words(words), strict=True):
-            self.ids[w], self.text[w] = ids, text
+        decode = self.vocabulary.decode_spelled
+        for w, ids in zip(words, self.vocabulary.encode_words(words), strict=True):
+            self.ids[w], self.text[w] = ids, decode(ids) + b" " if ids else b""
 
     def digests(self, text: bytes) -> tuple[int, str, str]:
-        """Tokens, and the SHA-256 of the ids and of the decoded text."""
+        """Tokens, and the SHA-256 of the ids and of the decoded text, word by word decoded from the ids."""
         n, ids, decoded = 0, hashlib.sha256(), hashlib.sha256()
         gap = b""
         for piece in pieces(text):

@@ -14,13 +14,15 @@ from functools import cache
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from inkwell.llm.common import held_out, sampled, table, training_ids
+from inkwell.llm.common import held_out, sampled, saved, table, training_ids
 
-#: Documents learned from for each language, characters of one, buckets of trigrams, smoothing, and the penalties of a
+#: Documents learned from for each language and in all, characters of one (longer texts by windows spread over all of
+#: it), buckets of trigrams, smoothing, and the penalties of a
 #: switch and of a script that a language hardly uses.
-SAMPLE, SAMPLE_CHARS, BITS, SMOOTH, SWITCH, FOREIGN = 400, 50_000, 17, 0.5, 8.0, 40.0
+SAMPLE, SAMPLE_ALL, SAMPLE_CHARS, BITS, SMOOTH, SWITCH, FOREIGN = 400, 8000, 30_000, 17, 0.5, 8.0, 40.0
 #: A language uses a script if so much of its letters are in it. Most score that one word can add.
 SHARE, WORD_MOST = 0.01, 12.0
 CHARS = 4_000_000
@@ -34,14 +36,19 @@ SCRIPTS = [
 ]
 
 
+@cache
+def _kinds() -> np.ndarray:
+    """The first letter of each code point's general category."""
+    return np.array([k[0] for k in map(unicodedata.category, map(chr, range(0x110000)))])
+
+
 @cache
 def _characters() -> tuple[np.ndarray, np.ndarray]:
     """Of each code point: its lower case if it is a letter or mark, else 0; and the number of its script."""
     lower = np.zeros(0x110000, np.uint32)
-    for c in range(0x32000):
-        if unicodedata.category(chr(c))[0] in "LM":
-            small = chr(c).lower()
-            lower[c] = ord(small) if len(small) == 1 else c
+    for c in np.flatnonzero(np.isin(_kinds(), ("L", "M"))).tolist():
+        small = chr(c).lower()
+        lower[c] = ord(small) if len(small) == 1 else c
     names = sorted({s for _, s in SCRIPTS})
     at = np.searchsorted([c for c, _ in SCRIPTS], np.arange(0x110000), side="right") - 1
     return lower, np.array([names.index(s) for _, s in SCRIPTS], np.uint8)[at]
@@ -50,7 +57,7 @@ def _characters() -> tuple[np.ndarray, np.ndarray]:
 @cache
 def _marks() -> np.ndarray:
     """Whether a code point is a combining mark."""
-    return np.array([c < 0x32000 and unicodedata.category(chr(c))[0] == "M" for c in range(0x110000)])
+    return _kinds() == "M"
 
 
 def _words(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -156,8 +163,14 @@ def _viterbi(score: np.ndarray, first: np.ndarray, size: np.ndarray) -> np.ndarr
 
 
 def learn(docs: DataFrame) -> Model:
-    """Learns from a bounded sample of documents (doc_id, text, lang) outside the held-out fifth."""
+    """Learns from a bounded sample of documents (doc_id, text, lang) outside the held-out fifth: SAMPLE of each language
+    and SAMPLE_ALL at most (but for one of each language), SAMPLE_CHARS characters of each, in windows over the whole text.
+    The model takes half a MB for each language."""
     ids = training_ids(docs.where(F.col("text").isNotNull()).select("doc_id", "lang"), "lang", SAMPLE)
+    langs = max(1, ids.select("label").distinct().count())
+    if langs * SAMPLE > SAMPLE_ALL:
+        nth = F.row_number().over(W.partitionBy("label").orderBy(F.xxhash64("doc_id"), "doc_id"))
+        ids = saved(ids.withColumn("nth", nth).where(F.col("nth") <= max(1, SAMPLE_ALL // langs)).drop("nth"), "sample")
     rows = sampled(docs, ids, SAMPLE_CHARS).toPandas().sort_values(["doc_id", "text"])
     return Model(rows.text.tolist(), rows.label.tolist())
 

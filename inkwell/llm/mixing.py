@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from inkwell.llm.common import join_small, saved, table
+from inkwell.llm.common import fresh, join_small, saved, table
 
 #: Hash bits, and bits resolved by each of the two histograms; the rest is resolved inside one small bucket.
 BITS, STEP = 60, 12
@@ -32,19 +32,31 @@ def source_key(source: Column) -> Column:
     return F.coalesce(F.concat(F.lit("s"), source.cast("string")), F.lit("null"))
 
 
+def _ranked(sizes: DataFrame) -> DataFrame:
+    """The sources with nth, their place from 0 in order of code points, null last: sorted by ranges, each range's first
+    place being the number of sources before it. Only those sums, one for each partition, are gathered."""
+    parts = saved(sizes.repartitionByRange(F.col("source").asc_nulls_last()).sortWithinPartitions(F.col("source").asc_nulls_last()).withColumn("part", F.spark_partition_id()), "sources")
+    counts = parts.groupBy("part").count()
+    before = counts.select("part", (F.sum("count").over(W.orderBy("part")) - F.col("count")).alias("before"))
+    own = F.row_number().over(W.partitionBy("part").orderBy(F.col("source").asc_nulls_last())) - 1
+    return parts.withColumn("own", own).join(F.broadcast(before), "part").withColumn("nth", F.col("before") + F.col("own")).drop("part", "own", "before")
+
+
 def _targets(sizes: DataFrame, weights: tuple[int, ...], cap: int) -> DataFrame:
-    """(key, source_size, target) of (key, source, source_size): shares by weight, filled up to cap times the source's size."""
-    order = W.orderBy(F.col("source").asc_nulls_last())
-    weighed = sizes.withColumn("weight", F.element_at(F.array(*map(F.lit, weights)), ((F.row_number().over(order) - 1) % len(weights) + 1).cast("int")))
-    weighed = weighed.withColumn("most", F.col("source_size") * cap)
-    before = W.orderBy(F.col("most") / F.col("weight"), "key").rowsBetween(W.unboundedPreceding, -1)
-    every = W.orderBy(F.lit(0)).rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
-    left = F.sum("source_size").over(every) - F.coalesce(F.sum("most").over(before), F.lit(0))
-    share = F.sum("weight").over(every) - F.coalesce(F.sum("weight").over(before), F.lit(0))
-    filled = weighed.withColumn("full", left.cast("double") / share.cast("double") >= F.col("most") / F.col("weight"))
-    rest = F.sum("source_size").over(every) - F.sum(F.when(F.col("full"), F.col("most")).otherwise(0)).over(every)
-    level = rest.cast("double") / F.sum(F.when(F.col("full"), 0).otherwise(F.col("weight"))).over(every).cast("double")
-    return filled.select("key", "source_size", F.when(F.col("full"), F.col("most").cast("double")).otherwise(level * F.col("weight")).alias("target"))
+    """(key, source_size, target) of (key, source, source_size): shares by weight, filled up to cap times the source's size.
+
+    Each round fixes the sources whose share is over their most and shares the rest again; a few sums reach the driver.
+    """
+    weight = F.element_at(F.array(*map(F.lit, weights)), (F.col("nth") % len(weights) + 1).cast("int"))
+    weighed = saved(_ranked(sizes).select("key", "source_size", weight.alias("weight"), (F.col("source_size") * cap).alias("most")), "weights")
+    full, level, seen = F.lit(False), 0.0, -1
+    while True:
+        total = weighed.agg(F.sum("source_size").alias("all"), F.sum(F.when(full, F.col("most"))).alias("fixed"), F.sum(F.when(~full, F.col("weight"))).alias("share"), F.count(F.when(full, 1)).alias("n")).first()
+        if total.n == seen or not total.share:
+            break
+        seen, level = total.n, float(total["all"] - (total.fixed or 0)) / float(total.share)
+        full = full | (F.lit(level) >= F.col("most") / F.col("weight"))
+    return weighed.select("key", "source_size", F.when(full, F.col("most").cast("double")).otherwise(F.lit(level) * F.col("weight")).alias("target"))
 
 
 def _boundary(sums: DataFrame, by: str) -> DataFrame:
@@ -64,18 +76,18 @@ def plan_mix(narrow: DataFrame, weights: tuple[int, ...] = (1, 2, 3), cap: int =
     targets = _targets(sizes, weights, cap)
     whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long")
     targets = targets.withColumn("whole", whole).withColumn("rest", F.col("target") - F.col("whole") * F.col("source_size"))
-    targets = saved(targets.coalesce(1), "targets")
+    targets = saved(targets, "targets")
 
     first = narrow.groupBy("key", F.shiftright("place", BITS - STEP).alias("b1")).agg(F.sum("size").alias("n"))
     first = _boundary(join_small(first, targets, ["key"]), "b1")
-    first = saved(first.select("key", "b1", F.col("before").alias("below")).coalesce(1), "first")
+    first = saved(first.select("key", "b1", F.col("before").alias("below")), "first")
 
     inside = join_small(narrow, first, ["key"]).where(F.shiftright("place", BITS - STEP) == F.col("b1"))
     second = inside.groupBy("key", "below", F.shiftright("place", BITS - 2 * STEP).alias("b2")).agg(F.sum("size").alias("n"))
     rests = targets.select("key", "rest")
     second = join_small(second, rests, ["key"]).withColumn("rest", F.col("rest") - F.col("below"))
     second = _boundary(second, "b2").join(first, "key").select("key", "b2", (F.col("below") + F.col("before")).alias("below"))
-    second = saved(second.coalesce(1), "second")
+    second = saved(second, "second")
 
     inside = join_small(narrow, second, ["key"]).where(F.shiftright("place", BITS - 2 * STEP) == F.col("b2"))
     last = inside.groupBy("key", "below", "place").agg(F.sum("size").alias("n"))
@@ -83,7 +95,7 @@ def plan_mix(narrow: DataFrame, weights: tuple[int, ...] = (1, 2, 3), cap: int =
     last = _boundary(last, "place").join(second, "key").join(rests, "key")
     past, short = F.col("below") + F.col("through") - F.col("rest"), F.col("rest") - F.col("below") - F.col("before")
     last = last.select("key", (F.col("place") + F.when(past < short, 1).otherwise(0)).alias("cut"))
-    return saved(targets.join(last, "key", "left").select("key", "source_size", "target", "whole", F.coalesce("cut", F.lit(0)).alias("cut")).coalesce(1), "mix")
+    return saved(targets.join(last, "key", "left").select("key", "source_size", "target", "whole", F.coalesce("cut", F.lit(0)).alias("cut")), "mix")
 
 
 def _narrow(docs: DataFrame) -> DataFrame:
@@ -104,13 +116,17 @@ def mix_sources(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), cap: int
 
 
 def mixed_documents(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), cap: int = 3) -> DataFrame:
-    """The documents themselves, each as many times as the mix takes it, with their own columns."""
+    """The documents themselves, each as many times as the mix takes it, with their own columns, whatever their names.
+
+    Sizes, ties and repeated ids are as in `mix_sources`; documents of null text or of a source without words are taken
+    whole times only, so a mix of nothing but empty texts is empty. An empty table gives an empty one.
+    """
     plan = plan_mix(saved(_narrow(docs).drop("doc_id"), "sizes"), weights, cap)
-    names = docs.columns
-    plan = plan.select(F.struct("key", "whole", "cut").alias("_mix"), "key").withColumnRenamed("key", "_mix_key")
-    keyed = join_small(docs.withColumn("_mix_key", source_key(F.col("source"))), saved(plan, "mix"), ["_mix_key"])
-    copies = F.col("_mix.whole") + F.when(place(F.col("doc_id")) < F.col("_mix.cut"), 1).otherwise(0)
-    return keyed.withColumn("_mix_copy", F.explode(F.array_repeat(F.lit(0), copies.cast("int")))).select(*names)
+    mix, key, copy = fresh(docs, "mix", "key", "copy")
+    plan = saved(plan.select(F.struct("whole", "cut").alias(mix), F.col("key").alias(key)), "mix")
+    keyed = join_small(docs.withColumn(key, source_key(F.col("source"))), plan, [key])
+    copies = F.col(mix)["whole"] + F.when(place(F.col("doc_id")) < F.col(mix)["cut"], 1).otherwise(0)
+    return keyed.withColumn(copy, F.explode(F.array_repeat(F.lit(0), copies.cast("int")))).select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
 def op1_mixing(spark, sf_dir: str) -> DataFrame:

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from inkwell.llm.common import held_out, sampled, table, training_ids
 
 WINDOW, STEP = 32, 16
-#: Documents learned from for each label, and characters of one; words with vectors; buckets of character trigrams.
+#: Documents learned from for each label, and characters of one (longer texts by windows spread over all of it); words with vectors; buckets of character trigrams.
 SAMPLE, SAMPLE_CHARS, VOCABULARY, LEAST_DOCS, GRAM_BITS = 1200, 30_000, 20_000, 3, 13
 WORD_DIM, CHAR_DIM, HIDDEN, BATCH, RATE, SEED = 8, 8, 8, 256, 0.01, 11
 #: Rounds through the texts, and the gradient steps at least; few texts are gone through more often.
@@ -206,7 +206,7 @@ def _score(net: Network, gates: tuple[np.ndarray, np.ndarray], ids: np.ndarray,
 
 
 def train(texts: list[str], labels: np.ndarray) -> Network:
-    """Trains on whole texts; without both labels the network stays as drawn."""
+    """Trains on texts and labels 0 and 1; without both labels the network stays as drawn."""
     rng = np.random.default_rng(SEED)
     split = [words_of(t) for t in texts]
     seen, hits = Counter(), Counter()
@@ -269,7 +269,8 @@ def train(texts: list[str], labels: np.ndarray) -> Network:
 
 
 def learn(docs: DataFrame, labels: DataFrame) -> Network:
-    """Trains on a bounded sample of labelled documents outside the held-out fifth, as many of each label at most."""
+    """Trains on a bounded sample of labelled documents outside the held-out fifth: SAMPLE of each label at most, and of a
+    text of more than SAMPLE_CHARS characters as many, in windows from its start to its end."""
     ids = training_ids(labels.where("toxic in (0, 1)"), "toxic", SAMPLE)
     rows = sampled(docs, ids, SAMPLE_CHARS).toPandas().sort_values(["doc_id", "text"])
     return train(rows.text.tolist(), rows.label.to_numpy(np.int64) if len(rows) else np.zeros(0, np.int64))
@@ -287,6 +288,26 @@ def _scores(net: Network, texts: list[list[bytes]]) -> np.ndarray:
     return out
 
 
+def score_texts(net: Network, texts: list[str | None]) -> np.ndarray:
+    """The score of each text, that of its most toxic window; CHUNK_WORDS words are in memory as windows at a time."""
+    best = np.full(len(texts), -np.inf)
+    held: list[list[bytes]] = []
+    owner: list[int] = []
+    n = 0
+    for i, text in enumerate(texts):
+        words = words_of(text)
+        for at in range(0, len(words), CHUNK_WORDS):
+            held.append(words[max(0, at - WINDOW) : at + CHUNK_WORDS])  # parts overlap as windows do
+            owner.append(i)
+            n += len(held[-1])
+            if n >= CHUNK_WORDS:
+                np.maximum.at(best, owner, _scores(net, held))
+                held, owner, n = [], [], 0
+    if held:
+        np.maximum.at(best, owner, _scores(net, held))
+    return 1 / (1 + np.exp(-best))
+
+
 def toxicity(docs: DataFrame, net: Network, limit: float = 0.5) -> DataFrame:
     """(doc_id, score, predicted) of documents (doc_id, text), a row for each row.
 
@@ -298,30 +319,8 @@ def toxicity(docs: DataFrame, net: Network, limit: float = 0.5) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(net)  # bounded by VOCABULARY and GRAM_BITS
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        net = shared.value
         for batch in batches:
-            best = np.full(batch.num_rows, -np.inf)
-            held: list[list[bytes]] = []
-            owner: list[int] = []
-            n = 0
-
-            def flush() -> None:
-                nonlocal held, owner, n
-                if held:
-                    np.maximum.at(best, owner, _scores(net, held))  # noqa: B023
-                held, owner, n = [], [], 0
-
-            for i, text in enumerate(batch.column(1).to_pylist()):
-                words = words_of(text)
-                for at in range(0, max(1, len(words)), CHUNK_WORDS):
-                    part = words[max(0, at - WINDOW) : at + CHUNK_WORDS]
-                    held.append(part)
-                    owner.append(i)
-                    n += len(part)
-                    if n >= CHUNK_WORDS:
-                        flush()
-            flush()
-            score = 1 / (1 + np.exp(-best))
+            score = score_texts(shared.value, batch.column(1).to_pylist())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(score), pa.array((score >= limit).astype(np.int32))], names=["doc_id", "score", "predicted"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
@@ -329,22 +328,14 @@ def toxicity(docs: DataFrame, net: Network, limit: float = 0.5) -> DataFrame:
 
 
 def without_toxic(docs: DataFrame, net: Network, limit: float = 0.5) -> DataFrame:
-    """The documents that score below the limit, with all their columns."""
+    """The documents that score below the limit, with all their columns, null and empty texts among them."""
     shared = docs.sparkSession.sparkContext.broadcast(net)
 
     @F.pandas_udf("double")
     def score(texts):
         import pandas as pd
 
-        net, out, held, at, n = shared.value, np.full(len(texts), -np.inf), [], 0, 0
-        for i, text in enumerate(texts):
-            held.append(words_of(text))
-            n += len(held[-1])
-            if n >= CHUNK_WORDS:
-                out[at : i + 1] = _scores(net, held)
-                held, at, n = [], i + 1, 0
-        out[at : at + len(held)] = _scores(net, held)
-        return pd.Series(1 / (1 + np.exp(-out)))
+        return pd.Series(score_texts(shared.value, texts.tolist()))
 
     return docs.where(score(F.col("text")) < limit)
 

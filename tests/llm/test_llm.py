@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import re
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -105,6 +106,9 @@ def test_mixing(spark, edges, empty):
     for i, t, _ in rows:
         expected[(i, t)] += copies[i]
     assert Counter((r.doc_id, r.text) for r in mixed.collect()) == +expected
+    clash = make_docs(spark, rows).select("doc_id", "text", "source", *(F.lit("mine").alias(c) for c in ["mix", "Key", "copy", "_mix", "size", "place"]))
+    assert mixing.mixed_documents(clash).columns == clash.columns
+    assert Counter(mixing.mixed_documents(clash).select("doc_id", "text", "mix", "Key").collect()) == Counter({(*k, "mine", "mine"): n for k, n in (+expected).items()})
     assert mixing.mix_sources(empty).count() == 0 and mixing.mixed_documents(empty).count() == 0
 
 
@@ -113,25 +117,40 @@ def brute_lines(rows):
     seen, out, first = set(), {}, {}
     for i, t in sorted({(i, t) for i, t, _ in rows if t is not None}, key=lambda r: (r[0] is not None, r[0] or 0)):
         lines = t.split("\n")
-        real = [k for k, x in enumerate(lines) if set(x) - blank]
+        units = []  # (line, text)
+        for k, x in enumerate(lines):
+            words = re.findall(r"[^ \t\n\x0b\x0c\r]+[ \t\n\x0b\x0c\r]*", x)
+            parts = ["".join(words[a : a + 17]) for a in range(0, len(words), 17)]
+            if set(x) - blank:
+                units += [(k, p) for p in parts] if len(parts) >= 3 else [(k, x)]
         gone = set()
-        for p in range(len(real) - 2):
-            win = tuple(lines[k] for k in real[p : p + 3])
+        for p in range(len(units) - 2):
+            win = tuple(x for _, x in units[p : p + 3])
             if win in seen:
-                gone |= set(real[p : p + 3])
+                gone |= {p, p + 1, p + 2}
             seen.add(win)
-        out[(i, t)] = "\n".join(x for k, x in enumerate(lines) if k not in gone)
-        first[(i, t)] = len(gone)
+        stays = {k for p, (k, _) in enumerate(units) if p not in gone}
+        dropped = {k for p, (k, _) in enumerate(units)} - stays
+        out[(i, t)] = "\n".join(x for k, x in enumerate(lines) if k not in dropped)
+        first[(i, t)] = len(dropped)
     return out, first
 
 
 def test_line_dedup(spark, edges, empty):
     r = random.Random(5)
-    rows = [(100 + i, "\n".join(r.choice(["", "  ", "a", "b", "c", "dd", "e e"]) for _ in range(r.randint(0, 12))), "a") for i in range(150)] + EDGES
+    passage = prose(60, 41)
+    rows = [(100 + i, "\n".join(r.choice(["", "  ", "a", "b", "c", "dd", "e e", passage, " " + prose(40, 42), passage + " end"]) for _ in range(r.randint(0, 12))), "a") for i in range(150)] + EDGES
+    rows += [(300 + i, f"own {i}\n{prose(55, 43)}\nown too {i}", "a") for i in range(3)] + [(310 + i, prose(70, 44), "a") for i in range(2)]
     got = linededup.dedup_lines(make_docs(spark, rows)).collect()
     text, gone = brute_lines(rows)
     expected = Counter((i, text.get((i, t)), gone.get((i, t), 0)) for i, t, _ in rows)
     assert Counter((x.doc_id, x.text, x.n_removed) for x in got) == expected
+    removed = {x.doc_id: x.n_removed for x in got}
+    assert [removed[i] for i in (300, 301, 302, 310, 311)] == [0, 1, 1, 0, 1]
+    clash = make_docs(spark, rows).select("doc_id", "text", *(F.lit(i).alias(c) for i, c in enumerate(["gone", "gone_id", "Gone_Whole", "h1", "lines"])))
+    again = linededup.dedup_lines(clash)
+    assert again.columns == [*clash.columns, "n_lines", "n_removed"]
+    assert Counter((x.doc_id, x.text, x.n_removed) for x in again.collect()) == expected
     assert linededup.dedup_lines(empty).count() == 0
 
 
