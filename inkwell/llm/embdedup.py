@@ -1,10 +1,11 @@
 """Embedding near-dedup by cross-polytope hashing after fast Hadamard rotations.
 
 Copies are one vector with a weight. Every vector is hashed TABLES times: HASHES pseudo-random rotations (three rounds
-of sign flips and a fast Hadamard transform) give the nearest signed axes, and the code joins them. A vector goes to
-its own bucket and to the PROBES next-best ones. Inside a bucket pairs are verified in double precision; a pair that
-meets in several buckets is counted in the first only, which both rows can tell from their codes. Tasks give counts
-and spanning links, never pairs. A bucket too large for one task is cut into blocks that are met block by block.
+of sign flips and a fast Hadamard transform) give the nearest signed axes, and the code joins them. A vector stands in
+its own bucket and in the PROBES next-best ones. A narrow table of buckets shows which of them have a pair that could
+count; only to these the vectors travel. There pairs are verified in double precision; a pair that meets in several
+buckets is counted in the first only, which both rows can tell from their codes. Tasks give counts and spanning links,
+never pairs. A bucket too large for one task is cut into blocks that are met block by block.
 """
 
 from __future__ import annotations
@@ -16,11 +17,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from inkwell.llm.common import key_runs, roots, run_pairs, saved, table
+from inkwell.llm.common import forget, key_runs, roots, run_pairs, saved, table
 from inkwell.llm.components import components
 
 COSINE = 0.93
-TABLES, HASHES, PROBES, SEED = 8, 2, 2, 17
+TABLES, HASHES, PROBES, SEED = 10, 3, 3, 17
 #: Rows of a bucket that one task holds at once, rows of a task's table, pairs verified at a time, tile of large runs.
 BUCKET_ROWS, RUN_ROWS, PAIRS, TILE = 8192, 100_000, 200_000, 1024
 
@@ -42,11 +43,18 @@ def hadamard(x: np.ndarray) -> np.ndarray:
     return x / np.sqrt(np.float32(d))
 
 
+def units(x: np.ndarray) -> np.ndarray:
+    """Rows of length one in double precision, whatever their magnitude."""
+    x = x.astype(np.float64)
+    x = x / np.ldexp(1.0, np.frexp(np.abs(x).max(1, keepdims=True))[1] - 1)  # by a power of two: nothing is rounded
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+
 def codes(x: np.ndarray) -> np.ndarray:
     """(rows, TABLES, 1 + PROBES) bucket codes: the best one, then those with one hash replaced by its second choice."""
     n, d = x.shape
     wide = 1 << max(1, (d - 1).bit_length())
-    x = np.pad(x / np.linalg.norm(x, axis=1, keepdims=True), ((0, 0), (0, wide - d))).astype(np.float32)
+    x = np.pad(units(x), ((0, 0), (0, wide - d))).astype(np.float32)
     rng = np.random.default_rng(SEED)
     out = np.empty((n, TABLES, 1 + PROBES), np.int64)
     for t in range(TABLES):
@@ -68,43 +76,58 @@ def codes(x: np.ndarray) -> np.ndarray:
     return out
 
 
+def _by_length(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(rows, vectors) of a batch's column `embedding`, a few thousand rows of one length at a time."""
+    lists = batch.column("embedding")
+    size = np.diff(lists.offsets.to_numpy())
+    for d in np.unique(size):
+        rows = np.flatnonzero(size == d)
+        for at in range(0, len(rows), 4096):
+            part = rows[at : at + 4096]
+            yield part, lists.take(pa.array(part)).flatten().to_numpy().reshape(-1, d)
+
+
 def _bucketed(reps: DataFrame) -> DataFrame:
-    """A row for each vector, table and bucket: (key, spot, rep, mult, vec, codes)."""
+    """(key, gid, spot) of vectors, a row for each table and bucket; spot numbers both, own buckets first in each table."""
+    spread = TABLES * (1 + PROBES)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for rows, x in _by_length(batch):
+                code = codes(x).reshape(-1)
+                again = pa.array(np.repeat(rows, spread))
+                spot = pa.array(np.tile(np.arange(spread, dtype=np.int16), len(rows)))
+                yield pa.RecordBatch.from_arrays([batch.column("label").take(again), batch.column("gid").take(again), pa.array(np.full(len(code), x.shape[1], np.int32)), spot, pa.array(code)], names=["label", "gid", "dim", "spot", "code"])
+
+    label = reps.schema["label"].dataType.simpleString()
+    rows = reps.select("label", "gid", "embedding").mapInArrow(run, f"label {label}, gid long, dim int, spot short, code long")
+    return rows.select(F.xxhash64("label", "dim", F.floor(F.col("spot") / (1 + PROBES)), "code").alias("key"), "gid", "spot")
+
+
+def _packed(reps: DataFrame) -> DataFrame:
+    """(gid, label, mult, dim, vec, codes): vectors and all their codes as bytes."""
+    kind = np.float32 if reps.schema["embedding"].dataType.elementType.simpleString() == "float" else np.float64
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            lists = batch.column("embedding")
-            size = np.diff(lists.offsets.to_numpy())
-            for d in np.unique(size):
-                rows = np.flatnonzero(size == d)
-                for at in range(0, len(rows), 4096):
-                    part = rows[at : at + 4096]
-                    x = lists.take(pa.array(part)).flatten().to_numpy().astype(np.float64).reshape(-1, d)
-                    code = codes(x)
-                    spread = TABLES * (1 + PROBES)
-                    again = pa.array(np.repeat(part, spread))
-                    spot = np.tile(np.repeat(np.arange(TABLES), 1 + PROBES) * (1 + PROBES) + np.tile(np.arange(1 + PROBES), TABLES), len(part))
-                    vec = pa.array([r.tobytes() for r in x.astype(np.float32 if lists.type.value_type == pa.float32() else np.float64)])
-                    own = pa.array([r.tobytes() for r in code])
-                    local = pa.array(np.repeat(np.arange(len(part)), spread))
-                    yield pa.RecordBatch.from_arrays(
-                        [batch.column("label").take(again), pa.array(np.full(len(spot), d, np.int32)), pa.array(spot.astype(np.int32)), pa.array(code.reshape(-1)), batch.column("rep").take(again), batch.column("mult").take(again), vec.take(local), own.take(local)],
-                        names=["label", "dim", "spot", "code", "rep", "mult", "vec", "codes"],
-                    )
+            for rows, x in _by_length(batch):
+                own = pa.array([r.tobytes() for r in codes(x)])
+                vec = pa.array([r.tobytes() for r in x.astype(kind)])
+                at = pa.array(rows)
+                yield pa.RecordBatch.from_arrays([*(batch.column(c).take(at) for c in ("gid", "label", "mult")), pa.array(np.full(len(rows), x.shape[1], np.int32)), vec, own], names=["gid", "label", "mult", "dim", "vec", "codes"])
 
     label = reps.schema["label"].dataType.simpleString()
-    rep = reps.schema["rep"].dataType.simpleString()
-    spread = reps.select("label", "rep", "mult", "embedding").mapInArrow(run, f"label {label}, dim int, spot int, code long, rep {rep}, mult long, vec binary, codes binary")
-    return spread.withColumn("key", F.xxhash64("label", "dim", F.floor(F.col("spot") / (1 + PROBES)), "code"))
+    return reps.select("gid", "label", "mult", "embedding").mapInArrow(run, f"gid long, label {label}, mult long, dim int, vec binary, codes binary")
 
 
 def _verify(batches: Iterator[pa.RecordBatch], cosine: float, single: bool) -> Iterator[pa.RecordBatch]:
-    """(rep, links, root) of the rows of sorted buckets that found partners there."""
+    """(gid, links, root) of the rows of sorted buckets that found partners there."""
     for run in key_runs(batches, ["key", "tile"], RUN_ROWS):
         key, tile, block = (run[c].to_numpy() for c in ("key", "tile", "block"))
-        rep, mult, spot, dim, code = (run[c].to_numpy() for c in ("rep", "mult", "spot", "dim", "code"))
+        rep, mult, spot, dim = (run[c].to_numpy() for c in ("gid", "mult", "spot", "dim"))
         ordinal, probe = spot // (1 + PROBES), spot % (1 + PROBES)
         own = np.frombuffer(b"".join(run["codes"].to_pylist()), np.int64).reshape(len(rep), TABLES, 1 + PROBES)
+        code = own[np.arange(len(rep)), ordinal, probe]
         label = run["label"].combine_chunks().dictionary_encode()
         label = (label.combine_chunks() if isinstance(label, pa.ChunkedArray) else label).indices.to_numpy()
         raw = run["vec"].to_pylist()
@@ -115,8 +138,7 @@ def _verify(batches: Iterator[pa.RecordBatch], cosine: float, single: bool) -> I
         unit = np.zeros((len(rep), width))
         for d in np.unique(dim):
             rows = np.flatnonzero(dim == d)
-            unit[rows, :d] = np.frombuffer(b"".join([raw[r] for r in rows]), kind).reshape(-1, d)
-        unit /= np.linalg.norm(unit, axis=1, keepdims=True)
+            unit[rows, :d] = units(np.frombuffer(b"".join([raw[r] for r in rows]), kind).reshape(-1, d))
 
         def candidates(new=new, size=size, unit=unit):
             few = size <= 64
@@ -157,44 +179,50 @@ def _verify(batches: Iterator[pa.RecordBatch], cosine: float, single: bool) -> I
         if left and (links > 0).any():
             root = roots(len(rep), np.concatenate(left), np.concatenate(right))
             has = np.flatnonzero(links > 0)
-            yield pa.RecordBatch.from_arrays([pa.array(rep[has]), pa.array(links[has]), pa.array(rep[root[has]])], names=["rep", "links", "root"])
+            yield pa.RecordBatch.from_arrays([pa.array(rep[has]), pa.array(links[has]), pa.array(rep[root[has]])], names=["gid", "links", "root"])
 
 
 def linked_vectors(reps: DataFrame, cosine: float = COSINE) -> DataFrame:
-    """(rep, links, root) rows of distinct vectors (label, rep, mult, embedding); links add up, roots connect."""
-    rows = saved(_bucketed(reps), "buckets")
-    large = saved(rows.groupBy("key").count().where(F.col("count") > BUCKET_ROWS).select("key", F.ceil(F.col("count") / (BUCKET_ROWS // 2)).cast("int").alias("blocks")), "large")
-    if large.isEmpty():
-        rows = rows.withColumn("block", F.lit(0)).withColumn("tile", F.lit(0))
-    else:  # block b meets block c in tile (b, c); a row goes to the tiles of its block
-        rows = rows.join(large, "key", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
-        rows = rows.withColumn("block", F.pmod(F.xxhash64("rep", F.lit(5)), F.col("blocks")).cast("int"))
-        high, low = (lambda o: F.greatest(o, "block")), (lambda o: F.least(o, "block"))
-        tiles = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: (F.floor(high(o) * (high(o) + 1) / 2) + low(o)).cast("int"))
-        rows = rows.withColumn("tile", F.explode(tiles)).drop("blocks")
+    """(gid, links, root) rows of distinct vectors (gid, label, mult, embedding); links add up, roots connect."""
+    narrow = saved(_bucketed(reps), "buckets")
+    own = F.col("spot") % (1 + PROBES) == 0
+    live = narrow.groupBy("key").agg(F.count("*").alias("n"), F.sum(own.cast("long")).alias("own")).where("n > 1 and own > 0")
+    live = live.select("key", F.when(F.col("n") > BUCKET_ROWS, F.ceil(F.col("n") / (BUCKET_ROWS // 2))).otherwise(1).cast("int").alias("blocks"))
+    # block b meets block c in tile (b, c); a row goes to the tiles of its block
+    rows = narrow.join(live, "key").withColumn("block", F.pmod(F.xxhash64("gid", F.lit(5)), F.col("blocks")).cast("int"))
+    high, low = (lambda o: F.greatest(o, "block")), (lambda o: F.least(o, "block"))
+    tiles = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: (F.floor(high(o) * (high(o) + 1) / 2) + low(o)).cast("int"))
+    rows = rows.join(_packed(reps), "gid").withColumn("tile", F.explode(tiles)).drop("blocks")
     single = reps.schema["embedding"].dataType.elementType.simpleString() == "float"
-    rep = reps.schema["rep"].dataType.simpleString()
-    return rows.repartition("key", "tile").sortWithinPartitions("key", "tile").mapInArrow(lambda b: _verify(b, cosine, single), f"rep {rep}, links long, root {rep}")
+    rows = rows.repartition("key", "tile").sortWithinPartitions("key", "tile")
+    found = saved(rows.mapInArrow(lambda b: _verify(b, cosine, single), "gid long, links long, root long"), "links")
+    forget(narrow)
+    return found
 
 
 def dedup_vectors(vectors: DataFrame, cosine: float = COSINE) -> DataFrame:
     """(vec_id, n_links, component_id, kept) of vectors (vec_id, embedding, label), a row for each row.
 
     Vectors that are null, empty, zero or hold null or non-finite components, those without label and those without id
-    link with nothing: n_links 0, component_id their own id. Vectors of different length never link. Rows that repeat
-    a vector and label are copies and link with each other; rows that repeat a vec_id are one node. An empty table
+    link with nothing: n_links 0, component_id their own id. Vectors of different length never link, those of any
+    magnitude do. Rows that repeat a vector and label are copies and link with each other; n_links counts rows. Rows
+    that repeat a vec_id are one node, whatever their vectors: what is reachable from one is from all. An empty table
     gives an empty one; other columns are not looked at.
     """
     takes_part = usable(F.col("embedding")) & F.col("label").isNotNull() & F.col("vec_id").isNotNull()
-    named = vectors.select("vec_id", "label", "embedding", takes_part.alias("ok"), F.xxhash64("embedding").alias("h1"), F.xxhash64(F.lit(1), "embedding").alias("h2"))
-    reps = named.where("ok").groupBy("label", "h1", "h2").agg(F.min("vec_id").alias("rep"), F.count("*").alias("mult"), F.first("embedding").alias("embedding"))
-    reps = saved(reps, "vectors")
-    found = saved(linked_vectors(reps, cosine), "links")
-    stars = components(found.select(F.col("rep").alias("u"), F.col("root").alias("v"))).select(F.col("node").alias("rep"), F.col("root").alias("component_id"))
-    count = found.groupBy("rep").agg(F.sum("links").alias("links"))
-    about = reps.select("label", "h1", "h2", "rep", "mult").join(count, "rep", "left").join(stars, "rep", "left")
-    about = about.select("label", "h1", "h2", (F.coalesce("links", F.lit(0)) + F.col("mult") - 1).alias("n_links"), F.coalesce("component_id", "rep").alias("component_id"))
-    linking = named.where("ok").select("vec_id", "label", "h1", "h2").join(about, ["label", "h1", "h2"]).select("vec_id", "n_links", "component_id")
+    named = vectors.select("vec_id", "label", "embedding", takes_part.alias("ok"))
+    # gid names a vector and label by 64 hash bits
+    part = named.where("ok").select("vec_id", F.xxhash64("label", "embedding").alias("gid"), "label", "embedding")
+    reps = saved(part.groupBy("gid").agg(F.min("vec_id").alias("least"), F.count("*").alias("mult"), F.first("label").alias("label"), F.first("embedding").alias("embedding")), "vectors")
+    found = linked_vectors(reps, cosine)
+    ids = part.groupBy("vec_id").agg(F.min("gid").alias("v"), F.max("gid").alias("u")).where("u <> v").select("vec_id", "v")
+    same = part.select("vec_id", "gid").join(ids, "vec_id").where("gid <> v").select(F.col("gid").alias("u"), "v")
+    stars = components(found.select(F.col("gid").alias("u"), F.col("root").alias("v")).union(same))
+    count = found.groupBy("gid").agg(F.sum("links").alias("links"))
+    about = reps.select("gid", "least", "mult").join(count, "gid", "left").join(stars.withColumnRenamed("node", "gid"), "gid", "left")
+    about = saved(about.select("gid", "least", F.coalesce("root", "gid").alias("root"), (F.coalesce("links", F.lit(0)) + F.col("mult") - 1).alias("n_links")), "about")
+    about = about.join(about.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("gid", "n_links", "component_id")
+    linking = part.select("vec_id", "gid").join(about, "gid").select("vec_id", "n_links", "component_id")
     alone = named.where("not ok").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     return linking.union(alone).withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))
 

@@ -10,14 +10,14 @@ from inkwell.llm.common import fresh, saved, table
 WINDOW = 3
 #: Line characters that count as blank.
 BLANK = r"^[\x20\x09-\x0D]*$"
-#: A line that gives three or more pieces of PIECE_WORDS words (of the words as they stand, last one shorter) is hashed
-#: as so many lines, so that a long passage repeated as one line among others fills windows by itself.
-PIECE_WORDS = 17
-PIECE = rf"(?:[^\x20\x09-\x0D]+[\x20\x09-\x0D]*){{1,{PIECE_WORDS}}}"
+#: A line of more words is hashed as WINDOW lines, equal parts of its characters, so that a long passage repeated as one
+#: line among others fills a window by itself.
+LONG_WORDS = 50
+WORD = r"[^\x20\x09-\x0D]+"
 
 
-def _units(text: Column) -> Column:
-    """Structs (i, a, b) of what windows are made of: hashes of non-blank lines and of long lines' pieces; i: the line."""
+def _units(text: Column, size: int) -> Column:
+    """Structs (i, a, b) of what windows are made of: hashes of non-blank lines and of long lines' parts; i: the line."""
     lines = F.filter(
         F.transform(F.split(text, "\n", -1), lambda x, i: F.struct(i.alias("i"), x.alias("x"))),
         lambda s: ~s["x"].rlike(BLANK),
@@ -27,17 +27,17 @@ def _units(text: Column) -> Column:
         return F.struct(i.alias("i"), F.xxhash64(x).alias("a"), F.xxhash64(F.lit(1), x).alias("b"))
 
     def cut(s: Column) -> Column:
-        whole = F.array(hashed(s["x"], s["i"]))
-        found = F.regexp_extract_all(s["x"], F.lit(PIECE), F.lit(0))
-        pieces = F.when(F.size(found) >= WINDOW, F.transform(found, lambda x: hashed(x, s["i"]))).otherwise(whole)
-        return F.when(F.length(s["x"]) >= 4 * PIECE_WORDS, pieces).otherwise(whole)  # fewer characters have no third piece
+        part = F.floor(F.length(s["x"]) / size).cast("int")
+        parts = [F.substring(s["x"], part * k + 1, part if k < size - 1 else F.length(s["x"])) for k in range(size)]
+        long = (F.length(s["x"]) > 2 * LONG_WORDS) & (F.regexp_count(s["x"], F.lit(WORD)) > LONG_WORDS)
+        return F.when(long, F.array(*(hashed(x, s["i"]) for x in parts))).otherwise(F.array(hashed(s["x"], s["i"])))
 
     return F.flatten(F.transform(lines, cut))
 
 
 def _occurrences(docs: DataFrame, size: int) -> DataFrame:
-    """(doc_id, whole, pos, lines, first, h1, h2) of all windows; lines: where its units stand, first: their places."""
-    hashed = docs.select("doc_id", F.xxhash64("text").alias("whole"), _units(F.col("text")).alias("l")).where(F.size("l") >= size)
+    """(doc_id, whole, pos, lines, h1, h2) of all windows; pos: place of the first unit, lines: the lines of all."""
+    hashed = docs.select("doc_id", F.xxhash64("text").alias("whole"), _units(F.col("text"), size).alias("l")).where(F.size("l") >= size)
     of = lambda i, field: [F.element_at("l", (i + k).cast("int"))[field] for k in range(1, size + 1)]
     window = lambda i: F.struct(i.alias("pos"), F.array(*of(i, "i")).alias("lines"), F.xxhash64(*of(i, "a")).alias("h1"), F.xxhash64(*of(i, "b")).alias("h2"))
     each = F.transform(F.sequence(F.lit(0), F.size("l") - size), window)
@@ -47,10 +47,10 @@ def _occurrences(docs: DataFrame, size: int) -> DataFrame:
 def dedup_lines(docs: DataFrame, size: int = WINDOW) -> DataFrame:
     """The documents with later occurrences of repeated windows removed, plus n_lines and n_removed.
 
-    Windows are `size` consecutive non-blank lines, compared by 128 hash bits; a line of many words counts as several,
-    its pieces. The first occurrence, by doc_id and then place, stays; every line goes of which later occurrences cover
-    all pieces. Blank lines stay. Documents with fewer non-blank lines and pieces, null and empty texts stay as they are
-    (n_lines 0 for null). Rows that repeat both doc_id and text count as one and get the same result. A document whose
+    Windows are `size` consecutive non-blank lines, compared by 128 hash bits; a line of more than LONG_WORDS words counts
+    as `size` lines, its parts. The first occurrence, by doc_id and then place, stays; every line goes of which later
+    occurrences cover all parts. Blank lines stay. Documents with fewer lines and parts, null and empty texts stay as
+    they are (n_lines 0 for null). Rows that repeat both doc_id and text count as one and get the same result. A document whose
     lines all go keeps its row, with its blank lines or an empty text. Further columns stay, whatever their names;
     n_lines and n_removed replace columns of those names.
     """
@@ -65,7 +65,7 @@ def dedup_lines(docs: DataFrame, size: int = WINDOW) -> DataFrame:
     names = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
     both = docs.join(places, docs["doc_id"].eqNullSafe(places[gone_id]) & (F.xxhash64(docs["text"]) == places[gone_whole]), "left")
     lines = F.split("text", "\n", -1)
-    units = F.transform(_units(F.col("text")), lambda u: u["i"])  # of a line covered in part, a place stays
+    units = F.transform(_units(F.col("text"), size), lambda u: u["i"])  # of a line covered in part, a place stays
     left = F.array_except(F.transform(units, lambda i, p: F.struct(i.alias("i"), p.alias("p"))), F.col(gone))
     out_lines = F.array_except(F.transform(F.col(gone), lambda g: g["i"]), F.transform(left, lambda g: g["i"]))
     dropped = F.when(F.col(gone).isNotNull(), out_lines)
@@ -84,10 +84,11 @@ OP6_SQL = """
 WITH l AS (
   SELECT d.doc_id, d.text, u.i, u.x FROM documents d, unnest(string_split(d.text, chr(10))) WITH ORDINALITY AS u(x, i)),
 n AS (
-  SELECT doc_id, text, i, x, regexp_extract_all(x, '(?:[^\\x20\\x09-\\x0D]+[\\x20\\x09-\\x0D]*){1,17}') AS cut
+  SELECT doc_id, i, x, length(x) // 3 AS k, len(regexp_extract_all(x, '[^\\x20\\x09-\\x0D]+')) > 50 AS long_line
   FROM (SELECT DISTINCT * FROM l) WHERE NOT regexp_full_match(x, '[\\x20\\x09-\\x0D]*')),
-c AS (
-  SELECT doc_id, text, i, p.x, p.j FROM (SELECT *, CASE WHEN len(cut) >= 3 THEN cut ELSE [x] END AS parts FROM n) m, unnest(parts) WITH ORDINALITY AS p(x, j)),
+m AS (
+  SELECT doc_id, i, CASE WHEN long_line THEN [substr(x, 1, k), substr(x, k + 1, k), substr(x, 2 * k + 1)] ELSE [x] END AS parts FROM n),
+c AS (SELECT doc_id, i, p.x, p.j FROM m, unnest(parts) WITH ORDINALITY AS p(x, j)),
 b AS (
   SELECT doc_id, i, x, row_number() OVER (PARTITION BY doc_id ORDER BY i, j) AS pos FROM c),
 w AS (

@@ -119,10 +119,9 @@ def brute_lines(rows):
         lines = t.split("\n")
         units = []  # (line, text)
         for k, x in enumerate(lines):
-            words = re.findall(r"[^ \t\n\x0b\x0c\r]+[ \t\n\x0b\x0c\r]*", x)
-            parts = ["".join(words[a : a + 17]) for a in range(0, len(words), 17)]
+            third = len(x) // 3
             if set(x) - blank:
-                units += [(k, p) for p in parts] if len(parts) >= 3 else [(k, x)]
+                units += [(k, p) for p in (x[:third], x[third : 2 * third], x[2 * third :])] if len(re.findall(r"[^ \t\n\x0b\x0c\r]+", x)) > 50 else [(k, x)]
         gone = set()
         for p in range(len(units) - 2):
             win = tuple(x for _, x in units[p : p + 3])
@@ -291,6 +290,17 @@ def test_embedding_dedup(spark, monkeypatch, cap):
     assert embdedup.dedup_vectors(spark.createDataFrame([], VECTORS)).count() == 0
 
 
+def test_embedding_dedup_at_any_magnitude_and_with_repeated_ids(spark):
+    kind = "vec_id long, embedding array<double>, label string"
+    rows = [(1, [1e200, 1e200], "a"), (2, [1e200, 1.01e200], "a"), (3, [1e-200, 1e-200], "a"), (4, [1e200, 1e200], "b"), (5, [5e-324, 5e-324], "b"), (6, [-3.0], "a"), (7, [2.0], "a"), (8, [9.0], "a"), (9, [1e308, -1e308], "a")]
+    got = {r.vec_id: (r.n_links, r.component_id) for r in embdedup.dedup_vectors(spark.createDataFrame(rows, kind)).collect()}
+    assert got == {1: (2, 1), 2: (2, 1), 3: (2, 1), 4: (1, 4), 5: (1, 4), 6: (0, 6), 7: (1, 7), 8: (1, 7), 9: (0, 9)}
+    x, y = [1.0, 0.0, 0.0], [0.0, 1.0, 0.0]
+    rows = [(1, x, "a"), (2, x, "a"), (2, y, "a"), (3, y, "a"), (3, y, "a"), (4, [0.0, 0.0, 1.0], "a")]
+    got = Counter((r.vec_id, r.n_links, r.component_id) for r in embdedup.dedup_vectors(spark.createDataFrame(rows, kind)).collect())
+    assert got == {(1, 1, 1): 1, (2, 1, 1): 1, (2, 2, 1): 1, (3, 2, 1): 2, (4, 0, 4): 1}
+
+
 def test_hadamard_keeps_lengths():
     x = np.random.default_rng(0).standard_normal((5, 32)).astype(np.float32)
     assert np.allclose(np.linalg.norm(embdedup.hadamard(x), axis=1), np.linalg.norm(x, axis=1), rtol=1e-4)
@@ -298,7 +308,7 @@ def test_hadamard_keeps_lengths():
 
 
 def test_nearest(spark, monkeypatch):
-    monkeypatch.setattr(ann, "BLOCK_ROWS", 150)
+    monkeypatch.setattr(ann, "BLOCK_ROWS", 50)
     monkeypatch.setattr(ann, "QUERY_ROWS", 3)
     rows = vector_rows()
     df = spark.createDataFrame(rows, VECTORS)
@@ -315,9 +325,60 @@ def test_nearest(spark, monkeypatch):
     assert {r.query_id for r in got} == {i for i in good if i % 50 == 0}
     few = df.where("vec_id in (0, 1, 2)")
     assert ann.nearest(few, few).count() == 6
+    tie = spark.createDataFrame([(9, [1.0]), *((i, [float(1 + i % 3)]) for i in range(100, 130))], "vec_id long, embedding array<float>")
+    assert [(r["rank"], r.vec_id, r.score) for r in sorted(ann.nearest(tie, tie.where("vec_id = 9")).collect(), key=lambda r: r["rank"])] == [(k + 1, 102 + 3 * k, 0.0) for k in range(10)]
     assert ann.nearest(spark.createDataFrame([], VECTORS), spark.createDataFrame([], VECTORS)).count() == 0
 
 
+def brute_nearest(rows, queries, k=10):
+    """Distances in unbounded precision."""
+    from decimal import Decimal
+
+    out = {}
+    for q in queries:
+        own = dict(rows)[q]
+        away = sorted((sum((Decimal(a) - Decimal(b)) ** 2 for a, b in zip(v, own)).sqrt(), i) for i, v in rows if i != q and len(v) == len(own))
+        out[q] = [(i, float(d)) for d, i in away[:k]]
+    return out
+
+
+def test_nearest_at_any_magnitude(spark):
+    r = np.random.default_rng(4)
+    rows = [(i, r.standard_normal(4).tolist()) for i in range(30)]
+    rows += [(100 + i, (r.standard_normal(4) * 1e307).tolist()) for i in range(14)] + [(200 + i, (r.standard_normal(4) * 1e-200).tolist()) for i in range(14)] + [(300, [1e308, 1e308, 0.0, 0.0]), (302, [3.0]), (304, [5e-324])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = {}
+    for x in ann.nearest(df, df.where("vec_id % 2 = 0")).collect():
+        got.setdefault(x.query_id, []).append((x["rank"], x.vec_id, x.score))
+    for q, best in brute_nearest(rows, [i for i, _ in rows if i % 2 == 0]).items():
+        own = sorted(got.get(q, []))
+        assert [i for _, i, _ in own] == [i for i, _ in best]
+        assert [s for *_, s in own] == pytest.approx([d for _, d in best], rel=1e-9)
+
+
+def test_nearest_over_several_cells_of_default_size(spark):
+    r = np.random.default_rng(6)
+    base = r.standard_normal((300, 24))
+    x = (base[r.integers(0, 300, 40_000)] + 0.4 * r.standard_normal((40_000, 24))).astype(np.float32)
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(x.tolist())], "vec_id long, embedding array<float>").repartition(4)
+    assert len(x) > 2 * ann.BLOCK_ROWS
+    got = {}
+    for row in ann.nearest(df, df.where("vec_id % 400 = 0")).collect():
+        got.setdefault(row.query_id, []).append(row.vec_id)
+    x, hit = x.astype(float), 0
+    for q in range(0, len(x), 400):
+        d = ((x - x[q]) ** 2).sum(1)
+        d[q] = np.inf
+        hit += len(set(np.argsort(d, kind="stable")[:10].tolist()) & set(got[q]))
+    assert hit >= 0.95 * 10 * len(got) and len(got) == 100
+
+
+def test_cells_out_of_reach_are_not_searched(spark):
+    ends = spark.createDataFrame([(2, c, 5, [v - 1.0] * 64, [v + 1.0] * 64) for c, v in enumerate([0.0, 3.0, 500.0])], "dim int, cell int, n long, low array<double>, high array<double>")
+    queries = spark.createDataFrame([(7, [0.1, 0.1], 2, 0, 10, 4.0), (8, [0.1, 0.1], 2, 0, 10, float("inf"))], "query_id long, embedding array<double>, dim int, cell int, k int, limit double")
+    assert {(r.query_id, r.cell) for r in ann._near_cells(queries, ends).collect()} == {(7, 1), (8, 1), (8, 2)}
+
+
 SYLLABLES = {"en": ["th", "ing", "er", "wh", "ea"], "fr": ["eau", "é", "que", "oi", "ç"], "ru": ["при", "вет", "ст", "ж", "ов"]}
 
 
