@@ -7,6 +7,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as S
 
 
+def _record(**fields: S.DataType) -> S.StructType:
+    return S.StructType([S.StructField(name, kind) for name, kind in fields.items()])
+
+
+def _list(**fields: S.DataType) -> S.ArrayType:
+    return S.ArrayType(_record(**fields))
+
+
 @F.pandas_udf(S.StringType())
 def detect_charset(content: pd.Series) -> pd.Series:
     """The charset of text bytes; null for null."""
@@ -38,3 +46,105 @@ def html_to_markdown(html: pd.Series) -> pd.DataFrame:
 
     rows = [(None, None) if h is None else H.page(h) for h in html]
     return pd.DataFrame(rows, columns=["markdown", "title"])
+
+
+def markdown_of(keep_data_uris: bool = False):
+    """A function of HTML texts that gives their Markdown."""
+
+    @F.pandas_udf(S.StringType())
+    def run(html: pd.Series) -> pd.Series:
+        from inkwell.parsers import html as H
+
+        return html.map(lambda h: None if h is None else H.page(h, keep_data_uris)[0])
+
+    return run
+
+
+@F.pandas_udf(S.StringType())
+def book_path(content: pd.Series) -> pd.Series:
+    """The path of the package document that an EPUB's container names; null if it names none or isn't XML."""
+    from inkwell.parsers.xmltree import parse_xml
+
+    def path(data):
+        try:
+            root = parse_xml(bytes(data)).first("rootfile")
+        except ValueError:
+            return None
+        return root.attrs.get("full-path") if root is not None else None
+
+    return content.map(path)
+
+
+BOOK = _record(about=_list(name=S.StringType(), value=S.StringType()), title=S.StringType(), items=_list(idref=S.StringType(), href=S.StringType()), spine=S.ArrayType(S.StringType()), error=S.StringType())
+
+
+@F.pandas_udf(BOOK)
+def book(content: pd.Series) -> pd.DataFrame:
+    """What a package document says of its book, its manifest and its spine."""
+    from inkwell.parsers.xmltree import parse_xml
+
+    def one(data):
+        try:
+            opf = parse_xml(bytes(data))
+        except ValueError as e:
+            return None, None, None, None, str(e)
+        about = [("Title", opf.text_of("dc:title")), ("Authors", ", ".join(n.content().strip() for n in opf.all("dc:creator")))]
+        about += [(k.capitalize(), opf.text_of(f"dc:{k}")) for k in ("language", "publisher", "date", "description", "identifier")]
+        items = [{"idref": n.attrs["id"], "href": n.attrs["href"]} for n in opf.all("item") if n.attrs.get("id") and n.attrs.get("href")]
+        return [{"name": k, "value": v} for k, v in about], opf.text_of("dc:title"), items, [n.attrs.get("idref", "") for n in opf.all("itemref")], None
+
+    return pd.DataFrame([one(d) for d in content], columns=["about", "title", "items", "spine", "error"])
+
+
+@F.pandas_udf(_list(name=S.StringType(), rel_id=S.StringType(), from_1904=S.BooleanType()))
+def sheet_list(content: pd.Series) -> pd.Series:
+    """The sheets of a workbook part, with the ids of their relationships."""
+    from inkwell.parsers.xmltree import parse_xml
+
+    def one(data):
+        book = parse_xml(bytes(data))
+        properties = book.one("workbookPr")
+        early = properties is not None and properties.attrs.get("date1904") in ("1", "true")
+        return [{"name": s.attrs.get("name", ""), "rel_id": s.attr("id"), "from_1904": early} for s in book.named("sheet")]
+
+    return content.map(lambda d: _or_none(one, d))
+
+
+@F.pandas_udf(_list(rel_id=S.StringType(), target=S.StringType()))
+def relationships(content: pd.Series) -> pd.Series:
+    """The relationships of a part."""
+    from inkwell.parsers.xmltree import parse_xml
+
+    return content.map(lambda d: _or_none(lambda x: [{"rel_id": n.attrs.get("Id"), "target": n.attrs.get("Target", "")} for n in parse_xml(bytes(x)).named("Relationship")], d))
+
+
+@F.pandas_udf(S.ArrayType(S.StringType()))
+def shared_strings(content: pd.Series) -> pd.Series:
+    """The strings of a workbook's string table, without phonetic runs."""
+    from inkwell.parsers.xmltree import parse_xml
+
+    return content.map(lambda d: _or_none(lambda x: ["".join(t.content() for t in s.named("t") if not t.inside("rPh")) for s in parse_xml(bytes(x)).named("si")], d))
+
+
+@F.pandas_udf(S.ArrayType(S.BooleanType()))
+def date_styles(content: pd.Series) -> pd.Series:
+    """Whether each cell style of a workbook shows numbers as dates."""
+    from inkwell.parsers import sheets
+
+    return content.map(lambda d: _or_none(sheets.date_styles, bytes(d)))
+
+
+@F.pandas_udf(_list(r=S.IntegerType(), c=S.IntegerType(), kind=S.StringType(), text=S.StringType(), serial=S.DoubleType(), style=S.IntegerType()))
+def sheet_cells(content: pd.Series) -> pd.Series:
+    """The cells of a sheet part; kind i marks places in the string table, given in `text`."""
+    from inkwell.parsers import sheets
+
+    return content.map(lambda d: _or_none(sheets.cell_rows, bytes(d)))
+
+
+def _or_none(f, data):
+    """What a part parser gives, null for a part that isn't well formed."""
+    try:
+        return f(data)
+    except (ValueError, KeyError, AttributeError):
+        return None

@@ -72,6 +72,11 @@ def escape_cell(text: Column) -> Column:
     return F.replace(text, F.lit("\n"), F.lit(" "))
 
 
+def escape_markdown(text: Column) -> Column:
+    """Emphasis and code marks, and marks that would start a list, heading, rule or fence, as plain text."""
+    return F.regexp_replace(F.regexp_replace(text, r"[*_`]", r"\\$0"), r"^(\+ |=+|#{1,6} |~~~)", r"\\$1")
+
+
 def table_row(cells: Column) -> Column:
     """A Markdown row of array<string>."""
     return F.concat(F.lit("|"), F.array_join(F.transform(cells, lambda c: F.concat(F.lit(" "), escape_cell(F.coalesce(c, F.lit(""))), F.lit(" |"))), ""))
@@ -182,3 +187,25 @@ def html_title(html: Column) -> Column:
 
 def without_scripts(html: Column) -> Column:
     return F.regexp_replace(html, r"(?is)<script\b[^>]*>.*?</script>|<style\b[^>]*>.*?</style>", "")
+
+
+def charset_sample(content: Column) -> Column:
+    """The bytes by which a charset is told."""
+    return F.substring(content, 1, 4096)
+
+
+def quoted_links(html: Column) -> Column:
+    """The addresses of anchors whose only attribute is a quoted address, in order."""
+    return F.regexp_extract_all(html, F.lit('<a href="([^"]*)"'), F.lit(1))
+
+
+def json_first(text: Column) -> Column:
+    """The value of the first key of a JSON object; null if there is none."""
+    return F.get(F.map_values(F.from_json(text, "map<string,string>")), F.lit(0))
+
+
+def version_at_least(version: Column, least: tuple[int, ...]) -> Column:
+    """Whether a dotted version is at least another one, part by part as numbers; missing parts count as 0."""
+    parts = F.transform(F.split(version, r"\."), lambda p: F.coalesce(p.try_cast("int"), F.lit(0)))
+    own = F.slice(F.concat(parts, F.array_repeat(F.lit(0), len(least))), 1, len(least))
+    return own >= F.array(*map(F.lit, least))

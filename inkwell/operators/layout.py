@@ -110,10 +110,12 @@ def form_pages(words: DataFrame) -> DataFrame:
     order = W.partitionBy(*PAGE).orderBy("line")
     rows = rows.withColumn("region", F.when(F.col("is_table"), F.row_number().over(order) - F.sum(F.col("is_table").cast("int")).over(order)).otherwise(-1 - F.row_number().over(order)))
     placed = each.join(rows.select(*PAGE, "line", "columns", "region", "is_table"), [*PAGE, "line"])
-    placed = placed.withColumn("col", F.when(F.col("is_table"), column_of(F.col("x0"), F.col("columns"))).otherwise(0))
+    placed = placed.withColumn("col", F.when(F.col("is_table"), column_of(F.col("x0"), F.col("columns"))).otherwise(F.col("cluster")))
     cell = placed.groupBy(*PAGE, "region", "line", "is_table", F.size("columns").alias("width"), "col").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", "text"))), lambda w: w["text"]), " ").alias("cell"))
-    row = cell.groupBy(*PAGE, "region", "line", "is_table", "width").agg(F.map_from_entries(F.collect_list(F.struct("col", "cell"))).alias("m"))
-    row = row.withColumn("cells", F.when(F.col("is_table"), F.transform(F.sequence(F.lit(0), F.col("width") - 1), lambda i: F.coalesce(F.try_element_at("m", i), F.lit("")))).otherwise(F.array(F.element_at("m", F.lit(0)))))
+    row = cell.groupBy(*PAGE, "region", "line", "is_table", "width").agg(F.array_sort(F.collect_list(F.struct("col", "cell"))).alias("m"))
+    among = F.map_from_entries("m")
+    plain = F.array(F.array_join(F.transform("m", lambda x: x["cell"]), "  "))  # columns of a line that is no table row
+    row = row.withColumn("cells", F.when(F.col("is_table"), F.transform(F.sequence(F.lit(0), F.col("width") - 1), lambda i: F.coalesce(F.try_element_at(among, i), F.lit("")))).otherwise(plain))
     block = row.groupBy(*PAGE, "region", "is_table", "width").agg(F.min("line").alias("line"), F.transform(F.array_sort(F.collect_list(F.struct("line", "cells"))), lambda r: r["cells"]).alias("rows"))
     widths = F.transform(F.sequence(F.lit(0), F.col("width") - 1), lambda i: F.aggregate("rows", F.lit(3), lambda a, r: F.greatest(a, F.length(F.get(r, i)))))
     padded = lambda r: F.concat(F.lit("| "), F.array_join(F.zip_with(r, widths, lambda c, n: F.rpad(c, n, " ")), " | "), F.lit(" |"))
@@ -135,13 +137,26 @@ def low_quality(markdown: Column) -> Column:
     return F.when(F.size(lines) == 0, True).when((F.size(table) < 2) | (F.size(cells) == 0), False).otherwise((mean <= 2.5) | (single > 0.35))
 
 
+def partial_number(line: Column) -> Column:
+    """Whether a line is only a part of a number, `.N`."""
+    return F.trim(line).rlike(r"^\.\d+$")
+
+
 def partial_numbers_joined(lines: DataFrame) -> DataFrame:
-    """Of (doc_id, n, line): a line that is only `.N` joins the next line that isn't blank; blanks between them go."""
+    """Of (doc_id, n, line): a line that is only `.N` joins the next line that isn't blank; blanks between them go.
+
+    One window over a document: of partial numbers that follow one another directly every second one joins, so what
+    counts is whether a line's place in its run of partial numbers is odd.
+    """
     w = W.partitionBy("doc_id").orderBy("n")
-    real = lines.where(F.trim("line") != "")
-    starts = F.trim("line").rlike(r"^\.\d+$")
-    seen = real.withColumn("p", starts).withColumn("next", F.lead("line").over(w)).withColumn("next_n", F.lead("n").over(w)).withColumn("after", F.lag("p").over(w))
-    joined = seen.where(F.col("p") & F.col("next").isNotNull() & ~F.coalesce("after", F.lit(False))).select("doc_id", "n", F.concat(F.trim("line"), F.lit(" "), F.trim("next")).alias("whole"), "next_n")
-    inside = lines.join(joined.select("doc_id", F.col("n").alias("a"), "next_n"), "doc_id").where("n > a and n <= next_n").select("doc_id", "n")
-    out = lines.join(inside, ["doc_id", "n"], "left_anti").join(joined.select("doc_id", "n", "whole"), ["doc_id", "n"], "left")
-    return out.select("doc_id", "n", F.coalesce("whole", "line").alias("line"))
+    blank = F.trim("line") == ""
+    seen = lines.withColumn("_real", F.when(~blank, F.struct("n", F.trim("line").alias("line")))).withColumn("_partial", ~blank & partial_number(F.col("line")))
+    seen = seen.withColumn("_run", F.sum(F.when(~blank & ~F.col("_partial"), 1).otherwise(0)).over(w))  # a new run behind each other line
+    run = W.partitionBy("doc_id", "_run").orderBy("n")
+    nth = F.sum(F.col("_partial").cast("int")).over(run)
+    before, after = w.rowsBetween(W.unboundedPreceding, -1), w.rowsBetween(1, W.unboundedFollowing)
+    seen = seen.withColumn("_next", F.first("_real", True).over(after)).withColumn("_odd", F.col("_partial") & (nth % 2 == 1)).withColumn("_joins", F.col("_odd") & F.col("_next").isNotNull())
+    last = F.last(F.when(~blank, F.col("_joins")), True).over(before)
+    seen = seen.withColumn("_gone", F.coalesce(last, F.lit(False)) & F.when(blank, F.col("_next").isNotNull()).otherwise(True))
+    whole = F.when(F.col("_joins"), F.concat(F.trim("line"), F.lit(" "), F.col("_next")["line"])).otherwise(F.col("line"))
+    return seen.where(~F.col("_gone")).select("doc_id", "n", whole.alias("line"))

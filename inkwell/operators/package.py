@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -21,3 +21,17 @@ def missing_notes(notes: DataFrame, bodies: DataFrame) -> DataFrame:
     real = notes.where(~F.col("note_id").isin("-1", "0") & (F.trim("text") != ""))
     seen = F.contains("markdown", F.concat(F.lit("(#footnote-ref-"), "note_id", F.lit(")"))) | F.contains("markdown", F.trim("text"))
     return real.join(bodies, "doc_id").where(~seen).select("doc_id", "note_id", F.trim("text").alias("text"))
+
+
+def alphabetical(path: Column) -> Column:
+    """A key by which paths sort alphabetically, without regard to case first."""
+    return F.collate(path, "UNICODE")
+
+
+def chart_rows(names: Column, values: Column) -> Column:
+    """Rows of a chart's categories and one series' values, which meet by ordinal: a missing category is its number, a
+    missing value empty."""
+    n = F.greatest(F.size(names), F.size(values))
+    at = lambda a, i: F.get(a, i.cast("int"))
+    row = lambda i: F.concat_ws(" | ", F.coalesce(at(names, i), (i + 1).cast("string")), F.coalesce(at(values, i), F.lit("")))
+    return F.when(n > 0, F.transform(F.sequence(F.lit(0), n - 1), row)).otherwise(F.array().cast("array<string>"))

@@ -6,6 +6,7 @@ import re
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -32,6 +33,8 @@ class Route:
     magic: bool = False
     charset: bool = False
     priority: float = SPECIFIC
+    #: A plugin's own rule, (content, hints) -> bool, besides the lists above; one that fails says no.
+    rule: Callable[[bytes, dict], bool] | None = None
 
 
 _HTML = {"extensions": (".html", ".htm"), "mimes": ("text/html", "application/xhtml")}
@@ -69,6 +72,9 @@ class Registry:
         self.routes.insert(0, route)
         self.converters[route.name] = convert
 
+    #: The older name of `register`.
+    register_page_converter = register
+
     def ordered(self) -> list[Route]:
         return sorted(self.routes, key=lambda r: r.priority)
 
@@ -94,6 +100,8 @@ def accepts(route: Route, info: Column, content: Column) -> Column:
         tests.append((ext == "") & T.has_ole_magic(content))
     if route.charset:
         tests.append(info["charset"].isNotNull())
+    if route.rule is not None:
+        tests.append(_ruled(route.rule)(content, info))
     out = F.lit(False)
     for t in tests:
         out = out | t
@@ -102,6 +110,24 @@ def accepts(route: Route, info: Column, content: Column) -> Column:
     return F.coalesce(out, F.lit(False))
 
 
+def _says_yes(rule: Callable[[bytes, dict], bool], content: bytes | None, info: dict) -> bool:
+    try:
+        return content is not None and bool(rule(content, info))
+    except Exception:  # noqa: BLE001  as the class says
+        return False
+
+
+def _ruled(rule: Callable[[bytes, dict], bool]):
+    """A plugin's rule as an Arrow function of contents and hints."""
+
+    @F.pandas_udf("boolean")
+    def run(content: pd.Series, info: pd.DataFrame) -> pd.Series:
+        hints = info.astype(object).where(info.notna(), None).to_dict("records")
+        return pd.Series([_says_yes(rule, c, i) for c, i in zip(content, hints, strict=True)], dtype=bool)
+
+    return run
+
+
 def candidates(registry: Registry, info: Column, content: Column) -> Column:
     """Names of the routes that may take the file, in order; one expression without Python."""
     named = F.array(*(F.when(accepts(r, info, content), F.lit(r.name)) for r in registry.ordered()))
@@ -113,6 +139,7 @@ def accepts_here(route: Route, info: dict, content: bytes) -> bool:
     ext, mime = (info.get("extension") or "").lower(), (info.get("mimetype") or "").lower()
     hit = ext in (*route.extensions, *route.maybe_extensions) or any(mime.startswith(m) for m in (*route.mimes, *route.maybe_mimes))
     hit = hit or (route.magic and not ext and len(content) >= 8 and content[:4] == bytes.fromhex("D0CF11E0")) or (route.charset and info.get("charset") is not None)
+    hit = hit or (route.rule is not None and _says_yes(route.rule, content, info))
     return hit and (route.url is None or re.search(route.url, info.get("url") or "") is not None)
 
 

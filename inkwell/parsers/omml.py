@@ -11,7 +11,7 @@ ACCENTS = {
     "̚": "droang", "̸": "not", "⃐": "leftharpoonaccent", "⃑": "rightharpoonaccent", "⃒": "vertoverlay", "⃖": "overleftarrow",
     "⃗": "vec", "⃛": "dddot", "⃜": "ddddot", "⃡": "overleftrightarrow", "⃧": "annuity", "⃩": "widebridgeabove", "⃰": "asteraccent",
     "̰": "wideutilde", "̱": "underbar", "⃨": "threeunderdot", "⃬": "underrightharpoondown", "⃭": "underleftharpoondown",
-    "⃮": "underledtarrow", "⃯": "underrightarrow", "⎴": "overbracket", "⏜": "overparen", "⏞": "overbrace", "⎵": "underbracket",
+    "⃮": "underleftarrow", "⃯": "underrightarrow", "⎴": "overbracket", "⏜": "overparen", "⏞": "overbrace", "⎵": "underbracket",
     "⏝": "underparen", "⏟": "underbrace",
 }
 # Large operators.
@@ -21,10 +21,10 @@ LARGE = {
 }
 # Symbols; each command is followed by a space.
 SYMBOLS = {
-    "→": "rightarrow", "←": "leftarrow", "↑": "uparrow", "↓": "downright", "↔": "leftrightarrow", "↕": "updownarrow", "↖": "nwarrow",
+    "→": "rightarrow", "←": "leftarrow", "↑": "uparrow", "↓": "downarrow", "↔": "leftrightarrow", "↕": "updownarrow", "↖": "nwarrow",
     "↗": "nearrow", "↘": "searrow", "↙": "swarrow", "⋮": "vdots", "⋯": "cdots", "⋰": "adots", "⋱": "ddots", "≠": "ne", "≤": "leq",
     "≥": "geq", "≦": "leqq", "≧": "geqq", "≨": "lneqq", "≩": "gneqq", "≪": "ll", "≫": "gg", "∈": "in", "∉": "notin", "∋": "ni",
-    "∌": "nni", "∞": "infty", "±": "pm", "∓": "mp", "𝜕": "partial", "𝜖": "varepsilon", "𝜗": "vartheta", "𝜘": "varkappa", "𝜙": "varphi",
+    "∌": "not\\ni", "∞": "infty", "±": "pm", "∓": "mp", "𝜕": "partial", "𝜖": "varepsilon", "𝜗": "vartheta", "𝜘": "varkappa", "𝜙": "varphi",
     "𝜚": "varrho", "𝜛": "varpi", "𝜍": "varsigma",
 }
 FUNCTIONS = "sin cos tan arcsin arccos arctan arccot sinh cosh tanh coth sec csc".split()

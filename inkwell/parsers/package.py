@@ -5,7 +5,7 @@ from __future__ import annotations
 import io
 import unicodedata
 import zipfile
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 from inkwell.parsers import charset
 from inkwell.parsers import html as H
@@ -39,10 +39,17 @@ def collation(name: str) -> tuple:
     return key, unicodedata.normalize("NFD", name.casefold()), name.swapcase()
 
 
+def each(data: bytes) -> Iterator[tuple[str, bytes]]:
+    """(path, bytes) of the files of an archive, one after the other as stored."""
+    package = open_zip(data)
+    for i in package.infolist():
+        if not i.is_dir():
+            yield i.filename, package.read(i)
+
+
 def entries(data: bytes) -> list[tuple[str, bytes]]:
     """(path, bytes) of the files of an archive, sorted by path."""
-    package = open_zip(data)
-    return sorted(((i.filename, package.read(i)) for i in package.infolist() if not i.is_dir()), key=lambda e: collation(e[0]))
+    return sorted(each(data), key=lambda e: collation(e[0]))
 
 
 def archive(data: bytes, name: str, convert: Callable[[str, bytes], str | None]) -> str:

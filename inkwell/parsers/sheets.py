@@ -83,6 +83,39 @@ def _at(ref: str) -> tuple[int, int]:
     return int(digits) - 1, column - 1
 
 
+def date_styles(raw: bytes) -> list[bool]:
+    """Whether each cell style shows numbers as dates."""
+    styles = parse_xml(raw)
+    own = {n.attrs.get("numFmtId"): bool(re.search(r"[dmyhs]", re.sub(r'"[^"]*"|\[[^\]]*\]|\\.', "", n.attrs.get("formatCode", "")), re.I)) for n in styles.named("numFmt")}
+    formats = styles.one("cellXfs")
+    return [own.get(x.attrs.get("numFmtId"), int(x.attrs.get("numFmtId", "0")) in DATE_FORMATS) for x in (formats.kids("xf") if formats else [])]
+
+
+def cell_rows(raw: bytes) -> list[dict]:
+    """(r, c, kind, text, serial, style) of a sheet's cells; kind: s text, i place in the string table, b, n."""
+    out, row = [], -1
+    for r in parse_xml(raw).named("row"):
+        row = int(r.attrs.get("r", row + 2)) - 1
+        column = -1
+        for c in r.kids("c"):
+            y, column = _at(c.attrs["r"]) if c.attrs.get("r") else (row, column + 1)
+            kind, value = c.attrs.get("t", "n"), c.kid("v")
+            text = value.content() if value is not None else None
+            cell = {"r": y, "c": column, "kind": "s", "text": text, "serial": None, "style": None}
+            if kind == "inlineStr":
+                cell["text"] = "".join(t.content() for t in c.named("t"))
+            elif text is None:
+                continue
+            elif kind == "s":
+                cell["kind"] = "i"
+            elif kind == "b":
+                cell |= {"kind": "b", "text": str(text == "1")}
+            elif kind == "n":
+                cell |= {"kind": "n", "text": number_text(float(text)), "serial": float(text), "style": int(c.attrs.get("s", "0"))}
+            out.append(cell)
+    return out
+
+
 def xlsx(data: bytes) -> list[tuple[str, Cells]]:
     package = open_zip(data)
     book = parse_xml(read(package, "xl/workbook.xml") or b"<none/>")
@@ -90,12 +123,8 @@ def xlsx(data: bytes) -> list[tuple[str, Cells]]:
     target = {n.attrs.get("Id"): n.attrs.get("Target", "") for n in relations.named("Relationship")}
     texts = parse_xml(read(package, "xl/sharedStrings.xml") or b"<none/>").named("si")
     strings = ["".join(t.content() for t in s.named("t") if not t.inside("rPh")) for s in texts]
-    dates: list[bool] = []
-    if raw := read(package, "xl/styles.xml"):
-        styles = parse_xml(raw)
-        own = {n.attrs.get("numFmtId"): bool(re.search(r"[dmyhs]", re.sub(r'"[^"]*"|\[[^\]]*\]|\\.', "", n.attrs.get("formatCode", "")), re.I)) for n in styles.named("numFmt")}
-        formats = styles.one("cellXfs")
-        dates = [own.get(x.attrs.get("numFmtId"), int(x.attrs.get("numFmtId", "0")) in DATE_FORMATS) for x in (formats.kids("xf") if formats else [])]
+    raw = read(package, "xl/styles.xml")
+    dates = date_styles(raw) if raw else []
     properties = book.one("workbookPr")
     from_1904 = properties is not None and properties.attrs.get("date1904") in ("1", "true")
     out = []
@@ -103,28 +132,12 @@ def xlsx(data: bytes) -> list[tuple[str, Cells]]:
         path = target.get(sheet.attr("id"), "")
         raw = read(package, path.lstrip("/") if path.startswith("/") else f"xl/{path}")
         cells: Cells = {}
-        if raw is not None:
-            row = -1
-            for r in parse_xml(raw).named("row"):
-                row = int(r.attrs.get("r", row + 2)) - 1
-                column = -1
-                for c in r.kids("c"):
-                    y, column = _at(c.attrs["r"]) if c.attrs.get("r") else (row, column + 1)
-                    kind, value = c.attrs.get("t", "n"), c.kid("v")
-                    text = value.content() if value is not None else None
-                    if kind == "inlineStr":
-                        cells[(y, column)] = "".join(t.content() for t in c.named("t"))
-                    elif text is None:
-                        continue
-                    elif kind == "s":
-                        cells[(y, column)] = strings[int(text)]
-                    elif kind == "b":
-                        cells[(y, column)] = text == "1"
-                    elif kind == "n":
-                        style = int(c.attrs.get("s", "0"))
-                        cells[(y, column)] = timestamp_text(float(text), from_1904) if style < len(dates) and dates[style] else float(text)
-                    else:
-                        cells[(y, column)] = text
+        for cell in cell_rows(raw) if raw is not None else []:
+            at, kind, text, style = (cell["r"], cell["c"]), cell["kind"], cell["text"], cell["style"]
+            if kind == "n":
+                cells[at] = timestamp_text(cell["serial"], from_1904) if style < len(dates) and dates[style] else cell["serial"]
+            else:
+                cells[at] = strings[int(text)] if kind == "i" else text == "True" if kind == "b" else text
         out.append((sheet.attrs.get("name", ""), cells))
     return out
 

@@ -1,19 +1,25 @@
-"""Files to Markdown: hints and routes in Catalyst, one Python pass for parsing, layout of PDF words as DataFrames."""
+"""Files to Markdown: hints and routes in Catalyst. PDF files, workbooks, e-books and archives are taken apart and put
+together by Spark jobs (`packages`), texts, tables of values and notebooks are Catalyst expressions over their bytes; what
+is left is parsed row by row."""
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, fields
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from inkwell import providers as P
+from inkwell.functions import arrow
 from inkwell.functions import text as T
 from inkwell.operators import layout, routing
 from inkwell.operators.routing import Registry
 from inkwell.parsers import charset as C
+from inkwell.plans import packages
+from inkwell.plans.packages import words_to_markdown
+from inkwell.plans.shared import written
 
 ATTEMPTS = "array<struct<converter:string,error_class:string,message:string>>"
 PARSED = f"markdown string, title string, converter string, status string, attempts {ATTEMPTS}"
@@ -26,6 +32,11 @@ class Options:
     providers: P.Providers = field(default_factory=P.Providers)
     strict: bool = False
 
+    def over(self, base: Options) -> Options:
+        """Options of one call over those of a converter: what differs from the defaults wins."""
+        default = Options()
+        return Options(**{f.name: getattr(self if getattr(self, f.name) != getattr(default, f.name) else base, f.name) for f in fields(self)})
+
 
 def _parse(name: str, data: bytes, info: dict, options: Options, registry: Registry, depth: int) -> tuple[str, str | None]:
     """One converter's result; raises what goes wrong."""
@@ -126,7 +137,7 @@ def convert_one(data: bytes, info: dict, names: list[str] | None, options: Optio
             return (normalize_here(markdown) if depth else markdown), title, name, "ok", attempts
         except Exception as e:  # noqa: BLE001  errors are data: the next route is tried
             if type(e).__name__ != "NotThisFormat" or name in ("ipynb",) and (info.get("extension") or "") == ".ipynb":
-                attempts.append({"converter": name, "error_class": type(e).__name__, "message": str(e)[:500]})
+                attempts.append({"converter": name, "error_class": type(e).__name__, "message": str(e)})
     return None, None, None, "failed" if attempts else "unsupported", attempts
 
 
@@ -137,13 +148,13 @@ def routed(files: DataFrame, registry: Registry | None = None) -> DataFrame:
     return hinted.withColumn("candidates", routing.candidates(registry, F.col("info"), F.col("content")))
 
 
-def convert(files: DataFrame, options: Options | None = None, registry: Registry | None = None) -> DataFrame:
-    """(doc_id, markdown, title, converter, status, attempts) of files (doc_id, content, info), a row for each row.
+RESULT = ["doc_id", "markdown", "title", "converter", "status", "attempts"]
+#: Converters that are Spark jobs over the parts of files, and those that are expressions over their bytes.
+PACKAGES, EXPRESSIONS = ("pdf", "epub", "xlsx", "zip"), ("text", "csv")
 
-    status: ok, failed (every route that took the file went wrong; `attempts` says how) or unsupported. A null content
-    is unsupported. Rows are independent: no shuffle.
-    """
-    options, registry = options or Options(), registry or Registry()
+
+def _by_row(rows: DataFrame, options: Options, registry: Registry, depth: int = 0) -> DataFrame:
+    """Results of routed files that are parsed row by row: independent rows, no shuffle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -151,49 +162,93 @@ def convert(files: DataFrame, options: Options | None = None, registry: Registry
             rows = []
             for i in range(batch.num_rows):
                 data = contents[i].as_py()
-                rows.append((None, None, None, "unsupported", []) if data is None else convert_one(data, infos[i].as_py() or {}, names[i].as_py(), options, registry))
+                rows.append((None, None, None, "unsupported", []) if data is None else convert_one(data, infos[i].as_py() or {}, names[i].as_py(), options, registry, depth))
             md, title, used, status, attempts = zip(*rows, strict=True) if rows else ((),) * 5
             kind = pa.list_(pa.struct([("converter", pa.string()), ("error_class", pa.string()), ("message", pa.string())]))
             clean = lambda v: pa.array([x.encode("utf-8", "replace").decode() if x is not None else None for x in v], pa.string())
-            yield pa.RecordBatch.from_arrays([ids, clean(md), clean(title), pa.array(used, pa.string()), pa.array(status, pa.string()), pa.array(attempts, kind)], names=["doc_id", "markdown", "title", "converter", "status", "attempts"])
+            yield pa.RecordBatch.from_arrays([ids, clean(md), clean(title), pa.array(used, pa.string()), pa.array(status, pa.string()), pa.array(attempts, kind)], names=RESULT)
+
+    kind = rows.schema["doc_id"].dataType.simpleString()
+    return rows.select("doc_id", "content", "info", "candidates").mapInArrow(run, f"doc_id {kind}, {PARSED}")
+
+
+def _plain_text() -> tuple[Column, Column]:
+    """The text of a file, and the bytes left for Python: UTF-8 without a mark needs none."""
+    own = F.lower(F.replace(F.trim(F.coalesce(F.col("info.charset"), F.lit("utf-8"))), F.lit("_"), F.lit("-")))
+    easy = own.isin("utf-8", "utf8") & F.is_valid_utf8("content") & (F.coalesce(F.hex(F.substring("content", 1, 3)), F.lit("")) != "EFBBBF") & ~F.hex(F.substring("content", 1, 2)).isin("FFFE", "FEFF")
+    return F.when(easy, F.col("content").cast("string")), F.when(~easy, F.col("content"))
+
+
+def _by_expression(rows: DataFrame) -> DataFrame:
+    """Results of texts and tables of values, which cannot fail: decoded and laid out by expressions; Arrow functions see
+    only bytes that aren't UTF-8, and the fields of CSV files."""
+    easy, hard = _plain_text()
+    rows = rows.select("doc_id", F.get("candidates", F.lit(0)).alias("converter"), easy.alias("easy"), hard.alias("hard"), F.col("info.charset").alias("charset"))
+    rows = rows.select("doc_id", "converter", F.coalesce("easy", arrow.decode_text("hard", "charset")).alias("text"))
+    cells = arrow.csv_rows(F.when(F.col("converter") == "csv", F.col("text")))
+    rows = rows.withColumn("cells", cells)
+    table = F.transform("cells", lambda r: T.fit_row(r, F.size(F.get("cells", F.lit(0)))))
+    plain = lambda cells: F.concat(F.lit("| "), F.array_join(cells, " | "), F.lit(" |"))
+    lines = F.concat(F.array(plain(F.get(table, F.lit(0))), T.rule_row(F.size(F.get(table, F.lit(0))))), F.transform(F.slice(table, 2, F.greatest(F.size(table), F.lit(1))), plain))
+    markdown = F.when(F.col("converter") == "text", F.col("text")).when(F.size("cells") > 0, F.array_join(lines, "\n")).otherwise("")
+    return rows.select("doc_id", markdown.alias("markdown"), F.lit(None).cast("string").alias("title"), "converter", F.lit("ok").alias("status"), F.array().cast(ATTEMPTS).alias("attempts"))
+
+
+def _by_parts(rows: DataFrame, options: Options, registry: Registry) -> DataFrame:
+    """Results of files with one candidate whose parts Spark puts together. The parts are written once and read by each
+    plan. Archives' entries are files of their own, converted row by row wherever they are."""
+    where = F.col("info")
+    name = F.coalesce(where["url"], where["local_path"], where["filename"], F.lit("archive.zip"))
+    files = packages.keyed(rows.select("doc_id", "content", F.get("candidates", F.lit(0)).alias("kind"), name.alias("name")))
+    found = written(packages.parts(files), "parts")
+    kinds = {r.kind for r in found.select("kind").distinct().collect()}  # PACKAGES at most
+    plans = {"pdf": lambda: packages.pdfs(found), "epub": lambda: packages.books(found, options.keep_data_uris), "xlsx": lambda: packages.workbooks(found)}
+    plans["zip"] = lambda: packages.archives(found, _by_row(routed(packages.archive_entries(found), registry), options, registry, 1))
+    done = found.select("key", F.lit(None).cast("string").alias("markdown"), F.lit(None).cast("string").alias("title"), "error_class", "message").limit(0)
+    for kind in sorted(kinds):
+        done = done.unionByName(plans[kind]())
+    attempt = F.array(F.struct(F.col("kind").alias("converter"), F.col("error_class"), F.col("message")))
+    ok = F.col("error_class").isNull()
+    out = files.select("doc_id", "key", "kind").join(done, "key", "left")
+    return out.select("doc_id", "markdown", "title", F.when(ok, F.col("kind")).alias("converter"), F.when(ok, "ok").otherwise("failed").alias("status"), F.when(ok, F.array().cast(ATTEMPTS)).otherwise(attempt.cast(ATTEMPTS)).alias("attempts"))
+
+
+def told(attempts: Column) -> Column:
+    """All failed attempts as one message."""
+    each = F.transform(attempts, lambda a: F.concat(F.lit(" - "), a["converter"], F.lit(" threw "), a["error_class"], F.lit(": "), a["message"]))
+    return F.when(F.size(attempts) > 0, F.concat(F.lit("File conversion failed after "), F.size(attempts).cast("string"), F.lit(" attempts:\n"), F.array_join(each, "\n"))).otherwise("Could not convert: no converter takes the file")
+
 
-    kind = files.schema["doc_id"].dataType.simpleString()
-    out = routed(files, registry).select("doc_id", "content", "info", "candidates").mapInArrow(run, f"doc_id {kind}, {PARSED}")
+def convert(files: DataFrame, options: Options | None = None, registry: Registry | None = None) -> DataFrame:
+    """(doc_id, markdown, title, converter, status, attempts) of files (doc_id, content, info), a row for each row.
+
+    status: ok, failed (every route that took the file went wrong; `attempts` says how) or unsupported. A null content
+    is unsupported. Of a stream only what needs no other row is left to Spark: `convert_stream` converts batch by batch.
+    """
+    options, registry = options or Options(), registry or Registry()
+    rows, given = routed(files, registry), options.providers
+    first = F.when(F.col("content").isNotNull(), F.get("candidates", F.lit(0)))
+    alone = F.when(F.size("candidates") == 1, first)
+    spread = [k for k in PACKAGES if k not in registry.converters] if not files.isStreaming else []
+    simple = [k for k in EXPRESSIONS if k not in registry.converters]
+    known = F.col("info.charset").isNull() | F.lower("info.charset").isin(*C.CODECS)
+    if given.analyze is not None or given.classify is not None or given.detect_charset is not None:
+        spread = simple = []
+    is_spread, is_simple = F.coalesce(alone.isin(*spread), F.lit(False)), F.coalesce(first.isin(*simple) & known, F.lit(False))
+    out = _by_row(rows.where(~is_spread & ~is_simple), options, registry)
+    if simple:
+        out = out.union(_by_expression(rows.where(is_simple)))
+    if spread:
+        out = out.union(_by_parts(rows.where(is_spread), options, registry))
     if options.strict:
-        ok = F.when(F.col("status") == "ok", F.col("status")).otherwise(F.raise_error(F.concat(F.lit("not converted: "), F.to_json("attempts"))))
+        ok = F.when(F.col("status") == "ok", F.col("status")).otherwise(F.raise_error(F.concat(F.lit("not converted: "), told(F.col("attempts")))))
         out = out.withColumn("status", ok)
     return out.withColumn("markdown", T.normalize_markdown(F.col("markdown")))
 
 
 def pdf_words(files: DataFrame) -> DataFrame:
-    """(doc_id, page, text, x0, x1, top, page_width) of files (doc_id, content); files that can't be read have none."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from inkwell.parsers import pdf
-
-        for batch in batches:
-            ids, rows = [], []
-            for i in range(batch.num_rows):
-                try:
-                    found = pdf.words(batch.column(1)[i].as_py() or b"")
-                except Exception:  # noqa: BLE001  `convert` reports them
-                    found = []
-                ids += [i] * len(found)
-                rows += found
-            page, text, x0, x1, top, width = zip(*rows, strict=True) if rows else ((),) * 6
-            arrays = [batch.column(0).take(pa.array(ids, pa.int64())), pa.array(page, pa.int32()), pa.array(text, pa.string())] + [pa.array(v, pa.float64()) for v in (x0, x1, top, width)]
-            yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "page", "text", "x0", "x1", "top", "page_width"])
-
-    kind = files.schema["doc_id"].dataType.simpleString()
-    return files.select("doc_id", "content").mapInArrow(run, f"doc_id {kind}, page int, text string, x0 double, x1 double, top double, page_width double")
-
-
-def words_to_markdown(words: DataFrame) -> DataFrame:
-    """(doc_id, markdown): form pages as tables, the others as lines; pages in order, a blank line between them. Documents
-    whose tables look broken are lines throughout."""
-    forms = layout.form_pages(words).select("doc_id", "page", F.col("text").alias("form"))
-    pages = layout.prose_pages(words).join(forms, ["doc_id", "page"], "left").select("doc_id", F.struct("page", F.coalesce("form", "text").alias("laid"), "text", "form").alias("p"))
-    together = lambda ps, f: F.array_join(F.transform(F.array_sort(ps), lambda p: p[f]), "\n\n")
-    whole = pages.groupBy("doc_id").agg(F.collect_list("p").alias("ps"))
-    broken = F.exists("ps", lambda p: p["form"].isNotNull()) & layout.low_quality(together("ps", "laid"))
-    return whole.select("doc_id", T.normalize_markdown(F.when(broken, together("ps", "text")).otherwise(together("ps", "laid"))).alias("markdown"))
+    """(doc_id, page, text, x0, x1, top, page_width) of PDF files (doc_id, content); `convert` reports those that can't be
+    read."""
+    rows = packages.keyed(files.withColumn("kind", F.lit("pdf")).withColumn("name", F.lit(None).cast("string")))
+    words = packages.parts(rows).where("page >= 0").select("key", "page", "text", "x0", "x1", "top", "page_width")
+    return rows.select("doc_id", "key").join(words, "key").drop("key")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -9,8 +10,8 @@ from pyspark.sql import functions as F
 from inkwell import cloud, writers
 from inkwell.functions import arrow
 from inkwell.functions import text as T
-from inkwell.operators import layout, package, routing
-from inkwell.plans.convert import Options, convert, pdf_words, routed, words_to_markdown
+from inkwell.operators import layout, ordered, package, routing, tables
+from inkwell.plans.convert import ATTEMPTS, Options, convert, routed, told
 from inkwell.providers import Providers
 from inkwell.sources import files
 
@@ -59,14 +60,8 @@ def _data_uris(docs: DataFrame) -> DataFrame:
     return d.select("doc_id", T.data_uri(F.concat(head, body)).alias("u")).select("doc_id", "u.mimetype", "u.charset", F.col("u.data").cast("string").alias("payload"))
 
 
-@query("""SELECT doc_id, 'text/plain' AS mimetype, CASE WHEN doc_id % 2 = 0 THEN 'utf-8' END AS charset, left(text, 200) AS payload FROM documents""")
-def src_data_uri(spark, sf_dir):
-    """Whole texts go through; the SQL compares the first 200 characters, `src_data_uri_whole` all of them."""
-    return _data_uris(read(spark, sf_dir, "documents")).withColumn("payload", F.substring("payload", 1, 200))
-
-
 @query("""SELECT doc_id, 'text/plain' AS mimetype, CASE WHEN doc_id % 2 = 0 THEN 'utf-8' END AS charset, text AS payload FROM documents""")
-def src_data_uri_whole(spark, sf_dir):
+def src_data_uri(spark, sf_dir):
     return _data_uris(read(spark, sf_dir, "documents"))
 
 
@@ -135,7 +130,7 @@ def tbl_colspan(spark, sf_dir):
 @query("""SELECT conv_id, string_agg(role || ': ' || text, chr(10) || chr(10) ORDER BY turn) AS markdown FROM conversations GROUP BY conv_id""")
 def agg_doc(spark, sf_dir):
     c = read(spark, sf_dir, "conversations").withColumn("s", F.concat("role", F.lit(": "), "text"))
-    return c.groupBy("conv_id").agg(F.expr("listagg(s, '\n\n') WITHIN GROUP (ORDER BY turn)").alias("markdown"))
+    return c.groupBy("conv_id").agg(ordered.in_order("s", "turn").alias("markdown"))
 
 
 _WORDS = "SELECT user_id, event_id, value AS x0, value + 2 AS x1 FROM events"
@@ -165,8 +160,8 @@ def agg_lines(spark, sf_dir):
 @query("""SELECT event_id, event_type || CASE WHEN k = 0 THEN '' ELSE '.' || k END AS name FROM (
 SELECT event_id, event_type, row_number() OVER (PARTITION BY user_id, event_type ORDER BY event_id) - 1 AS k FROM events)""")
 def win_dedup_names(spark, sf_dir):
-    k = F.row_number().over(W.partitionBy("user_id", "event_type").orderBy("event_id")) - 1
-    return read(spark, sf_dir, "events").withColumn("k", k).select("event_id", F.when(F.col("k") == 0, F.col("event_type")).otherwise(F.concat("event_type", F.lit("."), F.col("k").cast("string"))).alias("name"))
+    e = read(spark, sf_dir, "events").select("user_id", "event_id", F.col("event_type").alias("name"))
+    return ordered.dedup_names(e, "name", ["user_id"], ["event_id"]).select("event_id", "name")
 
 
 @query("""SELECT doc_id, regexp_replace(replace(text, ' e', '-' || chr(10) || ' e'), '-\\n[^\\S\\n]*([a-z])', '\\1', 'g') AS text FROM documents""")
@@ -212,11 +207,11 @@ def win_partial_merge(spark, sf_dir):
 def _files(rows: DataFrame, doc_id: str, build, extension: str, columns: list[str], **hints) -> DataFrame:
     """Files (doc_id, content, info) that a writer builds from columns of each row."""
 
-    @F.udf("binary")
-    def write(row):
-        return build(*row)
+    @F.pandas_udf("binary")
+    def write(*given: pd.Series) -> pd.Series:
+        return pd.Series([build(*row) for row in zip(*given, strict=True)], dtype=object)
 
-    made = rows.select(F.col(doc_id).alias("doc_id"), write(F.struct(*columns)).alias("content"))
+    made = rows.select(F.col(doc_id).alias("doc_id"), write(*columns).alias("content"))
     fields = {"extension": F.lit(extension)} | hints
     return made.withColumn("info", files.info(**fields))
 
@@ -315,13 +310,20 @@ def src_msg(spark, sf_dir):
 _PDF = [(50.0, 100.0, "Item"), (200.0, 100.0, "Qty"), (350.0, 100.0, "Price")]
 
 
-@query("""SELECT s_suppkey AS doc_id, '| Item | Qty    | Price |' || chr(10) || '| ---- | ------ | ----- |' || chr(10) || '| Bolt | K' || lpad(CAST(s_suppkey AS VARCHAR), 5, '0') || ' | 10.5  |' || chr(10) || '| Nut  | 8      | 2.25  |' || chr(10) || chr(10) || 'plain page ' || s_suppkey AS markdown FROM supplier""")
+@query("""SELECT s_suppkey AS doc_id, 'Head  Right' || chr(10) || '| Item | Qty    | Price |' || chr(10) || '| ---- | ------ | ----- |' || chr(10) || '| Bolt | K' || lpad(CAST(s_suppkey AS VARCHAR), 5, '0') || ' | 10.5  |' || chr(10) || '| Nut  | 8      | 2.25  |' || chr(10) || chr(10) || 'plain page ' || s_suppkey || chr(10) || '.1 joined' AS markdown, 'pdf' AS converter, 'ok' AS status FROM supplier
+UNION ALL SELECT -s_suppkey - 1, NULL, NULL, 'failed' FROM supplier UNION ALL SELECT -s_suppkey - 1000000, '', 'pdf', 'ok' FROM supplier""")
 def src_pdf(spark, sf_dir):
+    """Forms, lines, a blank file and one that can't be read: each file has a row."""
+
     def build(k):
-        table = [*_PDF, (50, 120, "Bolt"), (200, 120, f"K{k:05d}"), (350, 120, "10.5"), (50, 140, "Nut"), (200, 140, "8"), (350, 140, "2.25")]
-        return writers.pdf_bytes([table, [(50, 100, f"plain page {k}")]])
+        if k < 0:
+            return b"not a PDF" if k > -1000000 else writers.pdf_bytes([[]])
+        table = [(60, 90, "Head"), (260, 90, "Right"), *_PDF, (50, 120, "Bolt"), (200, 120, f"K{k:05d}"), (350, 120, "10.5"), (50, 140, "Nut"), (200, 140, "8"), (350, 140, "2.25")]
+        return writers.pdf_bytes([table, [(50, 100, f"plain page {k}"), (50, 120, ".1"), (50, 140, "joined")]])
 
-    return words_to_markdown(pdf_words(_files(read(spark, sf_dir, "supplier"), "s_suppkey", build, ".pdf", ["s_suppkey"])))
+    s = read(spark, sf_dir, "supplier").select("s_suppkey")
+    rows = s.union(s.select(-F.col("s_suppkey") - 1)).union(s.select(-F.col("s_suppkey") - 1000000))
+    return _converted(_files(rows, "s_suppkey", build, ".pdf", ["s_suppkey"])).select("doc_id", "markdown", "converter", "status")
 
 
 @query("""SELECT page_id AS doc_id, trim(regexp_extract(html, '(?s)<title[^>]*>(.*?)</title>', 1)) AS title, 'html' AS converter, 'ok' AS status FROM pages""")
@@ -463,7 +465,7 @@ def join_footnote_anti(spark, sf_dir):
 def sort_shapes(spark, sf_dir):
     """Shapes in reading order: from the top, then from the left, then as stored."""
     o = read(spark, sf_dir, "orders").select(F.col("o_custkey").alias("slide"), F.col("o_orderkey").alias("doc_id"), (F.col("o_orderkey") % 7).alias("top"), (F.col("o_orderkey") % 3).alias("left"))
-    return o.select("doc_id", F.col("top").alias("n"), F.row_number().over(W.partitionBy("slide").orderBy("top", "left", "doc_id")).alias("place"))
+    return ordered.places(o, ["slide"], "top", "left", "doc_id").select("doc_id", F.col("top").alias("n"), "place")
 
 
 @query("""SELECT customer.c_custkey AS doc_id, 'Category | A' || chr(10) || string_agg(i || ' | ' || CASE WHEN i <= c_custkey % 4 THEN CAST(i * 10 AS VARCHAR) ELSE '' END, chr(10) ORDER BY i) AS rows FROM customer, range(1, 4) r(i) GROUP BY c_custkey""")
@@ -471,7 +473,7 @@ def join_chart_points(spark, sf_dir):
     """Categories and values meet by ordinal; a missing category is its number, a missing value empty."""
     c = read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("doc_id"), (F.col("c_custkey") % 4).cast("int").alias("n"))
     values = F.transform(F.slice(F.array(*map(F.lit, (1, 2, 3))), F.lit(1), F.col("n")), lambda i: (i * 10).cast("string"))
-    rows = F.zip_with(F.array(*map(F.lit, ("1", "2", "3"))), values, lambda k, v: F.concat_ws(" | ", k, F.coalesce(v, F.lit(""))))
+    rows = package.chart_rows(F.array(F.lit("1"), F.lit(None).cast("string"), F.lit("3")), values)
     return c.select("doc_id", F.concat(F.lit("Category | A\n"), F.array_join(rows, "\n")).alias("rows"))
 
 
@@ -486,13 +488,13 @@ def cu_routing(spark, sf_dir):
 
 @query("""SELECT c_custkey AS doc_id, '---' || chr(10) || 'Name: "' || c_name || '"' || chr(10) || 'Key: ' || c_custkey || chr(10) || '---' || chr(10) || chr(10) || 'body' || chr(10) || chr(10) || '<!-- Page 2 -->' || chr(10) || chr(10) || 'page of ' || c_custkey AS markdown FROM customer""")
 def cu_format(spark, sf_dir):
-    build = lambda k, n: {"fields": {"Name": {"value": "old"}}, "markdown": " body ", "contents": [{"fields": {"Name": {"content": n}, "Key": k}, "text": f"page of {k}", "pageNumber": 2}]}
-
-    @F.udf("string")
-    def shown(k, n):
-        return cloud.result_markdown(build(k, n))
-
-    return read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("doc_id"), shown("c_custkey", "c_name").alias("markdown"))
+    k = F.col("c_custkey")
+    said = F.struct(
+        F.struct(F.struct(F.lit("old").alias("value")).alias("Name")).alias("fields"),
+        F.lit(" body ").alias("markdown"),
+        F.array(F.struct(F.struct(F.struct(F.col("c_name").alias("content")).alias("Name"), k.alias("Key")).alias("fields"), F.concat(F.lit("page of "), k.cast("string")).alias("text"), F.lit(2).alias("pageNumber"))).alias("contents"),
+    )
+    return read(spark, sf_dir, "customer").select(k.alias("doc_id"), cloud.markdown_of(F.to_json(said)).alias("markdown"))
 
 
 @query("""SELECT c_custkey AS doc_id, 'ImageSize: ' || c_custkey || 'x1' || chr(10) || 'Title: ' || c_name || chr(10) || chr(10) || '# Description:' || chr(10) || 'seen ' || c_custkey AS markdown FROM customer""")
@@ -539,13 +541,13 @@ def csv_fit(spark, sf_dir):
 def sort_zip(spark, sf_dir):
     """Entries in alphabetical order without regard to case."""
     s = read(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("doc_id"), F.explode(F.array(F.lit("a.txt"), F.lit("_x.txt"), F.lit("B.txt"))).alias("path"))
-    ordered = lambda key: F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(key, "path"))), lambda e: e["path"]), ",")
-    return s.groupBy("doc_id").agg(ordered(F.col("path").alias("k")).alias("stored"), ordered(F.collate("path", "UNICODE").alias("k")).alias("shown"))
+    joined = lambda key: F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(key, "path"))), lambda e: e["path"]), ",")
+    return s.groupBy("doc_id").agg(joined(F.col("path").alias("k")).alias("stored"), joined(package.alphabetical(F.col("path")).alias("k")).alias("shown"))
 
 
 @query("""SELECT doc_id, CAST(least(octet_length(encode(text)), 4096) AS INTEGER) AS sampled FROM documents""")
 def limit_sample(spark, sf_dir):
-    return read(spark, sf_dir, "documents").select("doc_id", F.octet_length(F.substring(F.col("text").cast("binary"), 1, 4096)).alias("sampled"))
+    return read(spark, sf_dir, "documents").select("doc_id", F.octet_length(T.charset_sample(F.col("text").cast("binary"))).alias("sampled"))
 
 
 @query("""SELECT doc_id, first_line, supplier FROM (SELECT o_orderkey AS doc_id, l_linenumber AS first_line, l_suppkey AS supplier, row_number() OVER (PARTITION BY o_orderkey ORDER BY l_linenumber, l_suppkey) AS n FROM orders JOIN lineitem ON o_orderkey = l_orderkey) WHERE n = 1""")
@@ -553,28 +555,30 @@ def limit_first(spark, sf_dir):
     """The first element of each document, by its ordinal."""
     lines = read(spark, sf_dir, "lineitem")
     joined = read(spark, sf_dir, "orders").join(lines, F.col("o_orderkey") == F.col("l_orderkey"))
-    first = joined.groupBy(F.col("o_orderkey").alias("doc_id")).agg(F.min(F.struct("l_linenumber", "l_suppkey")).alias("f"))
+    first = joined.groupBy(F.col("o_orderkey").alias("doc_id")).agg(ordered.first_by("l_linenumber", "l_suppkey").alias("f"))
     return first.select("doc_id", F.col("f.l_linenumber").alias("first_line"), F.col("f.l_suppkey").alias("supplier"))
 
 
 @query("""SELECT page_id AS doc_id, len(regexp_extract_all(html, '<a href="([^"]*)"')) AS n_links FROM pages""")
 def html_links(spark, sf_dir):
-    found = F.regexp_extract_all("html", F.lit('<a href="([^"]*)"'), F.lit(1))
-    p = read(spark, sf_dir, "pages").select(F.col("page_id").alias("doc_id"), F.posexplode_outer(found).alias("elem_no", "href"))
+    p = read(spark, sf_dir, "pages").select(F.col("page_id").alias("doc_id"), F.posexplode_outer(T.quoted_links(F.col("html"))).alias("elem_no", "href"))
     return p.groupBy("doc_id").agg(F.count("href").alias("n_links"))
 
 
-@query("""SELECT user_id, event_type AS col, bool_or(frac) OR bool_or(missing) AS is_float, count(*) AS n FROM (SELECT user_id, event_type, value <> floor(value) AS frac, value IS NULL AS missing FROM events) GROUP BY 1, 2""")
+@query("""SELECT user_id, event_type AS col, coalesce(bool_and(regexp_matches(v, '^-?\\d+(\\.\\d+)?$')) FILTER (WHERE v <> 'NaN'), false) AND (bool_or(v <> 'NaN' AND regexp_matches(v, '\\.\\d*[1-9]')) OR bool_or(v = 'NaN')) AS decimal
+FROM (SELECT user_id, event_type, CASE WHEN event_id % 7 = 0 THEN 'NaN' WHEN event_id % 11 = 0 AND event_type = 'click' THEN 'x' ELSE CAST(event_id AS VARCHAR) || CASE WHEN event_id % 5 = 0 THEN '.50' ELSE '' END END AS v FROM events) GROUP BY 1, 2""")
 def agg_col_type(spark, sf_dir):
-    """Column typing: a column shows decimals if any cell is fractional or missing."""
-    e = read(spark, sf_dir, "events")
-    return e.groupBy("user_id", F.col("event_type").alias("col")).agg((F.bool_or(F.col("value") != F.floor("value")) | F.bool_or(F.col("value").isNull())).alias("is_float"), F.count("*").alias("n"))
+    """Column typing: a column of numbers shows decimals if any cell is fractional or missing."""
+    k = F.col("event_id")
+    v = F.when(k % 7 == 0, "NaN").when((k % 11 == 0) & (F.col("event_type") == "click"), "x").otherwise(F.concat(k.cast("string"), F.when(k % 5 == 0, ".50").otherwise("")))
+    e = read(spark, sf_dir, "events").select("user_id", F.col("event_type").alias("col"), v.alias("text"))
+    rows = e.groupBy("user_id", "col").agg(F.count("*").alias("n"))
+    return tables.decimal_columns(e.join(rows, ["user_id", "col"]), ["user_id", "col"], "n")
 
 
 @query("""SELECT event_id, json_extract_string(props, '$.' || json_keys(props)[1]) AS first_value FROM events""")
 def json_first(spark, sf_dir):
-    e = read(spark, sf_dir, "events").withColumn("m", F.from_json("props", "map<string,string>"))
-    return e.select("event_id", F.get(F.map_values("m"), F.lit(0)).alias("first_value"))
+    return read(spark, sf_dir, "events").select("event_id", T.json_first(F.col("props")).alias("first_value"))
 
 
 @query("""SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN 'text/csv .csv' WHEN 1 THEN 'text/html .html|application/pdf .pdf' WHEN 2 THEN 'text/plain .txt' ELSE 'application/pdf .pdf' END AS guesses FROM documents""")
@@ -598,4 +602,22 @@ def prd_low_quality(spark, sf_dir):
 @query("""SELECT event_id, value >= 50 AS partial FROM events""")
 def prd_partial_num(spark, sf_dir):
     word = F.when(F.col("value") >= 50, F.concat(F.lit("."), F.col("event_id").cast("string"))).otherwise(F.concat(F.lit("1."), F.col("event_id").cast("string")))
-    return read(spark, sf_dir, "events").select("event_id", word.rlike(r"^\.\d+$").alias("partial"))
+    return read(spark, sf_dir, "events").select("event_id", layout.partial_number(word).alias("partial"))
+
+
+@query("""SELECT doc_id, doc_id // 1000 > 12 OR (doc_id // 1000 = 12 AND doc_id % 50 >= 24) AS enough FROM documents""")
+def fn_version(spark, sf_dir):
+    k = F.col("doc_id")
+    version = F.concat_ws(".", F.floor(k / 1000).cast("string"), (k % 50).cast("string"))
+    return read(spark, sf_dir, "documents").select("doc_id", T.version_at_least(version, (12, 24)).alias("enough"))
+
+
+@query("""SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'Could not convert: no converter takes the file' ELSE 'File conversion failed after ' || (doc_id % 3) || ' attempts:' || chr(10) || ' - ' || source || ' threw ValueError: ' || text
+|| CASE WHEN doc_id % 3 = 2 THEN chr(10) || ' - html threw OSError: ' || doc_id ELSE '' END END AS message FROM documents""")
+def agg_errors(spark, sf_dir):
+    """Failed attempts told as one message."""
+    one = F.struct(F.col("source").alias("converter"), F.lit("ValueError").alias("error_class"), F.col("text").alias("message"))
+    two = F.struct(F.lit("html").alias("converter"), F.lit("OSError").alias("error_class"), F.col("doc_id").cast("string").alias("message"))
+    k = F.col("doc_id") % 3
+    attempts = F.when(k == 0, F.array().cast(ATTEMPTS)).when(k == 1, F.array(one)).otherwise(F.array(one, two))
+    return read(spark, sf_dir, "documents").select("doc_id", told(attempts.cast(ATTEMPTS)).alias("message"))

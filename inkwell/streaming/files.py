@@ -19,6 +19,11 @@ def stream(spark: SparkSession, path: str, pattern: str = "*", per_trigger: int
 
 
 def convert_stream(spark: SparkSession, path: str, out: str, checkpoint: str, options: Options | None = None, registry: Registry | None = None, available_now: bool = True, **source):
-    """Starts a query that writes the documents of a folder as Parquet; with `available_now` it ends when all are done."""
-    writer = convert(stream(spark, path, **source), options, registry).writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint).outputMode("append")
+    """Starts a query that writes the documents of a folder as Parquet, a folder `batch=N` below `out` for each batch, which a
+    batch that runs again replaces. With `available_now` it ends when all are done."""
+
+    def write(files: DataFrame, batch: int) -> None:
+        convert(files, options, registry).write.mode("overwrite").parquet(f"{out}/batch={batch}")
+
+    writer = stream(spark, path, **source).writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if available_now else writer).start()

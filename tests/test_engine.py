@@ -1,5 +1,6 @@
 """The engine around the parsers: every query against its SQL on the smallest tables, sources, streams, plugins, command line."""
 
+import json
 import math
 import os
 
@@ -81,8 +82,14 @@ def test_layout(spark):
     letters = [(c, 40 + 90 * i, 100) for i, c in enumerate("ABCDEF")]
     assert not layout.form_pages(words(spark, letters)).first().is_form
     assert layout.form_pages(words(spark, [])).count() == 0
-    lines = spark.createDataFrame([(1, i, t) for i, t in enumerate([".1", "", "Title", "x", ".2"])], "doc_id long, n int, line string")
-    assert [r.line for r in layout.partial_numbers_joined(lines).orderBy("n").collect()] == [".1 Title", "x", ".2"]
+    texts = [[".1", "", "Title", "x", ".2"], [".1", ".2", "", ".3", "a"], ["", ".1", ".2", ".3"], [".7", " "], ["a", "", "b"], []]
+    lines = spark.createDataFrame([(d, i, t) for d, text in enumerate(texts) for i, t in enumerate(text)], "doc_id long, n int, line string")
+    joined = {}
+    for r in layout.partial_numbers_joined(lines).orderBy("n").collect():
+        joined.setdefault(r.doc_id, []).append(r.line)
+    assert joined == {0: [".1 Title", "x", ".2"], 1: [".1 .2", "", ".3 a"], 2: ["", ".1 .2", ".3"], 3: [".7", " "], 4: ["a", "", "b"]}
+    heads = [("Head", 60, 90), ("Right", 260, 90), *table]
+    assert layout.form_pages(words(spark, heads)).first().text.startswith("Head  Right\n| Item |")
 
 
 def test_sources_and_stream(spark, tmp_path):
@@ -120,6 +127,45 @@ def test_conversion_is_total_and_strict(spark):
         convert(f, Options(strict=True)).collect()
 
 
+def test_files_with_many_parts(spark):
+    """Spark jobs over the parts of files give what one file alone gives, row by row."""
+    from inkwell.plans.convert import convert_one
+
+    book = W.epub_bytes({"title": "T_1", "creator": "A", "identifier": "7"}, ["<h1>one</h1>", "<p>two</p>"])
+    sheet = W.xlsx_bytes({"S": [["a", "b  c", "a"], [1, None, "NA"], [None, 2.5, "x*y"]], "Empty": []})
+    inner = W.zip_bytes({"z.txt": "deep", "b.csv": "p,q\n1,2"})
+    archive = W.zip_bytes({"B.txt": "second", "a.xlsx": sheet, "in.zip": inner, "skip.bin": b"\0", "_x.epub": book})
+    pages = W.pdf_bytes([[(50, 100, "one"), (50, 120, ".1"), (50, 140, "two")], []])
+    rows = [(1, book, ".epub"), (2, sheet, ".xlsx"), (3, archive, ".zip"), (4, pages, ".pdf"), (5, b"PK", ".zip"), (6, W.zip_bytes({"a": "b"}), ".epub"), (7, b"x", ".pdf"), (8, sheet, ".xlsx"), (8, sheet, ".xlsx"), (None, book, ".epub"), (9, W.zip_bytes({}), ".zip")]
+    f = files.from_table(spark.createDataFrame(rows, "id long, b binary, e string"), "id", "b", files.info(extension=F.col("e")))
+    got = sorted(((r.doc_id or 0, r.status, r.markdown, r.title) for r in convert(f).collect()), key=str)
+    plain = []
+    for i, data, ext in rows:
+        markdown, title, _, status, _ = convert_one(data, {"extension": ext}, None, Options(), Registry())
+        plain.append((i or 0, status, {4: "one\n.1 two"}.get(i, markdown), title))
+    assert got == sorted(plain, key=str)
+    assert {r.doc_id: [a.converter for a in r.attempts] for r in convert(f).where("status = 'failed'").collect()} == {5: ["zip"], 6: ["epub"], 7: ["pdf"]}
+
+
+def test_charsets_by_expression(spark):
+    said = [("é".encode(), None), (b"\xef\xbb\xbfmark", None), ("é".encode("utf-16"), None), ("你好世界".encode("gbk"), None), ("é".encode("latin1"), "latin1"), (b"\xff\xfe", "UTF_8"), (b"", None), ("ａ".encode("cp932"), "shift_jis"), (b"x", "nonsense")]
+    f = files.from_table(spark.createDataFrame([(i, b, c) for i, (b, c) in enumerate(said)], "id long, b binary, c string"), "id", "b", files.info(extension=F.lit(".txt"), charset=F.col("c")))
+    from inkwell.plans.convert import convert_one
+
+    for r in convert(f).collect():
+        alone = convert_one(said[r.doc_id][0], {"extension": ".txt", "charset": said[r.doc_id][1]}, None, Options(), Registry())
+        assert (r.markdown, r.status, r.converter) == (alone[0], alone[3], alone[2]), said[r.doc_id]
+
+
+def test_options_of_a_call_and_rules_of_plugins(spark):
+    base, call = Options(keep_data_uris=True, strict=True), Options(style_map={"a": "b"})
+    assert call.over(base) == Options(True, {"a": "b"}, strict=True) and Options().over(base) == base
+    registry = Registry()
+    registry.register_page_converter(Route("shout", rule=lambda data, info: data.startswith(b"!") or 1 / (info["extension"] != ".err")), lambda data, info: (data.decode().upper(), None))
+    f = files.from_table(spark.createDataFrame([(1, b"!a", None), (2, b"b", ".err"), (3, b"!c", ".txt")], "id long, b binary, e string"), "id", "b", files.info(extension=F.col("e")))
+    assert {r.doc_id: (r.markdown, r.converter) for r in convert(f, registry=registry).collect()} == {1: ("!A", "shout"), 2: (None, None), 3: ("!C", "shout")}
+
+
 def test_plugins():
     plugins.clear()
 
@@ -159,9 +205,12 @@ def test_command_line(tmp_path, capsys, monkeypatch):
     assert cli.main([str(source), "-e", "https://svc/"], client=client) == 0 and capsys.readouterr().out == "# Doc\n" and calls[1] == ("GET", "poll")
 
 
-def test_cloud_results():
+def test_cloud_results(spark):
     assert cloud.result_markdown({"analyzeResult": {"fields": {"a": {"value": None}, "b": [1]}, "content": "x"}}) == "---\na: null\nb: [1]\n---\n\nx"
     assert cloud.result_markdown({"odd": 1}).startswith("```yaml")
+    results = [{"analyzeResult": {"fields": {"a": {"value": None}, "b": [1]}, "content": "x"}}, {"fields": {"q": 'say "hi" \\', "n": 1.5, "o": {"x": 1}}, "contents": [{"markdown": " p ", "pageNumber": 3}, {"fields": {"q": {"content": "late"}}}]}, {"markdown": " "}]
+    rows = spark.createDataFrame([(i, json.dumps(r)) for i, r in enumerate(results[:2])], "i int, j string").select("i", cloud.markdown_of(F.col("j")).alias("m")).collect()
+    assert [r.m for r in rows] == [cloud.result_markdown(r) for r in results[:2]]
     failing = cloud.Service(lambda kind: "u", lambda *a: (500, {}, b""), lambda: {"k": "v"})
     given = Options(providers=Providers(analyze=failing))
     from inkwell.plans.convert import convert_one
