@@ -6,6 +6,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass, field, fields
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -199,8 +200,7 @@ def _by_parts(rows: DataFrame, options: Options, registry: Registry) -> DataFram
     plan. Archives' entries are files of their own, converted row by row wherever they are."""
     where = F.col("info")
     name = F.coalesce(where["url"], where["local_path"], where["filename"], F.lit("archive.zip"))
-    files = packages.keyed(rows.select("doc_id", "content", F.get("candidates", F.lit(0)).alias("kind"), name.alias("name")))
-    found = written(packages.parts(files), "parts")
+    found = written(packages.parts(rows.select("doc_id", "content", F.get("candidates", F.lit(0)).alias("kind"), name.alias("name"))), "parts")
     kinds = {r.kind for r in found.select("kind").distinct().collect()}  # PACKAGES at most
     plans = {"pdf": lambda: packages.pdfs(found), "epub": lambda: packages.books(found, options.keep_data_uris), "xlsx": lambda: packages.workbooks(found)}
     plans["zip"] = lambda: packages.archives(found, _by_row(routed(packages.archive_entries(found), registry), options, registry, 1))
@@ -209,7 +209,7 @@ def _by_parts(rows: DataFrame, options: Options, registry: Registry) -> DataFram
         done = done.unionByName(plans[kind]())
     attempt = F.array(F.struct(F.col("kind").alias("converter"), F.col("error_class"), F.col("message")))
     ok = F.col("error_class").isNull()
-    out = files.select("doc_id", "key", "kind").join(done, "key", "left")
+    out = found.where("page = -1").select("doc_id", "key", "kind").join(done, "key", "left")
     return out.select("doc_id", "markdown", "title", F.when(ok, F.col("kind")).alias("converter"), F.when(ok, "ok").otherwise("failed").alias("status"), F.when(ok, F.array().cast(ATTEMPTS)).otherwise(attempt.cast(ATTEMPTS)).alias("attempts"))
 
 
@@ -234,6 +234,9 @@ def convert(files: DataFrame, options: Options | None = None, registry: Registry
     known = F.col("info.charset").isNull() | F.lower("info.charset").isin(*C.CODECS)
     if given.analyze is not None or given.classify is not None or given.detect_charset is not None:
         spread = simple = []
+    if spread:  # told by hints alone: contents are not read for it
+        may = [routing.accepts(r, F.col("info"), F.col("content")) for r in registry.ordered() if r.name in spread]
+        spread = [] if rows.where(reduce(Column.__or__, may)).isEmpty() else spread
     is_spread, is_simple = F.coalesce(alone.isin(*spread), F.lit(False)), F.coalesce(first.isin(*simple) & known, F.lit(False))
     out = _by_row(rows.where(~is_spread & ~is_simple), options, registry)
     if simple:
@@ -249,6 +252,5 @@ def convert(files: DataFrame, options: Options | None = None, registry: Registry
 def pdf_words(files: DataFrame) -> DataFrame:
     """(doc_id, page, text, x0, x1, top, page_width) of PDF files (doc_id, content); `convert` reports those that can't be
     read."""
-    rows = packages.keyed(files.withColumn("kind", F.lit("pdf")).withColumn("name", F.lit(None).cast("string")))
-    words = packages.parts(rows).where("page >= 0").select("key", "page", "text", "x0", "x1", "top", "page_width")
-    return rows.select("doc_id", "key").join(words, "key").drop("key")
+    rows = files.withColumn("kind", F.lit("pdf")).withColumn("name", F.lit(None).cast("string"))
+    return packages.parts(rows).where("page >= 0").select("doc_id", "page", "text", "x0", "x1", "top", "page_width")

@@ -4,7 +4,7 @@ One pass takes files apart into a written table of parts: entries of archives, e
 What belongs together is joined and put in order by Spark: spine and manifest, sheets and relationships, cells and shared
 strings, column types, page layouts. Python parses single parts only.
 
-Every plan gives (key, markdown, title, error_class, message), key naming a file by the hash of its id and content.
+Every plan gives (key, markdown, title, error_class, message), key being a number that the pass gives to each file.
 """
 
 from __future__ import annotations
@@ -19,29 +19,27 @@ from inkwell.functions import arrow
 from inkwell.functions import text as T
 from inkwell.operators import layout, ordered, package, tables
 
-PARTS = "key long, kind string, name string, path string, content binary, page int, text string, x0 double, x1 double, top double, page_width double, error_class string, message string"
+PARTS = "key long, doc_id {}, kind string, name string, path string, content binary, page int, text string, x0 double, x1 double, top double, page_width double, error_class string, message string"
 #: Bytes of parts that are handed on together.
 BATCH_BYTES = 4 << 20
 
 
-def keyed(files: DataFrame) -> DataFrame:
-    return files.withColumn("key", F.xxhash64("doc_id", F.isnull("doc_id"), "content"))
-
-
 def parts(files: DataFrame) -> DataFrame:
-    """The parts of files (key, kind, name, content), kind being pdf or what is packed as zip. A file that can't be taken
-    apart has one row with its error. Files that repeat a key are one."""
+    """The parts of files (doc_id, kind, name, content), kind being pdf or what is packed as zip; to be written before it is
+    used, as `key` names a file in one reading only. Each file has one row of page -1, with its error if it can't be taken
+    apart; an error further on has a row of its own."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from inkwell.parsers import package as zips
         from inkwell.parsers import pdf
 
-        schema = pa.schema([("key", pa.int64()), *((n, pa.string()) for n in ("kind", "name", "path")), ("content", pa.binary()), ("page", pa.int32()), ("text", pa.string()), *((n, pa.float64()) for n in ("x0", "x1", "top", "page_width")), ("error_class", pa.string()), ("message", pa.string())])
         for batch in batches:
+            strings, numbers = (("kind", "name", "path"), ("x0", "x1", "top", "page_width"))
+            schema = pa.schema([("key", pa.int64()), ("doc_id", batch.column(1).type), *((n, pa.string()) for n in strings), ("content", pa.binary()), ("page", pa.int32()), ("text", pa.string()), *((n, pa.float64()) for n in numbers), ("error_class", pa.string()), ("message", pa.string())])
             for i in range(batch.num_rows):
-                key, kind, name, data = (batch.column(c)[i].as_py() for c in range(4))
-                head = {"key": key, "kind": kind, "name": name}
-                rows, held = [{**head, "page": -1}], 0
+                key, doc_id, kind, name, data = (batch.column(c)[i].as_py() for c in range(5))
+                head = {"key": key, "doc_id": doc_id, "kind": kind, "name": name}
+                rows, held, first = [{**head, "page": -1}], 0, True
                 try:
                     if kind == "pdf":
                         rows += [{**head, "page": p, "text": t, "x0": a, "x1": b, "top": y, "page_width": w} for p, t, a, b, y, w in pdf.words(data)]
@@ -51,31 +49,29 @@ def parts(files: DataFrame) -> DataFrame:
                             held += len(content)
                             if held > BATCH_BYTES:
                                 yield pa.RecordBatch.from_pylist(rows, schema)
-                                rows, held = [], 0
+                                rows, held, first = [], 0, False
                 except Exception as e:  # noqa: BLE001  errors are data
-                    rows = [{**head, "error_class": type(e).__name__, "message": str(e)}]
+                    rows = [{**head, "page": -1 if first else None, "error_class": type(e).__name__, "message": str(e)}]
                 yield pa.RecordBatch.from_pylist(rows, schema)
 
-    return files.dropDuplicates(["key"]).select("key", "kind", "name", "content").mapInArrow(run, PARTS)
-
-
-def _failed(found: DataFrame) -> DataFrame:
-    return found.where("error_class is not null").select("key", "error_class", "message")
+    named = files.select(F.monotonically_increasing_id().alias("key"), "doc_id", "kind", "name", "content")
+    return named.mapInArrow(run, PARTS.format(files.schema["doc_id"].dataType.simpleString()))
 
 
-def _finished(found: DataFrame, done: DataFrame, error: str | Column = "nothing was found") -> DataFrame:
+def _finished(found: DataFrame, done: DataFrame, error: str = "nothing was found") -> DataFrame:
     """Results (key, markdown, title) of all files in parts, with the errors of those that have none."""
     every = found.groupBy("key").agg(F.max("error_class").alias("error_class"), F.max("message").alias("message"))
-    said = F.when(F.col("markdown").isNull(), F.coalesce("message", F.lit(error) if isinstance(error, str) else error))
-    kind = F.when(F.col("markdown").isNull(), F.coalesce("error_class", F.lit("ValueError")))
-    return every.join(done, "key", "left").select("key", "markdown", "title", kind.alias("error_class"), said.alias("message"))
+    ok = F.col("markdown").isNotNull() & F.col("error_class").isNull()
+    kind, said = F.coalesce("error_class", F.lit("ValueError")), F.coalesce("message", F.lit(error))
+    out = every.join(done, "key", "left")
+    return out.select("key", F.when(ok, F.col("markdown")).alias("markdown"), F.when(ok, F.col("title")).alias("title"), F.when(~ok, kind).alias("error_class"), F.when(~ok, said).alias("message"))
 
 
 def pdfs(found: DataFrame) -> DataFrame:
     """PDF words to pages: forms as tables, others as lines, pages in order with a blank line between them. Documents whose
     tables look broken are lines throughout; a file without words is an empty text."""
     words = found.where("kind = 'pdf' and error_class is null")
-    laid = words_to_markdown(words.where("page >= 0").withColumnRenamed("key", "doc_id")).withColumnRenamed("doc_id", "key")
+    laid = words_to_markdown(words.where("page >= 0").drop("doc_id").withColumnRenamed("key", "doc_id")).withColumnRenamed("doc_id", "key")
     done = words.where("page = -1").select("key").join(laid, "key", "left").select("key", F.coalesce("markdown", F.lit("")).alias("markdown"), F.lit(None).cast("string").alias("title"))
     return _finished(found.where("kind = 'pdf'"), done)
 
