@@ -13,27 +13,27 @@ HUB, HUB_SHARE = 200, 20_000
 
 
 def _met(rows: DataFrame, least: DataFrame, n: int) -> DataFrame:
-    """Rows (u, ...) with the m of their u in a saved table least (u, m, n). The rows of a hub stay where they are and get
-    its m by broadcast, so that no task gathers a hub's rows."""
-    many = F.col("n") > max(HUB, n // HUB_SHARE)
-    if least.where(many).isEmpty():
+    """Rows (u, ...) of n with the m of their u in least (u, m, n). The rows of a hub stay where they are and get its m by
+    broadcast, so that no task gathers a hub's rows."""
+    if n <= HUB:  # no node can be a hub
         return rows.join(least.select("u", "m"), "u")
+    many = F.col("n") > max(HUB, n // HUB_SHARE)
     hubs, others = F.broadcast(least.where(many).select("u", "m")), least.where(~many).select("u", "m")
     return rows.join(hubs, "u").unionByName(rows.join(hubs, "u", "left_anti").join(others, "u"))
 
 
-def _large_star(edges: DataFrame, n: int) -> tuple[DataFrame, DataFrame]:
-    """Each node's larger neighbours are linked to the smallest node that it sees. With the table of these smallest ones."""
+def _large_star(edges: DataFrame, n: int) -> DataFrame:
+    """Each node's larger neighbours are linked to the smallest node that it sees."""
     both = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = saved(both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"), F.count("*").alias("n")), "least")
-    return _met(both.where("v > u"), least, n).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), least
+    least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"), F.count("*").alias("n"))
+    return _met(both.where("v > u"), least, n).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
 
 
-def _small_star(edges: DataFrame, n: int) -> tuple[DataFrame, DataFrame]:
+def _small_star(edges: DataFrame, n: int) -> DataFrame:
     """Each node and its smaller neighbours are linked to the smallest of these. Edges run from larger u to smaller v."""
-    least = saved(edges.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")), "least")
+    least = edges.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
     moved = _met(edges, least, n).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-    return moved.union(least.select("u", F.col("m").alias("v"))).where("u <> v").distinct(), least
+    return moved.union(least.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -51,9 +51,8 @@ def components(edges: DataFrame) -> DataFrame:
             break
         before = now
         for star in (_large_star, _small_star):
-            then, least = star(edges, now.n)
-            then = saved(then, "edges")
-            forget(edges, least)
+            then = saved(star(edges, now.n), "edges")
+            forget(edges)
             edges = then
     leaves = edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
     tops = edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()

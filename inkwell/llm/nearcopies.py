@@ -121,14 +121,14 @@ def _alike(docs: DataFrame, each: DataFrame, pairs: DataFrame) -> DataFrame:
 def _grouped(docs: DataFrame) -> DataFrame:
     """(doc_id, h1, h2, root) of documents, a row for each row: root names the group of near copies.
 
-    First each bucket's nodes are checked against its smallest one; then, inside bands, whatever nodes are still
-    unconnected.
+    Buckets are the bands, and the fingerprints that the Gray index links to one. First each bucket's nodes are checked
+    against its smallest one; then, inside bands, whatever nodes are still unconnected.
     """
     marks = saved(_marks(docs), "marks")
     each = marks.groupBy("copy").agg(F.min_by("doc_id", F.struct(F.isnull("doc_id"), "doc_id")).alias("least"), F.min("fp").alias("fp"), F.min("bands").alias("bands"))
     each = saved(each.withColumn("node", F.conv(F.substring(F.hex("copy"), 1, 15), 16, 10).cast("long")), "distinct")
-    stars = components(simhash.linked(each.select("fp").distinct()))
-    by_print = each.join(stars.withColumnRenamed("node", "fp"), "fp", "left").select(F.coalesce("root", "fp").alias("key"), "node", F.lit(False).alias("band"))
+    prints = saved(simhash.linked(each.select("fp").distinct()), "links").select(F.col("v").alias("key"), F.explode(F.array("u", "v")).alias("fp"))
+    by_print = prints.union(each.select(F.col("fp").alias("key"), "fp")).distinct().join(each, "fp").select("key", "node", F.lit(False).alias("band"))
     members = each.select(F.explode("bands").alias("key"), "node", F.lit(True).alias("band")).union(by_print)
     tops = members.groupBy("key", "band").agg(F.min("node").alias("top"), F.count("*").alias("n")).where("n > 1").select("key", "band", "top")
     members = saved(members.join(tops, ["key", "band"]).where("node <> top"), "members")
@@ -139,7 +139,9 @@ def _grouped(docs: DataFrame) -> DataFrame:
     rest = saved(rest.join(mixed, "key"), "rest")
     other = rest.select("key", F.col("node").alias("v"), F.col("root").alias("other"))
     pairs = rest.join(other, "key").where("node < v and root <> other").select(F.col("node").alias("u"), "v").distinct()
-    root = components(links.union(_alike(docs, each, pairs)))
+    more = _alike(docs, each, pairs)
+    if not more.isEmpty():
+        root = components(root.where("node <> root").select(F.col("node").alias("u"), F.col("root").alias("v")).union(more))
     placed = each.select("copy", "node").join(root, "node", "left").select("copy", F.coalesce("root", "node").alias("root"))
     out = saved(marks.select("doc_id", "h1", "h2", "copy").join(placed, "copy").select("doc_id", "h1", "h2", "root"), "grouped")
     forget(members, rest)
