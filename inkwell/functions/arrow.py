@@ -110,12 +110,60 @@ def sheet_list(content: pd.Series) -> pd.Series:
     return content.map(lambda d: _or_none(one, d))
 
 
-@F.pandas_udf(_list(rel_id=S.StringType(), target=S.StringType()))
+@F.pandas_udf(_list(rel_id=S.StringType(), target=S.StringType(), external=S.BooleanType()))
 def relationships(content: pd.Series) -> pd.Series:
-    """The relationships of a part."""
+    """The relationships of a part, in order."""
     from inkwell.parsers.xmltree import parse_xml
 
-    return content.map(lambda d: _or_none(lambda x: [{"rel_id": n.attrs.get("Id"), "target": n.attrs.get("Target", "")} for n in parse_xml(bytes(x)).named("Relationship")], d))
+    def one(data):
+        return [{"rel_id": n.attrs.get("Id"), "target": n.attrs.get("Target", ""), "external": n.attrs.get("TargetMode") == "External"} for n in parse_xml(bytes(data)).named("Relationship")]
+
+    return content.map(lambda d: _or_none(one, d))
+
+
+@F.pandas_udf(S.ArrayType(S.StringType()))
+def slide_ids(content: pd.Series) -> pd.Series:
+    """The relationships of a presentation's slides, in order."""
+    from inkwell.parsers import office
+
+    return content.map(lambda d: _or_none(office.slide_ids, bytes(d)))
+
+
+SHAPES = _list(
+    place=_list(top=S.LongType(), left=S.LongType(), stored=S.IntegerType()), kind=S.StringType(), text=S.StringType(), is_title=S.BooleanType(), name=S.StringType(), rel_id=S.StringType(), rows=S.ArrayType(S.ArrayType(S.StringType()))
+)
+
+
+@F.pandas_udf(SHAPES)
+def slide_shapes(content: pd.Series) -> pd.Series:
+    """The shapes of a slide part."""
+    from inkwell.parsers import office
+
+    def one(data):
+        return [{f: shape.get(f) for f in SHAPES.elementType.fieldNames()} for shape in office.slide_shapes(bytes(data))]
+
+    return content.map(lambda d: None if d is None else _or_none(one, d))
+
+
+@F.pandas_udf(_record(title=S.StringType(), names=S.ArrayType(S.StringType()), labels=S.ArrayType(S.StringType()), columns=S.ArrayType(S.ArrayType(S.StringType())), known=S.BooleanType()))
+def chart_parts(content: pd.Series) -> pd.DataFrame:
+    """The cached series of a chart part; `known` is null for a part that can't be read, false without series."""
+    from inkwell.parsers import office
+
+    def one(data):
+        found = _or_none(office.chart_parts, bytes(data)) if data is not None else None
+        broken = data is None or (found is None and _or_none(lambda d: office.parse_xml(d) and True, bytes(data)) is None)
+        return (found["title"], found["names"], found["labels"], found["columns"], True) if found else (None, None, None, None, None if broken else False)
+
+    return pd.DataFrame([one(d) for d in content], columns=["title", "names", "labels", "columns", "known"])
+
+
+@F.pandas_udf(S.StringType())
+def note_text(content: pd.Series) -> pd.Series:
+    """The text of a notes part's first body."""
+    from inkwell.parsers import office
+
+    return content.map(lambda d: None if d is None else _or_none(office.note_text, bytes(d)))
 
 
 @F.pandas_udf(S.ArrayType(S.StringType()))

@@ -209,3 +209,16 @@ def version_at_least(version: Column, least: tuple[int, ...]) -> Column:
     parts = F.transform(F.split(version, r"\."), lambda p: F.coalesce(p.try_cast("int"), F.lit(0)))
     own = F.slice(F.concat(parts, F.array_repeat(F.lit(0), len(least))), 1, len(least))
     return own >= F.array(*map(F.lit, least))
+
+
+def stripped(text: Column) -> Column:
+    """Without white space of any kind at both ends."""
+    return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
+
+
+def package_path(folder: Column, target: Column) -> Column:
+    """Where a relationship of a part in a folder leads inside its package."""
+    start = F.when(target.startswith("/") | (folder == ""), F.array().cast("array<string>")).otherwise(F.split(folder, "/"))
+    steps = F.filter(F.split(target, "/"), lambda s: s != "")
+    go = lambda at, s: F.when(s == "..", F.slice(at, F.lit(1), F.greatest(F.size(at) - 1, F.lit(0)))).when(s == ".", at).otherwise(F.concat(at, F.array(s)))
+    return F.array_join(F.aggregate(steps, start, go), "/")

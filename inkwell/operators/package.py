@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from inkwell.functions import text as T
+
 
 def spine_parts(spine: DataFrame, manifest: DataFrame) -> DataFrame:
     """(doc_id, nth, href) of spine (doc_id, nth, idref) and manifest (doc_id, idref, href); unknown references drop out."""
@@ -28,10 +31,32 @@ def alphabetical(path: Column) -> Column:
     return F.collate(path, "UNICODE")
 
 
-def chart_rows(names: Column, values: Column) -> Column:
-    """Rows of a chart's categories and one series' values, which meet by ordinal: a missing category is its number, a
+def chart_rows(names: Column, *values: Column) -> Column:
+    """Rows of a chart's categories and its series' values, which meet by ordinal: a missing category is its number, a
     missing value empty."""
-    n = F.greatest(F.size(names), F.size(values))
-    at = lambda a, i: F.get(a, i.cast("int"))
-    row = lambda i: F.concat_ws(" | ", F.coalesce(at(names, i), (i + 1).cast("string")), F.coalesce(at(values, i), F.lit("")))
-    return F.when(n > 0, F.transform(F.sequence(F.lit(0), n - 1), row)).otherwise(F.array().cast("array<string>"))
+    series = F.array(*values)
+    n = F.aggregate(series, F.size(names), lambda a, v: F.greatest(a, F.size(v)))
+    return F.when(n > 0, F.transform(F.sequence(F.lit(0), n - 1), lambda i: _chart_row(names, series, i))).otherwise(F.array().cast("array<array<string>>"))
+
+
+def _chart_row(names: Column, series: Column, i: Column) -> Column:
+    at = lambda a: F.get(a, i.cast("int"))
+    return F.concat(F.array(F.coalesce(at(names), (i + 1).cast("string"))), F.transform(series, lambda v: F.coalesce(at(v), F.lit(""))))
+
+
+def chart_table(title: Column, names: Column, labels: Column, columns: Column) -> Column:
+    """A chart's cached series as a headed Markdown table."""
+    n = F.aggregate(columns, F.size(labels), lambda a, v: F.greatest(a, F.size(v)))
+    rows = F.when(n > 0, F.transform(F.sequence(F.lit(0), n - 1), lambda i: _chart_row(labels, columns, i))).otherwise(F.array().cast("array<array<string>>"))
+    head = F.concat(F.lit("\n\n### Chart"), F.when(title != "", F.concat(F.lit(": "), title)).otherwise(""), F.lit("\n\n"))
+    return F.concat(head, T.markdown_table(F.concat(F.array(F.concat(F.array(F.lit("Category")), names)), rows)), F.lit("\n"))
+
+
+def first_headings(shapes: DataFrame, by: list[str]) -> DataFrame:
+    """Shapes (by, place, kind, is_title, text, rows) with `heading`: the first title of a slide that isn't blank, if no text before
+    it has a heading."""
+    before = W.partitionBy(*by).orderBy("place").rowsBetween(W.unboundedPreceding, -1)
+    title = F.coalesce(F.col("is_title"), F.lit(False)) & (T.stripped(F.col("text")) != "") & (F.size("place") == 1)
+    marked = F.coalesce(F.col("text").contains("# "), F.lit(False)) | F.exists(F.flatten(F.coalesce("rows", F.array().cast("array<array<string>>"))), lambda c: c.contains("# "))
+    headed = F.coalesce(title, F.lit(False)) | marked | (F.col("kind") == "chart")
+    return shapes.withColumn("heading", F.coalesce(title, F.lit(False)) & ~F.coalesce(F.bool_or(headed).over(before), F.lit(False)))

@@ -218,8 +218,8 @@ def _cached(node: Node | None, *kinds: str) -> list[str]:
     return []
 
 
-def chart(data: bytes) -> str | None:
-    """The cached series of a chart as a table; null without series."""
+def chart_parts(data: bytes) -> dict | None:
+    """(title, names, labels, columns) of a chart's cached series; null without series."""
     root = parse_xml(data)
     top = root.one("chart") or root
     series = top.named("ser")
@@ -230,13 +230,68 @@ def chart(data: bytes) -> str | None:
         tx = s.one("tx")
         return next(iter(_cached(tx, "strCache")), "") or (tx.content().strip() if tx is not None else "") or "Series"
 
-    labels = _cached(series[0].one("cat"), "strCache", "numCache")
-    columns = [_cached(s.one("val"), "numCache", "strCache") for s in series]
+    heading = next((t for box in top.kids("title") for t in ["".join(x.content() for x in box.named("t")).strip() or next(iter(_cached(box, "strCache")), "")] if t), "")
+    return {"title": heading, "names": list(map(name, series)), "labels": _cached(series[0].one("cat"), "strCache", "numCache"), "columns": [_cached(s.one("val"), "numCache", "strCache") for s in series]}
+
+
+def chart(data: bytes) -> str | None:
+    """The cached series of a chart as a table; null without series."""
+    found = chart_parts(data)
+    if found is None:
+        return None
+    labels, columns = found["labels"], found["columns"]
     n = max(len(labels), *map(len, columns))
     pick = lambda values, i, default: values[i] if i < len(values) else default
-    rows = [["Category", *map(name, series)]] + [[pick(labels, i, str(i + 1)), *(pick(c, i, "") for c in columns)] for i in range(n)]
-    heading = next((t for box in top.kids("title") for t in ["".join(x.content() for x in box.named("t")).strip() or next(iter(_cached(box, "strCache")), "")] if t), "")
-    return "\n\n### Chart" + (f": {heading}" if heading else "") + "\n\n" + H.table_text([[(c, 1) for c in r] for r in rows]) + "\n"
+    rows = [["Category", *found["names"]]] + [[pick(labels, i, str(i + 1)), *(pick(c, i, "") for c in columns)] for i in range(n)]
+    return "\n\n### Chart" + (f": {found['title']}" if found["title"] else "") + "\n\n" + H.table_text([[(c, 1) for c in r] for r in rows]) + "\n"
+
+
+def slide_ids(raw: bytes) -> list[str]:
+    """The relationships of a presentation's slides, in order."""
+    return [i for n in parse_xml(raw).named("sldId") if (i := n.attrs.get("r:id"))]
+
+
+def note_text(raw: bytes) -> str:
+    """The text of a notes part's first body."""
+    tree = parse_xml(raw).one("spTree")
+    for shape in tree.named("sp") if tree is not None else []:
+        holder = shape.one("ph")
+        if holder is None or holder.attrs.get("type", "body") == "body":
+            return _Slides.text(shape)
+    return ""
+
+
+def slide_shapes(raw: bytes) -> list[dict]:
+    """The shapes of a slide part, groups opened: kind (sp, pic, chart, table, raw), place (top, left and number of the shape
+    and the groups around it), and what the kind has."""
+    root = parse_xml(raw)
+    tree = root.one("spTree")
+    if tree is None:
+        return [{"place": [], "kind": "raw", "text": "\n".join(t.content() for t in root.named("t") if t.content())}]
+    out: list[dict] = []
+
+    def walk(node: Node, around: list[dict]) -> None:
+        for i, shape in enumerate(node.kids(*_Slides.SHAPES)):
+            top, left = _Slides.position(shape)
+            one = {"place": [*around, {"top": top, "left": left, "stored": i}]}
+            if shape.name == "grpSp":
+                walk(shape, one["place"])
+                continue
+            if shape.name == "sp":
+                holder = shape.one("ph")
+                one |= {"kind": "sp", "text": _Slides.text(shape), "is_title": holder is not None and holder.attrs.get("type") in ("title", "ctrTitle")}
+            elif shape.name == "pic":
+                about = shape.one("cNvPr")
+                name = about.attrs.get("name", "image") if about is not None else "image"
+                one |= {"kind": "pic", "name": name, "text": (about.attrs.get("descr") if about is not None else None) or name}
+            else:
+                is_chart = any("/chart" in g.attrs.get("uri", "") for g in shape.named("graphicData")) or bool(shape.named("chart"))
+                rows = [["".join(t.content() for t in c.named("t")) for c in r.named("tc")] for r in shape.named("tr")]
+                one |= {"kind": "chart" if is_chart else "table", "rel_id": next((r for c in shape.named("chart") if (r := c.attrs.get("r:id"))), None), "rows": [r for r in rows if any(r)]}
+            out.append(one)
+
+    walk(tree, [])
+    return out
 
 
 class _Slides:

@@ -151,7 +151,7 @@ def routed(files: DataFrame, registry: Registry | None = None) -> DataFrame:
 
 RESULT = ["doc_id", "markdown", "title", "converter", "status", "attempts"]
 #: Converters that are Spark jobs over the parts of files, and those that are expressions over their bytes.
-PACKAGES, EXPRESSIONS = ("pdf", "epub", "xlsx", "zip"), ("text", "csv")
+PACKAGES, EXPRESSIONS = ("pdf", "epub", "xlsx", "pptx", "zip"), ("text", "csv")
 
 
 def _by_row(rows: DataFrame, options: Options, registry: Registry, depth: int = 0) -> DataFrame:
@@ -202,7 +202,7 @@ def _by_parts(rows: DataFrame, options: Options, registry: Registry) -> DataFram
     name = F.coalesce(where["url"], where["local_path"], where["filename"], F.lit("archive.zip"))
     found = written(packages.parts(rows.select("doc_id", "content", F.get("candidates", F.lit(0)).alias("kind"), name.alias("name"))), "parts")
     kinds = {r.kind for r in found.select("kind").distinct().collect()}  # PACKAGES at most
-    plans = {"pdf": lambda: packages.pdfs(found), "epub": lambda: packages.books(found, options.keep_data_uris), "xlsx": lambda: packages.workbooks(found)}
+    plans = {"pdf": lambda: packages.pdfs(found), "epub": lambda: packages.books(found, options.keep_data_uris), "xlsx": lambda: packages.workbooks(found), "pptx": lambda: packages.decks(found)}
     plans["zip"] = lambda: packages.archives(found, _by_row(routed(packages.archive_entries(found), registry), options, registry, 1))
     done = found.select("key", F.lit(None).cast("string").alias("markdown"), F.lit(None).cast("string").alias("title"), "error_class", "message").limit(0)
     for kind in sorted(kinds):
@@ -230,6 +230,8 @@ def convert(files: DataFrame, options: Options | None = None, registry: Registry
     first = F.when(F.col("content").isNotNull(), F.get("candidates", F.lit(0)))
     alone = F.when(F.size("candidates") == 1, first)
     spread = [k for k in PACKAGES if k not in registry.converters] if not files.isStreaming else []
+    if options.keep_data_uris or given.caption is not None:
+        spread = [k for k in spread if k != "pptx"]  # pictures are read with their slides
     simple = [k for k in EXPRESSIONS if k not in registry.converters]
     known = F.col("info.charset").isNull() | F.lower("info.charset").isin(*C.CODECS)
     if given.analyze is not None or given.classify is not None or given.detect_charset is not None:

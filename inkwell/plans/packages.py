@@ -1,8 +1,9 @@
 """Files that hold many parts, converted by Spark jobs.
 
-One pass takes files apart into a written table of parts: entries of archives, e-books and workbooks, words of PDF files.
-What belongs together is joined and put in order by Spark: spine and manifest, sheets and relationships, cells and shared
-strings, column types, page layouts. Python parses single parts only.
+One pass takes files apart into a written table of parts: entries of archives, e-books, workbooks
+and presentations, words of PDF files.
+What belongs together is joined and put in order by Spark: spine and manifest, sheets, slides and relationships, cells and
+shared strings, column types, shapes, page layouts. Python parses single parts only.
 
 Every plan gives (key, markdown, title, error_class, message), key being a number that the pass gives to each file.
 """
@@ -12,7 +13,8 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from inkwell.functions import arrow
@@ -111,12 +113,11 @@ def workbooks(found: DataFrame) -> DataFrame:
     entries = found.where("kind = 'xlsx' and path is not null").select("key", "path", "content")
     part = lambda path, f: entries.where(F.col("path") == path).select("key", f("content").alias("x"))
     sheets = part("xl/workbook.xml", arrow.sheet_list).select("key", F.posexplode("x").alias("nth", "s")).select("key", "nth", "s.*")
-    links = part("xl/_rels/workbook.xml.rels", arrow.relationships).select("key", F.explode("x").alias("l")).select("key", "l.*")
+    links = _links(entries.where("path = 'xl/_rels/workbook.xml.rels'"))
     strings = part("xl/sharedStrings.xml", arrow.shared_strings).select("key", F.posexplode("x").alias("at", "string"))
     styles = part("xl/styles.xml", arrow.date_styles).select("key", F.posexplode("x").alias("style", "is_date")).where("is_date")
     linked = package.related(sheets.select(F.col("key").alias("doc_id"), F.lit(0).alias("part_no"), "rel_id", "nth", "name", "from_1904"), links.select(F.col("key").alias("doc_id"), F.lit(0).alias("part_no"), "rel_id", "target"))
-    path = F.when(F.col("target").startswith("/"), F.ltrim("target", F.lit("/"))).otherwise(F.concat(F.lit("xl/"), "target"))
-    linked = linked.select(F.col("doc_id").alias("key"), "nth", "name", "from_1904", path.alias("path"))
+    linked = linked.select(F.col("doc_id").alias("key"), "nth", "name", "from_1904", F.col("target").alias("path"))
     cells = linked.join(entries, ["key", "path"]).select("key", "nth", "from_1904", F.explode(arrow.sheet_cells("content")).alias("x")).select("key", "nth", "from_1904", "x.*")
     cells = cells.withColumn("at", F.when(F.col("kind") == "i", F.col("text").cast("int"))).join(strings, ["key", "at"], "left").join(styles, ["key", "style"], "left")
     start = F.when(F.col("from_1904"), F.expr("timestamp_ntz'1904-01-01 00:00:00'")).otherwise(F.expr("timestamp_ntz'1899-12-30 00:00:00'"))
@@ -147,3 +148,51 @@ def archives(found: DataFrame, converted: DataFrame) -> DataFrame:
     whole = found.where("kind = 'zip' and page = -1").select("key", "name").join(body, "key", "left")
     head = F.concat(F.lit("Content from the zip file `"), "name", F.lit("`:"))
     return _finished(found.where("kind = 'zip'"), whole.select("key", F.concat_ws("\n\n", head, "body").alias("markdown"), F.lit(None).cast("string").alias("title")))
+
+
+def _links(entries: DataFrame) -> DataFrame:
+    """(key, part, place, rel_id, target) of all relationships in packages, targets as paths."""
+    rels = entries.where(F.col("path").rlike(r"(^|/)_rels/[^/]+\.rels$"))
+    part = F.regexp_replace("path", r"(^|/)_rels/([^/]+)\.rels$", "$1$2")
+    each = rels.select("key", part.alias("part"), F.posexplode(arrow.relationships("content")).alias("place", "l")).select("key", "part", "place", "l.*")
+    folder = F.regexp_replace(F.regexp_extract("part", r"^(.*/)", 1), "/$", "")
+    return each.select("key", "part", "place", "rel_id", F.when(F.col("external"), F.col("target")).otherwise(T.package_path(folder, F.col("target"))).alias("target"))
+
+
+def decks(found: DataFrame) -> DataFrame:
+    """PPTX: slides meet the presentation's relationships; shapes, groups opened, are put in reading order; charts and notes
+    meet their slide's relationships."""
+    entries = found.where("kind = 'pptx' and path is not null").select("key", "path", "content")
+    links = _links(entries)
+    of = lambda c: F.col(c).alias("doc_id")
+    relations = links.select(of("key"), F.col("part").alias("part_no"), "rel_id", "target")
+    listed = entries.where("path = 'ppt/presentation.xml'").select(of("key"), F.col("path").alias("part_no"), F.posexplode(arrow.slide_ids("content")).alias("nth", "rel_id"))
+    listed = package.related(listed, relations).where("target is not null").select(F.col("doc_id").alias("key"), "nth", F.col("target").alias("path"))
+    number = F.regexp_extract("path", r"^ppt/slides/slide(\d+)\.xml$", 1)
+    stored = entries.where(number != "").select("key", number.cast("int").alias("nth"), "path").join(listed.select("key").distinct(), "key", "left_anti")
+    slides = listed.unionByName(stored)
+    slides = slides.withColumn("slide", F.row_number().over(W.partitionBy("key").orderBy("nth", "path"))).select("key", "slide", "path")
+    shapes = slides.join(entries, ["key", "path"]).select("key", "slide", "path", F.explode(arrow.slide_shapes("content")).alias("s")).select("key", "slide", "path", "s.*")
+    shapes = package.first_headings(shapes, ["key", "slide"])
+    framed = package.related(shapes.withColumnsRenamed({"key": "doc_id", "path": "part_no"}), relations).withColumnsRenamed({"doc_id": "key", "target": "path"})
+    charts = framed.where("kind = 'chart'").select("key", "path").distinct().join(entries, ["key", "path"]).select("key", "path", arrow.chart_parts("content").alias("chart"))
+    framed = framed.join(charts, ["key", "path"], "left")
+    table = lambda rows: F.when(F.size(rows) > 0, F.concat(T.markdown_table(rows), F.lit("\n"))).otherwise("")
+    chart = F.when(F.col("chart.known"), package.chart_table(F.col("chart.title"), F.col("chart.names"), F.col("chart.labels"), F.col("chart.columns"))).when(~F.col("chart.known"), table(F.col("rows"))).otherwise("\n\n[unsupported chart]\n\n")
+    text, inside = F.col("text"), F.size("place") > 1
+    blank = T.stripped(text) == ""
+    shape = F.when(inside, F.when(blank, "").otherwise(F.concat(T.stripped(text), F.lit("\n")))).when(blank, "\n").when(F.col("heading"), F.concat(F.lit("# "), F.regexp_replace(text, r"(?U)^\s+", ""), F.lit("\n"))).otherwise(F.concat(text, F.lit("\n")))
+    picture = F.concat(F.lit("\n!["), T.alt_text(text), F.lit("]("), T.picture_name(F.col("name")), F.lit(")\n"))
+    piece = F.when(F.col("kind") == "sp", shape).when(F.col("kind") == "pic", picture).when(F.col("kind") == "chart", chart).when(F.col("kind") == "table", table(F.col("rows"))).otherwise(text)
+    top = F.get("place", F.lit(0))
+    pieces = framed.select("key", "slide", "place", top.alias("top"), inside.alias("inside"), piece.alias("piece"))
+    blocks = pieces.groupBy("key", "slide", "top").agg(ordered.in_order("piece", "place", sep="").alias("block"), F.bool_or("inside").alias("group"))
+    body = blocks.select("key", "slide", "top", F.when(F.col("group"), T.stripped(F.col("block"))).otherwise(F.col("block")).alias("block")).groupBy("key", "slide").agg(ordered.in_order("block", "top", sep="").alias("body"))
+    noted = slides.join(links.where(F.col("target").contains("notesSlides/")).select("key", F.col("part").alias("path"), "place", "target"), ["key", "path"])
+    noted = noted.groupBy("key", "slide").agg(ordered.first_by("place", "target").alias("n")).select("key", "slide", F.col("n.target").alias("path"))
+    notes = noted.join(entries, ["key", "path"]).select("key", "slide", F.concat(F.lit("\n\n### Notes:\n"), arrow.note_text("content")).alias("notes"))
+    whole = slides.join(body, ["key", "slide"], "left").join(notes, ["key", "slide"], "left")
+    said = F.concat(F.lit("<!-- Slide number: "), F.col("slide").cast("string"), F.lit(" -->\n"), F.coalesce("body", F.lit("")), F.coalesce("notes", F.lit("")))
+    done = whole.select("key", "slide", T.stripped(said).alias("said")).groupBy("key").agg(ordered.in_order("said", "slide").alias("markdown"))
+    every = found.where("kind = 'pptx' and page = -1").select("key").join(done, "key", "left").select("key", F.coalesce("markdown", F.lit("")).alias("markdown"), F.lit(None).cast("string").alias("title"))
+    return _finished(found.where("kind = 'pptx'"), every)

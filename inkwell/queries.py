@@ -474,7 +474,8 @@ def join_chart_points(spark, sf_dir):
     c = read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("doc_id"), (F.col("c_custkey") % 4).cast("int").alias("n"))
     values = F.transform(F.slice(F.array(*map(F.lit, (1, 2, 3))), F.lit(1), F.col("n")), lambda i: (i * 10).cast("string"))
     rows = package.chart_rows(F.array(F.lit("1"), F.lit(None).cast("string"), F.lit("3")), values)
-    return c.select("doc_id", F.concat(F.lit("Category | A\n"), F.array_join(rows, "\n")).alias("rows"))
+    shown = F.transform(rows, lambda r: F.array_join(r, " | "))
+    return c.select("doc_id", F.concat(F.lit("Category | A\n"), F.array_join(shown, "\n")).alias("rows"))
 
 
 @query("""SELECT page_id, CASE page_id % 5 WHEN 0 THEN 'pdf' WHEN 1 THEN 'wav' WHEN 2 THEN 'jpeg' WHEN 3 THEN 'mp4' END AS kind, CASE page_id % 5 WHEN 0 THEN 'own' WHEN 1 THEN 'prebuilt-audioSearch' WHEN 2 THEN 'own' WHEN 3 THEN 'prebuilt-videoSearch' ELSE 'prebuilt-documentSearch' END AS analyzer,
