@@ -222,3 +222,26 @@ def package_path(folder: Column, target: Column) -> Column:
     steps = F.filter(F.split(target, "/"), lambda s: s != "")
     go = lambda at, s: F.when(s == "..", F.slice(at, F.lit(1), F.greatest(F.size(at) - 1, F.lit(0)))).when(s == ".", at).otherwise(F.concat(at, F.array(s)))
     return F.array_join(F.aggregate(steps, start, go), "/")
+
+
+def notebook_cells(text: Column) -> Column:
+    """The cells of a notebook as array<struct<kind, source>>; null for what isn't JSON with a list of cells."""
+    cells = F.try_variant_get(F.try_parse_json(text), "$.cells", "array<variant>")
+    lines = lambda c: F.array_join(F.try_variant_get(c, "$.source", "array<string>"), "")
+    source = lambda c: F.coalesce(lines(c), F.try_variant_get(c, "$.source", "string"), F.lit(""))
+    return F.transform(cells, lambda c: F.struct(F.try_variant_get(c, "$.cell_type", "string").alias("kind"), source(c).alias("source")))
+
+
+def notebook_markdown(cells: Column) -> Column:
+    """Markdown cells as they are, code cells fenced as python, raw cells fenced; outputs are left out."""
+    fenced = lambda c, mark: F.concat(F.lit(f"```{mark}\n"), c["source"], F.lit("\n```"))
+    part = lambda c: F.when(c["kind"] == "markdown", c["source"]).when(c["kind"] == "code", fenced(c, "python")).when(c["kind"] == "raw", fenced(c, ""))
+    return F.array_join(F.transform(cells, part), "\n\n")
+
+
+def notebook_title(text: Column, cells: Column) -> Column:
+    """The title in the notebook's metadata, else the first heading line of its markdown cells."""
+    lines = F.flatten(F.transform(F.filter(cells, lambda c: c["kind"] == "markdown"), lambda c: F.split(c["source"], "\n")))
+    first = F.get(F.filter(lines, lambda x: x.startswith("# ")), F.lit(0))
+    own = F.nullif(F.try_variant_get(F.try_parse_json(text), "$.metadata.title", "string"), F.lit(""))
+    return F.coalesce(own, stripped(F.substr(first, F.lit(3))))

@@ -173,26 +173,32 @@ def _by_row(rows: DataFrame, options: Options, registry: Registry, depth: int =
     return rows.select("doc_id", "content", "info", "candidates").mapInArrow(run, f"doc_id {kind}, {PARSED}")
 
 
-def _plain_text() -> tuple[Column, Column]:
-    """The text of a file, and the bytes left for Python: UTF-8 without a mark needs none."""
+def _plain() -> Column:
+    """Whether a file's bytes are its text as they stand: UTF-8 without a mark."""
     own = F.lower(F.replace(F.trim(F.coalesce(F.col("info.charset"), F.lit("utf-8"))), F.lit("_"), F.lit("-")))
-    easy = own.isin("utf-8", "utf8") & F.is_valid_utf8("content") & (F.coalesce(F.hex(F.substring("content", 1, 3)), F.lit("")) != "EFBBBF") & ~F.hex(F.substring("content", 1, 2)).isin("FFFE", "FEFF")
-    return F.when(easy, F.col("content").cast("string")), F.when(~easy, F.col("content"))
+    marked = F.hex(F.substring("content", 1, 3)).startswith("EFBBBF") | F.hex(F.substring("content", 1, 2)).isin("FFFE", "FEFF")
+    return own.isin("utf-8", "utf8") & F.is_valid_utf8("content") & ~marked
+
+
+def _notebooks() -> Column:
+    """Whether a file is a notebook by its name and its text; others are left to the parser, which says what is wrong."""
+    named = F.lower(F.coalesce(F.col("info.extension"), F.lit(""))) == ".ipynb"
+    return F.coalesce(named & _plain() & T.notebook_cells(F.when(named, F.col("content").cast("string"))).isNotNull(), F.lit(False))
 
 
 def _by_expression(rows: DataFrame) -> DataFrame:
-    """Results of texts and tables of values, which cannot fail: decoded and laid out by expressions; Arrow functions see
-    only bytes that aren't UTF-8, and the fields of CSV files."""
-    easy, hard = _plain_text()
-    rows = rows.select("doc_id", F.get("candidates", F.lit(0)).alias("converter"), easy.alias("easy"), hard.alias("hard"), F.col("info.charset").alias("charset"))
+    """Results of texts, tables of values and notebooks, which cannot fail: decoded and laid out by expressions; Arrow
+    functions see only bytes that aren't UTF-8, and the fields of CSV files."""
+    rows = rows.select("doc_id", F.get("candidates", F.lit(0)).alias("converter"), F.when(_plain(), F.col("content").cast("string")).alias("easy"), F.when(~_plain(), F.col("content")).alias("hard"), F.col("info.charset").alias("charset"))
     rows = rows.select("doc_id", "converter", F.coalesce("easy", arrow.decode_text("hard", "charset")).alias("text"))
-    cells = arrow.csv_rows(F.when(F.col("converter") == "csv", F.col("text")))
-    rows = rows.withColumn("cells", cells)
+    rows = rows.withColumn("cells", arrow.csv_rows(F.when(F.col("converter") == "csv", F.col("text"))))
+    rows = rows.withColumn("book", T.notebook_cells(F.when(F.col("converter") == "ipynb", F.col("text"))))
     table = F.transform("cells", lambda r: T.fit_row(r, F.size(F.get("cells", F.lit(0)))))
     plain = lambda cells: F.concat(F.lit("| "), F.array_join(cells, " | "), F.lit(" |"))
     lines = F.concat(F.array(plain(F.get(table, F.lit(0))), T.rule_row(F.size(F.get(table, F.lit(0))))), F.transform(F.slice(table, 2, F.greatest(F.size(table), F.lit(1))), plain))
-    markdown = F.when(F.col("converter") == "text", F.col("text")).when(F.size("cells") > 0, F.array_join(lines, "\n")).otherwise("")
-    return rows.select("doc_id", markdown.alias("markdown"), F.lit(None).cast("string").alias("title"), "converter", F.lit("ok").alias("status"), F.array().cast(ATTEMPTS).alias("attempts"))
+    markdown = F.when(F.col("converter") == "text", F.col("text")).when(F.col("converter") == "ipynb", T.notebook_markdown(F.col("book"))).when(F.size("cells") > 0, F.array_join(lines, "\n")).otherwise("")
+    title = F.when(F.col("converter") == "ipynb", T.notebook_title(F.col("text"), F.col("book")))
+    return rows.select("doc_id", markdown.alias("markdown"), title.alias("title"), "converter", F.lit("ok").alias("status"), F.array().cast(ATTEMPTS).alias("attempts"))
 
 
 def _by_parts(rows: DataFrame, options: Options, registry: Registry) -> DataFrame:
@@ -240,6 +246,8 @@ def convert(files: DataFrame, options: Options | None = None, registry: Registry
         may = [routing.accepts(r, F.col("info"), F.col("content")) for r in registry.ordered() if r.name in spread]
         spread = [] if rows.where(reduce(Column.__or__, may)).isEmpty() else spread
     is_spread, is_simple = F.coalesce(alone.isin(*spread), F.lit(False)), F.coalesce(first.isin(*simple) & known, F.lit(False))
+    if "ipynb" not in registry.converters and simple:
+        is_simple = is_simple | (F.coalesce(first == "ipynb", F.lit(False)) & _notebooks())
     out = _by_row(rows.where(~is_spread & ~is_simple), options, registry)
     if simple:
         out = out.union(_by_expression(rows.where(is_simple)))

@@ -240,7 +240,7 @@ def src_ipynb(spark, sf_dir):
     first = F.struct(F.lit("markdown").alias("cell_type"), F.array(F.concat(F.lit("# Talk "), F.col("conv_id").cast("string"))).alias("source"))
     c = read(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", cell.alias("c")))).alias("cs"))
     book = F.struct(F.lit(4).alias("nbformat"), F.lit(5).alias("nbformat_minor"), F.concat(F.array(first), F.transform("cs", lambda x: x["c"])).alias("cells"))
-    f = files.from_table(c.withColumn("j", F.to_json(book)), "conv_id", "j", files.info(mimetype=F.lit("application/json")))
+    f = files.from_table(c.withColumn("j", F.to_json(book)), "conv_id", "j", files.info(extension=F.lit(".ipynb")))
     return _converted(f).select("doc_id", "markdown", "title", "converter")
 
 

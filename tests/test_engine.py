@@ -162,6 +162,21 @@ def test_charsets_by_expression(spark):
         assert (r.markdown, r.status, r.converter) == (alone[0], alone[3], alone[2]), said[r.doc_id]
 
 
+def test_notebooks_by_expression(spark):
+    from inkwell.plans.convert import convert_one, normalize_here
+
+    cell = lambda kind, source: {"cell_type": kind, "source": source}
+    books = [
+        {"cells": [cell("code", ["a\n", "b"]), cell("markdown", "x\n#  Head \u00e9"), cell("markdown", ["# Late"]), cell("raw", "[1, 2]"), cell("odd", "no"), {"cell_type": "code"}], "nbformat": 4},
+        {"cells": [], "metadata": {"title": "Own"}}, {"cells": [cell("markdown", "# A")], "metadata": {"title": ""}}, {"nbformat": 4}, [1], {"cells": [cell("markdown", "[\"a\"]")]},
+    ]
+    texts = [json.dumps(b).encode() for b in books] + [b"no json", b"\xef\xbb\xbf" + json.dumps(books[0]).encode()]
+    f = files.from_table(spark.createDataFrame(list(enumerate(texts)), "id long, b binary"), "id", "b", files.info(extension=F.lit(".ipynb")))
+    for r in convert(f).collect():
+        markdown, title, used, status, attempts = convert_one(texts[r.doc_id], {"extension": ".ipynb"}, None, Options(), Registry())
+        assert (r.markdown, r.title, r.converter, r.status, len(r.attempts)) == (markdown and normalize_here(markdown), title, used, status, len(attempts)), r.doc_id
+
+
 def test_options_of_a_call_and_rules_of_plugins(spark):
     base, call = Options(keep_data_uris=True, strict=True), Options(style_map={"a": "b"})
     assert call.over(base) == Options(True, {"a": "b"}, strict=True) and Options().over(base) == base
