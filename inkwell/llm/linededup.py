@@ -10,34 +10,20 @@ from inkwell.llm.common import fresh, saved, table
 WINDOW = 3
 #: Line characters that count as blank.
 BLANK = r"^[\x20\x09-\x0D]*$"
-#: A line of more words is hashed as WINDOW lines, equal parts of its characters, so that a long passage repeated as one
-#: line among others fills a window by itself.
-LONG_WORDS = 50
-WORD = r"[^\x20\x09-\x0D]+"
 
 
-def _units(text: Column, size: int) -> Column:
-    """Structs (i, a, b) of what windows are made of: hashes of non-blank lines and of long lines' parts; i: the line."""
+def _windows(text: Column, size: int) -> Column:
+    """Structs (pos, lines, h1, h2) of the windows over the text's non-blank lines; lines: their places in the text."""
     lines = F.filter(
         F.transform(F.split(text, "\n", -1), lambda x, i: F.struct(i.alias("i"), x.alias("x"))),
         lambda s: ~s["x"].rlike(BLANK),
     )
-
-    def hashed(x: Column, i: Column) -> Column:
-        return F.struct(i.alias("i"), F.xxhash64(x).alias("a"), F.xxhash64(F.lit(1), x).alias("b"))
-
-    def cut(s: Column) -> Column:
-        part = F.floor(F.length(s["x"]) / size).cast("int")
-        parts = [F.substring(s["x"], part * k + 1, part if k < size - 1 else F.length(s["x"])) for k in range(size)]
-        long = (F.length(s["x"]) > 2 * LONG_WORDS) & (F.regexp_count(s["x"], F.lit(WORD)) > LONG_WORDS)
-        return F.when(long, F.array(*(hashed(x, s["i"]) for x in parts))).otherwise(F.array(hashed(s["x"], s["i"])))
-
-    return F.flatten(F.transform(lines, cut))
+    return F.transform(lines, lambda s, i: F.struct(s["i"].alias("i"), F.xxhash64(s["x"]).alias("a"), F.xxhash64(F.lit(1), s["x"]).alias("b")))
 
 
 def _occurrences(docs: DataFrame, size: int) -> DataFrame:
-    """(doc_id, whole, pos, lines, h1, h2) of all windows; pos: place of the first unit, lines: the lines of all."""
-    hashed = docs.select("doc_id", F.xxhash64("text").alias("whole"), _units(F.col("text"), size).alias("l")).where(F.size("l") >= size)
+    """(doc_id, whole, pos, lines, h1, h2) of all windows."""
+    hashed = docs.select("doc_id", F.xxhash64("text").alias("whole"), _windows(F.col("text"), size).alias("l")).where(F.size("l") >= size)
     of = lambda i, field: [F.element_at("l", (i + k).cast("int"))[field] for k in range(1, size + 1)]
     window = lambda i: F.struct(i.alias("pos"), F.array(*of(i, "i")).alias("lines"), F.xxhash64(*of(i, "a")).alias("h1"), F.xxhash64(*of(i, "b")).alias("h2"))
     each = F.transform(F.sequence(F.lit(0), F.size("l") - size), window)
@@ -47,33 +33,27 @@ def _occurrences(docs: DataFrame, size: int) -> DataFrame:
 def dedup_lines(docs: DataFrame, size: int = WINDOW) -> DataFrame:
     """The documents with later occurrences of repeated windows removed, plus n_lines and n_removed.
 
-    Windows are `size` consecutive non-blank lines, compared by 128 hash bits; a line of more than LONG_WORDS words counts
-    as `size` lines, its parts. The first occurrence, by doc_id and then place, stays; every line goes of which later
-    occurrences cover all parts. Blank lines stay. Documents with fewer lines and parts, null and empty texts stay as
-    they are (n_lines 0 for null). Rows that repeat both doc_id and text count as one and get the same result. A document whose
-    lines all go keeps its row, with its blank lines or an empty text. Further columns stay, whatever their names;
-    n_lines and n_removed replace columns of those names.
+    Windows are `size` consecutive non-blank lines, compared by 128 hash bits. The first occurrence, by doc_id and then
+    place, stays; every line that any later occurrence covers goes. Blank lines stay. Documents with fewer non-blank
+    lines, null and empty texts stay as they are (n_lines 0 for null). Rows that repeat both doc_id and text count as
+    one and get the same result. A document whose lines all go keeps its row, with its blank lines or an empty text.
+    Further columns stay, whatever their names; n_lines and n_removed replace columns of those names.
     """
     seen = saved(_occurrences(docs, size), "windows")
     at = F.struct("doc_id", "whole", "pos")
     repeated = seen.groupBy("h1", "h2").agg(F.count("*").alias("n"), F.min(at).alias("first")).where("n > 1")
     later = seen.join(repeated, ["h1", "h2"]).where(~at.eqNullSafe(F.col("first")))
-    covered = F.arrays_zip(F.col("lines").alias("i"), F.sequence("pos", F.col("pos") + size - 1).alias("p"))
     gone_id, gone_whole, gone = fresh(docs, "gone_id", "gone_whole", "gone")
-    places = later.groupBy(F.col("doc_id").alias(gone_id), F.col("whole").alias(gone_whole)).agg(F.array_distinct(F.flatten(F.collect_set(covered))).alias(gone))
+    places = later.groupBy(F.col("doc_id").alias(gone_id), F.col("whole").alias(gone_whole)).agg(F.array_distinct(F.flatten(F.collect_set("lines"))).alias(gone))
 
     names = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
     both = docs.join(places, docs["doc_id"].eqNullSafe(places[gone_id]) & (F.xxhash64(docs["text"]) == places[gone_whole]), "left")
     lines = F.split("text", "\n", -1)
-    units = F.transform(_units(F.col("text"), size), lambda u: u["i"])  # of a line covered in part, a place stays
-    left = F.array_except(F.transform(units, lambda i, p: F.struct(i.alias("i"), p.alias("p"))), F.col(gone))
-    out_lines = F.array_except(F.transform(F.col(gone), lambda g: g["i"]), F.transform(left, lambda g: g["i"]))
-    dropped = F.when(F.col(gone).isNotNull(), out_lines)
-    stay = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), dropped)
+    stay = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col(gone))
     text = F.when(F.col(gone).isNull(), F.col("text")).otherwise(F.array_join(F.transform(stay, lambda i: F.get(lines, i)), "\n"))
     n_lines = F.when(F.col("text").isNull(), 0).otherwise(F.size(lines)).cast("long")
     out = {c: F.col(f"`{c}`") for c in names} | {"text": text}
-    return both.select(*(out[c].alias(c) for c in names), n_lines.alias("n_lines"), F.coalesce(F.size(dropped), F.lit(0)).cast("long").alias("n_removed"))
+    return both.select(*(out[c].alias(c) for c in names), n_lines.alias("n_lines"), F.coalesce(F.size(gone), F.lit(0)).cast("long").alias("n_removed"))
 
 
 def op6_line_dedup(spark, sf_dir: str) -> DataFrame:
@@ -83,22 +63,15 @@ def op6_line_dedup(spark, sf_dir: str) -> DataFrame:
 OP6_SQL = """
 WITH l AS (
   SELECT d.doc_id, d.text, u.i, u.x FROM documents d, unnest(string_split(d.text, chr(10))) WITH ORDINALITY AS u(x, i)),
-n AS (
-  SELECT doc_id, i, x, length(x) // 3 AS k, len(regexp_extract_all(x, '[^\\x20\\x09-\\x0D]+')) > 50 AS long_line
-  FROM (SELECT DISTINCT * FROM l) WHERE NOT regexp_full_match(x, '[\\x20\\x09-\\x0D]*')),
-m AS (
-  SELECT doc_id, i, CASE WHEN long_line THEN [substr(x, 1, k), substr(x, k + 1, k), substr(x, 2 * k + 1)] ELSE [x] END AS parts FROM n),
-c AS (SELECT doc_id, i, p.x, p.j FROM m, unnest(parts) WITH ORDINALITY AS p(x, j)),
 b AS (
-  SELECT doc_id, i, x, row_number() OVER (PARTITION BY doc_id ORDER BY i, j) AS pos FROM c),
+  SELECT doc_id, text, i, x, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS pos
+  FROM (SELECT DISTINCT * FROM l) WHERE NOT regexp_full_match(x, '[\\x20\\x09-\\x0D]*')),
 w AS (
-  SELECT doc_id, pos, [pos, pos + 1, pos + 2] AS places, x || chr(10) || lead(x) OVER o || chr(10) || lead(x, 2) OVER o AS win
+  SELECT doc_id, pos, [i, lead(i) OVER o, lead(i, 2) OVER o] AS lines, x || chr(10) || lead(x) OVER o || chr(10) || lead(x, 2) OVER o AS win
   FROM b WINDOW o AS (PARTITION BY doc_id ORDER BY pos)),
 r AS (
-  SELECT doc_id, places, row_number() OVER (PARTITION BY win ORDER BY doc_id, pos) AS nth FROM w WHERE win IS NOT NULL),
-h AS (SELECT DISTINCT doc_id, unnest(places) AS pos FROM r WHERE nth > 1),
-g AS (
-  SELECT b.doc_id, b.i FROM b LEFT JOIN h ON b.doc_id = h.doc_id AND b.pos = h.pos GROUP BY b.doc_id, b.i HAVING count(h.pos) = count(*)),
+  SELECT doc_id, lines, row_number() OVER (PARTITION BY win ORDER BY doc_id, pos) AS nth FROM w WHERE win IS NOT NULL),
+g AS (SELECT DISTINCT doc_id, unnest(lines) AS i FROM r WHERE nth > 1),
 k AS (
   SELECT l.doc_id, string_agg(l.x, chr(10) ORDER BY l.i) FILTER (WHERE g.i IS NULL) AS text, count(g.i) AS n_removed, count(*) AS n_lines
   FROM l LEFT JOIN g ON l.doc_id = g.doc_id AND l.i = g.i GROUP BY l.doc_id)
