@@ -17,12 +17,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from inkwell.llm import simhash
-from inkwell.llm.common import forget, is_small, saved
+from inkwell.llm.common import forget, is_small, key_runs, saved
 from inkwell.llm.components import HUB, HUB_SHARE, components
 
 SHINGLE, SIMILARITY, BANDS, ROWS = 5, 0.8, 20, 5
 #: Shingles whose min-hashes are computed at once; parts into which the pairs of a node with very many are dealt.
 CHUNK, PARTS = 2048, 64
+#: Nodes of a bucket that one task holds at once; rows of a task's table.
+BUCKET, RUN_ROWS = 4096, 2048
 _draw = np.random.default_rng(17)
 _TIMES = _draw.integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _PLUS = _draw.integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64)
@@ -85,9 +87,9 @@ def _marks(docs: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, f"doc_id {kind}, h1 long, h2 long, copy binary, fp long, bands array<long>")
 
 
-def _sets(docs: DataFrame, each: DataFrame, pairs: DataFrame) -> DataFrame:
-    """(node, grams) of the nodes in pairs, each from a document that has it."""
-    named = saved(pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct().join(each.select("node", "copy", "least"), "node"), "named")
+def _sets(docs: DataFrame, each: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(node, grams) of nodes (node), each from a document that has it."""
+    named = saved(nodes.distinct().join(each.select("node", "copy", "least"), "node"), "named")
     ids = saved(named.select("least").distinct(), "ids")
     if is_small(ids):
         ids = F.broadcast(ids)
@@ -106,7 +108,7 @@ def _sets(docs: DataFrame, each: DataFrame, pairs: DataFrame) -> DataFrame:
 def _alike(docs: DataFrame, each: DataFrame, pairs: DataFrame) -> DataFrame:
     """The pairs (u, v) of nodes whose shingle sets are similar enough, by exact counts."""
     pairs = saved(pairs, "pairs")
-    sets, n = _sets(docs, each, pairs), pairs.count()
+    sets, n = _sets(docs, each, pairs.select(F.explode(F.array("u", "v")).alias("node"))), pairs.count()
     hubs = F.broadcast(pairs.groupBy("u").count().where(F.col("count") > max(HUB, n // HUB_SHARE)).select("u", F.lit(True).alias("hub")))  # HUB_SHARE rows at most
     left, right = sets.select(F.col("node").alias("u"), F.col("grams").alias("a")), sets.select(F.col("node").alias("v"), F.col("grams").alias("b"))
     part = F.when(F.col("hub"), F.pmod(F.xxhash64("v"), F.lit(PARTS))).otherwise(0).cast("int")
@@ -118,11 +120,67 @@ def _alike(docs: DataFrame, each: DataFrame, pairs: DataFrame) -> DataFrame:
     return saved(found.where(F.col("both") >= SIMILARITY * (F.col("total") - F.col("both"))).select("u", "v"), "alike")
 
 
+def _bucket_links(node: np.ndarray, root: np.ndarray, block: np.ndarray, apart: bool, grams: list[np.ndarray]) -> list[tuple[int, int]]:
+    """Links between nodes of one bucket that have other roots and similar shingle sets, as many as connect what all such
+    pairs would. Counts of shared shingles come from an inverted list; what is connected already is not looked at again.
+    `apart`: only pairs of different blocks count."""
+    size = np.array([len(g) for g in grams])
+    end = np.cumsum(size)
+    _, gram, often = np.unique(np.concatenate(grams), return_inverse=True, return_counts=True)
+    holder = np.repeat(np.arange(len(node)), size)[np.argsort(gram, kind="stable")]
+    first, group, out = np.cumsum(often) - often, np.unique(root, return_inverse=True)[1], []
+    for i in range(len(node) - 1):
+        other = group[i + 1 :] != group[i]
+        if apart:
+            other &= block[i + 1 :] != block[i]
+        if not other.any():
+            continue
+        own = gram[end[i] - size[i] : end[i]]
+        n = often[own]
+        both = np.bincount(holder[np.repeat(first[own] - (np.cumsum(n) - n), n) + np.arange(n.sum())], minlength=len(node))[i + 1 :]
+        near = i + 1 + np.flatnonzero(other & (both >= SIMILARITY * (size[i] + size[i + 1 :] - both)))
+        for j in near.tolist():
+            if group[j] != group[i]:
+                out.append((int(node[i]), int(node[j])))
+                group[group == group[j]] = group[i]
+    return out
+
+
+def _linked_in_buckets(docs: DataFrame, each: DataFrame, rest: DataFrame) -> DataFrame:
+    """(u, v) links that still connect nodes of different roots in buckets (key, node, root). A bucket's nodes meet in one
+    task with their shingle sets; one of more than BUCKET nodes is cut into blocks that meet two by two. No pairs are made
+    into rows but those that link."""
+    n = rest.groupBy("key").count().where(F.col("count") > BUCKET).select("key", F.ceil(F.col("count") / (BUCKET // 2)).cast("int").alias("blocks"))
+    rows = rest.join(n, "key", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    rows = rows.withColumn("block", F.pmod(F.xxhash64("node", F.lit(3)), F.col("blocks")).cast("int"))
+    high, low = (lambda o: F.greatest(o, "block")), (lambda o: F.least(o, "block"))
+    tile = lambda o: F.struct(high(o).cast("int").alias("high"), low(o).cast("int").alias("low"))
+    rows = rows.withColumn("t", F.explode(F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), tile))).select("key", "node", "root", "block", "t.high", "t.low")
+    rows = rows.join(_sets(docs, each, rest.select("node")), "node")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys = ["key", "high", "low"]
+        for whole in key_runs(batches, keys, RUN_ROWS):
+            column = {c: whole[c].to_numpy() for c in (*keys, "node", "root", "block")}
+            new = np.any([column[k][1:] != column[k][:-1] for k in keys], axis=0)
+            cuts = [0, *(np.flatnonzero(new) + 1).tolist(), whole.num_rows]
+            out = []
+            for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+                grams = [np.asarray(g, np.int64) for g in whole["grams"].slice(a, b - a).to_numpy()]
+                apart = column["high"][a] != column["low"][a]
+                if b - a > 1:
+                    out += _bucket_links(column["node"][a:b], column["root"][a:b], column["block"][a:b], apart, grams)
+            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.int64()) for k in (0, 1)], names=["u", "v"])
+
+    rows = rows.select("key", "high", "low", "node", "root", "block", "grams")
+    return saved(rows.repartition("key", "high", "low").sortWithinPartitions("key", "high", "low", "node").mapInArrow(run, "u long, v long"), "more")
+
+
 def _grouped(docs: DataFrame) -> DataFrame:
     """(doc_id, h1, h2, root) of documents, a row for each row: root names the group of near copies.
 
     Buckets are the bands, and the fingerprints that the Gray index links to one. First each bucket's nodes are checked
-    against its smallest one; then, inside bands, whatever nodes are still unconnected.
+    against its smallest one; then bands whose nodes are not all connected are gone through as wholes.
     """
     marks = saved(_marks(docs), "marks")
     each = marks.groupBy("copy").agg(F.min_by("doc_id", F.struct(F.isnull("doc_id"), "doc_id")).alias("least"), F.min("fp").alias("fp"), F.min("bands").alias("bands"))
@@ -137,9 +195,7 @@ def _grouped(docs: DataFrame) -> DataFrame:
     rest = members.where("band").select("key", "node").join(root, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
     mixed = rest.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("key")
     rest = saved(rest.join(mixed, "key"), "rest")
-    other = rest.select("key", F.col("node").alias("v"), F.col("root").alias("other"))
-    pairs = rest.join(other, "key").where("node < v and root <> other").select(F.col("node").alias("u"), "v").distinct()
-    more = _alike(docs, each, pairs)
+    more = _linked_in_buckets(docs, each, rest)
     if not more.isEmpty():
         root = components(root.where("node <> root").select(F.col("node").alias("u"), F.col("root").alias("v")).union(more))
     placed = each.select("copy", "node").join(root, "node", "left").select("copy", F.coalesce("root", "node").alias("root"))

@@ -19,7 +19,9 @@ def alike(a, b):
     return a == b or (bool(a and b) and len(a & b) >= 0.8 * len(a | b))
 
 
-def test_pipeline_drops_near_copies_that_are_not_exact(spark):
+@pytest.mark.parametrize("bucket", [4096, 4])
+def test_pipeline_drops_near_copies_that_are_not_exact(spark, monkeypatch, bucket):
+    monkeypatch.setattr(nearcopies, "BUCKET", bucket)
     r = random.Random(3)
     word = lambda: "".join(r.choice("abcdefgh") for _ in range(6))
     rows = [(None, "no id", "a"), (9000, None, "a"), (9001, " \n", "a"), (9002, "Short text", "a"), (9003, "short  TEXT", "b")]
@@ -49,3 +51,23 @@ def test_shingles_of_long_texts(monkeypatch):
     assert len(whole) == len(grams(text))
     monkeypatch.setattr(nearcopies.simhash, "PIECE", 37)
     assert (nearcopies.shingles(text) == whole).all()
+
+
+def test_links_in_a_bucket_connect_what_all_pairs_connect():
+    r = np.random.default_rng(8)
+    for apart in (False, True):
+        for _ in range(30):
+            n = int(r.integers(2, 25))
+            base = r.integers(0, 1 << 40, (3, 40))
+            sets = [np.unique(np.concatenate([base[k % 3][: int(r.integers(30, 41))], r.integers(0, 1 << 40, int(r.integers(0, 5)))])) for k in range(n)]
+            node, root, block = np.arange(n) * 7, r.integers(0, 5, n), r.integers(0, 2, n)
+            links = nearcopies._bucket_links(node, root, block, apart, sets)
+            def near(i, j):
+                both = len(np.intersect1d(sets[i], sets[j]))
+                return both >= 0.8 * (len(sets[i]) + len(sets[j]) - both)
+
+            pairs = [(i, j) for i in range(n) for j in range(i) if (not apart or block[i] != block[j]) and near(i, j)]
+            joined = lambda found: common.roots(n + 5, np.r_[np.array([a for a, _ in found], int), np.arange(n)], np.r_[np.array([b for _, b in found], int), n + root])  # noqa: E731, B023
+            roots = joined(pairs), joined([(u // 7, v // 7) for u, v in links])
+            assert (roots[0] == roots[1]).all()
+            assert len(links) < n
