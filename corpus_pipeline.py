@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from inkwell.llm import bpe, linededup, mixing, nearcopies, toxicity
-from inkwell.llm.common import saved, table
+from inkwell.llm.common import fresh, saved, table
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -21,10 +21,12 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Later occurrences of repeated three-line windows go; n_chars follows the text. Every document keeps its row."""
-    out = linededup.dedup_lines(docs)
+    own = [c for c in docs.columns if c.lower() in ("n_lines", "n_removed")]  # of the documents, not of the operator
+    aside = dict(zip(own, fresh(docs, *(f"own_{c}" for c in own)), strict=True))
+    out = linededup.dedup_lines(docs.withColumnsRenamed(aside))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars")))
-    return out.select(*docs.columns)
+    return out.select(*(F.col(f"`{aside.get(c, c)}`").alias(c) for c in docs.columns))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
