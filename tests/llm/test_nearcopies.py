@@ -71,3 +71,11 @@ def test_links_in_a_bucket_connect_what_all_pairs_connect():
             roots = joined(pairs), joined([(u // 7, v // 7) for u, v in links])
             assert (roots[0] == roots[1]).all()
             assert len(links) < n
+
+
+def test_line_stage_leaves_columns_of_its_own_names_alone(spark):
+    text = "one\ntwo\nthree\nfour"
+    docs = spark.createDataFrame([(1, text, 7, "a", 18), (2, text + "\nfive", 8, "b", 23)], "doc_id long, text string, n_removed int, N_Lines string, n_chars long")
+    out = corpus_pipeline.drop_repeated_lines(spark, docs, "")
+    assert out.columns == docs.columns
+    assert sorted(tuple(r) for r in out.collect()) == [(1, text, 7, "a", 18), (2, "five", 8, "b", 4)]
