@@ -1,4 +1,4 @@
-"""Shared pieces: tables in the shared folder, joins behind a size check, key runs, label splits."""
+"""Shared pieces: tables in the shared folder, joins behind a size check, key runs, label splits, texts as buffers."""
 
 from __future__ import annotations
 
@@ -177,3 +177,27 @@ def sampled(docs: DataFrame, ids: DataFrame, chars: int) -> DataFrame:
     texts = docs.select("doc_id", "text").where(F.col("text").isNotNull())
     found = join_small(texts, ids, ["doc_id"]).select("doc_id", "label", F.when(F.length("text") > chars, spread).otherwise(F.col("text")).alias("text"))
     return found.groupBy("doc_id", "label").agg(F.min("text").alias("text"))
+
+
+def row_groups(batch: pa.RecordBatch, text: int, size: int) -> Iterator[pa.RecordBatch]:
+    """A batch in slices of about `size` bytes of its text column; a longer text is a slice of its own."""
+    import numpy as np
+    import pyarrow.compute as pc
+
+    lengths = pc.fill_null(pc.cast(pc.binary_length(batch.column(text)), pa.int64()), 0).to_numpy()
+    group = (np.cumsum(lengths) - lengths) // size
+    cuts = [*np.flatnonzero(np.r_[True, group[1:] != group[:-1]]).tolist(), len(group)] if len(group) else []
+    for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+        yield batch.slice(a, b - a)
+
+
+def utf8(texts: pa.Array) -> tuple:
+    """The bytes of a text column, and where each row starts and ends in them; nulls are empty."""
+    import numpy as np
+
+    wide = (texts.fill_null("") if texts.null_count else texts).cast(pa.large_string())
+    offsets = np.frombuffer(wide.buffers()[1], np.int64)[wide.offset : wide.offset + len(wide) + 1] if len(wide) else np.zeros(1, np.int64)
+    whole = wide.buffers()[2]
+    data = np.frombuffer(whole, np.uint8)[offsets[0] : offsets[-1]] if whole is not None and whole.size else np.empty(0, np.uint8)
+    offsets = offsets - offsets[0]
+    return data, offsets[:-1], offsets[1:]
