@@ -12,7 +12,6 @@ from __future__ import annotations
 import codecs
 import hashlib
 import re
-from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -47,7 +46,6 @@ class Model:
     """A merge-type model: tokens with scores, higher ones merged first, equal ones from the left."""
 
     def __init__(self, path: str):
-        import ahocorasick
         import sentencepiece
 
         library = sentencepiece.SentencePieceProcessor(model_file=path)
@@ -69,14 +67,8 @@ class Model:
         # characters that are no tokens themselves, but may be merged into one: numbered behind the tokens
         self.alone = {c: size + n for n, c in enumerate(sorted({c for t in self.token for c in t} - self.token.keys()))}
         self.text = {i: t for t, i in (self.token | self.alone).items()}
-        self.length = {i: len(t) for i, t in self.text.items()}
         self.spelled = [b"%d," % i for i in range(size)]
-        self.automaton = ahocorasick.Automaton()
-        for i, t in self.text.items():
-            self.automaton.add_word(t, i)
-        self.automaton.make_automaton()
-        self.prefix: dict[int, int] = {}
-        self.apart: dict[tuple[int, int], bool] = {}
+        self._index()
         self.words = self._cuts()
         self.ids, self.decoded = Words(self._spell), Words(self._show)
 
@@ -88,6 +80,20 @@ class Model:
             _loaded[name] = Model(public_tokenizers.path(name))
         return _loaded[name]
 
+    def _index(self) -> None:
+        """The automaton of all tokens, their lengths, and for each the longest token that it starts with, -1 for none."""
+        import ahocorasick
+
+        size = max(self.text) + 1
+        self.automaton, self.length, self.shorter = ahocorasick.Automaton(), [0] * size, [-1] * size
+        for i, t in self.text.items():
+            self.automaton.add_word(t, (len(t) - 1, i))
+            self.length[i] = len(t)
+            starts = (t[:n] for n in range(len(t) - 1, 0, -1))
+            self.shorter[i] = next((self.token.get(p, self.alone.get(p, -1)) for p in starts if p in self.token or p in self.alone), -1)
+        self.automaton.make_automaton()
+        self.apart: dict[int, bool] = {}
+
     def _cuts(self) -> re.Pattern | None:
         """A pattern of the words of a normalized text: no token holds a space behind another character, nor one of the
         ASCII characters at which words end. None if the vocabulary has such tokens, and texts are encoded in one."""
@@ -111,79 +117,76 @@ class Model:
 
     def fits(self, left: int, right: int) -> bool:
         """Whether two tokens stay as they are when their joined text is merged; -1 on the left is the start of a word."""
-        known = self.apart.get((left, right))
-        if known is None:
-            if len(self.apart) > KEPT_PAIRS:
-                self.apart.clear()
-            pair = [self.text[i] for i in (left, right) if i >= 0]
-            known = self.apart[left, right] = self.merged("".join(pair)) == pair
+        if len(self.apart) > KEPT_PAIRS:
+            self.apart.clear()
+        pair = [self.text[i] for i in (left, right) if i >= 0]
+        known = self.apart[left << 20 | right] = self.merged("".join(pair)) == pair
         return known
 
-    def shorter(self, token: int) -> int:
-        """The longest token that a token starts with, -1 for none."""
-        found = self.prefix.get(token)
-        if found is None:
-            text, found = self.text[token], -1
-            for n in range(len(text) - 1, 0, -1):
-                found = self.token.get(text[:n], self.alone.get(text[:n], -1))
-                if found >= 0:
-                    break
-            self.prefix[token] = found
-        return found
-
     def encode_word(self, word: str) -> list[int]:
         """The ids of a stretch of normalized text."""
-        longest = array("i", [-1]) * len(word)
-        length = self.length
-        for last, token in self.automaton.iter(word):
-            longest[last + 1 - length[token]] = token  # ends ascend, so the longest from a place comes last
-        out: list[int] = []
-        at = 0
-        while at < len(word):
-            if longest[at] < 0:
-                out += self._as_bytes(word[at])
-                at += 1
-                continue
-            end = at
-            while end < len(word) and longest[end] >= 0:
-                end += 1
-            for token in self._backtracked(longest, at, end):
-                out += self._as_bytes(self.text[token]) if token >= len(self.shown) else (token,)
-            at = end
+        longest = [-1] * len(word)
+        for last, (before, token) in self.automaton.iter(word):
+            longest[last - before] = token  # ends ascend, so the longest from a place comes last
+        if -1 not in longest:
+            out = self._backtracked(longest, 0, len(word))
+        else:
+            out, at = [], 0
+            while at < len(word):
+                if longest[at] < 0:
+                    out += self._as_bytes(word[at])
+                    at += 1
+                    continue
+                end = at
+                while end < len(word) and longest[end] >= 0:
+                    end += 1
+                out += self._backtracked(longest, at, end)
+                at = end
+        if self.alone:
+            out = [i for token in out for i in (self._as_bytes(self.text[token]) if token >= len(self.shown) else (token,))]
         return out
 
     def _as_bytes(self, char: str) -> list[int]:
         return [self.byte[b] for b in char.encode("utf-8", "surrogatepass")] if self.byte else [self.unknown]
 
-    def _backtracked(self, longest: array, start: int, end: int) -> list[int]:
+    def _backtracked(self, longest: list[int], start: int, end: int) -> list[int]:
         """The tokens between two places: from each place the longest that fits and leads on, else the next shorter one."""
-        failed = bytearray((end - start >> 3) + 1)  # a bit for each place from which the end is out of reach
+        failed = None  # a bit for each place from which the end is out of reach, made at the first one
         tokens: list[int] = []
-        at, token = start, longest[start]
-        fits, shorter, length = self.fits, self.shorter, self.length
+        at, token, left = start, longest[start], -1
+        apart, shorter, length = self.apart, self.shorter, self.length
         while at < end:
-            left = tokens[-1] if tokens else -1
             while token >= 0:
-                to = at + length[token]
-                if not failed[to - start >> 3] >> (to - start & 7) & 1 and fits(left, token):
-                    break
-                token = shorter(token)
+                known = apart.get(left << 20 | token)
+                if known is None:
+                    known = self.fits(left, token)
+                if known:
+                    to = at + length[token]
+                    if failed is None or not failed[to - start >> 3] >> (to - start & 7) & 1:
+                        break
+                token = shorter[token]
             if token >= 0:
                 tokens.append(token)
-                at = to
+                at, left = to, token
                 token = longest[at] if at < end else -1
             else:
+                if failed is None:
+                    failed = bytearray((end - start >> 3) + 1)
                 failed[at - start >> 3] |= 1 << (at - start & 7)
                 token = tokens.pop()  # a valid sequence always exists, so the first place never fails
+                left = tokens[-1] if tokens else -1
                 at -= length[token]
-                token = shorter(token)
+                token = shorter[token]
         return tokens
 
     def _spell(self, word: str) -> bytes:
-        return b"".join([self.spelled[i] for i in self.encode_word(word)])
+        ids = self.encode_word(word)
+        self.decoded[word] = b"".join([self.shown[i] for i in ids])
+        return b"".join([self.spelled[i] for i in ids])
 
     def _show(self, word: str) -> bytes:
-        return b"".join([self.shown[int(i)] for i in self.ids[word].split(b",")[:-1]])
+        self._spell(word)
+        return self.decoded[word]
 
     def stretches(self, text: str) -> Iterator[list[str]]:
         """The words of a normalized text, those of about STRETCH characters at a time."""

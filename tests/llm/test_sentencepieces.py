@@ -62,14 +62,7 @@ def test_failed_places_are_left(model):
     own.score = {"bc": 5.0, "ab": 4.0, "cb": 3.0, "abc": 2.0}
     own.alone, own.byte, own.unknown, own.shown = {}, {}, 0, [b""] * 7
     own.text = {i: t for t, i in own.token.items()}
-    own.length = {i: len(t) for i, t in own.text.items()}
-    own.prefix, own.apart = {}, {}
-    import ahocorasick
-
-    own.automaton = ahocorasick.Automaton()
-    for t, i in own.token.items():
-        own.automaton.add_word(t, i)
-    own.automaton.make_automaton()
+    own._index()
     r = random.Random(8)
     for _ in range(3000):
         word = "".join(r.choice("abc") for _ in range(r.randint(1, 25)))
