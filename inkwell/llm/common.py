@@ -84,8 +84,9 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
-def key_runs(batches: Iterable[pa.RecordBatch], keys: list[str], rows: int) -> Iterator[pa.Table]:
-    """Cuts a partition sorted by `keys` into tables of about `rows` rows that hold every key's rows together."""
+def key_runs(batches: Iterable[pa.RecordBatch], keys: list[str], rows: int, size: int | None = None) -> Iterator[pa.Table]:
+    """Cuts a partition sorted by `keys` into tables of about `rows` rows, or `size` bytes if that is less, that hold every
+    key's rows together."""
     import numpy as np
 
     kept: list[pa.RecordBatch] = []
@@ -94,7 +95,7 @@ def key_runs(batches: Iterable[pa.RecordBatch], keys: list[str], rows: int) -> I
         if batch.num_rows:
             kept.append(batch)
             n += batch.num_rows
-        if n < rows:
+        if n < rows and (size is None or sum(b.nbytes for b in kept) < size):
             continue
         whole = pa.Table.from_batches(kept).combine_chunks()
         same = np.ones(n, dtype=bool)
@@ -168,15 +169,21 @@ def training_ids(rows: DataFrame, label: str, most: int) -> DataFrame:
 
 
 def sampled(docs: DataFrame, ids: DataFrame, chars: int) -> DataFrame:
-    """(doc_id, text, label) of sampled ids, one row for each. A text of more than `chars` characters is learned from by
-    windows spread evenly from its start to its end, `chars` characters in all; of ids with several texts the least counts."""
-    windows = 16
-    width = chars // windows
-    step = (F.length("text") - width) / (windows - 1)
-    spread = F.array_join(F.transform(F.sequence(F.lit(0), F.lit(windows - 1)), lambda i: F.substring(F.col("text"), (F.floor(i * step) + 1).cast("int"), F.lit(width))), "\n")
+    """(doc_id, text, label) of sampled ids (doc_id, label), one row for each, texts whole.
+
+    The sample of a label holds `chars` characters at most: of its rows in the order of their hashes as many as fit. A text
+    that is longer by itself is no row of the sample. Of an id with several texts the shortest counts, ties by hash. What
+    is ranked are lengths, as many as there are sampled rows.
+    """
+    from pyspark.sql import Window as W
+
     texts = docs.select("doc_id", "text").where(F.col("text").isNotNull())
-    found = join_small(texts, ids, ["doc_id"]).select("doc_id", "label", F.when(F.length("text") > chars, spread).otherwise(F.col("text")).alias("text"))
-    return found.groupBy("doc_id", "label").agg(F.min("text").alias("text"))
+    size = F.struct(F.length("text").alias("size"), F.xxhash64("text").alias("h"))
+    sizes = join_small(texts.select("doc_id", size.alias("s")), ids, ["doc_id"]).groupBy("doc_id", "label").agg(F.min("s").alias("s")).where(F.col("s.size") <= chars)
+    in_all = F.sum("s.size").over(W.partitionBy("label").orderBy(F.xxhash64("doc_id"), "doc_id"))
+    chosen = saved(sizes.withColumn("in_all", in_all).where(F.col("in_all") <= chars).select("doc_id", "label", "s"), "chosen")
+    found = join_small(texts.withColumn("own", size), chosen, ["doc_id"]).where(F.col("own") == F.col("s"))
+    return found.select("doc_id", "label", "text").dropDuplicates(["doc_id", "label"])
 
 
 def row_groups(batch: pa.RecordBatch, text: int, size: int) -> Iterator[pa.RecordBatch]:

@@ -23,8 +23,8 @@ from inkwell.llm.components import HUB, HUB_SHARE, components
 SHINGLE, SIMILARITY, BANDS, ROWS = 5, 0.8, 20, 5
 #: Shingles whose min-hashes are computed at once; parts into which the pairs of a node with very many are dealt.
 CHUNK, PARTS = 2048, 64
-#: Nodes of a bucket that one task holds at once; rows of a task's table.
-BUCKET, RUN_ROWS = 4096, 2048
+#: Nodes of a bucket, and their shingles, that one task holds at once; rows and bytes of a task's table.
+BUCKET, GRAMS, RUN_ROWS, RUN_BYTES = 4096, 4_000_000, 2048, 32 << 20
 _draw = np.random.default_rng(17)
 _TIMES = _draw.integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _PLUS = _draw.integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64)
@@ -66,25 +66,27 @@ def _copy(grams: np.ndarray) -> bytes:
 
 
 def _marks(docs: DataFrame) -> DataFrame:
-    """(doc_id, h1, h2, copy, fp, bands): copy names the shingle set, h1 and h2 the row's id and text."""
+    """(doc_id, h1, h2, copy, grams, fp, bands): copy names the shingle set and grams counts it, h1 and h2 name the row's id
+    and text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            copies, prints, keys = [], [], []
+            copies, counts, prints, keys = [], [], [], []
             for text in batch.column(3).to_pylist():
                 grams = shingles(text)
                 copies.append(_copy(grams))
+                counts.append(len(grams))
                 prints.append(simhash.fingerprint(text, SHINGLE))
                 keys.append(bands(grams))
             yield pa.RecordBatch.from_arrays(
-                [*batch.columns[:3], pa.array(copies, pa.binary()), pa.array(np.array(prints, np.uint64).view(np.int64)), pa.array(keys, pa.list_(pa.int64()))],
-                names=["doc_id", "h1", "h2", "copy", "fp", "bands"],
+                [*batch.columns[:3], pa.array(copies, pa.binary()), pa.array(counts, pa.int64()), pa.array(np.array(prints, np.uint64).view(np.int64)), pa.array(keys, pa.list_(pa.int64()))],
+                names=["doc_id", "h1", "h2", "copy", "grams", "fp", "bands"],
             )
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     h1, h2 = simhash.identity(F.col("doc_id"), F.col("text"))
     rows = docs.select("doc_id", h1.alias("h1"), h2.alias("h2"), "text")
-    return rows.mapInArrow(run, f"doc_id {kind}, h1 long, h2 long, copy binary, fp long, bands array<long>")
+    return rows.mapInArrow(run, f"doc_id {kind}, h1 long, h2 long, copy binary, grams long, fp long, bands array<long>")
 
 
 def _sets(docs: DataFrame, each: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -148,9 +150,11 @@ def _bucket_links(node: np.ndarray, root: np.ndarray, block: np.ndarray, apart:
 
 def _linked_in_buckets(docs: DataFrame, each: DataFrame, rest: DataFrame) -> DataFrame:
     """(u, v) links that still connect nodes of different roots in buckets (key, node, root). A bucket's nodes meet in one
-    task with their shingle sets; one of more than BUCKET nodes is cut into blocks that meet two by two. No pairs are made
-    into rows but those that link."""
-    n = rest.groupBy("key").count().where(F.col("count") > BUCKET).select("key", F.ceil(F.col("count") / (BUCKET // 2)).cast("int").alias("blocks"))
+    task with their shingle sets; one of more than BUCKET nodes or GRAMS shingles is cut into blocks that meet two by two. No
+    pairs are made into rows but those that link."""
+    n = rest.join(each.select("node", F.col("grams").alias("n_grams")), "node").groupBy("key").agg(F.count("*").alias("nodes"), F.sum("n_grams").alias("grams"))
+    blocks = F.ceil(F.greatest(F.col("nodes") / (BUCKET // 2), F.col("grams") / (GRAMS // 2))).cast("int")
+    n = n.where((F.col("nodes") > BUCKET) | (F.col("grams") > GRAMS)).select("key", F.least(blocks, F.col("nodes").cast("int")).alias("blocks"))
     rows = rest.join(n, "key", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
     rows = rows.withColumn("block", F.pmod(F.xxhash64("node", F.lit(3)), F.col("blocks")).cast("int"))
     high, low = (lambda o: F.greatest(o, "block")), (lambda o: F.least(o, "block"))
@@ -160,7 +164,7 @@ def _linked_in_buckets(docs: DataFrame, each: DataFrame, rest: DataFrame) -> Dat
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys = ["key", "high", "low"]
-        for whole in key_runs(batches, keys, RUN_ROWS):
+        for whole in key_runs(batches, keys, RUN_ROWS, RUN_BYTES):
             column = {c: whole[c].to_numpy() for c in (*keys, "node", "root", "block")}
             new = np.any([column[k][1:] != column[k][:-1] for k in keys], axis=0)
             cuts = [0, *(np.flatnonzero(new) + 1).tolist(), whole.num_rows]
@@ -183,8 +187,8 @@ def _grouped(docs: DataFrame) -> DataFrame:
     against its smallest one; then bands whose nodes are not all connected are gone through as wholes.
     """
     marks = saved(_marks(docs), "marks")
-    each = marks.groupBy("copy").agg(F.min_by("doc_id", F.struct(F.isnull("doc_id"), "doc_id")).alias("least"), F.min("fp").alias("fp"), F.min("bands").alias("bands"))
-    each = saved(each.withColumn("node", F.conv(F.substring(F.hex("copy"), 1, 15), 16, 10).cast("long")), "distinct")
+    each = marks.groupBy("copy").agg(F.min_by("doc_id", F.struct(F.isnull("doc_id"), "doc_id")).alias("least"), F.min("fp").alias("fp"), F.min("bands").alias("bands"), F.min("grams").alias("grams"))
+    each = saved(each.withColumn("node", F.monotonically_increasing_id()), "distinct")  # numbered once: the table is read from here on
     prints = saved(simhash.linked(each.select("fp").distinct()), "links").select(F.col("v").alias("key"), F.explode(F.array("u", "v")).alias("fp"))
     by_print = prints.union(each.select(F.col("fp").alias("key"), "fp")).distinct().join(each, "fp").select("key", "node", F.lit(False).alias("band"))
     members = each.select(F.explode("bands").alias("key"), "node", F.lit(True).alias("band")).union(by_print)
