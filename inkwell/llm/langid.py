@@ -19,10 +19,9 @@ from pyspark.sql import functions as F
 
 from inkwell.llm.common import held_out, sampled, saved, table, training_ids
 
-#: Documents learned from for each language and in all, characters of one (longer texts by windows spread over all of
-#: it), buckets of trigrams, smoothing, and the penalties of a
-#: switch and of a script that a language hardly uses.
-SAMPLE, SAMPLE_ALL, SAMPLE_CHARS, BITS, SMOOTH, SWITCH, FOREIGN = 400, 8000, 30_000, 17, 0.5, 8.0, 40.0
+#: Documents learned from for each language and in all, their characters for each language, buckets of trigrams,
+#: smoothing, and the penalties of a switch and of a script that a language hardly uses.
+SAMPLE, SAMPLE_ALL, SAMPLE_CHARS, BITS, SMOOTH, SWITCH, FOREIGN = 400, 8000, 4_000_000, 17, 0.5, 8.0, 40.0
 #: A language uses a script if so much of its letters are in it. Most score that one word can add.
 SHARE, WORD_MOST = 0.01, 12.0
 CHARS = 4_000_000
@@ -164,14 +163,14 @@ def _viterbi(score: np.ndarray, first: np.ndarray, size: np.ndarray) -> np.ndarr
 
 def learn(docs: DataFrame) -> Model:
     """Learns from a bounded sample of documents (doc_id, text, lang) outside the held-out fifth: SAMPLE of each language
-    and SAMPLE_ALL at most (but for one of each language), SAMPLE_CHARS characters of each, in windows over the whole text.
-    The model takes half a MB for each language."""
+    and SAMPLE_ALL at most (but for one of each language), with SAMPLE_CHARS characters of a language and as many for all
+    as 16 languages may have. What is sampled is learned from whole. The model takes half a MB for each language."""
     ids = training_ids(docs.where(F.col("text").isNotNull()).select("doc_id", "lang"), "lang", SAMPLE)
     langs = max(1, ids.select("label").distinct().count())
     if langs * SAMPLE > SAMPLE_ALL:
         nth = F.row_number().over(W.partitionBy("label").orderBy(F.xxhash64("doc_id"), "doc_id"))
         ids = saved(ids.withColumn("nth", nth).where(F.col("nth") <= max(1, SAMPLE_ALL // langs)).drop("nth"), "sample")
-    rows = sampled(docs, ids, SAMPLE_CHARS).toPandas().sort_values(["doc_id", "text"])
+    rows = sampled(docs, ids, min(SAMPLE_CHARS, 16 * SAMPLE_CHARS // langs)).toPandas().sort_values(["doc_id", "text"])
     return Model(rows.text.tolist(), rows.label.tolist())
 
 
@@ -192,7 +191,7 @@ def label_spans(docs: DataFrame, model: Model) -> DataFrame:
     spans: array of (start, stop, lang), character offsets of maximal runs of words of one language. lang_pred: the
     language with most letters, ties to the first by name; score: its share of all letters. Null, empty and letterless
     texts get `und`, score 0 and no spans, and so does everything if nothing could be learned. Very long texts are
-    labelled whole. Repeated rows give repeated results; other columns are not looked at.
+    labelled whole. Repeated rows give repeated results, an empty table an empty one; other columns are not looked at.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)  # its size depends on the number of languages only
 

@@ -24,7 +24,8 @@ def _count(text: Column, pattern: str) -> Column:
 
 
 def statistics(text: Column) -> dict[str, Column]:
-    """Statistics of a text, 0 for null and empty ones. Every share is taken of at least one."""
+    """Statistics of a text. Null and empty texts are one empty word on one empty line: words, line_words, distinct_words
+    and distinct_lines are 1, all else 0. Every share is taken of at least one."""
     text = F.coalesce(text, F.lit(""))
     chars = F.length(text).cast("double")
     words, lines = F.split(text, r"[\x20\x09-\x0D]+"), F.split(text, "\n")
@@ -145,7 +146,8 @@ def learn(docs: DataFrame, labels: DataFrame) -> RuleEnsemble:
     ids = training_ids(labels.where("quality in (0, 1)"), "quality", SAMPLE)
     found = join_small(docs.select("doc_id", "text"), ids, ["doc_id"])
     stats = statistics(F.col("text"))
-    rows = found.select("doc_id", "label", *(c.alias(k) for k, c in stats.items())).toPandas().sort_values(["doc_id", *stats])
+    each = F.min(F.struct(*(c.alias(k) for k, c in stats.items()))).alias("s")  # one row for each sampled id and label, however many it has
+    rows = found.groupBy("doc_id", "label").agg(each).select("doc_id", "label", "s.*").toPandas().sort_values(["doc_id", *stats])
     whole = {r["quality"]: r["n"] for r in labels.where("quality in (0, 1)").where(~held_out(F.col("doc_id"))).groupBy("quality").agg(F.count("*").alias("n")).collect()}
     y = rows.label.to_numpy()
     share = np.array([whole[k] / max(1, (y == k).sum()) for k in y]) if len(y) else np.zeros(0)
@@ -155,7 +157,7 @@ def learn(docs: DataFrame, labels: DataFrame) -> RuleEnsemble:
 def quality(docs: DataFrame, model: RuleEnsemble, limit: float = 0.3) -> DataFrame:
     """(doc_id, score, predicted) of documents (doc_id, text), a row for each row.
 
-    Null and empty texts have statistics of 0 and are scored like any other. Repeated rows give repeated results, an
+    Null and empty texts are scored like any other by their `statistics`, very long ones whole. Repeated rows give repeated results, an
     empty table an empty one; other columns are not looked at.
     """
     stats = statistics(F.col("text"))

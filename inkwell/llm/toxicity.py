@@ -22,8 +22,8 @@ from pyspark.sql import functions as F
 from inkwell.llm.common import held_out, sampled, table, training_ids
 
 WINDOW, STEP = 32, 16
-#: Documents learned from for each label, and characters of one (longer texts by windows spread over all of it); words with vectors; buckets of character trigrams.
-SAMPLE, SAMPLE_CHARS, VOCABULARY, LEAST_DOCS, GRAM_BITS = 1200, 30_000, 20_000, 3, 13
+#: Documents learned from for each label, and their characters in all; words with vectors; buckets of character trigrams.
+SAMPLE, SAMPLE_CHARS, VOCABULARY, LEAST_DOCS, GRAM_BITS = 1200, 8_000_000, 20_000, 3, 13
 WORD_DIM, CHAR_DIM, HIDDEN, BATCH, RATE, SEED = 8, 8, 8, 256, 0.01, 11
 #: Rounds through the texts, and the gradient steps at least; few texts are gone through more often.
 EPOCHS, STEPS = 8, 120
@@ -31,8 +31,8 @@ EPOCHS, STEPS = 8, 120
 REPEATED = 0.15
 #: Windows scored at once; words of texts handled at once.
 SCORED, CHUNK_WORDS = 4096, 400_000
-#: A run of more characters is no word: it is read as all its pieces of PIECE characters, so that no trigram is lost.
-LONGEST, PIECE = 40, 3
+#: Runs are read in pieces of so many characters, each beginning with the last OVER of the one before: no trigram is lost.
+PIECE, OVER = 16, 2
 
 
 def _grams(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -56,9 +56,7 @@ _FAR_APART = re.compile("[\u200b" + "".join(re.escape(chr(c)) for c in range(128
 
 def _pieces(word: bytes) -> list[bytes]:
     run = word.decode("utf-8", "surrogatepass")
-    if len(run) <= LONGEST:
-        return [word]
-    return [run[at : at + PIECE].encode("utf-8", "surrogatepass") for at in range(len(run) - PIECE + 1)]
+    return [run[at : at + PIECE].encode("utf-8", "surrogatepass") for at in range(0, max(1, len(run) - OVER), PIECE - OVER)]
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -66,8 +64,8 @@ def words_of(text: str | None) -> list[bytes]:
     if not text.isascii():
         text = _FAR_APART.sub(" ", text)
     words = text.encode("utf-8", "surrogatepass").translate(_APART).split()
-    if max(map(len, words), default=0) > LONGEST:
-        words = [p for w in words for p in (_pieces(w) if len(w) > LONGEST else (w,))]
+    if max(map(len, words), default=0) > PIECE:
+        words = [p for w in words for p in (_pieces(w) if len(w) > PIECE else (w,))]  # no more bytes, no more characters
     return words
 
 
@@ -269,8 +267,8 @@ def train(texts: list[str], labels: np.ndarray) -> Network:
 
 
 def learn(docs: DataFrame, labels: DataFrame) -> Network:
-    """Trains on a bounded sample of labelled documents outside the held-out fifth: SAMPLE of each label at most, and of a
-    text of more than SAMPLE_CHARS characters as many, in windows from its start to its end."""
+    """Trains on a bounded sample of labelled documents outside the held-out fifth: SAMPLE of each label and SAMPLE_CHARS of
+    their characters at most. What is sampled is learned from whole."""
     ids = training_ids(labels.where("toxic in (0, 1)"), "toxic", SAMPLE)
     rows = sampled(docs, ids, SAMPLE_CHARS).toPandas().sort_values(["doc_id", "text"])
     return train(rows.text.tolist(), rows.label.to_numpy(np.int64) if len(rows) else np.zeros(0, np.int64))
@@ -311,8 +309,8 @@ def score_texts(net: Network, texts: list[str | None]) -> np.ndarray:
 def toxicity(docs: DataFrame, net: Network, limit: float = 0.5) -> DataFrame:
     """(doc_id, score, predicted) of documents (doc_id, text), a row for each row.
 
-    Words are runs without white space and punctuation, in lower case; runs over LONGEST characters, as in scripts without
-    spaces, are read in pieces that are words of their own. Null and empty texts score 0. Every text is scored whole, in
+    Words are runs without white space and punctuation, in lower case, read in pieces of PIECE characters that overlap:
+    most words are one piece, texts without spaces many. Null and empty texts score 0. Every text is scored whole, in
     overlapping windows; very long ones part by part, parts overlapping as windows do. Repeated rows give repeated
     results, an empty table an empty one; other columns are not looked at.
     """
@@ -328,7 +326,8 @@ def toxicity(docs: DataFrame, net: Network, limit: float = 0.5) -> DataFrame:
 
 
 def without_toxic(docs: DataFrame, net: Network, limit: float = 0.5) -> DataFrame:
-    """The documents that score below the limit, with all their columns, null and empty texts among them."""
+    """The documents that score below the limit, with all their columns, whatever their names: null and empty texts among
+    them, very long ones scored whole, rows that repeat each for itself. An empty table gives an empty one."""
     shared = docs.sparkSession.sparkContext.broadcast(net)
 
     @F.pandas_udf("double")

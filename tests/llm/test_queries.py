@@ -14,7 +14,7 @@ import xxhash
 
 pytest.importorskip("inkwell.llm")
 import __spark_entry__ as entry  # noqa: E402
-from inkwell.llm import quality, toxicity  # noqa: E402
+from inkwell.llm import common, quality, toxicity  # noqa: E402
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -123,15 +123,40 @@ def test_op2(spark, run, tables, monkeypatch):
     assert [r.predicted for r in toxicity.toxicity(read("documents"), net).where("doc_id in (0, 3)").collect()] == [1, 1]
 
 
-def test_op2_learns_from_long_texts(spark, monkeypatch):
-    monkeypatch.setattr(toxicity, "SAMPLE_CHARS", 1600)
-    rows = [(i, " ".join([text_of(i * 4 + 2).replace("zurk", "th")] * 30) + (" zurk zurk" * 300 if i % 2 else ""), i % 2) for i in range(80)]
+def test_op2_learns_from_long_texts(spark):
+    """One passage in a text of 40,000 characters, at a place of its own in each."""
+    plain = lambda i: [text_of(i * 4 + 2 + k).replace("zurk", "th") for k in range(0, 1000, 4)]
+    rows = []
+    for i in range(60):
+        parts = plain(i)
+        parts.insert((i * 37) % len(parts), "zurk zurk zurk zurk" if i % 2 else "th th")
+        rows.append((i, " ".join(parts), i % 2))
     docs, labels = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string"), spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, toxic int")
     net = toxicity.learn(docs, labels)
     assert b"zurk" in net.vocabulary
     assert np.mean([r.predicted == r.doc_id % 2 for r in toxicity.toxicity(docs, net).collect()]) > 0.9
 
 
+def test_samples_hold_whole_texts(spark):
+    """Rows by hash until the characters of a label are used up; longer texts are no rows of the sample; one row an id."""
+    docs = spark.createDataFrame([(i, "x" * (10 + i)) for i in range(100)] + [(3, "y" * 5), (200, "z" * 5000), (201, None)], "doc_id long, text string")
+    ids = spark.createDataFrame([(i, i % 2) for i in [*range(100), 200, 201]], "doc_id long, label int")
+    got = common.sampled(docs, ids, 1000).collect()
+    assert all(r.text == ("y" * 5 if r.doc_id == 3 else "x" * (10 + r.doc_id)) for r in got)
+    for label in (0, 1):
+        size = sum(len(r.text) for r in got if r.label == label)
+        assert 800 < size <= 1000
+    assert {r.doc_id for r in common.sampled(docs, ids, 10**6).collect()} == {*range(100), 200}
+
+
+def test_op8_learns_from_one_row_of_an_id(spark, monkeypatch):
+    docs = spark.createDataFrame([(1, f"text {i}") for i in range(500)] + [(2, "other")], "doc_id long, text string")
+    seen = []
+    monkeypatch.setattr(quality, "fit", lambda x, y, share, names: seen.append(len(y)))
+    quality.learn(docs, spark.createDataFrame([(1, 1), (2, 0), (3, 1)], "doc_id long, quality int"))
+    assert seen == [sum(not out(i) for i in (1, 2))]
+
+
 def test_op3(run, tables):
     kinds, got = run("op3")
     assert {k: kinds[k] for k in ("doc_id", "held_out", "lang_pred", "score")} == {"doc_id": "bigint", "held_out": "boolean", "lang_pred": "string", "score": "double"}
