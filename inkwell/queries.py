@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from inkwell import cloud, writers
 from inkwell.functions import arrow
 from inkwell.functions import text as T
-from inkwell.operators import layout, ordered, package, routing, tables
+from inkwell.operators import elements, layout, ordered, package, routing, tables
 from inkwell.plans.convert import ATTEMPTS, Options, convert, routed, told
 from inkwell.providers import Providers
 from inkwell.sources import files
@@ -622,3 +622,100 @@ def agg_errors(spark, sf_dir):
     k = F.col("doc_id") % 3
     attempts = F.when(k == 0, F.array().cast(ATTEMPTS)).when(k == 1, F.array(one)).otherwise(F.array(one, two))
     return read(spark, sf_dir, "documents").select("doc_id", told(attempts.cast(ATTEMPTS)).alias("message"))
+
+
+# Elements of whole pages: what patterns find in the text of a page is what the element table must hold.
+
+_NO_RAW = "regexp_replace({0}, '(?is)<script\\b[^>]*>.*?</script>|<style\\b[^>]*>.*?</style>', '', 'g')"
+_SAID = "replace(replace(replace(replace(replace(replace(replace(regexp_replace(replace({0}, '<br>', ' '), '<[^>]*>', '', 'g'), '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&#39;', chr(39)), '&copy;', '©'), '&middot;', '·'), '&nbsp;', chr(160))"
+_FLAT = "trim(regexp_replace(replace(" + _SAID + ", '&amp;', '&'), '[ \\t\\r\\n\\f]+', ' ', 'g'))"
+_ESCAPED = "regexp_replace(regexp_replace({0}, '([*_`])', '\\\\\\1', 'g'), '^(\\+ |=+|#{{1,6}} |~~~)', '\\\\\\1')"
+_NAV = '<li><a href="([^"]*)">([^<]*)</a></li>'
+
+
+def _pages(spark, sf_dir, html=None) -> DataFrame:
+    p = read(spark, sf_dir, "pages").withColumnRenamed("page_id", "doc_id")
+    return p if html is None else p.withColumn("html", html)
+
+
+@query(f"""SELECT page_id AS doc_id, CAST(row_number() OVER (PARTITION BY page_id ORDER BY i) AS INTEGER) AS nth, {_FLAT.format("split_part(split_part(x, '</p>', 1), '</article>', 1)")} AS text
+FROM (SELECT page_id, unnest(list_transform(string_split(h, '<p>')[2:], lambda x, i: {{'x': x, 'i': i}}), recursive := true) FROM (SELECT page_id, {_NO_RAW.format("html")} AS h FROM pages))""")
+def html_parse(spark, sf_dir):
+    """The paragraphs of pages, many without an end tag, with their texts."""
+    found = elements.elements(_pages(spark, sf_dir), ["p"])
+    return found.select("doc_id", F.row_number().over(W.partitionBy("doc_id").orderBy("elem_no")).alias("nth"), "text")
+
+
+@query(f"""SELECT page_id AS doc_id, 'body' AS tag, CAST(len(regexp_extract_all(split_part({_NO_RAW.format("html")}, '<body>', 2), '<[a-z]')) AS BIGINT) AS inside FROM pages WHERE page_id % 2 = 0
+UNION ALL SELECT page_id, 'html', CAST(1 + len(regexp_extract_all(split_part({_NO_RAW.format("html")}, '<body>', 1), '<[a-z]')) AS BIGINT) FROM pages WHERE page_id % 2 = 1""")
+def html_root(spark, sf_dir):
+    """The elements below each page's root: of even pages inside another page the inner body; of odd ones, whose body is
+    empty, all."""
+    h, even = F.col("html"), F.col("doc_id") % 2 == 0
+    wrapped = F.concat(F.lit("<html><body><p>frame</p>"), h, F.lit("</body></html>"))
+    emptied = F.concat(F.substring_index(h, "<body>", 1), F.lit("<body></body><frameset></html>"))
+    found = elements.elements(_pages(spark, sf_dir, F.when(even, wrapped).otherwise(emptied)))
+    raw = F.col("tag").isin("script", "style")
+    roots = elements.content_roots(found).withColumnsRenamed({"elem_no": "root", "end_no": "root_end", "tag": "root_tag"})
+    inside = found.where(~raw).join(roots, "doc_id").where("elem_no > root and elem_no < root_end")
+    return inside.groupBy("doc_id", F.col("root_tag").alias("tag")).agg(F.count("*").alias("inside"))
+
+
+@query(f"""SELECT page_id AS doc_id, CAST(1 AS INTEGER) AS level, t AS text, '# ' || {_ESCAPED.format("t")} AS markdown FROM (SELECT page_id, {_FLAT.format("regexp_extract(html, '(?s)<h1>(.*?)</h1>', 1)")} AS t FROM pages)
+UNION ALL SELECT page_id, 3, t, '### ' || {_ESCAPED.format("t")} FROM (SELECT page_id, {_FLAT.format("regexp_extract(html, '(?s)<footer>(.*?)</footer>', 1)")} AS t FROM pages)
+UNION ALL SELECT page_id, 6, '', '######' FROM pages""")
+def md_heading(spark, sf_dir):
+    """Headings of whole pages; their footers are made headings of the third level, an empty one is added."""
+    h = F.regexp_replace(F.replace("html", F.lit("<article>"), F.lit("<article><H6 class='x'></H6>")), "(</?)footer>", "$1h3>")
+    return elements.headings(elements.elements(_pages(spark, sf_dir, h), elements.HEADINGS)).select("doc_id", "level", "text", "markdown")
+
+
+@query(f"""SELECT page_id AS doc_id, href, {_FLAT.format("t")} AS text, '[' || {_ESCAPED.format(_FLAT.format("t"))} || '](' || href || ')' AS markdown FROM (
+SELECT page_id, t, CASE WHEN page_id % 2 = 0 THEN 'https://ex.com/a%20b/' || replace(replace(replace(replace(replace(url_encode(h[2:]), '%21', '!'), '%2A', '*'), '%27', chr(39)), '%28', '('), '%29', ')') || '?q=1' ELSE h END AS href
+FROM (SELECT page_id, unnest(regexp_extract_all(html, '{_NAV}', 1)) AS h, unnest(regexp_extract_all(html, '{_NAV}', 2)) AS t FROM pages))
+UNION ALL SELECT page_id, url, url, '<' || url || '>' FROM pages WHERE NOT regexp_matches(url, '[%\\s,;=&]') AND regexp_matches(url, '^https?://[^/]+/[a-z0-9/.]*$')""")
+def md_link(spark, sf_dir):
+    """All links of whole pages: relative ones, absolute ones with user info and a path to encode, and the page's own plain
+    address as text and target."""
+    even, plain = F.col("doc_id") % 2 == 0, F.col("url").rlike("^https?://[^/]+/[a-z0-9/.]*$")
+    far = F.regexp_replace("html", 'href="/([^"]*)"', "target=_top href='https://me:pw@EX.com/a b/$1?q=1'")
+    own = F.when(plain, F.concat(F.lit("<a href="), F.col("url"), F.lit(">"), F.col("url"), F.lit("</a><article>"))).otherwise("<article>")
+    pages = _pages(spark, sf_dir).withColumn("html", F.replace(F.when(even, far).otherwise(F.col("html")), F.lit("<article>"), own))
+    return elements.links(elements.elements(pages, ["a"])).select("doc_id", "href", "text", "markdown")
+
+
+#: Each entry of a page's navigation as a table row: a wide cell and one that holds a nested element, none of them ended.
+_ROW = '<tr><td colspan="2"><a href="$1">$2</a><td><p>$2 <b>&amp; $1</b>'
+
+
+def _as_table(spark, sf_dir) -> DataFrame:
+    head = F.when(F.col("page_id") % 2 == 0, "<table><thead><tr><th>k<th>v<th>w</thead><tbody>").otherwise("<table><tbody>")
+    h = F.replace(F.regexp_replace(F.replace("html", F.lit("<nav><ul>"), F.concat(F.lit("<nav>"), head)), _NAV, _ROW), F.lit("</ul></nav>"), F.lit("</table></nav>"))
+    return read(spark, sf_dir, "pages").select(F.col("page_id").alias("doc_id"), h.alias("html"))
+
+
+_NAV_ROWS = f"SELECT page_id, unnest(list_transform(regexp_extract_all(html, '{_NAV}', 2), lambda t, i: {{'t': t, 'h': regexp_extract_all(html, '{_NAV}', 1)[i], 'i': i}}), recursive := true) FROM pages"
+
+
+@query(f"""SELECT page_id AS doc_id, CAST(i - 1 + CASE WHEN page_id % 2 = 0 THEN 1 ELSE 0 END AS INTEGER) AS row, 0 AS col, 2 AS colspan, false AS is_header, {_FLAT.format("t")} AS text FROM ({_NAV_ROWS})
+UNION ALL SELECT page_id, CAST(i - 1 + CASE WHEN page_id % 2 = 0 THEN 1 ELSE 0 END AS INTEGER), 2, 1, false, {_FLAT.format("t || ' &amp; ' || h")} FROM ({_NAV_ROWS})
+UNION ALL SELECT page_id, 0, CAST(c AS INTEGER), 1, true, ['k', 'v', 'w'][c + 1] FROM pages, range(3) r(c) WHERE page_id % 2 = 0""")
+def md_cell(spark, sf_dir):
+    """Cells of the tables of whole pages, placed by the spans before them."""
+    return elements.table_cells(elements.elements(_as_table(spark, sf_dir), ["td", "th", "tr"])).select("doc_id", "row", "col", "colspan", "is_header", "text")
+
+
+@query(f"""SELECT page_id AS doc_id, CASE WHEN page_id % 2 = 0 THEN '| k | v | w |' ELSE '|  |  |  |' END || chr(10) || '| --- | --- | --- |' || chr(10)
+|| string_agg('| ' || {_ESCAPED.format(_FLAT.format("t"))} || ' | | ' || {_ESCAPED.format(_FLAT.format("t || ' &amp; ' || h"))} || ' |', chr(10) ORDER BY i) AS markdown FROM ({_NAV_ROWS}) GROUP BY page_id
+UNION ALL SELECT page_id, CASE WHEN page_id % 2 = 0 THEN '| k | v | w |' || chr(10) || '| --- | --- | --- |' ELSE '|' || chr(10) || '|  |' END FROM pages WHERE NOT regexp_matches(html, '{_NAV}')""")
+def md_table(spark, sf_dir):
+    """Tables of whole pages with wide cells; half of them get a blank header."""
+    return elements.tables(elements.elements(_as_table(spark, sf_dir))).select("doc_id", "markdown")
+
+
+@query(f"""SELECT page_id AS doc_id, CAST(level AS INTEGER) AS level, line FROM (SELECT page_id, {_ESCAPED.format(_FLAT.format("t"))} AS e FROM ({_NAV_ROWS})), LATERAL (VALUES
+(1, '* ' || e), (2, '  + deep ' || e || ' tail'), (3, '    4. one'), (3, '    5. ' || e)) v(level, line)""")
+def win_nested_ctx(spark, sf_dir):
+    """List items three levels deep: markers by the lists around them, numbers by place, indents by the items above."""
+    h = F.regexp_replace("html", _NAV, "<li>$2<ul><li>deep <i>$2</i><ol start=4><li>one<li>$2</ol>tail</ul>")
+    return elements.list_items(elements.elements(_pages(spark, sf_dir, h), ["li", *elements.LISTS])).select("doc_id", "level", "line")
