@@ -15,7 +15,8 @@ from inkwell.llm.common import fresh, saved, table
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the toxicity network rejects go; it learns from the labels of documents outside the held-out fifth."""
+    """Documents that the toxicity network rejects go; it learns from the labels of documents outside the held-out fifth.
+    Null, empty and very long texts, repeated rows and empty tables: see `toxicity.without_toxic`."""
     return toxicity.without_toxic(docs, toxicity.learn(docs, table(spark, sf_dir, "labels")))
 
 
@@ -30,7 +31,9 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies (five-word shingles, similarity 0.8) the document with the smallest doc_id stays."""
+    """Of each group of near copies (five-word shingles, similarity 0.8) the document with the smallest doc_id stays. The Gray
+    index over SimHash fingerprints meets what differs in 3 bits; bands of min-hashes meet the rest, which is most of it,
+    and each pair counts by its exact similarity."""
     return nearcopies.one_of_each(docs)
 
 
@@ -40,7 +43,8 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """(doc_id, n_tokens, ids) of every document."""
+    """(doc_id, n_tokens, ids) of every row; other columns are dropped. Null and empty texts have no ids, very long ones are
+    encoded whole, an empty table gives an empty one."""
     return bpe.encode_documents(docs).select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids")
 
 
