@@ -1,4 +1,4 @@
-"""One file at a time, without Spark: the same routes and parsers for scripts and tests."""
+"""One file at a time, as a table of one row: the same plans as for any number of files."""
 
 from __future__ import annotations
 
@@ -8,8 +8,10 @@ from dataclasses import dataclass
 from pathlib import Path
 from urllib.parse import unquote, unquote_to_bytes, urlsplit
 
-from inkwell.operators.routing import Registry
-from inkwell.plans.convert import Options, convert_one, normalize_here
+from pyspark.sql import Row, SparkSession
+
+from inkwell.operators.routing import FIELDS, INFO, Registry
+from inkwell.plans.convert import Options, convert
 
 #: Asked of web servers first, since some can answer in Markdown themselves.
 ACCEPT = "text/markdown, text/html;q=0.9, text/plain;q=0.8, */*;q=0.1"
@@ -40,6 +42,13 @@ class Result:
         return self.markdown
 
 
+def convert_file(data: bytes, hints: dict, options: Options | None = None, registry: Registry | None = None) -> Row:
+    """The result of one file: doc_id, markdown, title, converter, status, attempts. Without a session a local one starts."""
+    spark = SparkSession.getActiveSession() or SparkSession.builder.master("local[1]").config("spark.ui.enabled", "false").config("spark.sql.shuffle.partitions", "1").getOrCreate()
+    files = spark.createDataFrame([(0, data, tuple(hints.get(f) for f in FIELDS))], f"doc_id long, content binary, info {INFO}")
+    return convert(files, options, registry).first()
+
+
 def extension(name: str) -> str | None:
     base = name.replace("\\", "/").rpartition("/")[2]
     return base[base.rindex(".") :].lower() if base.rfind(".") > 0 else None
@@ -64,12 +73,12 @@ class Converter:
         return self.convert_uri(source, **hints) if source.startswith(("http:", "https:", "file:", "data:")) else self.convert_local(source, **hints)
 
     def convert_bytes(self, data: bytes, **hints) -> Result:
-        markdown, title, _, status, attempts = convert_one(data, {k: v for k, v in hints.items() if v is not None}, None, self.options, self.registry)
-        if status == "unsupported":
+        out = convert_file(data, {k: v for k, v in hints.items() if v is not None}, self.options, self.registry)
+        if out.status == "unsupported":
             raise Unsupported("no converter takes this file")
-        if status == "failed":
-            raise Failed(attempts)
-        return Result(normalize_here(markdown), title)
+        if out.status == "failed":
+            raise Failed([a.asDict() for a in out.attempts])
+        return Result(out.markdown, out.title)
 
     def convert_local(self, path, **hints) -> Result:
         path = str(path)

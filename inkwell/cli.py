@@ -78,8 +78,9 @@ def checked(args: argparse.Namespace) -> argparse.Namespace:
 
 def main(argv: list[str] | None = None, client=None) -> int:
     """client: how to reach the cloud services; without one they can't be used."""
-    from inkwell.cloud import FILE_TYPES, content_service, document_service
-    from inkwell.plans.convert import Options, convert_one, normalize_here
+    from inkwell.cloud import FILE_TYPES, auth_headers, content_service, document_service
+    from inkwell.api import convert_file
+    from inkwell.plans.convert import Options
     from inkwell.providers import Providers
 
     args = parser().parse_args(argv)
@@ -97,15 +98,17 @@ def main(argv: list[str] | None = None, client=None) -> int:
             if client is None:
                 raise Usage("No client for the cloud services is configured.")
             types = tuple(args.cu_file_types or FILE_TYPES)
-            analyze = document_service(args.endpoint, client) if args.endpoint else content_service(args.cu_endpoint, client, own=args.cu_analyzer_id, types=types)
+            credential = auth_headers()  # of this process: executors have no part in its environment
+            auth = lambda: credential
+            analyze = document_service(args.endpoint, client, auth) if args.endpoint else content_service(args.cu_endpoint, client, auth, args.cu_analyzer_id, types=types)
         data = Path(args.input).read_bytes() if args.input else sys.stdin.buffer.read()
         name = Path(args.input).name if args.input else None
         suffix = Path(args.input).suffix.lower() if args.input else None
         info = {"extension": args.extension or suffix or None, "mimetype": args.mime_type, "charset": args.charset, "filename": name, "local_path": args.input}
-        markdown, _, _, status, attempts = convert_one(data, info, None, Options(args.keep_data_uris, providers=Providers(analyze=analyze)), registry)
-        if status != "ok":
-            raise RuntimeError(f"{status}: " + "; ".join(f"{a['converter']}: {a['message']}" for a in attempts))
-        text = normalize_here(markdown)
+        out = convert_file(data, info, Options(keep_data_uris=args.keep_data_uris, providers=Providers(analyze=analyze)), registry)
+        if out.status != "ok":
+            raise RuntimeError(f"{out.status}: " + "; ".join(f"{a.converter}: {a.message}" for a in out.attempts))
+        text = out.markdown
         if args.output:
             Path(args.output).write_text(text, encoding="utf-8")
         else:

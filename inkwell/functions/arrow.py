@@ -15,14 +15,6 @@ def _list(**fields: S.DataType) -> S.ArrayType:
     return S.ArrayType(_record(**fields))
 
 
-@F.pandas_udf(S.StringType())
-def detect_charset(content: pd.Series) -> pd.Series:
-    """The charset of text bytes; null for null."""
-    from inkwell.parsers import charset
-
-    return content.map(lambda b: None if b is None else charset.detect(bytes(b)))
-
-
 @F.pandas_udf(S.StringType())
 def decode_text(content: pd.Series, label: pd.Series) -> pd.Series:
     """Text of bytes in the labelled charset, detected where the label is null."""
@@ -174,6 +166,33 @@ def shared_strings(content: pd.Series) -> pd.Series:
     return content.map(lambda d: _or_none(lambda x: ["".join(t.content() for t in s.named("t") if not t.inside("rPh")) for s in parse_xml(bytes(x)).named("si")], d))
 
 
+def classified(classify):
+    """A function of contents that gives a classifier's answer, `known` being null where it has none or fails."""
+
+    @F.pandas_udf("mimetype string, extensions array<string>, charset string, known boolean")
+    def run(content: pd.Series) -> pd.DataFrame:
+        def one(data):
+            try:
+                found = classify(bytes(data)) if data is not None else None
+            except Exception:  # noqa: BLE001  a classifier that fails says nothing
+                found = None
+            return (found.get("mimetype"), found.get("extensions") or [], found.get("charset"), True) if found else (None, None, None, None)
+
+        return pd.DataFrame([one(d) for d in content], columns=["mimetype", "extensions", "charset", "known"])
+
+    return run.asNondeterministic()  # asked once for each file: no later step takes the call into itself
+
+
+def described(caption):
+    """A function of pictures and their extensions that gives what an injected function says of them."""
+
+    @F.pandas_udf(S.StringType())
+    def run(content: pd.Series, extension: pd.Series) -> pd.Series:
+        return pd.Series([None if b is None else caption(bytes(b), {"extension": e}) for b, e in zip(content, extension, strict=True)], dtype=object)
+
+    return run
+
+
 @F.pandas_udf(S.ArrayType(S.BooleanType()))
 def date_styles(content: pd.Series) -> pd.Series:
     """Whether each cell style of a workbook shows numbers as dates."""

@@ -189,6 +189,18 @@ def without_scripts(html: Column) -> Column:
     return F.regexp_replace(html, r"(?is)<script\b[^>]*>.*?</script>|<style\b[^>]*>.*?</style>", "")
 
 
+def charset_of(content: Column) -> Column:
+    """The charset of text bytes, told by marks and by whole values: UTF-8, else the pairs of multi-byte charsets."""
+    from inkwell.parsers import charset
+
+    said = F.decode(content, "ISO-8859-1")
+    whole = lambda pattern: said.rlike(rf"\A{pattern}\z")
+    marks = F.hex(F.substring(content, 1, 3))
+    out = F.when(marks.startswith("EFBBBF"), "utf-8").when(marks.startswith("FFFE"), "utf-16le").when(marks.startswith("FEFF"), "utf-16be").when(F.is_valid_utf8(content), "utf-8")
+    out = out.when(whole(charset.SHIFT_JIS) & whole(charset.LOW_SHIFT_JIS), "shift_jis").when(whole(charset.GBK), "gb18030").when(whole(charset.SHIFT_JIS), "shift_jis")
+    return F.when(content.isNotNull(), out.when(whole(charset.EUC_KR), "euc-kr").otherwise("latin1"))
+
+
 def charset_sample(content: Column) -> Column:
     """The bytes by which a charset is told."""
     return F.substring(content, 1, 4096)

@@ -74,56 +74,99 @@ def column_of(x0: Column, columns: Column) -> Column:
     return F.when(at > 0, at - 1).otherwise(F.size(columns) - 1).cast("int")
 
 
-def lines_of(words: DataFrame, grid: int) -> DataFrame:
-    """(doc_id, page, y, line, words) with the words of each line in reading order."""
-    keyed = words.where(F.trim("text") != "").withColumn("y", line_key(F.col("top"), grid))
-    lines = keyed.groupBy(*PAGE, "y").agg(F.array_sort(F.collect_list(F.struct("x0", "x1", "text"))).alias("words"), F.first("page_width").alias("page_width"))
-    return lines.withColumn("line", F.row_number().over(W.partitionBy(*PAGE).orderBy("y")) - 1)
+def pages_of(words: DataFrame) -> DataFrame:
+    """(doc_id, page, lines, page_width): the lines of each page from top to bottom, each an array of its words in reading
+    order with their cluster. Words are dealt by page once; whatever groups pages further needs no other shuffle."""
+    keyed = words.where(F.trim("text") != "").repartition(*PAGE).withColumn("y", line_key(F.col("top"), FORM_GRID))
+    each = clusters(keyed, [*PAGE, "y"], ["x0", "x1", "text"], COLUMN_GAP)
+    word = F.struct("x0", "x1", "text", "cluster", line_key(F.col("top"), PROSE_GRID).alias("y"))
+    lines = each.groupBy(*PAGE, "y").agg(F.array_sort(F.collect_list(word)).alias("words"), F.first("page_width").alias("page_width"))
+    return lines.groupBy(*PAGE).agg(F.array_sort(F.collect_list(F.struct("y", "words"))).alias("lines"), F.first("page_width").alias("page_width"))
+
+
+def _said(words: Column) -> Column:
+    return F.array_join(F.transform(words, lambda w: w["text"]), " ")
+
+
+def plain_text(lines: Column) -> Column:
+    """A page's words as lines of the finer grid, from top to bottom, words from left to right."""
+    words = F.array_sort(F.transform(F.flatten(F.transform(lines, lambda l: l["words"])), lambda w: F.struct(w["y"].alias("y"), w["x0"].alias("x0"), w["x1"].alias("x1"), w["text"].alias("text"))))
+    gap = lambda all_, w, i: F.when(i == 0, "").when(F.get(all_, i - 1)["y"] == w["y"], " ").otherwise("\n")
+    return _let(words, lambda all_: F.array_join(F.transform(all_, lambda w, i: F.concat(gap(all_, w, i), w["text"])), ""))
+
+
+def _let(value: Column, f) -> Column:
+    """f of a value that is computed once, however often f names it."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
+def _row(line: Column) -> Column:
+    """A line with its cells: clusters of words, each with its first x."""
+    last = F.element_at(line["words"], -1)
+    of = lambda k: F.filter(line["words"], lambda w: w["cluster"] == k)
+    cells = F.transform(F.sequence(F.lit(0), last["cluster"]), lambda k: _let(of(k), lambda ws: F.struct(F.get(ws, F.lit(0))["x0"].alias("x"), _said(ws).alias("cell"))))
+    return F.struct(line["words"].alias("words"), cells.alias("cs"), F.get(line["words"], F.lit(0))["x0"].alias("first"), last["x1"].alias("last"))
+
+
+def aligned_columns(words: Column, columns: Column) -> Column:
+    """How many columns have a word of the line near them, each word counting for the first one it is near."""
+    near = F.transform(words, lambda w: F.array_position(F.transform(columns, lambda g: F.abs(w["x0"] - g) < ALIGNED), F.lit(True)))
+    return F.size(F.array_distinct(F.filter(near, lambda p: p > 0)))
+
+
+def _units(text: Column) -> Column:
+    """Length in UTF-16 units, by which columns are made equally wide."""
+    return (F.octet_length(F.encode(text, "UTF-16BE")) / 2).cast("int")
+
+
+def table_text(rows: Column, columns: Column) -> Column:
+    """Lines of a table region as a Markdown table, the first as its header, cells padded to their column's width."""
+    every = F.sequence(F.lit(0), F.size(columns) - 1)
+    cells = F.transform(rows, lambda r: F.transform(every, lambda i: _said(F.filter(r["words"], lambda w: column_of(w["x0"], columns) == i))))
+
+    def shown(table: Column) -> Column:
+        widths = F.transform(every, lambda i: F.aggregate(table, F.lit(3), lambda a, r: F.greatest(a, _units(F.get(r, i)))))
+        padded = lambda wide, r: F.concat(F.lit("| "), F.array_join(F.zip_with(r, wide, lambda c, n: F.concat(c, F.repeat(F.lit(" "), n - _units(c)))), " | "), F.lit(" |"))
+        rule = lambda wide: F.concat(F.lit("| "), F.array_join(F.transform(wide, lambda n: F.repeat(F.lit("-"), n)), " | "), F.lit(" |"))
+        body = F.slice(table, F.lit(2), F.greatest(F.size(table) - 1, F.lit(0)))
+        return _let(widths, lambda wide: F.array_join(F.concat(F.array(padded(wide, F.get(table, F.lit(0))), rule(wide)), F.transform(body, lambda r: padded(wide, r))), "\n"))
+
+    return _let(cells, shown)
+
+
+def laid_pages(words: DataFrame) -> DataFrame:
+    """(doc_id, page, plain, form): each page's lines, and its layout with tables if its lines form some, else null.
+
+    A page is one row from its lines on, so the tables of a page meet nothing but that page.
+    """
+    pages = pages_of(words).withColumn("rows", F.transform("lines", _row))
+    texts = lambda r: F.transform(r["cs"], lambda c: c["cell"])
+    marked = lambda r: F.struct(r["words"].alias("words"), r["cs"].alias("cs"), prose_row(texts(r), r["first"], r["last"], F.col("page_width")).alias("prose"))
+    pages = pages.withColumn("rows", F.transform("rows", marked))
+    good = F.filter("rows", lambda r: structured(texts(r)) & ~r["prose"])
+    pages = pages.withColumn("xs", F.array_sort(F.array_distinct(F.flatten(F.transform(good, lambda r: F.transform(r["cs"], lambda c: c["x"]))))))
+    pages = pages.withColumn("columns", kept_columns(F.col("xs"), gap_tolerance(F.col("xs"))))
+    n, span = F.size("columns"), F.get("columns", F.size("columns") - 1) - F.get("columns", F.lit(0))
+    fits = F.when(n > 1, (span / n >= 30) & (n / (span / 72) <= 10) & (n <= F.greatest(F.lit(15), F.floor(20 * F.col("page_width") / 612)))).otherwise(False)
+    row = lambda r: ~r["prose"] & ~partial_number(F.get(r["words"], F.lit(0))["text"]) & (aligned_columns(r["words"], F.col("columns")) >= 2)
+    pages = pages.withColumn("flags", F.when(fits, F.transform("rows", row)))
+    form = F.size(F.filter("flags", lambda t: t)) / F.size("flags") >= 0.2
+    # regions: a table row goes with the table row before it, every other line is alone
+    starts = F.filter(F.sequence(F.lit(0), F.size("flags") - 1), lambda i: ~(F.get("flags", i) & F.coalesce(F.get("flags", i - 1), F.lit(False))))
+    pages = pages.withColumn("starts", F.when(form, starts))
+    region = lambda s, k: F.slice("rows", s + 1, F.coalesce(F.get("starts", k + 1), F.size("rows")) - s)
+    block = lambda s, k: F.when(F.get("flags", s), table_text(region(s, k), F.col("columns"))).otherwise(F.array_join(texts(F.get("rows", s)), "  "))
+    return pages.select(*PAGE, plain_text(F.col("lines")).alias("plain"), F.array_join(F.transform("starts", block), "\n").alias("form"))
 
 
 def prose_pages(words: DataFrame) -> DataFrame:
     """(doc_id, page, text): lines from top to bottom, words from left to right."""
-    lines = lines_of(words, PROSE_GRID).withColumn("s", F.array_join(F.transform("words", lambda w: w["text"]), " "))
-    return lines.groupBy(*PAGE).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line", "s"))), lambda t: t["s"]), "\n").alias("text"))
+    return laid_pages(words).select(*PAGE, F.col("plain").alias("text"))
 
 
 def form_pages(words: DataFrame) -> DataFrame:
     """(doc_id, page, is_form, text): pages whose lines form tables are laid out as Markdown tables; text is null if not."""
-    lines = lines_of(words, FORM_GRID)
-    each = lines.select(*PAGE, "y", "line", "page_width", F.posexplode("words").alias("n", "w")).select(*PAGE, "y", "line", "page_width", "n", "w.x0", "w.x1", "w.text")
-    each = clusters(each, [*PAGE, "line"], ["n"], COLUMN_GAP)
-    cells = each.groupBy(*PAGE, "line", "cluster").agg(F.min("x0").alias("x"), F.max("x1").alias("end"), F.array_sort(F.collect_list(F.struct("n", "text"))).alias("ws"), F.first("page_width").alias("page_width"))
-    cells = cells.withColumn("cell", F.array_join(F.transform("ws", lambda w: w["text"]), " "))
-    rows = cells.groupBy(*PAGE, "line").agg(F.array_sort(F.collect_list(F.struct("cluster", "x", "cell"))).alias("cs"), F.min("x").alias("first"), F.max("end").alias("last"), F.first("page_width").alias("page_width"))
-    texts = F.transform("cs", lambda c: c["cell"])
-    rows = rows.withColumn("prose", prose_row(texts, F.col("first"), F.col("last"), F.col("page_width"))).withColumn("good", structured(texts) & ~F.col("prose"))
-    grids = rows.where("good").groupBy(*PAGE).agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list(F.transform("cs", lambda c: c["x"]))))).alias("xs"), F.first("page_width").alias("width"))
-    grids = grids.withColumn("columns", kept_columns(F.col("xs"), gap_tolerance(F.col("xs"))))
-    n, span = F.size("columns"), F.element_at("columns", -1) - F.get("columns", F.lit(0))
-    fits = (n > 1) & (span / n >= 30) & (n / (span / 72) <= 10) & (n <= F.greatest(F.lit(15), F.floor(20 * F.col("width") / 612)))
-    grids = grids.where(fits).select(*PAGE, "columns")
-    rows = rows.join(grids, PAGE)
-    aligned = F.size(F.array_distinct(F.filter(F.transform("cs", lambda c: F.array_position(F.transform("columns", lambda g: F.abs(c["x"] - g) < ALIGNED), F.lit(True))), lambda p: p > 0)))
-    rows = rows.withColumn("is_table", ~F.col("prose") & (aligned >= 2))
-    share = W.partitionBy(*PAGE)
-    rows = rows.withColumn("form", F.avg(F.col("is_table").cast("double")).over(share) >= 0.2).where("form")
-    order = W.partitionBy(*PAGE).orderBy("line")
-    rows = rows.withColumn("region", F.when(F.col("is_table"), F.row_number().over(order) - F.sum(F.col("is_table").cast("int")).over(order)).otherwise(-1 - F.row_number().over(order)))
-    placed = each.join(rows.select(*PAGE, "line", "columns", "region", "is_table"), [*PAGE, "line"])
-    placed = placed.withColumn("col", F.when(F.col("is_table"), column_of(F.col("x0"), F.col("columns"))).otherwise(F.col("cluster")))
-    cell = placed.groupBy(*PAGE, "region", "line", "is_table", F.size("columns").alias("width"), "col").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", "text"))), lambda w: w["text"]), " ").alias("cell"))
-    row = cell.groupBy(*PAGE, "region", "line", "is_table", "width").agg(F.array_sort(F.collect_list(F.struct("col", "cell"))).alias("m"))
-    among = F.map_from_entries("m")
-    plain = F.array(F.array_join(F.transform("m", lambda x: x["cell"]), "  "))  # columns of a line that is no table row
-    row = row.withColumn("cells", F.when(F.col("is_table"), F.transform(F.sequence(F.lit(0), F.col("width") - 1), lambda i: F.coalesce(F.try_element_at(among, i), F.lit("")))).otherwise(plain))
-    block = row.groupBy(*PAGE, "region", "is_table", "width").agg(F.min("line").alias("line"), F.transform(F.array_sort(F.collect_list(F.struct("line", "cells"))), lambda r: r["cells"]).alias("rows"))
-    widths = F.transform(F.sequence(F.lit(0), F.col("width") - 1), lambda i: F.aggregate("rows", F.lit(3), lambda a, r: F.greatest(a, F.length(F.get(r, i)))))
-    padded = lambda r: F.concat(F.lit("| "), F.array_join(F.zip_with(r, widths, lambda c, n: F.rpad(c, n, " ")), " | "), F.lit(" |"))
-    rule = F.concat(F.lit("| "), F.array_join(F.transform(widths, lambda n: F.repeat(F.lit("-"), n)), " | "), F.lit(" |"))
-    table = F.array_join(F.concat(F.array(padded(F.get("rows", F.lit(0))), rule), F.transform(F.slice("rows", 2, F.greatest(F.size("rows"), F.lit(1))), padded)), "\n")
-    block = block.withColumn("s", F.when(F.col("is_table"), table).otherwise(F.get(F.get("rows", F.lit(0)), F.lit(0))))
-    text = block.groupBy(*PAGE).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line", "s"))), lambda b: b["s"]), "\n").alias("text"))
-    return words.select(*PAGE).distinct().join(text, PAGE, "left").select(*PAGE, F.col("text").isNotNull().alias("is_form"), "text")
+    return laid_pages(words).select(*PAGE, F.col("form").isNotNull().alias("is_form"), F.col("form").alias("text"))
 
 
 def low_quality(markdown: Column) -> Column:

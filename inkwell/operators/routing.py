@@ -1,13 +1,12 @@
-"""Routing: which converters may read a file, in which order. One table of routes serves Catalyst and archive entries."""
+"""Routing: which converters may read a file, in which order: one table of routes, compiled into one expression."""
 
 from __future__ import annotations
 
-import re
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from inkwell.functions import text as T
@@ -91,8 +90,9 @@ def enhanced(info: Column) -> Column:
     return F.struct(*(parts[f].alias(f) for f in FIELDS))
 
 
-def accepts(route: Route, info: Column, content: Column) -> Column:
-    """Whether a route may take the file; content checks that need a parser are left to it."""
+def accepts(route: Route, info: Column, content: Column, ruled: Column | None = None) -> Column:
+    """Whether a route may take the file; content checks that need a parser are left to it. `ruled`: what its rule says, where
+    that is known."""
     ext, mime = F.lower(F.coalesce(info["extension"], F.lit(""))), F.lower(F.coalesce(info["mimetype"], F.lit("")))
     tests = [ext.isin(*route.extensions, *route.maybe_extensions)] if route.extensions or route.maybe_extensions else []
     tests += [mime.startswith(m) for m in (*route.mimes, *route.maybe_mimes)]
@@ -101,7 +101,7 @@ def accepts(route: Route, info: Column, content: Column) -> Column:
     if route.charset:
         tests.append(info["charset"].isNotNull())
     if route.rule is not None:
-        tests.append(_ruled(route.rule)(content, info))
+        tests.append(_ruled(route.rule)(content, info) if ruled is None else ruled)
     out = F.lit(False)
     for t in tests:
         out = out | t
@@ -125,27 +125,25 @@ def _ruled(rule: Callable[[bytes, dict], bool]):
         hints = info.astype(object).where(info.notna(), None).to_dict("records")
         return pd.Series([_says_yes(rule, c, i) for c, i in zip(content, hints, strict=True)], dtype=bool)
 
-    return run
+    return run.asNondeterministic()  # asked once for each file: no later step takes the call into itself
 
 
-def candidates(registry: Registry, info: Column, content: Column) -> Column:
-    """Names of the routes that may take the file, in order; one expression without Python."""
-    named = F.array(*(F.when(accepts(r, info, content), F.lit(r.name)) for r in registry.ordered()))
+def candidates(registry: Registry, info: Column, content: Column, ruled: dict[str, Column] | None = None) -> Column:
+    """Names of the routes that may take the file, in order; one expression without Python, but for plugins' rules."""
+    named = F.array(*(F.when(accepts(r, info, content, (ruled or {}).get(r.name)), F.lit(r.name)) for r in registry.ordered()))
     return F.filter(named, lambda n: n.isNotNull())
 
 
-def accepts_here(route: Route, info: dict, content: bytes) -> bool:
-    """`accepts` for one file in Python."""
-    ext, mime = (info.get("extension") or "").lower(), (info.get("mimetype") or "").lower()
-    hit = ext in (*route.extensions, *route.maybe_extensions) or any(mime.startswith(m) for m in (*route.mimes, *route.maybe_mimes))
-    hit = hit or (route.magic and not ext and len(content) >= 8 and content[:4] == bytes.fromhex("D0CF11E0")) or (route.charset and info.get("charset") is not None)
-    hit = hit or (route.rule is not None and _says_yes(route.rule, content, info))
-    return hit and (route.url is None or re.search(route.url, info.get("url") or "") is not None)
-
-
-def enhanced_here(info: dict) -> dict:
-    mime, ext = info.get("mimetype"), info.get("extension")
-    return info | {"mimetype": mime or T.MIME_BY_EXTENSION.get((ext or "").lower()), "extension": ext or T.EXTENSION_BY_MIME.get(mime)}
+def rank_table(files: DataFrame, registry: Registry, found: Column | None = None) -> DataFrame:
+    """Files (doc_id, content, info) with `tries`, array<struct<name, info>>: file by guess by converter, the first rank
+    first. found: a classifier's answers as CLASSIFIED, null where it has none."""
+    ruled = {r.name: _ruled(r.rule)(F.col("content"), F.col("hints")) for r in registry.ordered() if r.rule is not None}
+    some = F.array(F.col("hints")) if found is None else guesses(F.col("info"), found)
+    rows = files.withColumn("hints", enhanced(F.col("info")))
+    rows = rows.select("doc_id", "content", "info", "hints", some.alias("guesses"), *(c.alias(f"rule{i}") for i, c in enumerate(ruled.values())))
+    ruled = {n: F.col(f"rule{i}") for i, n in enumerate(ruled)}
+    ranked = F.transform("guesses", lambda g: F.transform(candidates(registry, g, F.col("content"), ruled), lambda n: F.struct(n.alias("name"), g.alias("info"))))
+    return rows.select("doc_id", "content", F.col("hints").alias("info"), F.flatten(ranked).alias("tries"))
 
 
 CLASSIFIED = "struct<mimetype:string,extensions:array<string>,charset:string>"
@@ -163,13 +161,3 @@ def guesses(info: Column, found: Column) -> Column:
     other_ext = F.coalesce((F.size(found["extensions"]) > 0) & ~F.array_contains(found["extensions"], bare), F.lit(False))
     return F.when(found.isNull(), F.array(enhanced(info))).when(other_mime | other_ext, F.array(enhanced(info), said)).otherwise(F.array(merge(info, said)))
 
-
-def guesses_here(info: dict, found: dict | None) -> list[dict]:
-    """`guesses` for one file in Python."""
-    if not found:
-        return [enhanced_here(info)]
-    exts = found.get("extensions") or []
-    said = info | {"mimetype": found.get("mimetype"), "extension": f".{exts[0]}" if exts else None, "charset": found.get("charset")}
-    differs = bool(info.get("mimetype") and found.get("mimetype") and info["mimetype"] != found["mimetype"])
-    differs = differs or bool(info.get("extension") and exts and info["extension"].removeprefix(".") not in exts)
-    return [enhanced_here(info), said] if differs else [{k: info.get(k) or said.get(k) for k in {*info, *said}}]

@@ -50,15 +50,16 @@ def sheet_tables(cells: DataFrame, by: list[str]) -> DataFrame:
     head = inside.where("r = top").select(*by, "c", F.regexp_replace("text", "\n", r"\\n").alias("text"))
     head = every.join(head, [*by, "c"], "left").withColumn("text", F.coalesce("text", F.concat(F.lit("Unnamed: "), F.col("c").cast("string"))))
     head = ordered.dedup_names(head, "text", by, ["c"]).groupBy(*by).agg(F.transform(F.array_sort(F.collect_list(F.struct("c", "text"))), lambda x: x["text"]).alias("head"))
-    body = inside.where("r > top").select(*by, "r", "c", shown(F.col("kind"), F.col("text")).alias("text"), (F.col("bottom") - F.col("top")).alias("n"))
-    typed = body.join(decimal_columns(body, [*by, "c"], "n"), [*by, "c"]).select(*by, "r", "c", with_decimals(F.col("text"), F.col("decimal")).alias("text"))
-    rows = typed.groupBy(*by, "r").agg(F.map_from_entries(F.collect_list(F.struct("c", "text"))).alias("m"))
-    rows = rows.groupBy(*by).agg(F.map_from_entries(F.collect_list(F.struct("r", "m"))).alias("rows"))
+    body = inside.where("r > top").select(*by, "r", "c", shown(F.col("kind"), F.col("text")).alias("text"), (F.col("bottom") - F.col("top")).alias("n"), "right")
+    typed = body.join(decimal_columns(body, [*by, "c"], "n"), [*by, "c"]).select(*by, "r", "c", "right", with_decimals(F.col("text"), F.col("decimal")).alias("text"))
+    line = lambda m: F.transform(F.sequence(F.lit(0), F.col("right")), lambda c: F.coalesce(F.try_element_at(m, c), F.lit("NaN")))
+    rows = typed.groupBy(*by, "r").agg(F.map_from_entries(F.collect_list(F.struct("c", "text"))).alias("m"), F.first("right").alias("right"))
+    rows = rows.select(*by, "r", line(F.col("m")).alias("line")).groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("r", "line"))).alias("rows"))
     whole = ends.join(head, by).join(rows, by, "left")
-    width = F.sequence(F.lit(0), F.col("right"))
-    line = lambda m: F.transform(width, lambda c: F.coalesce(F.try_element_at(m, c), F.lit("NaN")))
-    none = F.create_map().cast("map<int,string>")
-    numbers = F.when(F.col("bottom") > F.col("top"), F.sequence(F.col("top") + 1, F.col("bottom"))).otherwise(F.array().cast("array<int>"))
-    body = F.transform(numbers, lambda r: line(F.coalesce(F.try_element_at("rows", r), none)))
+    blank = F.array(F.array_repeat(F.lit("NaN"), F.col("right") + 1))
+    # rows without cells stand between others, none before the first and behind the last
+    before = lambda i: F.coalesce(F.get("rows", i - 1)["r"], F.col("top"))
+    body = F.flatten(F.transform("rows", lambda x, i: F.concat(F.flatten(F.array_repeat(blank, x["r"] - before(i) - 1)), F.array(x["line"]))))
+    body = F.coalesce(body, F.array().cast("array<array<string>>"))
     escaped = F.transform(F.concat(F.array(F.col("head")), body), lambda r: F.transform(r, lambda c: T.escape_markdown(T.pair_spaces(c))))
     return whole.select(*by, T.markdown_table(escaped).alias("markdown"))

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import codecs
+import re
 
+#: Bytes that an injected detector is shown.
 SAMPLE = 4096
 # Labels as WHATWG reads them, and their Python codecs.
 CODECS = {
@@ -14,48 +16,26 @@ CODECS = {
 }
 
 
+# The byte pairs of multi-byte charsets among single bytes, at least one pair, as patterns over bytes read as
+# ISO-8859-1. Nothing in them goes back, so they take whole values of any length.
+_ASCII, _KANA = r"[\x00-\x7f]", r"[\x00-\x7f\xa1-\xdf]"
+GBK = rf"(?:{_ASCII}*+[\x81-\xfe][\x40-\xfe])++{_ASCII}*+"
+SHIFT_JIS = rf"(?:{_KANA}*+[\x81-\x9f\xe0-\xfc][\x40-\x7e\x80-\xfc])++{_KANA}*+"
+EUC_KR = rf"(?:{_ASCII}*+[\xa1-\xfe][\xa1-\xfe])++{_ASCII}*+"
+#: Bytes that GBK could read as well are Shift_JIS only if every pair's lead is below 0xA1.
+LOW_SHIFT_JIS = rf"(?:{_ASCII}*+[\x81-\xa0][\x40-\x7e\x80-\xfc])++{_ASCII}*+"
+_gbk, _shift_jis, _euc_kr, _low = (re.compile(p.encode()) for p in (GBK, SHIFT_JIS, EUC_KR, LOW_SHIFT_JIS))
+
+
 def utf8(data: bytes) -> bool:
-    """Whether the sample is UTF-8; a character cut by its end counts as whole."""
+    """Whether a whole value is UTF-8."""
     try:
-        codecs.getincrementaldecoder("utf-8")().decode(data[:SAMPLE], final=len(data) <= SAMPLE)
+        data.decode()
         return True
     except UnicodeDecodeError:
         return False
 
 
-def _pairs(data: bytes, single, lead, trail) -> bool:
-    """Whether the sample consists of ASCII, `single` bytes and at least one valid pair."""
-    data, cut = data[:SAMPLE], len(data) > SAMPLE
-    i = pairs = 0
-    while i < len(data):
-        b = data[i]
-        if b <= 0x7F or single(b):
-            i += 1
-        elif i + 1 < len(data) and lead(b) and trail(data[i + 1]):
-            pairs += 1
-            i += 2
-        else:
-            return cut and pairs > 0 and i + 1 == len(data) and lead(b)
-    return pairs > 0
-
-
-def gbk(data: bytes) -> bool:
-    return _pairs(data, lambda b: False, lambda b: 0x81 <= b <= 0xFE, lambda t: 0x40 <= t <= 0xFE)
-
-
-def shift_jis(data: bytes) -> bool:
-    return _pairs(data, lambda b: 0xA1 <= b <= 0xDF, lambda b: 0x81 <= b <= 0x9F or 0xE0 <= b <= 0xFC, lambda t: 0x40 <= t <= 0xFC and t != 0x7F)
-
-
-def euc_kr(data: bytes) -> bool:
-    return _pairs(data, lambda b: False, lambda b: 0xA1 <= b <= 0xFE, lambda t: 0xA1 <= t <= 0xFE)
-
-
-def prefers_shift_jis(data: bytes) -> bool:
-    """Bytes that GBK could read as well are Shift_JIS only if every pair's lead is below 0xA1."""
-    return _pairs(data, lambda b: False, lambda b: 0x81 <= b < 0xA1, lambda t: 0x40 <= t <= 0xFC and t != 0x7F)
-
-
 #: Detectors' guesses below this confidence don't count.
 CONFIDENT = 0.7
 # What detectors call charsets, where it isn't what we call them.
@@ -82,10 +62,10 @@ def detect(data: bytes, detector=None) -> str:
         return "utf-8"
     if detector is not None and (found := label(*detector(data[:SAMPLE]))):
         return found
-    sjis = shift_jis(data)
-    if sjis and prefers_shift_jis(data):
+    sjis = _shift_jis.fullmatch(data)
+    if sjis and _low.fullmatch(data):
         return "shift_jis"
-    return "gb18030" if gbk(data) else "shift_jis" if sjis else "euc-kr" if euc_kr(data) else "latin1"
+    return "gb18030" if _gbk.fullmatch(data) else "shift_jis" if sjis else "euc-kr" if _euc_kr.fullmatch(data) else "latin1"
 
 
 def decode(data: bytes, charset: str | None = None) -> str:

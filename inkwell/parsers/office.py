@@ -234,18 +234,6 @@ def chart_parts(data: bytes) -> dict | None:
     return {"title": heading, "names": list(map(name, series)), "labels": _cached(series[0].one("cat"), "strCache", "numCache"), "columns": [_cached(s.one("val"), "numCache", "strCache") for s in series]}
 
 
-def chart(data: bytes) -> str | None:
-    """The cached series of a chart as a table; null without series."""
-    found = chart_parts(data)
-    if found is None:
-        return None
-    labels, columns = found["labels"], found["columns"]
-    n = max(len(labels), *map(len, columns))
-    pick = lambda values, i, default: values[i] if i < len(values) else default
-    rows = [["Category", *found["names"]]] + [[pick(labels, i, str(i + 1)), *(pick(c, i, "") for c in columns)] for i in range(n)]
-    return "\n\n### Chart" + (f": {found['title']}" if found["title"] else "") + "\n\n" + H.table_text([[(c, 1) for c in r] for r in rows]) + "\n"
-
-
 def slide_ids(raw: bytes) -> list[str]:
     """The relationships of a presentation's slides, in order."""
     return [i for n in parse_xml(raw).named("sldId") if (i := n.attrs.get("r:id"))]
@@ -283,7 +271,8 @@ def slide_shapes(raw: bytes) -> list[dict]:
             elif shape.name == "pic":
                 about = shape.one("cNvPr")
                 name = about.attrs.get("name", "image") if about is not None else "image"
-                one |= {"kind": "pic", "name": name, "text": (about.attrs.get("descr") if about is not None else None) or name}
+                blip = shape.one("blip")
+                one |= {"kind": "pic", "name": name, "text": (about.attrs.get("descr") if about is not None else None) or name, "rel_id": blip.attr("embed") if blip is not None else None}
             else:
                 is_chart = any("/chart" in g.attrs.get("uri", "") for g in shape.named("graphicData")) or bool(shape.named("chart"))
                 rows = [["".join(t.content() for t in c.named("t")) for c in r.named("tc")] for r in shape.named("tr")]
@@ -297,16 +286,6 @@ def slide_shapes(raw: bytes) -> list[dict]:
 class _Slides:
     SHAPES = ("sp", "pic", "graphicFrame", "grpSp")
 
-    def __init__(self, data: bytes, keep: bool, caption=None):
-        self.package, self.keep, self.caption = open_zip(data), keep, caption
-
-    def paths(self) -> list[str]:
-        links = relations(self.package, "ppt/presentation.xml")
-        raw = read(self.package, "ppt/presentation.xml")
-        listed = [links[i] for n in (parse_xml(raw).named("sldId") if raw else []) if (i := n.attrs.get("r:id", "")) in links]
-        found = sorted((n for n in self.package.namelist() if re.fullmatch(r"ppt/slides/slide\d+\.xml", n)), key=lambda n: int(re.search(r"\d+", n.rpartition("/")[2])[0]))
-        return listed or found
-
     @staticmethod
     def position(shape: Node) -> tuple[int, int]:
         off = shape.one("off")
@@ -318,9 +297,6 @@ class _Slides:
 
         return number("y"), number("x")
 
-    def shapes(self, tree: Node) -> list[Node]:
-        return sorted(tree.kids(*self.SHAPES), key=self.position)
-
     @staticmethod
     def text(shape: Node) -> str:
         box = shape.one("txBody")
@@ -329,93 +305,3 @@ class _Slides:
             if any(x.strip() for x in lines):
                 return "\n".join(lines)
         return "".join(t.content() for t in shape.named("t"))
-
-    def picture(self, shape: Node, links: dict[str, str]) -> str:
-        about = shape.one("cNvPr")
-        name = about.attrs.get("name", "image") if about is not None else "image"
-        alt = (about.attrs.get("descr") if about is not None else None) or name
-        alt = re.sub(r"\s+", " ", re.sub(r"[\r\n\[\]]", " ", alt)).strip()
-        blip = shape.one("blip")
-        target = links.get(blip.attr("embed") or "") if blip is not None and (self.keep or self.caption) else None
-        data = read(self.package, target) if target else None
-        said = self.caption(data, {"extension": "." + target.rpartition(".")[2].lower()}) if self.caption and data is not None else None
-        alt = re.sub(r"\s+", " ", re.sub(r"[\r\n\[\]]", " ", f"{said} {alt}")).strip() if said else alt
-        if data is not None and self.keep:
-            kind = {"jpg": "jpeg", "svg": "svg+xml"}.get(target.rpartition(".")[2].lower(), target.rpartition(".")[2].lower())
-            return f"\n![{alt}](data:image/{kind};base64,{base64.b64encode(data).decode()})\n"
-        return f"\n![{alt}]({re.sub(r'[^A-Za-z0-9_]', '', name)}.jpg)\n"
-
-    def frame(self, shape: Node, links: dict[str, str]) -> str:
-        if any("/chart" in g.attrs.get("uri", "") for g in shape.named("graphicData")) or shape.named("chart"):
-            ref = next((r for c in shape.named("chart") if (r := c.attrs.get("r:id"))), None)
-            data = read(self.package, links[ref]) if ref in links else None
-            try:
-                out = chart(data) if data is not None else "\n\n[unsupported chart]\n\n"
-            except ValueError:
-                out = "\n\n[unsupported chart]\n\n"
-            if out is not None:
-                return out
-        rows = [["".join(t.content() for t in c.named("t")) for c in r.named("tc")] for r in shape.named("tr")]
-        rows = [[(c, 1) for c in r] for r in rows if any(r)]
-        return H.table_text(rows) + "\n" if rows else ""
-
-    def group(self, tree: Node, links: dict[str, str]) -> str:
-        out = ""
-        for shape in self.shapes(tree):
-            if shape.name == "sp":
-                text = self.text(shape).strip()
-                out += text + "\n" if text else ""
-            else:
-                out += self.other(shape, links)
-        return out.strip()
-
-    def other(self, shape: Node, links: dict[str, str]) -> str:
-        return self.picture(shape, links) if shape.name == "pic" else self.group(shape, links) if shape.name == "grpSp" else self.frame(shape, links)
-
-    def slide(self, path: str, data: bytes) -> str:
-        root, links = parse_xml(data), relations(self.package, path)
-        tree = root.one("spTree")
-        if tree is None:
-            return "\n".join(t.content() for t in root.named("t") if t.content())
-        out = ""
-        for shape in self.shapes(tree):
-            if shape.name != "sp":
-                out += self.other(shape, links)
-                continue
-            text, holder = self.text(shape), shape.one("ph")
-            if not text.strip():
-                out += "\n"
-            elif holder is not None and holder.attrs.get("type") in ("title", "ctrTitle") and "# " not in out:
-                out += f"# {text.lstrip()}\n"
-            else:
-                out += text + "\n"
-        return out
-
-    def notes(self, path: str) -> str | None:
-        target = next((t for t in relations(self.package, path).values() if "notesSlides/" in t), None)
-        data = read(self.package, target) if target else None
-        tree = parse_xml(data).one("spTree") if data is not None else None
-        if data is None:
-            return None
-        for shape in tree.named("sp") if tree is not None else []:
-            holder = shape.one("ph")
-            if holder is None or holder.attrs.get("type", "body") == "body":
-                return self.text(shape)
-        return ""
-
-    def markdown(self) -> str:
-        out = ""
-        for n, path in enumerate(self.paths(), 1):
-            out += f"\n\n<!-- Slide number: {n} -->\n"
-            data = read(self.package, path)
-            if data is None:
-                continue
-            out += self.slide(path, data)
-            notes = self.notes(path)
-            out = (out + (f"\n\n### Notes:\n{notes}" if notes is not None else "")).strip()
-        return out.strip()
-
-
-def pptx(data: bytes, keep: bool = False, caption=None) -> tuple[str, str | None]:
-    """caption: describes pictures (bytes, hints) -> text."""
-    return _Slides(data, keep, caption).markdown(), None

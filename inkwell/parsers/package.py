@@ -1,15 +1,10 @@
-"""Zip packages: archives and e-books."""
+"""Zip packages, entry by entry."""
 
 from __future__ import annotations
 
 import io
-import unicodedata
 import zipfile
-from collections.abc import Callable, Iterator
-
-from inkwell.parsers import charset
-from inkwell.parsers import html as H
-from inkwell.parsers.xmltree import parse_xml
+from collections.abc import Iterator
 
 #: Archives nested deeper, or that would unpack to more bytes, are refused.
 DEEPEST, MOST_BYTES = 8, 1 << 30
@@ -32,55 +27,9 @@ def read(package: zipfile.ZipFile, name: str) -> bytes | None:
         return None
 
 
-def collation(name: str) -> tuple:
-    """Alphabetical order without regard to case and accents first, then lower case before upper."""
-    plain = "".join(c for c in unicodedata.normalize("NFD", name) if not unicodedata.combining(c))
-    key = [(0, c) if not c.isalnum() else (1, c) for c in plain.casefold()]
-    return key, unicodedata.normalize("NFD", name.casefold()), name.swapcase()
-
-
 def each(data: bytes) -> Iterator[tuple[str, bytes]]:
     """(path, bytes) of the files of an archive, one after the other as stored."""
     package = open_zip(data)
     for i in package.infolist():
         if not i.is_dir():
             yield i.filename, package.read(i)
-
-
-def entries(data: bytes) -> list[tuple[str, bytes]]:
-    """(path, bytes) of the files of an archive, sorted by path."""
-    return sorted(each(data), key=lambda e: collation(e[0]))
-
-
-def archive(data: bytes, name: str, convert: Callable[[str, bytes], str | None]) -> str:
-    """A section for each entry that can be converted; the others are skipped."""
-    out = f"Content from the zip file `{name}`:\n\n"
-    for path, content in entries(data):
-        body = convert(path, content)
-        if body is not None:
-            out += f"## File: {path}\n\n{body}\n\n"
-    return out.strip()
-
-
-def epub(data: bytes, keep: bool = False) -> tuple[str, str | None]:
-    package = open_zip(data)
-    container = read(package, "META-INF/container.xml")
-    if container is None:
-        raise ValueError("Invalid EPUB: missing META-INF/container.xml")
-    root = parse_xml(container).first("rootfile")
-    path = root.attrs.get("full-path") if root is not None else None
-    book = read(package, path) if path else None
-    if book is None:
-        raise ValueError(f"Invalid EPUB: missing {path or 'rootfile path'}")
-    opf = parse_xml(book)
-    about = [("Title", opf.text_of("dc:title")), ("Authors", ", ".join(n.content().strip() for n in opf.all("dc:creator")))]
-    about += [(k.capitalize(), opf.text_of(f"dc:{k}")) for k in ("language", "publisher", "date", "description", "identifier")]
-    files = {n.attrs["id"]: n.attrs["href"] for n in opf.all("item") if n.attrs.get("id") and n.attrs.get("href")}
-    folder = path.rpartition("/")[0]
-    parts = ["\n".join(f"**{k}:** {v}" for k, v in about if v or k == "Authors")]
-    for ref in opf.all("itemref"):
-        href = files.get(ref.attrs.get("idref", ""))
-        chapter = read(package, f"{folder}/{href}" if folder else href) if href else None
-        if chapter is not None:
-            parts.append(H.page(charset.decode(chapter, "utf-8"), keep)[0].strip())
-    return "\n\n".join(parts), opf.text_of("dc:title")

@@ -8,7 +8,6 @@ import struct
 
 from inkwell.parsers import html as H
 from inkwell.parsers.compound import Compound
-from inkwell.parsers.package import open_zip, read
 from inkwell.parsers.xmltree import parse_xml
 
 # Cell texts that mean a missing value.
@@ -116,32 +115,6 @@ def cell_rows(raw: bytes) -> list[dict]:
     return out
 
 
-def xlsx(data: bytes) -> list[tuple[str, Cells]]:
-    package = open_zip(data)
-    book = parse_xml(read(package, "xl/workbook.xml") or b"<none/>")
-    relations = parse_xml(read(package, "xl/_rels/workbook.xml.rels") or b"<none/>")
-    target = {n.attrs.get("Id"): n.attrs.get("Target", "") for n in relations.named("Relationship")}
-    texts = parse_xml(read(package, "xl/sharedStrings.xml") or b"<none/>").named("si")
-    strings = ["".join(t.content() for t in s.named("t") if not t.inside("rPh")) for s in texts]
-    raw = read(package, "xl/styles.xml")
-    dates = date_styles(raw) if raw else []
-    properties = book.one("workbookPr")
-    from_1904 = properties is not None and properties.attrs.get("date1904") in ("1", "true")
-    out = []
-    for sheet in book.named("sheet"):
-        path = target.get(sheet.attr("id"), "")
-        raw = read(package, path.lstrip("/") if path.startswith("/") else f"xl/{path}")
-        cells: Cells = {}
-        for cell in cell_rows(raw) if raw is not None else []:
-            at, kind, text, style = (cell["r"], cell["c"]), cell["kind"], cell["text"], cell["style"]
-            if kind == "n":
-                cells[at] = timestamp_text(cell["serial"], from_1904) if style < len(dates) and dates[style] else cell["serial"]
-            else:
-                cells[at] = strings[int(text)] if kind == "i" else text == "True" if kind == "b" else text
-        out.append((sheet.attrs.get("name", ""), cells))
-    return out
-
-
 def _rk(raw: int) -> float:
     value = float(struct.unpack("<i", struct.pack("<I", raw & 0xFFFFFFFF))[0] >> 2) if raw & 2 else struct.unpack("<d", struct.pack("<Q", (raw & 0xFFFFFFFC) << 32))[0]
     return value / 100 if raw & 1 else value

@@ -1,47 +1,66 @@
-"""Files to Markdown: hints and routes in Catalyst. PDF files, workbooks, e-books and archives are taken apart and put
-together by Spark jobs (`packages`), texts, tables of values and notebooks are Catalyst expressions over their bytes; what
-is left is parsed row by row."""
+"""Files to Markdown: hints and routes in Catalyst, as a table of the converters that each file has left.
+
+Texts, tables of values and notebooks are Catalyst expressions over their bytes, what else is a page is parsed row by row
+beside them, in the same pass. PDF files, workbooks, e-books, presentations and archives are taken apart and put together by
+Spark jobs (`packages`), in rounds: what fails goes to its next converter in the next round, and what archives hold goes
+through the same plans, archives inside archives among it.
+"""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from dataclasses import dataclass, field, fields
+from dataclasses import dataclass, fields
 from functools import reduce
 
-import pyarrow as pa
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from inkwell import providers as P
 from inkwell.functions import arrow
 from inkwell.functions import text as T
-from inkwell.operators import layout, routing
-from inkwell.operators.routing import Registry
+from inkwell.operators import routing
+from inkwell.operators.routing import INFO, Registry
 from inkwell.parsers import charset as C
 from inkwell.plans import packages
-from inkwell.plans.packages import words_to_markdown
-from inkwell.plans.shared import written
+from inkwell.plans.packages import PACKAGES, words_to_markdown
+from inkwell.plans.shared import deleted, written
+
+ATTEMPT = "struct<converter:string,error_class:string,message:string>"
+ATTEMPTS = f"array<{ATTEMPT}>"
+TRIES = f"array<struct<name:string,info:{INFO}>>"
+RESULT = ["doc_id", "markdown", "title", "converter", "status", "attempts"]
+#: Converters that are expressions over the bytes of a file.
+EXPRESSIONS = ("text", "csv", "ipynb")
+
 
-ATTEMPTS = "array<struct<converter:string,error_class:string,message:string>>"
-PARSED = f"markdown string, title string, converter string, status string, attempts {ATTEMPTS}"
+_DEFAULTS = {"keep_data_uris": False, "style_map": None, "providers": None, "strict": False}
 
 
 @dataclass(frozen=True)
 class Options:
-    keep_data_uris: bool = False
-    style_map: dict[str, str] | None = None
-    providers: P.Providers = field(default_factory=P.Providers)
-    strict: bool = False
+    """What a conversion is asked for. A field that isn't given is `...`, so that one call can set an option back."""
+
+    keep_data_uris: bool = ...
+    style_map: dict[str, str] | None = ...
+    providers: P.Providers = ...
+    strict: bool = ...
+
+    def __post_init__(self):
+        object.__setattr__(self, "_given", frozenset(f.name for f in fields(self) if getattr(self, f.name) is not ...))
+        for f in fields(self):
+            if f.name not in self._given:
+                value = P.Providers() if f.name == "providers" else _DEFAULTS[f.name]
+                object.__setattr__(self, f.name, value)
 
     def over(self, base: Options) -> Options:
-        """Options of one call over those of a converter: what differs from the defaults wins."""
-        default = Options()
-        return Options(**{f.name: getattr(self if getattr(self, f.name) != getattr(default, f.name) else base, f.name) for f in fields(self)})
+        """Options of one call over those of a converter: whatever was given wins, defaults given on purpose too."""
+        given = {f: getattr(base, f) for f in base._given} | {f: getattr(self, f) for f in self._given}
+        return Options(**given)
 
 
-def _parse(name: str, data: bytes, info: dict, options: Options, registry: Registry, depth: int) -> tuple[str, str | None]:
+def _parse(name: str, data: bytes, info: dict, options: Options, registry: Registry) -> tuple[str, str | None]:
     """One converter's result; raises what goes wrong."""
-    from inkwell.parsers import compound, html, office, package, pdf, sheets, textual
+    from inkwell.parsers import compound, html, office, sheets, textual
 
     keep, given = options.keep_data_uris, options.providers
     page = lambda: C.decode(data, info.get("charset") or "utf-8")
@@ -65,14 +84,8 @@ def _parse(name: str, data: bytes, info: dict, options: Options, registry: Regis
         if (info.get("extension") or "").lower() != ".ipynb" and not textual.is_notebook(page()):
             raise textual.NotThisFormat("not a notebook")
         return textual.notebook(page())
-    if name == "epub":
-        return package.epub(data, keep)
     if name == "docx":
         return office.docx(data, keep, options.style_map)
-    if name == "pptx":
-        return office.pptx(data, keep, given.caption)
-    if name == "xlsx":
-        return sheets.workbook_markdown(sheets.xlsx(data)), None
     if name == "xls":
         return sheets.workbook_markdown(sheets.xls(data)), None
     if name == "msg":
@@ -81,67 +94,41 @@ def _parse(name: str, data: bytes, info: dict, options: Options, registry: Regis
         return P.image(data, info, given)
     if name == "audio":
         return P.audio(data, info, given)
-    if name == "pdf":
-        lines: dict[tuple, list] = {}
-        for no, word, x0, _, top, _ in pdf.words(data):
-            lines.setdefault((no, int(top / layout.PROSE_GRID + 0.5)), []).append((x0, word))
-        pages: dict[int, list[str]] = {}
-        for (no, _), found in sorted(lines.items()):
-            pages.setdefault(no, []).append(" ".join(w for _, w in sorted(found)))
-        return "\n\n".join("\n".join(p) for p in pages.values()), None
-    if name == "zip":
-        if depth >= package.DEEPEST:
-            raise ValueError("archives are nested too deep")
-
-        def entry(path: str, content: bytes) -> str | None:
-            base = path.replace("\\", "/").rpartition("/")[2]
-            ext = "." + base.rpartition(".")[2].lower() if "." in base[1:] else None
-            out = convert_one(content, {"extension": ext, "filename": base}, None, options, registry, depth + 1)
-            return out[0].strip() if out[3] == "ok" else None
-
-        return package.archive(data, info.get("url") or info.get("local_path") or info.get("filename") or "archive.zip", entry), None
     raise ValueError(f"no converter {name}")
 
 
-def normalize_here(text: str) -> str:
-    """`normalize_markdown` for an archive entry's text."""
-    import re
-
-    from inkwell.parsers.html import JS_SPACE
+def _try(name: str, data: bytes, info: dict, options: Options, registry: Registry) -> tuple[str, str | None]:
+    """`_parse` with the charset of a text told first, and the analyzer as one more converter."""
+    from inkwell.parsers.textual import NotThisFormat
 
-    text = "\n".join(line.rstrip(JS_SPACE) for line in text.replace("\r\n", "\n").split("\n"))
-    return re.sub(r"(\(#footnote-ref-\d+\))\n{2,}(\s*\d+\.)", r"\1\n\2", re.sub(r"\n{3,}", "\n\n", text))
-
-
-def convert_one(data: bytes, info: dict, names: list[str] | None, options: Options, registry: Registry, depth: int = 0) -> tuple:
-    """(markdown, title, converter, status, attempts) of one file: routes are tried in order until one succeeds."""
-    info = routing.enhanced_here(info)
+    if name == "analyze":
+        said = options.providers.analyze(data, info)
+        if said is None:
+            raise NotThisFormat("not analyzed")
+        return said, None
     if info.get("charset") is None and (info.get("mimetype") or "").startswith("text/"):
         info = info | {"charset": C.detect(data, options.providers.detect_charset)}
-    if names is None:
-        names = [r.name for r in registry.ordered() if routing.accepts_here(r, info, data)]
-    tries = [(n, info) for n in names]
-    if options.providers.classify is not None and depth == 0:
-        tries = [(r.name, i) for i in routing.guesses_here(info, options.providers.classify(data)) for r in registry.ordered() if routing.accepts_here(r, i, data)]
-    if options.providers.analyze is not None:
-        tries = [("analyze", info), *tries]
+    return _parse(name, data, info, options, registry)
+
+
+def convert_one(data: bytes, tries: list[dict], options: Options, registry: Registry) -> tuple:
+    """(markdown, title, converter, status, attempts) of a file that no Spark plan is for: its converters in order until one
+    succeeds."""
     attempts = []
-    for name, info in tries:
+    for t in tries:
         try:
-            if name == "analyze":
-                said = options.providers.analyze(data, info)
-                if said is None:
-                    continue
-                markdown, title = said, None
-            else:
-                markdown, title = _parse(name, data, info, options, registry, depth)
-            return (normalize_here(markdown) if depth else markdown), title, name, "ok", attempts
-        except Exception as e:  # noqa: BLE001  errors are data: the next route is tried
-            if type(e).__name__ != "NotThisFormat" or name in ("ipynb",) and (info.get("extension") or "") == ".ipynb":
-                attempts.append({"converter": name, "error_class": type(e).__name__, "message": str(e)})
+            return *_try(t["name"], data, t["info"], options, registry), t["name"], "ok", attempts
+        except Exception as e:  # noqa: BLE001  errors are data: the next converter is tried
+            if not _silent(type(e).__name__, t["name"], t["info"].get("extension")):
+                attempts.append({"converter": t["name"], "error_class": type(e).__name__, "message": str(e)})
     return None, None, None, "failed" if attempts else "unsupported", attempts
 
 
+def _silent(error: str, name: str, extension: str | None) -> bool:
+    """Whether an error says that a file is of another kind, which is no failed attempt. A file named as a notebook is one."""
+    return error == "NotThisFormat" and not (name == "ipynb" and (extension or "").lower() == ".ipynb")
+
+
 def routed(files: DataFrame, registry: Registry | None = None) -> DataFrame:
     """Files (doc_id, content, info) with their hints completed and `candidates`, the routes that may take them."""
     registry = registry or Registry()
@@ -149,74 +136,145 @@ def routed(files: DataFrame, registry: Registry | None = None) -> DataFrame:
     return hinted.withColumn("candidates", routing.candidates(registry, F.col("info"), F.col("content")))
 
 
-RESULT = ["doc_id", "markdown", "title", "converter", "status", "attempts"]
-#: Converters that are Spark jobs over the parts of files, and those that are expressions over their bytes.
-PACKAGES, EXPRESSIONS = ("pdf", "epub", "xlsx", "pptx", "zip"), ("text", "csv")
-
-
-def _by_row(rows: DataFrame, options: Options, registry: Registry, depth: int = 0) -> DataFrame:
-    """Results of routed files that are parsed row by row: independent rows, no shuffle."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids, contents, infos, names = (batch.column(i) for i in range(4))
-            rows = []
-            for i in range(batch.num_rows):
-                data = contents[i].as_py()
-                rows.append((None, None, None, "unsupported", []) if data is None else convert_one(data, infos[i].as_py() or {}, names[i].as_py(), options, registry, depth))
-            md, title, used, status, attempts = zip(*rows, strict=True) if rows else ((),) * 5
-            kind = pa.list_(pa.struct([("converter", pa.string()), ("error_class", pa.string()), ("message", pa.string())]))
-            clean = lambda v: pa.array([x.encode("utf-8", "replace").decode() if x is not None else None for x in v], pa.string())
-            yield pa.RecordBatch.from_arrays([ids, clean(md), clean(title), pa.array(used, pa.string()), pa.array(status, pa.string()), pa.array(attempts, kind)], names=RESULT)
+def _tries(files: DataFrame, options: Options, registry: Registry, depth: int) -> DataFrame:
+    """Files (doc_id, content, info) as (doc_id, content, tries): file by guess by converter, the first rank first. A
+    classifier's answer gives a second guess where it contradicts the hints; an analyzer comes before all others."""
+    given, found = options.providers, None
+    if given.classify is not None and depth == 0:
+        files = files.withColumn("found", arrow.classified(given.classify)("content"))
+        found = F.when(F.col("found.known"), F.struct(*(F.col(f"found.{f}") for f in ("mimetype", "extensions", "charset"))))
+    rows, tries = routing.rank_table(files, registry, found), F.col("tries")
+    if given.analyze is not None:
+        tries = F.concat(F.array(F.struct(F.lit("analyze").alias("name"), F.col("info").cast(INFO).alias("info"))), tries.cast(TRIES))
+    tries = F.when(F.col("content").isNotNull(), tries).otherwise(F.array().cast(TRIES))
+    return rows.select("doc_id", "content", tries.cast(TRIES).alias("tries"))
+
+
+def _by_row(options: Options, registry: Registry):
+    """A function of (content, tries, text) that gives `convert_one` of content, null for null tries, and the rows of a text
+    of CSV."""
+    from inkwell.parsers import textual
+
+    def run(contents: pd.Series, tries: pd.Series, texts: pd.Series) -> pd.DataFrame:
+        clean = lambda x: None if x is None else x.encode("utf-8", "replace").decode()
+        rows = []
+        for data, left, text in zip(contents, tries, texts, strict=True):
+            cells = None if text is None else textual.csv_rows(text)
+            if left is None or data is None:
+                rows.append((None, None, None, "unsupported", [], cells))
+            else:
+                markdown, title, *rest = convert_one(bytes(data), list(left), options, registry)
+                rows.append((clean(markdown), clean(title), *rest, cells))
+        return pd.DataFrame(rows, columns=[*RESULT[1:], "cells"])
 
-    kind = rows.schema["doc_id"].dataType.simpleString()
-    return rows.select("doc_id", "content", "info", "candidates").mapInArrow(run, f"doc_id {kind}, {PARSED}")
+    kind = f"markdown string, title string, converter string, status string, attempts {ATTEMPTS}, cells array<array<string>>"
+    return F.pandas_udf(run, kind).asNondeterministic()  # called once for each file: no later filter takes the call into itself
 
 
-def _plain() -> Column:
+def _plain(info: Column) -> Column:
     """Whether a file's bytes are its text as they stand: UTF-8 without a mark."""
-    own = F.lower(F.replace(F.trim(F.coalesce(F.col("info.charset"), F.lit("utf-8"))), F.lit("_"), F.lit("-")))
+    own = F.lower(F.replace(F.trim(F.coalesce(info["charset"], F.lit("utf-8"))), F.lit("_"), F.lit("-")))
     marked = F.hex(F.substring("content", 1, 3)).startswith("EFBBBF") | F.hex(F.substring("content", 1, 2)).isin("FFFE", "FEFF")
     return own.isin("utf-8", "utf8") & F.is_valid_utf8("content") & ~marked
 
 
-def _notebooks() -> Column:
-    """Whether a file is a notebook by its name and its text; others are left to the parser, which says what is wrong."""
-    named = F.lower(F.coalesce(F.col("info.extension"), F.lit(""))) == ".ipynb"
-    return F.coalesce(named & _plain() & T.notebook_cells(F.when(named, F.col("content").cast("string"))).isNotNull(), F.lit(False))
-
-
-def _by_expression(rows: DataFrame) -> DataFrame:
-    """Results of texts, tables of values and notebooks, which cannot fail: decoded and laid out by expressions; Arrow
-    functions see only bytes that aren't UTF-8, and the fields of CSV files."""
-    rows = rows.select("doc_id", F.get("candidates", F.lit(0)).alias("converter"), F.when(_plain(), F.col("content").cast("string")).alias("easy"), F.when(~_plain(), F.col("content")).alias("hard"), F.col("info.charset").alias("charset"))
-    rows = rows.select("doc_id", "converter", F.coalesce("easy", arrow.decode_text("hard", "charset")).alias("text"))
-    rows = rows.withColumn("cells", arrow.csv_rows(F.when(F.col("converter") == "csv", F.col("text"))))
-    rows = rows.withColumn("book", T.notebook_cells(F.when(F.col("converter") == "ipynb", F.col("text"))))
+def _direct(rows: DataFrame, options: Options, registry: Registry) -> DataFrame:
+    """Results of files whose converters need no other row, in one pass: contents are read once. UTF-8 texts, tables of
+    values and notebooks are laid out by expressions; only what else there is goes to Python, and the fields of CSV files."""
+    first = F.get("tries", F.lit(0))
+    simple = [k for k in EXPRESSIONS if k not in registry.converters] if options.providers.detect_charset is None else []
+    known = first["info"]["charset"].isNull() | F.lower(first["info"]["charset"]).isin(*C.CODECS)
+    named = (first["name"] != "ipynb") | (F.lower(F.coalesce(first["info"]["extension"], F.lit(""))) == ".ipynb")
+    rows = rows.withColumn("kind", F.when(first["name"].isin(*simple) & known & named, first["name"])).withColumn("first", first)
+    rows = rows.withColumn("text", F.when(F.col("kind").isNotNull() & _plain(F.col("first.info")), F.col("content").cast("string")))
+    rows = rows.withColumn("book", T.notebook_cells(F.when(F.col("kind") == "ipynb", F.col("text"))))
+    easy = F.col("text").isNotNull() & ((F.col("kind") != "ipynb") | F.col("book").isNotNull())
+    tries = F.col("tries")
+    if options.providers.detect_charset is None:  # charsets are told by patterns in the JVM, of what isn't plain only
+        says = lambda t: t["info"]["charset"].isNull() & (t["name"].isin("text", "csv") | F.coalesce(t["info"]["mimetype"].startswith("text/"), F.lit(False)))
+        rows = rows.withColumn("charset", F.when(~easy & F.exists("tries", says), T.charset_of(F.col("content"))))
+        tries = F.transform("tries", lambda t: F.when(says(t), t.withField("info.charset", F.col("charset"))).otherwise(t))
+    rows = rows.select("doc_id", F.when(easy, F.col("kind")).alias("kind"), F.when(easy, F.col("text")).alias("text"), "book", F.when(~easy, F.col("content")).alias("content"), F.when(~easy, tries).alias("tries"))
+    rows = rows.select("doc_id", "kind", "text", "book", _by_row(options, registry)("content", "tries", F.when(F.col("kind") == "csv", F.col("text"))).alias("p"))
+    rows = rows.select("doc_id", "kind", "text", "book", "p", F.col("p.cells").alias("cells"))
     table = F.transform("cells", lambda r: T.fit_row(r, F.size(F.get("cells", F.lit(0)))))
-    plain = lambda cells: F.concat(F.lit("| "), F.array_join(cells, " | "), F.lit(" |"))
-    lines = F.concat(F.array(plain(F.get(table, F.lit(0))), T.rule_row(F.size(F.get(table, F.lit(0))))), F.transform(F.slice(table, 2, F.greatest(F.size(table), F.lit(1))), plain))
-    markdown = F.when(F.col("converter") == "text", F.col("text")).when(F.col("converter") == "ipynb", T.notebook_markdown(F.col("book"))).when(F.size("cells") > 0, F.array_join(lines, "\n")).otherwise("")
-    title = F.when(F.col("converter") == "ipynb", T.notebook_title(F.col("text"), F.col("book")))
-    return rows.select("doc_id", markdown.alias("markdown"), title.alias("title"), "converter", F.lit("ok").alias("status"), F.array().cast(ATTEMPTS).alias("attempts"))
-
-
-def _by_parts(rows: DataFrame, options: Options, registry: Registry) -> DataFrame:
-    """Results of files with one candidate whose parts Spark puts together. The parts are written once and read by each
-    plan. Archives' entries are files of their own, converted row by row wherever they are."""
-    where = F.col("info")
-    name = F.coalesce(where["url"], where["local_path"], where["filename"], F.lit("archive.zip"))
-    found = written(packages.parts(rows.select("doc_id", "content", F.get("candidates", F.lit(0)).alias("kind"), name.alias("name"))), "parts")
-    kinds = {r.kind for r in found.select("kind").distinct().collect()}  # PACKAGES at most
-    plans = {"pdf": lambda: packages.pdfs(found), "epub": lambda: packages.books(found, options.keep_data_uris), "xlsx": lambda: packages.workbooks(found), "pptx": lambda: packages.decks(found)}
-    plans["zip"] = lambda: packages.archives(found, _by_row(routed(packages.archive_entries(found), registry), options, registry, 1))
-    done = found.select("key", F.lit(None).cast("string").alias("markdown"), F.lit(None).cast("string").alias("title"), "error_class", "message").limit(0)
-    for kind in sorted(kinds):
+    line = lambda cells: F.concat(F.lit("| "), F.array_join(cells, " | "), F.lit(" |"))
+    lines = F.concat(F.array(line(F.get(table, F.lit(0))), T.rule_row(F.size(F.get(table, F.lit(0))))), F.transform(F.slice(table, 2, F.greatest(F.size(table), F.lit(1))), line))
+    kind, own = F.col("kind"), F.col("kind").isNotNull()
+    markdown = F.when(kind == "text", F.col("text")).when(kind == "ipynb", T.notebook_markdown(F.col("book"))).when(F.size("cells") > 0, F.array_join(lines, "\n")).when(own, "").otherwise(F.col("p.markdown"))
+    title = F.when(kind == "ipynb", T.notebook_title(F.col("text"), F.col("book"))).when(~own | kind.isNull(), F.col("p.title"))
+    attempts = F.when(own, F.array().cast(ATTEMPTS)).otherwise(F.col("p.attempts"))
+    return rows.select("doc_id", markdown.alias("markdown"), title.alias("title"), F.coalesce("kind", "p.converter").alias("converter"), F.when(own, "ok").otherwise(F.col("p.status")).alias("status"), attempts.alias("attempts"))
+
+
+def _put_together(found: DataFrame, kinds: set[str], options: Options, registry: Registry, depth: int, used: list[DataFrame]) -> DataFrame:
+    """(key, markdown, title, error_class, message) of the files in a table of parts."""
+    given = options.providers
+    plans = {
+        "pdf": lambda: packages.pdfs(found),
+        "epub": lambda: packages.books(found, options.keep_data_uris),
+        "xlsx": lambda: packages.workbooks(found, used),
+        "pptx": lambda: packages.decks(found, options.keep_data_uris, given.caption),
+        "zip": lambda: packages.archives(found, _results(packages.archive_entries(found), options, registry, depth + 1)),
+    }
+    done = packages.converted(found)
+    for kind in sorted(kinds & set(PACKAGES)):
         done = done.unionByName(plans[kind]())
-    attempt = F.array(F.struct(F.col("kind").alias("converter"), F.col("error_class"), F.col("message")))
-    ok = F.col("error_class").isNull()
-    out = found.where("page = -1").select("doc_id", "key", "kind").join(done, "key", "left")
-    return out.select("doc_id", "markdown", "title", F.when(ok, F.col("kind")).alias("converter"), F.when(ok, "ok").otherwise("failed").alias("status"), F.when(ok, F.array().cast(ATTEMPTS)).otherwise(attempt.cast(ATTEMPTS)).alias("attempts"))
+    return done
+
+
+def _rounds(rows: DataFrame, options: Options, registry: Registry, depth: int) -> DataFrame:
+    """Results of files that have a converter of PACKAGES among theirs.
+
+    Each round takes the next converter of every file that is left: one pass over their contents writes a table of parts,
+    plans put them together, and what failed and has converters left is the next round's, with the attempts it made. The
+    parts are deleted as soon as a round's results are written.
+    """
+
+    def convert(name: str, data: bytes, info: dict) -> tuple[str, str | None]:
+        return _try(name, data, info, options, registry)
+
+    left, done, before = rows.select("doc_id", "content", "tries", F.array().cast(ATTEMPTS).alias("attempts")), [], []
+    while True:
+        found = written(packages.parts(left, convert, depth), "parts")
+        deleted(*before)
+        heads = found.where("page = -1")
+        shapes = heads.select("kind", (F.size("tries") > 1).alias("more")).distinct().collect()  # as many as there are converters
+        used: list[DataFrame] = []
+        each = heads.select("key", "doc_id", "kind", F.get("tries", F.lit(0))["info"]["extension"].alias("extension"), "tries", "attempts")
+        out = each.join(_put_together(found, {r.kind for r in shapes}, options, registry, depth, used), "key", "left")
+        ok, last = F.col("markdown").isNotNull() & F.col("error_class").isNull(), F.size("tries") <= 1
+        silent = (F.col("error_class") == "NotThisFormat") & ~((F.col("kind") == "ipynb") & (F.lower(F.coalesce("extension", F.lit(""))) == ".ipynb"))
+        attempt = F.array(F.struct(F.col("kind").alias("converter"), F.coalesce("error_class", F.lit("ValueError")).alias("error_class"), F.coalesce("message", F.lit("nothing was found")).alias("message")))
+        attempts = F.when(ok | F.coalesce(silent, F.lit(False)), F.col("attempts")).otherwise(F.concat("attempts", attempt))
+        status = F.when(ok, "ok").when(~last, "open").when(F.size(attempts) > 0, "failed").otherwise("unsupported")
+        out = out.select("key", "doc_id", F.when(ok, F.col("markdown")).alias("markdown"), F.when(ok, F.col("title")).alias("title"), F.when(ok, F.col("kind")).alias("converter"), status.alias("status"), attempts.cast(ATTEMPTS).alias("attempts"))
+        out = written(out, "results", result=True)
+        done.append(out.where("status <> 'open'").select(*RESULT))
+        deleted(*used)
+        again = out.where("status = 'open'").select("key", F.col("attempts").alias("so_far"))
+        if not any(r.more for r in shapes) or again.isEmpty():
+            deleted(found)
+            return reduce(DataFrame.union, done)
+        left = heads.join(again, "key").select("doc_id", "content", F.slice("tries", F.lit(2), F.size("tries")).alias("tries"), F.col("so_far").alias("attempts"))
+        before = [found]
+
+
+def _results(files: DataFrame, options: Options, registry: Registry, depth: int = 0) -> DataFrame:
+    """Results of files (doc_id, content, info). Whether there are files for rounds is told by hints alone, without reading
+    contents; a classifier has to read them."""
+    # contents are made once, whatever makes them: an expression that isn't deterministic is not taken into later steps
+    rows = _tries(files.withColumn("content", F.when(F.spark_partition_id() >= 0, F.col("content"))), options, registry, depth)
+    spread = [k for k in PACKAGES if k not in registry.converters]
+    packed = F.exists("tries", lambda t: t["name"].isin(*spread))
+    if files.isStreaming or not spread:
+        return _direct(rows, options, registry)
+    if options.providers.classify is None or depth:
+        hints = files.select(F.col("info").alias("i"), F.lit(None).cast("binary").alias("content"))
+        may = reduce(Column.__or__, (routing.accepts(r, routing.enhanced(F.col("i")), F.col("content")) for r in registry.ordered() if r.name in spread))
+        if hints.where(may).isEmpty():
+            return _direct(rows, options, registry)
+    return _direct(rows.where(~packed), options, registry).union(_rounds(rows.where(packed), options, registry, depth))
 
 
 def told(attempts: Column) -> Column:
@@ -228,31 +286,13 @@ def told(attempts: Column) -> Column:
 def convert(files: DataFrame, options: Options | None = None, registry: Registry | None = None) -> DataFrame:
     """(doc_id, markdown, title, converter, status, attempts) of files (doc_id, content, info), a row for each row.
 
-    status: ok, failed (every route that took the file went wrong; `attempts` says how) or unsupported. A null content
-    is unsupported. Of a stream only what needs no other row is left to Spark: `convert_stream` converts batch by batch.
+    status: ok, failed (every converter that took the file went wrong; `attempts` says how) or unsupported. A null content
+    is unsupported. Where hints say that there are packages their rounds run in this call, and the results are read from a
+    written table until `shared.clear`; else nothing runs before the result is used. Of a stream only what needs no other
+    row is left to Spark: `convert_stream` converts batch by batch.
     """
     options, registry = options or Options(), registry or Registry()
-    rows, given = routed(files, registry), options.providers
-    first = F.when(F.col("content").isNotNull(), F.get("candidates", F.lit(0)))
-    alone = F.when(F.size("candidates") == 1, first)
-    spread = [k for k in PACKAGES if k not in registry.converters] if not files.isStreaming else []
-    if options.keep_data_uris or given.caption is not None:
-        spread = [k for k in spread if k != "pptx"]  # pictures are read with their slides
-    simple = [k for k in EXPRESSIONS if k not in registry.converters]
-    known = F.col("info.charset").isNull() | F.lower("info.charset").isin(*C.CODECS)
-    if given.analyze is not None or given.classify is not None or given.detect_charset is not None:
-        spread = simple = []
-    if spread:  # told by hints alone: contents are not read for it
-        may = [routing.accepts(r, F.col("info"), F.col("content")) for r in registry.ordered() if r.name in spread]
-        spread = [] if rows.where(reduce(Column.__or__, may)).isEmpty() else spread
-    is_spread, is_simple = F.coalesce(alone.isin(*spread), F.lit(False)), F.coalesce(first.isin(*simple) & known, F.lit(False))
-    if "ipynb" not in registry.converters and simple:
-        is_simple = is_simple | (F.coalesce(first == "ipynb", F.lit(False)) & _notebooks())
-    out = _by_row(rows.where(~is_spread & ~is_simple), options, registry)
-    if simple:
-        out = out.union(_by_expression(rows.where(is_simple)))
-    if spread:
-        out = out.union(_by_parts(rows.where(is_spread), options, registry))
+    out = _results(files, options, registry)
     if options.strict:
         ok = F.when(F.col("status") == "ok", F.col("status")).otherwise(F.raise_error(F.concat(F.lit("not converted: "), told(F.col("attempts")))))
         out = out.withColumn("status", ok)
@@ -262,5 +302,6 @@ def convert(files: DataFrame, options: Options | None = None, registry: Registry
 def pdf_words(files: DataFrame) -> DataFrame:
     """(doc_id, page, text, x0, x1, top, page_width) of PDF files (doc_id, content); `convert` reports those that can't be
     read."""
-    rows = files.withColumn("kind", F.lit("pdf")).withColumn("name", F.lit(None).cast("string"))
-    return packages.parts(rows).where("page >= 0").select("doc_id", "page", "text", "x0", "x1", "top", "page_width")
+    info = F.struct(*(F.lit(None).cast("string").alias(f) for f in routing.FIELDS))
+    rows = files.select("doc_id", "content", F.array(F.struct(F.lit("pdf").alias("name"), info.alias("info"))).alias("tries"), F.array().cast(ATTEMPTS).alias("attempts"))
+    return packages.parts(rows, lambda name, data, info: ("", None)).where("page >= 0").select("doc_id", "page", "text", "x0", "x1", "top", "page_width")

@@ -281,11 +281,11 @@ def src_xls(spark, sf_dir):
     return _converted(_files(read(spark, sf_dir, "supplier"), "s_suppkey", _sheet(writers.xls_bytes), ".xls", ["s_suppkey", "s_name"])).select("doc_id", "markdown", "converter")
 
 
-@query("""SELECT s_suppkey AS doc_id, '<!-- Slide number: 1 -->' || chr(10) || '# ' || s_name || chr(10) || 'body ' || s_suppkey || chr(10) || '| a | b |' || chr(10) || '| --- | --- |' || chr(10) || '| ' || s_suppkey || ' | 2 |' || chr(10) || chr(10) || '### Notes:' || chr(10) || 'note ' || s_suppkey || chr(10) || chr(10) || '<!-- Slide number: 2 -->' || chr(10) || chr(10) || '### Chart: Sales' || chr(10) || chr(10) || '| Category | Q |' || chr(10) || '| --- | --- |' || chr(10) || '| Jan | ' || s_suppkey || ' |' AS markdown FROM supplier""")
+@query("""SELECT s_suppkey AS doc_id, '<!-- Slide number: 1 -->' || chr(10) || '# ' || s_name || chr(10) || 'body ' || s_suppkey || chr(10) || '| a | b |' || chr(10) || '| --- | --- |' || chr(10) || '| ' || s_suppkey || ' | 2 |' || chr(10) || chr(10) || '### Notes:' || chr(10) || 'note ' || s_suppkey || chr(10) || chr(10) || '<!-- Slide number: 2 -->' || chr(10) || chr(10) || '### Chart: Harvest' || chr(10) || chr(10) || '| Category | Pears |' || chr(10) || '| --- | --- |' || chr(10) || '| North | ' || s_suppkey || ' |' AS markdown FROM supplier""")
 def src_pptx(spark, sf_dir):
     def build(k, n):
         tree = writers.shape(f"body {k}", None, 20) + writers.shape(n, "title", 10) + writers.slide_table([["a", "b"], [str(k), "2"]], 30)
-        return writers.pptx_bytes([tree, writers.slide_chart("rId9")], {1: f"note {k}"}, {2: writers.chart_xml("Sales", ["Jan"], {"Q": [k]})})
+        return writers.pptx_bytes([tree, writers.slide_chart("rId9")], {1: f"note {k}"}, {2: writers.chart_xml("Harvest", ["North"], {"Pears": [k]})})
 
     return _converted(_files(read(spark, sf_dir, "supplier"), "s_suppkey", build, ".pptx", ["s_suppkey", "s_name"])).select("doc_id", "markdown")
 
@@ -311,18 +311,23 @@ _PDF = [(50.0, 100.0, "Item"), (200.0, 100.0, "Qty"), (350.0, 100.0, "Price")]
 
 
 @query("""SELECT s_suppkey AS doc_id, 'Head  Right' || chr(10) || '| Item | Qty    | Price |' || chr(10) || '| ---- | ------ | ----- |' || chr(10) || '| Bolt | K' || lpad(CAST(s_suppkey AS VARCHAR), 5, '0') || ' | 10.5  |' || chr(10) || '| Nut  | 8      | 2.25  |' || chr(10) || chr(10) || 'plain page ' || s_suppkey || chr(10) || '.1 joined' AS markdown, 'pdf' AS converter, 'ok' AS status FROM supplier
-UNION ALL SELECT -s_suppkey - 1, NULL, NULL, 'failed' FROM supplier UNION ALL SELECT -s_suppkey - 1000000, '', 'pdf', 'ok' FROM supplier""")
+UNION ALL SELECT -s_suppkey - 1, NULL, NULL, 'failed' FROM supplier UNION ALL SELECT -s_suppkey - 1000000, '', 'pdf', 'ok' FROM supplier
+UNION ALL SELECT -s_suppkey - 2000000, '| Item                | Qty | Price |' || chr(10) || '| ------------------- | --- | ----- |' || chr(10) || '| Long item no ' || lpad(CAST(s_suppkey AS VARCHAR), 6, '0') || ' | 9   | 10.5  |' || chr(10) || '| Nut                 | 8   | 2.25  |' || chr(10) || '.1 9  3.25', 'pdf', 'ok' FROM supplier""")
 def src_pdf(spark, sf_dir):
-    """Forms, lines, a blank file and one that can't be read: each file has a row."""
+    """Forms, lines, a blank file and one that can't be read: each file has a row. Wide cells that run up to the next column
+    are rows of their table by their words, and a line that starts with a part of a number is none."""
 
     def build(k):
+        if k <= -2000000:
+            wide = [(50, 120, "Long"), (90, 120, "item"), (130, 120, "no"), (150, 120, f"{-k - 2000000:06d}"), (200, 120, "9"), (350, 120, "10.5"), (50, 140, "Nut"), (200, 140, "8"), (350, 140, "2.25")]
+            return writers.pdf_bytes([[*_PDF, *wide, (50, 160, ".1"), (70, 160, "9"), (350, 160, "3.25")]])
         if k < 0:
             return b"not a PDF" if k > -1000000 else writers.pdf_bytes([[]])
         table = [(60, 90, "Head"), (260, 90, "Right"), *_PDF, (50, 120, "Bolt"), (200, 120, f"K{k:05d}"), (350, 120, "10.5"), (50, 140, "Nut"), (200, 140, "8"), (350, 140, "2.25")]
         return writers.pdf_bytes([table, [(50, 100, f"plain page {k}"), (50, 120, ".1"), (50, 140, "joined")]])
 
     s = read(spark, sf_dir, "supplier").select("s_suppkey")
-    rows = s.union(s.select(-F.col("s_suppkey") - 1)).union(s.select(-F.col("s_suppkey") - 1000000))
+    rows = s.union(s.select(-F.col("s_suppkey") - 1)).union(s.select(-F.col("s_suppkey") - 1000000)).union(s.select(-F.col("s_suppkey") - 2000000))
     return _converted(_files(rows, "s_suppkey", build, ".pdf", ["s_suppkey"])).select("doc_id", "markdown", "converter", "status")
 
 
@@ -387,12 +392,16 @@ def src_response(spark, sf_dir):
     return files.from_responses(p, "page_id", "u", "heads", "html").select("doc_id", "info.mimetype", "info.charset", "info.filename", "info.extension")
 
 
-@query("""SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN 'naïve ' WHEN 1 THEN 'あいう ' WHEN 2 THEN '你好世界 ' ELSE '한국어 ' END || doc_id AS markdown FROM documents""")
+@query("""SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN 'utf-8' WHEN 1 THEN 'shift_jis' WHEN 2 THEN 'gb18030' ELSE 'latin1' END AS charset,
+CASE doc_id % 4 WHEN 0 THEN 'naïve ' WHEN 1 THEN 'あいう ' WHEN 2 THEN '你好世界 ' ELSE 'café ' END AS said, regexp_replace(text, '[^\\x00-\\x7F]', '?', 'g') AS markdown FROM documents""")
 def det_charset(spark, sf_dir):
-    said = [("naïve ", "utf-8"), ("あいう ", "cp932"), ("你好世界 ", "gb18030"), ("한국어 ", "utf-8")]
-    head = F.element_at(F.array(*(F.lit(t.encode(c)) for t, c in said)), (F.col("doc_id") % 4 + 1).cast("int"))
-    d = read(spark, sf_dir, "documents").withColumn("b", F.concat(head, F.col("doc_id").cast("string").cast("binary")))
-    return _converted(files.from_table(d, "doc_id", "b", files.info(extension=F.lit(".txt")))).select("doc_id", "markdown")
+    """Whole texts with a word in another charset behind them: the charset is told by the whole value."""
+    said = [("naïve ", "utf-8"), ("あいう ", "cp932"), ("你好世界 ", "gb18030"), ("café ", "latin1")]
+    tail = F.element_at(F.array(*(F.lit(t.encode(c)) for t, c in said)), (F.col("doc_id") % 4 + 1).cast("int"))
+    plain = F.regexp_replace("text", r"[^\x00-\x7F]", "?")
+    d = read(spark, sf_dir, "documents").withColumn("plain", plain).withColumn("b", F.concat(F.col("plain").cast("binary"), F.lit(b"\n"), tail))
+    d = d.withColumn("charset", T.charset_of(F.col("b"))).select("doc_id", "charset", F.length("plain").alias("n"), arrow.decode_text("b", "charset").alias("text"))
+    return d.select("doc_id", "charset", F.substr("text", F.col("n") + 2).alias("said"), F.substr("text", F.lit(1), F.col("n")).alias("markdown"))
 
 
 # Layout, joins and cloud routing.
@@ -519,7 +528,7 @@ def src_audio(spark, sf_dir):
 def dec_text(spark, sf_dir):
     head = F.when(F.col("doc_id") % 2 == 0, F.lit("你好世界".encode("gbk"))).otherwise(F.lit("é".encode()))
     d = read(spark, sf_dir, "documents").select("doc_id", F.concat(head, F.col("doc_id").cast("string").cast("binary")).alias("b"))
-    d = d.withColumn("charset", arrow.detect_charset("b"))
+    d = d.withColumn("charset", T.charset_of(F.col("b")))
     return d.select("doc_id", "charset", arrow.decode_text("b", "charset").alias("text"))
 
 

@@ -10,14 +10,19 @@ from inkwell.operators.routing import Registry, Route
 from inkwell.parsers import charset as C
 from inkwell.parsers import compound, html, office, omml, package, pdf, sheets, textual
 from inkwell.parsers.xmltree import parse_xml
-from inkwell.plans.convert import Options, convert_one, normalize_here
+from inkwell.api import convert_file
+from inkwell.plans.convert import Options
 
 REGISTRY = Registry()
 
 
+@pytest.fixture(autouse=True)
+def _session(spark):
+    """Single files are tables of one row: they need a session."""
+
+
 def run(data, options=None, registry=REGISTRY, **info):
-    markdown, *rest = convert_one(data, info, None, options or Options(), registry)
-    return (markdown if markdown is None else normalize_here(markdown), *rest)
+    return tuple(convert_file(data, info, options, registry))[1:]
 
 
 @pytest.mark.parametrize(
@@ -108,7 +113,8 @@ def test_archives_and_books():
     assert out[0].startswith("Content from the zip file `all.zip`:\n\n## File: A.csv\n\n| x | y |") and "broken" not in out[0] and "deep" in out[0]
     book = W.epub_bytes({"title": "T", "creator": "A", "language": "en"}, ["<h1>One</h1><p>x</p>", "<p>two</p>"])
     assert run(book, extension=".epub")[:2] == ("**Title:** T\n**Authors:** A\n**Language:** en\n\n# One\n\nx\n\ntwo", "T")
-    assert [n for n, _ in package.entries(W.zip_bytes({"b": "", "A": "", "a": "", "_": ""}))] == ["_", "a", "A", "b"]
+    assert [x for x in run(W.zip_bytes({"b.txt": "1", "A.txt": "2", "a.txt": "3", "_.txt": "4"}), extension=".zip")[0].split("\n") if x.startswith("##")] == [f"## File: {n}.txt" for n in "_aAb"]
+    assert [n for n, _ in package.each(W.zip_bytes({"b": "", "A": ""}))] == ["b", "A"]
 
 
 def test_workbooks():
@@ -122,10 +128,10 @@ def test_workbooks():
 
 def test_slides():
     slides = [W.shape("Body\nline", None, 200) + W.shape("Head", "title", 100) + W.slide_table([["a", "b"], ["", ""], ["1", "2"]], 300), W.slide_chart("rId9")]
-    data = W.pptx_bytes(slides, {1: "said"}, {2: W.chart_xml("Sales", ["Jan", "Feb"], {"Q1": [10, 20], "Q2": [1]})})
+    data = W.pptx_bytes(slides, {1: "said"}, {2: W.chart_xml("Harvest", ["North", "South"], {"Pears": [31, 42], "Plums": [5]})})
     assert run(data, extension=".pptx")[0] == (
         "<!-- Slide number: 1 -->\n# Head\nBody\nline\n| a | b |\n| --- | --- |\n| 1 | 2 |\n\n### Notes:\nsaid\n\n"
-        "<!-- Slide number: 2 -->\n\n### Chart: Sales\n\n| Category | Q1 | Q2 |\n| --- | --- | --- |\n| Jan | 10 | 1 |\n| Feb | 20 |  |"
+        "<!-- Slide number: 2 -->\n\n### Chart: Harvest\n\n| Category | Pears | Plums |\n| --- | --- | --- |\n| North | 31 | 5 |\n| South | 42 |  |"
     )
 
 

@@ -5,8 +5,7 @@ import random
 import pytest
 
 from inkwell import queries
-from inkwell.parsers import pdf
-from inkwell.plans.convert import Options, Registry, convert_one
+from inkwell.parsers import charset, pdf
 
 
 def test_data_uris_carry_whole_texts(spark, tmp_path):
@@ -31,5 +30,10 @@ def test_pdf_stream_over_the_limit_fails(monkeypatch):
     monkeypatch.setattr(pdf, "LIMIT", 2000)
     with pytest.raises(ValueError, match="more than 2000 bytes"):
         pdf.words(data)
-    out = convert_one(data, {"extension": ".pdf"}, None, Options(), Registry())
-    assert out[3] == "failed" and out[4][0]["converter"] == "pdf"
+
+
+def test_charsets_are_told_by_whole_values():
+    """A character beyond the first thousands of bytes counts."""
+    for text, codec, name in (("你好世界" * 40, "gbk", "gb18030"), ("あいうえお" * 40, "cp932", "shift_jis"), ("naïve", "utf-8", "utf-8")):
+        data = b"a" * 5000 + text.encode(codec)
+        assert charset.detect(data) == name and charset.decode(data) == "a" * 5000 + text
