@@ -216,6 +216,39 @@ def json_first(text: Column) -> Column:
     return F.get(F.map_values(F.from_json(text, "map<string,string>")), F.lit(0))
 
 
+def json_find(text: Column, key: str) -> Column:
+    """The first value of a key at any depth of a JSON text that isn't null, in document order, as JSON without white space
+    between its tokens; null if there is none. An object whose own key is null is not searched behind it.
+
+    The text is cut into tokens and folded twice with a state of a few numbers: once to where the value starts, once to
+    where it ends. Objects keep the order in which they are written.
+    """
+    tokens = F.regexp_extract_all(text, F.lit(r'"(?:[^"\\]++|\\.)*+"|[{}\[\]:,]|[^\s{}\[\]:,"]++'), F.lit(0))
+    named = F.lit('"' + key.replace("\\", "\\\\").replace('"', '\\"') + '"')
+
+    def first(all_: Column) -> Column:
+        def step(s: Column, t: Column) -> Column:
+            depth = s["depth"] + F.when(t.isin("{", "["), 1).when(t.isin("}", "]"), -1).otherwise(0)
+            shut = F.when(depth < s["shut"], F.lit(1 << 30)).otherwise(s["shut"])  # the object without a value has ended
+            hit = (s["at"] < 0) & (depth < shut) & (t == named) & (F.get(all_, s["i"] + 1) == ":")
+            none = F.get(all_, s["i"] + 2) == "null"
+            return F.struct((s["i"] + 1).alias("i"), depth.alias("depth"), F.when(hit & none, depth).otherwise(shut).alias("shut"), F.when(hit & ~none, s["i"] + 2).otherwise(s["at"]).alias("at"))
+
+        start = F.struct(F.lit(0).alias("i"), F.lit(0).alias("depth"), F.lit(1 << 30).alias("shut"), F.lit(-1).alias("at"))
+        return F.aggregate(all_, start, step, lambda s: s["at"])
+
+    def value(all_: Column, at: Column) -> Column:
+        def step(s: Column, t: Column) -> Column:
+            depth = s["depth"] + F.when(s["i"] < at, 0).when(t.isin("{", "["), 1).when(t.isin("}", "]"), -1).otherwise(0)
+            return F.struct((s["i"] + 1).alias("i"), depth.alias("depth"), F.when((s["end"] < 0) & (s["i"] >= at) & (depth == 0), s["i"] + 1).otherwise(s["end"]).alias("end"))
+
+        end = F.aggregate(all_, F.struct(F.lit(0).alias("i"), F.lit(0).alias("depth"), F.lit(-1).alias("end")), step, lambda s: s["end"])
+        return F.array_join(F.slice(all_, at + 1, F.greatest(end - at, F.lit(0))), "")
+
+    once = lambda v, f: F.get(F.transform(F.array(v), f), F.lit(0))
+    return once(tokens, lambda all_: once(first(all_), lambda at: F.when(at >= 0, value(all_, at))))
+
+
 def version_at_least(version: Column, least: tuple[int, ...]) -> Column:
     """Whether a dotted version is at least another one, part by part as numbers; missing parts count as 0."""
     parts = F.transform(F.split(version, r"\."), lambda p: F.coalesce(p.try_cast("int"), F.lit(0)))

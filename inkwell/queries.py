@@ -591,6 +591,18 @@ def json_first(spark, sf_dir):
     return read(spark, sf_dir, "events").select("event_id", T.json_first(F.col("props")).alias("first_value"))
 
 
+@query("""SELECT doc_id, CASE WHEN doc_id % 3 > 0 THEN text END AS value, CASE WHEN doc_id % 3 = 2 THEN '{"in":[' || doc_id || ',{"x":true}]}' END AS object FROM documents""")
+def json_find_key(spark, sf_dir):
+    """The first value of a key at any depth: whole texts three levels down, behind a null of the same key, whose object is
+    not searched further; a whole object as well."""
+    d = read(spark, sf_dir, "documents").withColumn("t", F.to_json(F.struct(F.col("text").alias("k")))).withColumn("i", F.col("doc_id").cast("string"))
+    tail = F.when(F.col("doc_id") % 3 == 2, F.concat(F.lit(', "o" : { "in" : [ '), "i", F.lit(' , {"x" : true} ] }'))).otherwise("")
+    deep = F.when(F.col("doc_id") % 3 == 0, F.replace("t", F.lit('{"k":'), F.lit('{"K":'))).otherwise(F.col("t"))
+    d = d.withColumn("j", F.concat(F.lit('{"a": "k", "b": ["k", ":", {"k": null, "z": {"k": "no", "o": 1}}, {"d": [[], {"e": '), deep, F.lit("}]}]"), tail, F.lit("}")))
+    found = d.select("doc_id", T.json_find(F.col("j"), "k").alias("v"), F.when(F.col("doc_id") % 3 == 2, T.json_find(F.replace("j", F.lit('"o": 1'), F.lit('"p": 1')), "o")).alias("object"))
+    return found.select("doc_id", F.try_variant_get(F.try_parse_json("v"), "$", "string").alias("value"), "object")
+
+
 @query("""SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN 'text/csv .csv' WHEN 1 THEN 'text/html .html|application/pdf .pdf' WHEN 2 THEN 'text/plain .txt' ELSE 'application/pdf .pdf' END AS guesses FROM documents""")
 def det_guesses(spark, sf_dir):
     k = F.col("doc_id") % 4
