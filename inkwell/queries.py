@@ -188,17 +188,21 @@ def fn_url_parts(spark, sf_dir):
     return p.select("page_id", F.parse_url("url", F.lit("HOST")).alias("host"), T.query_value(F.col("u"), "q").alias("q"))
 
 
-@query("""SELECT doc_id, doc_id % 3 = 0 AS ole FROM documents""")
+@query("""SELECT doc_id, doc_id % 3 = 0 OR (doc_id % 3 = 1 AND octet_length(encode(text)) >= 4) AS ole FROM documents""")
 def fn_ole_magic(spark, sf_dir):
     head = F.element_at(F.array(F.lit(bytes.fromhex("D0CF11E0A1B11AE1")), F.lit(bytes.fromhex("D0CF11E0")), F.lit(b"PK\x03\x04    ")), (F.col("doc_id") % 3 + 1).cast("int"))
-    return read(spark, sf_dir, "documents").select("doc_id", T.has_ole_magic(head).alias("ole"))
+    return read(spark, sf_dir, "documents").select("doc_id", T.has_ole_magic(F.concat(head, F.col("text").cast("binary"))).alias("ole"))
 
 
-@query("""SELECT doc_id, '.' || doc_id || ' next' || chr(10) || 'after' AS text FROM documents""")
+@query("""SELECT doc_id, string_agg(CASE WHEN i % 3 = 1 AND trim(x) <> '' THEN '.' || i || ' ' || trim(x) ELSE x END, chr(10) ORDER BY i) AS text FROM (
+SELECT doc_id, unnest(list_transform(string_split(text, chr(10)), lambda x, i: {'x': x, 'i': i}), recursive := true) FROM documents) GROUP BY doc_id""")
 def win_partial_merge(spark, sf_dir):
-    d = read(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.array(F.concat(F.lit("."), F.col("doc_id").cast("string")), F.lit(""), F.lit("next"), F.lit("after"))).alias("n", "line"))
-    out = layout.partial_numbers_joined(d)
-    return out.groupBy("doc_id").agg(F.expr("listagg(line, '\n') WITHIN GROUP (ORDER BY n)").alias("text"))
+    """The lines of whole texts, every third of them behind a part of a number and a blank line."""
+    lines = read(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("i", "x"))
+    marked = F.array(F.concat(F.lit("."), (F.col("i") + 1).cast("string")), F.lit(""), F.col("x"))
+    d = lines.select("doc_id", "i", F.posexplode(F.when((F.col("i") % 3 == 0) & (F.trim("x") != ""), marked).otherwise(F.array("x"))).alias("k", "line"))
+    out = layout.partial_numbers_joined(d.select("doc_id", (F.col("i") * 3 + F.col("k")).alias("n"), "line"))
+    return out.groupBy("doc_id").agg(ordered.in_order("line", "n", sep="\n").alias("text"))
 
 
 # Conversions. The files are written from rows of the tables, converted, and compared with what SQL says of those rows.
@@ -233,10 +237,12 @@ def src_csv(spark, sf_dir):
     return _converted(_files(read(spark, sf_dir, "customer"), "c_custkey", build, ".csv", ["c_custkey", "c_name", "c_mktsegment"])).select("doc_id", "markdown", "converter")
 
 
-@query("""SELECT conv_id AS doc_id, '# Talk ' || conv_id || chr(10) || chr(10) || string_agg(CASE WHEN role = 'user' THEN text ELSE '```python' || chr(10) || text || chr(10) || '```' END, chr(10) || chr(10) ORDER BY turn) AS markdown,
-'Talk ' || conv_id AS title, 'ipynb' AS converter FROM (SELECT conv_id, turn, role, 'turn ' || turn || ' of ' || conv_id AS text FROM conversations) GROUP BY conv_id""")
+@query("""SELECT doc_id, regexp_replace(regexp_replace(markdown, '(?m)[ \\t]+$', '', 'g'), '\\n{3,}', chr(10) || chr(10), 'g') AS markdown, 'Talk ' || doc_id AS title, 'ipynb' AS converter FROM (
+SELECT conv_id AS doc_id, '# Talk ' || conv_id || chr(10) || chr(10) || string_agg(CASE WHEN role = 'user' THEN text ELSE '```python' || chr(10) || text || chr(10) || '```' END, chr(10) || chr(10) ORDER BY turn) AS markdown
+FROM conversations GROUP BY conv_id)""")
 def src_ipynb(spark, sf_dir):
-    cell = F.struct(F.when(F.col("role") == "user", "markdown").otherwise("code").alias("cell_type"), F.array(F.concat(F.lit("turn "), F.col("turn").cast("string"), F.lit(" of "), F.col("conv_id").cast("string"))).alias("source"))
+    """Whole conversations as notebooks: what users say as Markdown, answers as code."""
+    cell = F.struct(F.when(F.col("role") == "user", "markdown").otherwise("code").alias("cell_type"), F.array("text").alias("source"))
     first = F.struct(F.lit("markdown").alias("cell_type"), F.array(F.concat(F.lit("# Talk "), F.col("conv_id").cast("string"))).alias("source"))
     c = read(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", cell.alias("c")))).alias("cs"))
     book = F.struct(F.lit(4).alias("nbformat"), F.lit(5).alias("nbformat_minor"), F.concat(F.array(first), F.transform("cs", lambda x: x["c"])).alias("cells"))
@@ -524,10 +530,12 @@ def src_audio(spark, sf_dir):
 # Arrow functions and orders.
 
 
-@query("""SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN 'gb18030' ELSE 'utf-8' END AS charset, CASE WHEN doc_id % 2 = 0 THEN '你好世界' ELSE 'é' END || doc_id AS text FROM documents""")
+@query("""SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN 'gb18030' ELSE 'utf-8' END AS charset, CASE WHEN doc_id % 2 = 0 THEN regexp_replace(text, '[^\\x00-\\x7F]', '?', 'g') || '你好世界' ELSE text || 'é' END AS text FROM documents""")
 def dec_text(spark, sf_dir):
-    head = F.when(F.col("doc_id") % 2 == 0, F.lit("你好世界".encode("gbk"))).otherwise(F.lit("é".encode()))
-    d = read(spark, sf_dir, "documents").select("doc_id", F.concat(head, F.col("doc_id").cast("string").cast("binary")).alias("b"))
+    """Whole texts, in UTF-8 or with characters of another charset at their end."""
+    even = F.col("doc_id") % 2 == 0
+    other = F.concat(F.regexp_replace("text", r"[^\x00-\x7F]", "?").cast("binary"), F.lit("你好世界".encode("gbk")))
+    d = read(spark, sf_dir, "documents").select("doc_id", F.when(even, other).otherwise(F.concat(F.col("text").cast("binary"), F.lit("é".encode()))).alias("b"))
     d = d.withColumn("charset", T.charset_of(F.col("b")))
     return d.select("doc_id", "charset", arrow.decode_text("b", "charset").alias("text"))
 
@@ -569,10 +577,11 @@ def limit_first(spark, sf_dir):
     return first.select("doc_id", F.col("f.l_linenumber").alias("first_line"), F.col("f.l_suppkey").alias("supplier"))
 
 
-@query("""SELECT page_id AS doc_id, len(regexp_extract_all(html, '<a href="([^"]*)"')) AS n_links FROM pages""")
+@query("""SELECT page_id AS doc_id, CAST(unnest(range(1, len(h) + 1)) AS INTEGER) AS nth, unnest(h) AS href FROM (SELECT page_id, regexp_extract_all(html, '<a href="([^"]*)"', 1) AS h FROM pages)""")
 def html_links(spark, sf_dir):
-    p = read(spark, sf_dir, "pages").select(F.col("page_id").alias("doc_id"), F.posexplode_outer(T.quoted_links(F.col("html"))).alias("elem_no", "href"))
-    return p.groupBy("doc_id").agg(F.count("href").alias("n_links"))
+    """The addresses of a page's anchors, in order."""
+    p = read(spark, sf_dir, "pages").select(F.col("page_id").alias("doc_id"), F.posexplode(T.quoted_links(F.col("html"))).alias("n", "href"))
+    return p.select("doc_id", (F.col("n") + 1).alias("nth"), "href")
 
 
 @query("""SELECT user_id, event_type AS col, coalesce(bool_and(regexp_matches(v, '^-?\\d+(\\.\\d+)?$')) FILTER (WHERE v <> 'NaN'), false) AND (bool_or(v <> 'NaN' AND regexp_matches(v, '\\.\\d*[1-9]')) OR bool_or(v = 'NaN')) AS decimal
