@@ -31,25 +31,19 @@ def alphabetical(path: Column) -> Column:
     return F.collate(path, "UNICODE")
 
 
-def chart_rows(names: Column, *values: Column) -> Column:
+def chart_rows(names: Column, series: Column) -> Column:
     """Rows of a chart's categories and its series' values, which meet by ordinal: a missing category is its number, a
     missing value empty."""
-    series = F.array(*values)
+    at = lambda a, i: F.get(a, i.cast("int"))
+    row = lambda i: F.concat(F.array(F.coalesce(at(names, i), (i + 1).cast("string"))), F.transform(series, lambda v: F.coalesce(at(v, i), F.lit(""))))
     n = F.aggregate(series, F.size(names), lambda a, v: F.greatest(a, F.size(v)))
-    return F.when(n > 0, F.transform(F.sequence(F.lit(0), n - 1), lambda i: _chart_row(names, series, i))).otherwise(F.array().cast("array<array<string>>"))
-
-
-def _chart_row(names: Column, series: Column, i: Column) -> Column:
-    at = lambda a: F.get(a, i.cast("int"))
-    return F.concat(F.array(F.coalesce(at(names), (i + 1).cast("string"))), F.transform(series, lambda v: F.coalesce(at(v), F.lit(""))))
+    return F.when(n > 0, F.transform(F.sequence(F.lit(0), n - 1), row)).otherwise(F.array().cast("array<array<string>>"))
 
 
 def chart_table(title: Column, names: Column, labels: Column, columns: Column) -> Column:
     """A chart's cached series as a headed Markdown table."""
-    n = F.aggregate(columns, F.size(labels), lambda a, v: F.greatest(a, F.size(v)))
-    rows = F.when(n > 0, F.transform(F.sequence(F.lit(0), n - 1), lambda i: _chart_row(labels, columns, i))).otherwise(F.array().cast("array<array<string>>"))
     head = F.concat(F.lit("\n\n### Chart"), F.when(title != "", F.concat(F.lit(": "), title)).otherwise(""), F.lit("\n\n"))
-    return F.concat(head, T.markdown_table(F.concat(F.array(F.concat(F.array(F.lit("Category")), names)), rows)), F.lit("\n"))
+    return F.concat(head, T.markdown_table(F.concat(F.array(F.concat(F.array(F.lit("Category")), names)), chart_rows(labels, columns))), F.lit("\n"))
 
 
 def first_headings(shapes: DataFrame, by: list[str]) -> DataFrame:

@@ -488,7 +488,7 @@ def join_chart_points(spark, sf_dir):
     """Categories and values meet by ordinal; a missing category is its number, a missing value empty."""
     c = read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("doc_id"), (F.col("c_custkey") % 4).cast("int").alias("n"))
     values = F.transform(F.slice(F.array(*map(F.lit, (1, 2, 3))), F.lit(1), F.col("n")), lambda i: (i * 10).cast("string"))
-    rows = package.chart_rows(F.array(F.lit("1"), F.lit(None).cast("string"), F.lit("3")), values)
+    rows = package.chart_rows(F.array(F.lit("1"), F.lit(None).cast("string"), F.lit("3")), F.array(values))
     shown = F.transform(rows, lambda r: F.array_join(r, " | "))
     return c.select("doc_id", F.concat(F.lit("Category | A\n"), F.array_join(shown, "\n")).alias("rows"))
 
@@ -580,8 +580,8 @@ def limit_first(spark, sf_dir):
 @query("""SELECT page_id AS doc_id, CAST(unnest(range(1, len(h) + 1)) AS INTEGER) AS nth, unnest(h) AS href FROM (SELECT page_id, regexp_extract_all(html, '<a href="([^"]*)"', 1) AS h FROM pages)""")
 def html_links(spark, sf_dir):
     """The addresses of a page's anchors, in order."""
-    p = read(spark, sf_dir, "pages").select(F.col("page_id").alias("doc_id"), F.posexplode(T.quoted_links(F.col("html"))).alias("n", "href"))
-    return p.select("doc_id", (F.col("n") + 1).alias("nth"), "href")
+    found = elements.links(elements.elements(_pages(spark, sf_dir), ["a"]))
+    return found.select("doc_id", F.row_number().over(W.partitionBy("doc_id").orderBy("elem_no")).alias("nth"), "href")
 
 
 @query("""SELECT user_id, event_type AS col, coalesce(bool_and(regexp_matches(v, '^-?\\d+(\\.\\d+)?$')) FILTER (WHERE v <> 'NaN'), false) AND (bool_or(v <> 'NaN' AND regexp_matches(v, '\\.\\d*[1-9]')) OR bool_or(v = 'NaN')) AS decimal
