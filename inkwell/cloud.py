@@ -146,27 +146,34 @@ def result_markdown(result: dict) -> str:
 def markdown_of(result: Column) -> Column:
     """`result_markdown` of JSON texts as an expression: fields as YAML front matter, later ones winning in the place of the
     first, then the texts with their pages."""
-    at = lambda path: F.get_json_object(result, path)
-    kind = "map<string,variant>"
-    items = F.coalesce(F.from_json(at("$.contents"), "array<string>"), F.array().cast("array<string>"))
+    once = lambda value, f: F.get(F.transform(F.array(value), f), F.lit(0))  # noqa: E731  computed once, however often f names it
     of = lambda text, path: F.get_json_object(text, path)
-    maps = F.concat(F.array(at("$.fields"), at("$.analyzeResult.fields")), F.transform(items, lambda c: of(c, "$.fields")))
-    entries = F.flatten(F.transform(maps, lambda m: F.map_entries(F.from_json(F.coalesce(m, F.lit("{}")), kind))))
-    names = F.array_distinct(F.transform(entries, lambda e: e["key"]))
 
-    def line(name: Column) -> Column:
+    def line(name: Column, entries: Column) -> Column:
         """`value` if the field has one, else `content`, else the field itself; texts in quotes, others as JSON."""
         field = F.element_at(F.filter(entries, lambda e: e["key"] == name), -1)["value"]
-        flat = F.coalesce(F.try_variant_get(field, "$.value", "variant"), F.try_variant_get(field, "$.content", "variant"), field)
-        quoted = F.concat(F.lit('"'), F.replace(F.replace(flat.cast("string"), F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"')), F.lit('"'))
-        return F.concat(name, F.lit(": "), F.when(F.schema_of_variant(flat) == "STRING", quoted).otherwise(F.to_json(flat)))
-
-    front = F.when(F.size(names) > 0, F.concat(F.lit("---\n"), F.array_join(F.transform(names, line), "\n"), F.lit("\n---")))
-    paged = lambda c, k: F.when(F.trim(of(c, f"$.{k}")) != "", F.concat(F.coalesce(F.concat(F.lit("<!-- Page "), of(c, "$.pageNumber"), F.lit(" -->\n\n")), F.lit("")), F.trim(of(c, f"$.{k}"))))
-    whole = F.array(*(F.when(F.trim(at(p)) != "", F.trim(at(p))) for p in ("$.markdown", "$.content", "$.analyzeResult.content", "$.analyzeResult.markdown")))
-    texts = F.concat(whole, F.flatten(F.transform(items, lambda c: F.array(*(paged(c, k) for k in ("markdown", "text", "content"))))))
-    said = F.nullif(F.array_join(texts, "\n\n"), F.lit(""))
-    return F.coalesce(F.nullif(F.concat_ws("\n\n", front, said), F.lit("")), F.concat(F.lit("```yaml\n"), result, F.lit("\n```")))
+        flat = lambda v: F.coalesce(F.try_variant_get(v, "$.value", "variant"), F.try_variant_get(v, "$.content", "variant"), v)
+        quoted = lambda v: F.concat(F.lit('"'), F.replace(F.replace(v.cast("string"), F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"')), F.lit('"'))
+        shown = once(field, lambda v: once(flat(v), lambda x: F.when(F.schema_of_variant(x) == "STRING", quoted(x)).otherwise(F.to_json(x))))
+        return F.concat(name, F.lit(": "), shown)
+
+    def front(entries: Column) -> Column:
+        lines = F.transform(F.array_distinct(F.transform(entries, lambda e: e["key"])), lambda name: line(name, entries))
+        return F.when(F.size(entries) > 0, F.concat(F.lit("---\n"), F.array_join(lines, "\n"), F.lit("\n---")))
+
+    def whole(text: Column, items: Column) -> Column:
+        maps = F.filter(F.concat(F.array(of(text, "$.fields"), of(text, "$.analyzeResult.fields")), F.transform(items, lambda c: of(c, "$.fields"))), lambda m: m.isNotNull())
+        entries = F.flatten(F.filter(F.transform(maps, lambda m: F.map_entries(F.from_json(m, "map<string,variant>"))), lambda e: e.isNotNull()))
+        given = lambda t: F.when(t != "", t)
+        page = lambda c: F.coalesce(F.concat(F.lit("<!-- Page "), of(c, "$.pageNumber"), F.lit(" -->\n\n")), F.lit(""))
+        paged = lambda c, k: once(F.trim(of(c, f"$.{k}")), lambda t: F.when(t != "", F.concat(page(c), t)))
+        own = F.array(*(once(F.trim(of(text, p)), given) for p in ("$.markdown", "$.content", "$.analyzeResult.content", "$.analyzeResult.markdown")))
+        texts = F.concat(own, F.flatten(F.transform(items, lambda c: F.array(*(paged(c, k) for k in ("markdown", "text", "content"))))))
+        said = F.nullif(F.array_join(texts, "\n\n"), F.lit(""))
+        return F.coalesce(F.nullif(F.concat_ws("\n\n", once(entries, front), said), F.lit("")), F.concat(F.lit("```yaml\n"), text, F.lit("\n```")))
+
+    items = lambda text: F.coalesce(F.from_json(of(text, "$.contents"), "array<string>"), F.array().cast("array<string>"))
+    return once(result, lambda text: once(items(text), lambda i: whole(text, i)))
 
 
 #: A client sends (method, url, headers, body) and returns (status, headers, body); it is injected and must be picklable.
