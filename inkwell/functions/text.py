@@ -146,14 +146,30 @@ def capitalized(key: Column) -> Column:
     return F.concat(F.upper(F.substring(key, 1, 1)), F.substr(key, F.lit(2)))
 
 
+def once(value: Column, f) -> Column:
+    """f of a value that is computed once, however often f names it."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
+#: The characters of SPACE themselves.
+_SPACES = "".join(map(chr, [9, 10, 11, 12, 13, 32, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000, 0xFEFF]))
+
+
 def data_uri(uri: Column) -> Column:
-    """struct(mimetype, charset, data) of a data: URI; null if it isn't one. charset counts only as the first parameter."""
-    pattern = r"(?is)^data:([^;,]+)?(?:;charset=([^;,]+))?(?:;base64)?,(.*)$"
-    uri = F.regexp_replace(uri, rf"^[{SPACE}]+|[{SPACE}]+$", "")
-    part = lambda n: F.regexp_extract(uri, pattern, n)
-    payload = F.when(F.contains(uri, F.lit(";base64,")), F.unbase64(part(3))).otherwise(F.try_url_decode(F.replace(part(3), F.lit("+"), F.lit("%2B"))).cast("binary"))
-    fields = F.struct(F.coalesce(F.nullif(part(1), F.lit("")), F.lit("text/plain")).alias("mimetype"), F.nullif(part(2), F.lit("")).alias("charset"), payload.alias("data"))
-    return F.when(uri.rlike(pattern), fields)
+    """struct(mimetype, charset, data) of a data: URI; null if it isn't one. charset counts only as the first parameter.
+
+    Patterns see only what stands before the first comma, whatever length the data has, and the URI is made once.
+    """
+    pattern = r"(?i)^data:([^;,]+)?(?:;charset=([^;,]+))?(?:;base64)?\z"
+
+    def parsed(uri: Column, head: Column) -> Column:
+        part = lambda n: F.nullif(F.regexp_extract(head, pattern, n), F.lit(""))
+        data = F.substr(uri, F.length(head) + 2)
+        payload = F.when(F.contains(uri, F.lit(";base64,")), F.unbase64(data)).otherwise(F.try_url_decode(F.replace(data, F.lit("+"), F.lit("%2B"))).cast("binary"))
+        fields = F.struct(F.coalesce(part(1), F.lit("text/plain")).alias("mimetype"), part(2).alias("charset"), payload.alias("data"))
+        return F.when(F.contains(uri, F.lit(",")) & head.rlike(pattern), fields)
+
+    return once(F.btrim(uri, F.lit(_SPACES)), lambda u: once(F.substring_index(u, ",", 1), lambda head: parsed(u, head)))
 
 
 def file_uri_path(uri: Column) -> Column:

@@ -3,8 +3,10 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from inkwell import queries
+from inkwell.functions import text as T
 from inkwell.parsers import charset, pdf
 
 
@@ -37,3 +39,13 @@ def test_charsets_are_told_by_whole_values():
     for text, codec, name in (("你好世界" * 40, "gbk", "gb18030"), ("あいうえお" * 40, "cp932", "shift_jis"), ("naïve", "utf-8", "utf-8")):
         data = b"a" * 5000 + text.encode(codec)
         assert charset.detect(data) == name and charset.decode(data) == "a" * 5000 + text
+
+
+def test_a_data_uri_is_made_once(spark):
+    """Every mention of the URI inside its parser would else make and trim a whole text anew."""
+    df = queries._data_uris(spark.createDataFrame([(1, "a, b;base64 ")], "doc_id long, text string"))
+    assert df._jdf.queryExecution().optimizedPlan().toString().count("regexp_replace") == 0
+    uris = ["　 data:;charset=x;base64,aGk=\n", "data:text/a,%E4%BD%A0+,;b\n", "data:a;b,x", "data:a", "DATA:,", "data:a\n,x", None]
+    rows = spark.createDataFrame(list(enumerate(uris)), "i int, u string").coalesce(1).select("i", T.data_uri(F.col("u")).alias("d")).orderBy("i").collect()
+    got = [r.d and (r.d.mimetype, r.d.charset, bytes(r.d.data).decode()) for r in rows]
+    assert got == [("text/plain", "x", "hi"), ("text/a", None, "你+,;b"), None, None, ("text/plain", None, ""), ("a\n", None, "x"), None]
