@@ -111,7 +111,9 @@ def _tags(toks: Column) -> Column:
     """The tags among tokens: (n, kind 1 start, 2 end, 3 without content, tag, rule), rule being a place in ENDS from 1."""
 
     def one(tok: Column, i: Column) -> Column:
-        name = F.lower(F.regexp_extract(tok, NAMED, 1))
+        return _let(F.lower(F.regexp_extract(tok, NAMED, 1)), lambda name: named(tok, i, name))
+
+    def named(tok: Column, i: Column, name: Column) -> Column:
         kind = F.when(name == "", 0).when(tok.startswith("</"), 2).when(name.isin(*VOID, *RAW), 3).otherwise(1)
         rule = F.lit(0)
         for k, (starts, _, _) in enumerate(ENDS):
@@ -277,16 +279,20 @@ def _colspan(attrs: Column) -> Column:
     return F.greatest(F.lit(1), F.least(F.lit(1000), F.coalesce(F.nullif(given, F.lit("")).cast("int"), F.lit(1))))
 
 
-def table_parts(found: DataFrame) -> DataFrame:
-    """Rows and cells of tables among elements, with table_no and row_no, the places of their table and row: rows are
-    direct children of a table or of one of its sections, cells direct children of such rows."""
+def _in_tables(found: DataFrame) -> DataFrame:
+    """Elements with k, 0 for rows and 1 for cells, table_no, section and row_no; null for what is no part of a table."""
     up = lambda k: parent(F.col("path"), k)
     row = F.when(F.col("tag") == "tr", F.lit(0)).when(F.col("tag").isin(*CELLS) & (up(1)["tag"] == "tr"), F.lit(1))
-    inside = found.withColumn("k", row).where("k is not null")
-    above = lambda k: F.when(F.col("k") == 0, up(k)).otherwise(up(k + 1))
+    above = lambda k: F.when(F.col("k") == 0, up(k)).when(F.col("k") == 1, up(k + 1))
     table = F.when(above(1)["tag"] == "table", above(1)["n"]).when(above(1)["tag"].isin("thead", "tbody", "tfoot") & (above(2)["tag"] == "table"), above(2)["n"])
-    out = inside.withColumn("table_no", table).withColumn("section", F.when(above(1)["tag"] != "table", above(1)))
-    return out.where("table_no is not null").withColumn("row_no", F.when(F.col("k") == 0, F.col("elem_no")).otherwise(up(1)["n"]))
+    out = found.withColumn("k", row).withColumn("table_no", table).withColumn("section", F.when(above(1)["tag"] != "table", above(1)))
+    return out.withColumn("row_no", F.when(F.col("k") == 0, F.col("elem_no")).when(F.col("k") == 1, up(1)["n"]))
+
+
+def table_parts(found: DataFrame) -> DataFrame:
+    """Rows and cells of tables among elements, with table_no and row_no, the places of their table and row: rows are
+    direct children of a table or of one of its sections, cells direct children of such rows."""
+    return _in_tables(found).where("table_no is not null")
 
 
 def table_cells(found: DataFrame) -> DataFrame:
@@ -306,12 +312,17 @@ def tables(found: DataFrame) -> DataFrame:
     that comes first in it. A table without cells is a stub. All elements are needed, not cells alone.
     """
     of = ["doc_id", "table_no"]
-    every = found.where("tag = 'table'").select("doc_id", F.col("elem_no").alias("table_no"))
-    child = found.where(parent(F.col("path"))["tag"] == "table").groupBy("doc_id", parent(F.col("path"))["n"].alias("table_no")).agg(F.min("elem_no").alias("first_child"))
-    parts = table_parts(found).withColumn("cell", F.when(F.col("k") == 1, F.struct("elem_no", T.escape_markdown(F.col("text")).alias("text"), _colspan(F.col("attrs")).alias("colspan"), (F.col("tag") == "th").alias("head"))))
-    rows = parts.groupBy(*of, "row_no").agg(F.array_sort(F.collect_list("cell")).alias("cells"), F.first(F.when(F.col("k") == 0, F.col("section")), True).alias("section"))
-    grid = rows.groupBy(*of).agg(F.array_sort(F.collect_list(F.struct("row_no", "cells", "section"))).alias("rows"), F.min("row_no").alias("first_tr"))
-    grid = every.join(grid, of, "left").join(child, of, "left")
+    cell = F.when(F.col("k") == 1, F.struct("elem_no", T.escape_markdown(F.col("text")).alias("text"), _colspan(F.col("attrs")).alias("colspan"), (F.col("tag") == "th").alias("head")))
+    up, at = parent(F.col("path")), F.col("elem_no")
+    none = {"table_no": F.lit(None).cast("int"), "row_no": F.lit(None).cast("int"), "cell": F.lit(None), "section": F.lit(None), "child": F.lit(None).cast("int"), "own": F.lit(False)}
+    said = lambda **x: F.struct(*((x.get(k, v)).alias(k) for k, v in none.items()))
+    part = said(table_no=F.col("table_no"), row_no=F.col("row_no"), cell=cell, section=F.when(F.col("k") == 0, F.col("section")))
+    roles = F.array(F.when(F.col("table_no").isNotNull(), part), F.when(F.col("tag") == "table", said(table_no=at, own=F.lit(True))), F.when(up["tag"] == "table", said(table_no=up["n"], child=at)))
+    # what an element is to tables, its own among them, told in one pass: a join would make the elements anew for each side
+    each = _in_tables(found).select("doc_id", F.inline(F.filter(roles, lambda r: r.isNotNull())))
+    rows = each.groupBy(*of, "row_no").agg(F.array_sort(F.collect_list("cell")).alias("cells"), F.first("section", True).alias("section"), F.min("child").alias("child"), F.bool_or("own").alias("own"))
+    line = F.when(F.col("row_no").isNotNull(), F.struct("row_no", "cells", "section"))
+    grid = rows.groupBy(*of).agg(F.array_sort(F.collect_list(line)).alias("rows"), F.min("row_no").alias("first_tr"), F.min("child").alias("first_child"), F.bool_or("own").alias("own")).where("own")
     full = F.filter(F.coalesce("rows", _empty("array<struct<row_no:int,cells:array<struct<elem_no:int,text:string,colspan:int,head:boolean>>,section:struct<n:int,tag:string>>>")), lambda r: F.size(r["cells"]) > 0)
     grid = grid.withColumn("rows", full).withColumn("top", F.get(full, F.lit(0)))
     bodied = F.col("top.section").isNull() | ((F.col("top.section.tag") == "tbody") & (F.col("top.section.n") == F.col("first_child")))

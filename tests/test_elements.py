@@ -99,3 +99,9 @@ def test_titles_cut_inside_a_reference(spark, tmp_path):
     read = ["x & y &amp", "x &am", "x&lt", "x &ndash; ' © &copy", "&", "a &lt; b"]
     got = {(r.doc_id, r.level): r.text for r in queries.QUERIES["md_heading"](spark, str(tmp_path)).collect()}
     assert got == {(i, k): "" if k == 6 else t for i, t in enumerate(read) for k in (1, 3, 6)}
+
+
+def test_tables_read_elements_once(spark):
+    """A join would cut and fold the pages anew for each of its sides."""
+    plan = E.tables(E.elements(of(spark, PAGE)))._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and plan.count("LogicalRDD") == 1
