@@ -22,3 +22,10 @@ def test_analyses_with_odd_fields(spark):
     df = spark.createDataFrame([(i, json.dumps(r)) for i, r in enumerate(given)], "i int, j string")
     got = [r.m for r in df.orderBy("i").select(cloud.markdown_of(F.col("j")).alias("m")).collect()]
     assert got == [cloud.result_markdown(r) for r in given]
+
+
+def test_files_are_made_on_all_cores(spark):
+    rows = spark.createDataFrame([(i, "n") for i in range(40)], "k long, n string").coalesce(1)
+    made = queries._files(rows, "k", lambda k, n: f"{k}{n}".encode(), ".txt", ["k", "n"])
+    got = made.select("doc_id", "content", F.spark_partition_id().alias("task")).collect()
+    assert {(r.doc_id, bytes(r.content)) for r in got} == {(i, f"{i}n".encode()) for i in range(40)} and len({r.task for r in got}) >= 4
