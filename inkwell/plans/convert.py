@@ -11,7 +11,7 @@ from __future__ import annotations
 from dataclasses import dataclass, fields
 from functools import reduce
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -31,6 +31,8 @@ TRIES = f"array<struct<name:string,info:{INFO}>>"
 RESULT = ["doc_id", "markdown", "title", "converter", "status", "attempts"]
 #: Converters that are expressions over the bytes of a file.
 EXPRESSIONS = ("text", "csv", "ipynb")
+#: Files whose bytes and results are Python objects at the same time.
+ROWS = 64
 
 
 _DEFAULTS = {"keep_data_uris": False, "style_map": None, "providers": None, "strict": False}
@@ -155,20 +157,28 @@ def _by_row(options: Options, registry: Registry):
     of CSV."""
     from inkwell.parsers import textual
 
-    def run(contents: pd.Series, tries: pd.Series, texts: pd.Series) -> pd.DataFrame:
-        clean = lambda x: None if x is None else x.encode("utf-8", "replace").decode()
-        rows = []
-        for data, left, text in zip(contents, tries, texts, strict=True):
-            cells = None if text is None else textual.csv_rows(text)
-            if left is None or data is None:
-                rows.append((None, None, None, "unsupported", [], cells))
-            else:
-                markdown, title, *rest = convert_one(bytes(data), list(left), options, registry)
-                rows.append((clean(markdown), clean(title), *rest, cells))
-        return pd.DataFrame(rows, columns=[*RESULT[1:], "cells"])
-
     kind = f"markdown string, title string, converter string, status string, attempts {ATTEMPTS}, cells array<array<string>>"
-    return F.pandas_udf(run, kind).asNondeterministic()  # called once for each file: no later filter takes the call into itself
+    attempt = pa.struct([(f, pa.string()) for f in ("converter", "error_class", "message")])
+    table = pa.struct([*((f, pa.string()) for f in RESULT[1:5]), ("attempts", pa.list_(attempt)), ("cells", pa.list_(pa.list_(pa.string())))])
+    clean = lambda x: None if x is None else x.encode("utf-8", "replace").decode()
+
+    def one(data: bytes | None, left: list[dict] | None, text: str | None) -> dict:
+        cells = None if text is None else [[clean(c) for c in row] for row in textual.csv_rows(text)]
+        if left is None or data is None:
+            return {"status": "unsupported", "attempts": [], "cells": cells}
+        markdown, title, converter, status, attempts = convert_one(data, left, options, registry)
+        attempts = [{k: clean(v) for k, v in a.items()} for a in attempts]
+        return {"markdown": clean(markdown), "title": clean(title), "converter": converter, "status": status, "attempts": attempts, "cells": cells}
+
+    def run(contents: pa.Array, tries: pa.Array, texts: pa.Array) -> pa.Array:
+        """Objects of a few rows at a time: a batch holds thousands of files, whose bytes stay in Arrow's buffers till then."""
+        done = []
+        for at in range(0, len(contents), ROWS):
+            rows = zip(*(x.slice(at, ROWS) for x in (contents, tries, texts)), strict=True)
+            done.append(pa.array([one(*(v.as_py() for v in row)) for row in rows], table))
+        return pa.concat_arrays(done) if done else pa.array([], table)
+
+    return F.arrow_udf(run, kind).asNondeterministic()  # called once for each file: no later filter takes the call into itself
 
 
 def _plain(info: Column) -> Column:
